@@ -1,11 +1,52 @@
-"""Corpus pipeline: quality, line dedup, near dedup, mixing, packing."""
+"""A corpus pipeline in five stages, each one operator applied to all that the stage before has kept.
 
+A stage takes (spark, docs, sf_dir) and returns the documents, with their columns, after its decisions;
+the last returns the packed pieces. Rows that repeat a doc_id come out of the mixing stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tracewell.llm import line_dedup, mixing, near_dedup, packing, quality
+from tracewell.llm.common import table
+from tracewell.llm.queries import word_bpe
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeats(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeat(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, word_bpe())
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("line_dedup", delete_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: SQL can express neither the classifier nor the suffix array; tests hold each stage against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -37,3 +37,18 @@ def ascii_lower(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def maybe_among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """df with a column `maybe`: true where df[column] is in ids.id, and seldom elsewhere.
+
+    The ids become a bitmap of hashes with 16 bits for each, of 128 KB to 64 MB whatever their
+    number, so that it can be broadcast: it spares most other rows of df a shuffle.
+    """
+    bits = 1 << min(29, max(20, (16 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    maps = ids.select(place("id").alias("_p")).groupBy(F.floor(F.col("_p") / 32768).alias("_map")).agg(F.call_function("bitmap_construct_agg", F.col("_p") % 32768).alias("_bits"))
+    rows = df.withColumn("_p", place(column)).withColumn("_map", F.floor(F.col("_p") / 32768)).join(F.broadcast(maps), "_map", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast((_p % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (F.col("_p") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.withColumn("maybe", F.coalesce(bit, F.lit(False))).drop("_p", "_map", "_bits")

@@ -75,46 +75,65 @@ def balance(histogram: DataFrame, params: DataFrame, near) -> DataFrame:
     return state.drop("lo", "hi", "miss")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """How often each row of `docs` (doc_id, text, source; others are ignored) is taken.
+def _key(source: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
-    Returns doc_id, size, source_size, target, taken, source, copies. Size counts words
-    (null text: 0). Sources by code point, null last, weigh 1, 2, 3 in turn. A document without
-    words is taken once; an empty table gives no rows. Copies are decided by a hash of doc_id and size, so reruns agree
-    and repeated rows (null doc_ids of a size among them) are taken alike.
-    """
-    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    rows = settle(docs.select("doc_id", key.alias("k"), "source", words(F.col("text")).alias("size")))
+
+def _uniform(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(1 << 40)) / float(1 << 40)
+
+
+def _movable(copies: Column, miss: Column) -> Column:
+    return (F.col("size") > 0) & (F.col("size") <= F.abs(miss)) & F.when(miss > 0, copies < CAP).otherwise(copies > 0)
+
+
+def _with_copies(rows: DataFrame, state: DataFrame, near, repairs: int) -> DataFrame:
+    """Copies of rows (doc_id, k, size, ...): the rounded rate, then the repairs found so far."""
+    rate = _rate(F.col("lam"), F.col("size") / F.col("scale"), F.col("full"))
+    copies = F.least(F.floor(rate + _uniform(0)).cast("long"), F.lit(CAP).cast("long"))
+    if repairs:
+        # A fold, because nested columns would repeat the expression of every earlier step.
+        found = F.array(*[F.struct(F.col(f"miss{t}").alias("miss"), (F.floor(_uniform(t + 1) * BINS) < F.col(f"cut{t}")).alias("hit")) for t in range(repairs)])
+        copies = F.aggregate(found, copies, lambda c, x: c + F.when(x["hit"] & _movable(c, x["miss"]), F.signum(x["miss"])).otherwise(0).cast("long"))
+    return rows.join(near(state), "k").withColumn("copies", copies)
+
+
+def _solve(docs: DataFrame) -> tuple:
+    rows = settle(docs.select("doc_id", _key("source").alias("k"), "source", words(F.col("text")).alias("size")))
     histogram = settle(rows.groupBy("k", "size").agg(F.count("*").alias("n"), F.first("source").alias("source")))
+    rows = rows.drop("source")
     sources = histogram.groupBy("k").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
-    count = sources.count()
-    near = F.broadcast if count <= SMALL_ROWS else (lambda df: df)
+    near = F.broadcast if sources.count() <= SMALL_ROWS else (lambda df: df)
     params = targets(sources.drop("docs")).join(near(sources.select("k", "docs")), "k").select(
         "k", "source", "source_size", "target", F.greatest(F.col("source_size") / F.col("docs"), F.lit(1.0)).alias("scale"),
         (F.col("target") >= CAP * F.col("source_size") * (1 - 1e-12)).alias("full"),
     )
     state = balance(histogram, params, near)
-
-    def uniform(seed: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(1 << 40)) / float(1 << 40)
-
-    def with_copies(done: int) -> DataFrame:
-        out = rows.drop("source").join(near(state), "k").withColumn("copies", F.floor(_rate(F.col("lam"), F.col("size") / F.col("scale"), F.col("full")) + uniform(0)).cast("long"))
-        out = out.withColumn("copies", F.least("copies", F.lit(CAP)))
-        for t in range(done):
-            miss, cut = F.col(f"miss{t}"), F.col(f"cut{t}")
-            out = out.withColumn("copies", F.col("copies") + F.when(movable(miss) & (F.floor(uniform(t + 1) * BINS) < cut), F.signum(miss)).otherwise(0).cast("long"))
-        return out
-
-    def movable(miss: Column) -> Column:
-        return (F.col("size") > 0) & (F.col("size") <= F.abs(miss)) & F.when(miss > 0, F.col("copies") < CAP).otherwise(F.col("copies") > 0)
-
     for t in range(REPAIRS):
-        now = with_copies(t)
+        now = _with_copies(rows, state, near, t)
         misses = settle(now.groupBy("k").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss")))
-        bins = now.join(near(misses), "k").where(movable(F.col("miss"))).groupBy("k", "miss", F.floor(uniform(t + 1) * BINS).alias("bin")).agg(F.sum("size").alias("s"))
-        run = Window.partitionBy("k").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = now.join(near(misses), "k").where(_movable(F.col("copies"), F.col("miss"))).groupBy("k", "miss", F.floor(_uniform(t + 1) * BINS).alias("bin")).agg(F.sum("size").alias("s"))
+        run = Window.partitionBy("k").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows of a source at most
         over = bins.withColumn("sum", F.sum("s").over(run)).groupBy("k").agg(F.min(F.when(F.col("sum") > F.abs("miss"), F.col("bin"))).alias("cut"))
         cuts = misses.join(near(over), "k", "left").select("k", F.col("miss").alias(f"miss{t}"), F.coalesce("cut", F.lit(BINS)).alias(f"cut{t}"))
         state = settle(state.join(near(cuts), "k"))
-    return with_copies(REPAIRS).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+    return rows, state, near
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """How often each row of `docs` (doc_id, text, source; others are ignored) is taken.
+
+    Returns doc_id, size, source_size, target, taken, source, copies. Size counts words
+    (null text: 0). Sources by code point, null last, weigh 1, 2, 3 in turn. A document without
+    words is taken once; an empty table gives no rows. Copies are decided by a hash of doc_id and size, so reruns agree
+    and repeated rows (null doc_ids of a size among them) are taken alike.
+    """
+    rows, state, near = _solve(docs)
+    return _with_copies(rows, state, near, REPAIRS).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+def repeat(docs: DataFrame) -> DataFrame:
+    """The mixture itself: each row of docs as often as mix() takes it, without a shuffle of the texts."""
+    _, state, near = _solve(docs)
+    wide = docs.select(F.struct("*").alias("_row"), "doc_id", _key("source").alias("k"), words(F.col("text")).alias("size"))
+    return _with_copies(wide, state, near, REPAIRS).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
