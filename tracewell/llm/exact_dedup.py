@@ -22,7 +22,8 @@ def heavy_digests(rows: DataFrame, heavy: int = HEAVY) -> DataFrame:
     tracked, total = 16 * heavy, rows.count()
     # Summaries of single tasks are merged in 64 groups first, so that none merges those of all tasks.
     summary = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("g")).agg(F.expr(f"approx_top_k_accumulate(digest_key, {tracked})").alias("s"))
-    found = summary.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {tracked // 4})").alias("top"))
+    # Grouped, because merging the summaries of a task without any fails.
+    found = summary.groupBy(F.floor(F.col("g") / 64).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {tracked // 4})").alias("top"))
     found = found.select(F.explode("top").alias("x")).where(F.col("x.count") * heavy >= total).select(F.col("x.item").alias("digest_key"))
     exact = rows.join(F.broadcast(found), "digest_key").groupBy("text_sha256").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid")).alias("first"))
     return exact.where(F.col("n") * heavy > total)
