@@ -10,6 +10,8 @@ its places by their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -21,33 +23,44 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import settle
 
-#: White-space-delimited chunks whose ids a worker remembers.
-CACHED_CHUNKS = 400_000
+#: Tokens and chunks whose ids a worker remembers.
+CACHED = 1_000_000
+#: What the vocabulary's splitter takes as one token, for the characters of _PLAIN in lower case.
+_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[!-/:-@\[-`{-~]+")
+_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿŒœ]*")
 _tokenizers: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
     """Text to little-endian unsigned 32-bit ids.
 
-    ASCII white space always separates the tokens of this vocabulary's splitter, so ids of a text
-    are those of its chunks in turn, and each distinct chunk need be encoded only once.
+    The ids of a text are those of its parts in turn, and each distinct part need be encoded only
+    once. Parts are the splitter's tokens where a text has only characters that it treats plainly
+    and that normal form C leaves alone; else the chunks between ASCII white space, which it always drops.
     """
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use every core
         from tokenizers import Tokenizer
 
         _tokenizers[path] = Tokenizer.from_file(path), {}
     tokenizer, known = _tokenizers[path]
 
+    def parts(text: str) -> list:
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return _TOKENS.findall(text.lower())
+        return text.encode().split()
+
     def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > CACHED_CHUNKS:
+        if len(known) > CACHED:
             known.clear()
-        split = [(x or "").encode().split() for x in texts]
-        new = list({c for chunks in split for c in chunks if c not in known})
+        split = [parts(x or "") for x in texts]
+        new = list(set().union(*split).difference(known))
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for chunk, got in zip(part, tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False)):
-                known[chunk] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+            some = new[at : at + 20_000]
+            words = [x if isinstance(x, str) else x.decode() for x in some]
+            for x, got in zip(some, tokenizer.encode_batch(words, add_special_tokens=False)):
+                known[x] = np.array(got.ids, "<u4").tobytes()
+        return [b"".join(map(known.__getitem__, x)) for x in split]
 
     return encode
 
