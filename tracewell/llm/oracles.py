@@ -1,3 +1,63 @@
 """DuckDB SQL of the corpus queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+import math
+
+from tracewell.llm import licenses
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_RULES = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{{kind}_{i}}}"
+    for i, (kind, h, p) in enumerate([("allow", "example.com", "/en/7"), ("block", "example.net", "/de/8"), ("block", "com", "/en/"), ("allow", "net", "/de/"), ("block", "org", "/es/")])
+)
+_RULE = _RULES.format(allow_0="'example.com/en/7'", block_1="'example.net/de/8'", block_2="'com/en/'", allow_3="'net/de/'", block_4="'org/es/'")
+_VERDICT = _RULES.format(allow_0="'allow'", block_1="'block'", block_2="'block'", allow_3="'allow'", block_4="'block'")
+URLS = f"""WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1) AS query FROM r),
+q AS (SELECT page_id, host, path, list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)'))) AS kept FROM p),
+c AS (SELECT page_id, host, path, host || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canon FROM q),
+l AS (SELECT *, canon <> '' AND canon IN (SELECT canon FROM c WHERE starts_with(host, 'spam-farm.')) AS listed FROM c)
+SELECT page_id, host, path, CASE {_RULE} END AS rule, CASE {_VERDICT} WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM l"""
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _licenses() -> str:
+    places = []
+    for phrase, label in licenses.PHRASES.items():
+        words = phrase.split()
+        test = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(words))
+        places.append(f"list_transform(list_filter(range(0, len(w)), lambda i: {test}), lambda i: {{'i': i, 'l': '{label}'}})")
+    sets = {label: sorted(set(t.split())) for label, t in sorted(licenses.TEMPLATES.items())}
+    scores = []
+    for label, t in sets.items():
+        need, words = math.ceil(licenses.THRESHOLD * len(t) - 1e-9), "[" + ", ".join(f"'{x}'" for x in t) + "]"
+        shared = f"len(list_intersect(list_distinct(b), {words}))"
+        scores.append(f"coalesce(list_max(list_transform(blocks, lambda b: CASE WHEN {shared} >= {need} THEN {shared} / {len(t)}.0::DOUBLE ELSE 0.0 END)), 0.0) AS \"s_{label}\"")
+    own = ", ".join(f"CASE WHEN \"s_{label}\" > 0 THEN '{label}' END" for label in sets)
+    best = ", ".join(f'"s_{label}"' for label in sets)
+    return f"""WITH t AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS x FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(x, '{_WORD}') AS w, list_transform(string_split(x, chr(10)), lambda l: regexp_extract_all(l, '{_WORD}')) AS blocks FROM t),
+p AS (SELECT doc_id, len(w) AS n_words, list_concat({', '.join(places)}) AS p, {', '.join(scores)} FROM w),
+q AS (SELECT *, list_transform(p, lambda z: z.i) AS places, list_sort(list_distinct(list_transform(p, lambda z: z.l))) AS base FROM p)
+SELECT doc_id, n_words, len(p) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, array_to_string(base, ',') AS base_labels,
+array_to_string(list_sort(list_distinct(list_filter(list_concat(base, [{own}]), lambda v: v IS NOT NULL))), ',') AS labels, CASE WHEN len(p) > 0 THEN 1.0 ELSE greatest({best}) END AS score FROM q"""
+
+
+EXACT = r"""WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256 FROM t WINDOW g AS (PARTITION BY text_sha256)"""
+
+NEAR = rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, len(s) AS n, list_sort(s) AS key FROM s), x AS MATERIALIZED (SELECT doc_id, unnest(s) AS h FROM s),
+c AS MATERIALIZED (SELECT min(doc_id) AS rep, key, any_value(n) AS n FROM n WHERE n > 0 GROUP BY key),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id WHERE a.doc_id IN (SELECT rep FROM c) AND b.doc_id IN (SELECT rep FROM c) GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN c u ON u.rep = a JOIN c v ON v.rep = b WHERE 100 * k >= 75 * (u.n + v.n - k)),
+both_ways AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT rep AS a, rep AS b FROM c UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+m AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(m.component, n.doc_id) AS component_id, coalesce(m.component, n.doc_id) = n.doc_id AS kept FROM n LEFT JOIN c ON n.key = c.key AND n.n > 0 LEFT JOIN m ON m.rep = c.rep"""
+
+ORACLES: dict[str, str] = {"op4_url_filter": URLS, "op6_license_scan": _licenses(), "op8_exact_dedup": EXACT, "op10_minhash_near_dedup": NEAR}
