@@ -88,8 +88,8 @@ def correlation(x: Column, y: Column) -> Column:
     """Pearson over pairs without NaN or null; NaN for fewer than 3 or for a constant side."""
     good = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
     a, b = F.when(good, x), F.when(good, y)
-    flat = (F.coalesce(F.stddev_pop(a), F.lit(0.0)) == 0) | (F.coalesce(F.stddev_pop(b), F.lit(0.0)) == 0)
-    return F.when((F.count(F.when(good, 1)) < 3) | flat, F.lit(float("nan"))).otherwise(F.corr(a, b))
+    spread = F.coalesce(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    return F.when((F.count(F.when(good, 1)) < 3) | (spread == 0), F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop(a, b), spread))
 
 
 def moments(x: Column) -> list[Column]:

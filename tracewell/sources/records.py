@@ -66,14 +66,14 @@ def run_log(spark: SparkSession, path: str) -> DataFrame:
 def complete(spark: SparkSession, folder: str) -> DataFrame:
     """Whether each file ends as JSON does: with } or a line end. Only the files' bytes are read, not parsed."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
-    tail = F.decode(F.expr("substring(content, -1, 1)"), F.lit("utf-8"))
+    tail = F.decode(F.expr("substring(content, -1, 1)"), "utf-8")
     return rows.select(F.regexp_extract("path", _STEM, 1).alias("stem"), tail.isin("}", "\n").alias("complete"))
 
 
 def tail_counts(spark: SparkSession, folder: str, tail: int = 400) -> DataFrame:
     """Pass counts from the last bytes of large JSON files, without decoding their arrays."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*.json").load(folder)
-    text = F.decode(F.expr(f"substring(content, -{tail}, {tail})"), F.lit("utf-8"))
+    text = F.decode(F.expr(f"substring(content, -{tail}, {tail})"), "utf-8")
     number = lambda key: F.regexp_extract(text, rf'"{key}":\s*(\d+)', 1).try_cast("int").alias(key)
     return rows.select(F.regexp_extract("path", _STEM, 1).try_cast("bigint").alias("idx"), number("test_passed"), number("test_total"))
 
