@@ -155,31 +155,41 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return settle(same.unionByName(partial))
 
 
+def _others(docs: DataFrame):
+    """All columns but text in one, where no name can clash with those made here."""
+    return F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+
+
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` (doc_id, text and any others) with later copies of repeated line runs deleted from text.
 
     Lines are what "\\n" separates. Line i of a document is deleted if it lies in a run of
     consecutive lines, of at least `min_words` words, that also stands earlier in the corpus: in a document of smaller doc_id,
-    or further up in the same one. Adds n_lines and removed_lines. Null texts and rows of null doc_id
+    or further up in the same one. Adds n_lines and removed_lines (in place of columns so named). Null texts and rows of null doc_id
     are left as they are, a document of which nothing remains gets an empty text. Rows that repeat a
     doc_id and text are one document and are treated alike; those that share a doc_id alone are in the order of a hash of
     their texts.
     """
-    gone = deletions(docs, min_words).groupBy(F.col("doc_id").alias("_id"), F.col("dh").alias("_dh")).agg(F.collect_set(F.struct("line", "length")).alias("_gone"))
-    marked = maybe_among(docs.withColumn("_dh", F.xxhash64("text")), "doc_id", gone.select(F.col("_id").alias("id")))
-    lines = F.split("text", "\n")
-    clear = marked.where("not maybe").select(*[docs[c] for c in docs.columns], F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.lit(0).alias("removed_lines"))
-    hit = marked.where("maybe").withColumnRenamed("_dh", "_mine").join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_mine") == F.col("_dh")), "left")
-    left = F.filter("_lines", lambda x, i: ~F.exists("_gone", lambda g: (i >= g["line"]) & (i < g["line"] + g["length"])))
-    hit = hit.withColumn("_lines", lines).withColumn("_left", F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("_lines")))
-    others = [F.array_join("_left", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    hit = hit.select(*others, F.coalesce(F.size("_lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_lines") - F.size("_left"), F.lit(0)).alias("removed_lines"))
-    return clear.unionByName(hit)
+    gone = deletions(docs, min_words).groupBy(F.col("doc_id").alias("id"), "dh").agg(F.collect_set(F.struct("line", "length")).alias("gone"))
+    rows = docs.select(_others(docs), "doc_id", "text", F.xxhash64("text").alias("mine"))
+    marked = maybe_among(rows, "doc_id", gone.select("id"))
+    hit = marked.where("maybe").join(gone, (F.col("doc_id") == F.col("id")) & (F.col("mine") == F.col("dh")), "left").withColumn("lines", F.split("text", "\n"))
+    stays = F.filter("lines", lambda x, i: ~F.exists("gone", lambda g: (i >= g["line"]) & (i < g["line"] + g["length"])))
+    hit = hit.withColumn("left", F.when(F.col("gone").isNotNull(), stays).otherwise(F.col("lines")))
+
+    def result(df: DataFrame, text, n_lines, removed) -> DataFrame:
+        own = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "removed_lines")]
+        return df.select(*own, F.coalesce(n_lines, F.lit(0)).alias("n_lines"), F.coalesce(removed, F.lit(0)).alias("removed_lines"))
+
+    clear = result(marked.where("not maybe"), F.col("text"), F.size(F.split("text", "\n")), F.lit(0))
+    return clear.unionByName(result(hit, F.array_join("left", "\n"), F.size("lines"), F.size("lines") - F.size("left")))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs, all columns, with line_dedup()'s texts (and n_chars, if there is one); documents of which nothing remains go."""
-    done = line_dedup(docs, min_words).where("removed_lines = 0 or removed_lines < n_lines")
+    packed = docs.select("doc_id", "text", _others(docs))
+    done = line_dedup(packed, min_words).where("removed_lines = 0 or removed_lines < n_lines")
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("removed_lines") > 0, F.char_length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -98,7 +98,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLE
                 for at in range(0, batch.num_rows, 1024):
                     some = batch.slice(at, 1024)
                     x = on_sphere(_matrix(some.column(1)), query)
-                    n = probes if query else 1
+                    n = min(probes, 2 * width) if query else 1
                     axes = np.stack([nearest_axes(x, t, n) for t in range(tables)], axis=1).reshape(len(x), -1)
                     bucket = axes + np.repeat(np.arange(tables), n)[None, :] * 4 * width
                     yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(bucket.tolist(), pa.list_(pa.int32()))], ["id", "v", "buckets"])
