@@ -3,11 +3,13 @@
 A document's set is its distinct word shingles. Equal sets are one class from the start, so copies
 cost nothing further. Bands of full minima propose candidates; what is kept of the minima are their
 low bits, packed into longs, and equal-field counts of two signatures, corrected for accidental
-collisions, estimate the similarity of a candidate. What may reach the threshold is confirmed on the full sets.
+collisions, estimate the similarity of a candidate. A bitmap of the set bounds it from above, without
+error: the sets differ in at least as many shingles as their bitmaps in bits. What may reach the threshold is confirmed on the full sets.
 
-Links only matter through the components that they form. A band's bucket is therefore first compared with its smallest
-member alone, each class with its likeliest such partner and then the rest, and only members that are
-still in different components afterwards are compared with each other, inside the join.
+Links only matter through the components that they form. A band's bucket is therefore first compared with one
+member alone, the one that meets most others in its buckets and so tends to be the middle of a group: each class with
+its likeliest such partner and then the rest. Only members that are still in different components afterwards
+are compared with each other, inside the join.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ MINIMA = BANDS * ROWS
 LONGS = MINIMA * BITS // 64
 #: Standard errors that an estimate may fall short of the threshold before a candidate is dropped.
 MARGIN = 5.0
-CACHED_WORDS = 500_000
+#: Bits of a set's bitmap. Large sets fill it, and it then rules out nothing.
+BITMAP = 2048
+CACHED_WORDS = 300_000
 
 _words: dict[bytes, int] = {}
 _draw = np.random.default_rng(20_240_601)
@@ -88,26 +92,37 @@ def band_keys(best: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    bits = np.zeros(BITMAP, np.uint8)
+    bits[(hashes % np.uint64(BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _signed(batches)
+    _words.clear()  # Python workers outlive their tasks
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             some = batch.slice(at, 1000)
-            sizes, digests, best = [], [], np.zeros((some.num_rows, MINIMA), np.uint32)
+            sizes, digests, best, bits = [], [], np.zeros((some.num_rows, MINIMA), np.uint32), np.zeros((some.num_rows, BITMAP // 64), np.int64)
             for i, text in enumerate(some.column(1)):
                 h = shingles(text.as_py())
                 sizes.append(len(h))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
-                best[i] = minima(h)
+                best[i], bits[i] = minima(h), bitmap(h)
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             fixed = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(m).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [some.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), fixed(pack_bits(best)), fixed(band_keys(best))],
-                ["doc_id", "n", "d1", "d2", "sig", "bands"],
+                [some.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), fixed(pack_bits(best)), fixed(bits), fixed(band_keys(best))],
+                ["doc_id", "n", "d1", "d2", "sig", "bits", "bands"],
             )
 
 
 def _plausible(a: str, b: str, percent: int) -> Column:
-    """Neither set sizes nor the collision-corrected estimate rule the pair out."""
+    """The collision-corrected estimate, unless it or the bitmaps' bound rules the pair out."""
     same = F.lit(MINIMA)
     fields = sum(1 << i for i in range(0, 64, BITS))
     for i in range(LONGS):
@@ -119,8 +134,11 @@ def _plausible(a: str, b: str, percent: int) -> Column:
     expected = t + (1 - t) * chance
     error = (expected * (1 - expected) / MINIMA) ** 0.5 / (1 - chance)
     estimate = (same / MINIMA - chance) / (1 - chance)
-    small, large = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")), F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return F.when((100 * small >= percent * large) & (estimate >= t - MARGIN * error), estimate)
+    both, differ = F.col(f"{a}.n") + F.col(f"{b}.n"), F.lit(0)
+    for i in range(BITMAP // 64):
+        differ = differ + F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i]))
+    # The intersection is at most (both - differ) / 2.
+    return F.when((estimate >= t - MARGIN * error) & ((100 + percent) * (both - differ) >= 2 * percent * both), estimate)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -144,6 +162,7 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
                 if shared and 100 * shared >= percent * (len(p) + len(q) - shared):
                     kept.append(i)
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+        _words.clear()
 
     rows = docs.select(F.col("doc_id").alias("id"), "text")
     texts = maybe_among(rows, "id", pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()).where("maybe").select("id", "text")
@@ -159,14 +178,17 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     with nothing: they are kept, as are rows of null doc_id, which stay out of the search. Rows that repeat a doc_id
     count as one document: they share its links.
     """
-    rows = settle(docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, n long, d1 long, d2 long, sig array<long>, bands array<long>"))
+    rows = settle(docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, n long, d1 long, d2 long, sig array<long>, bits array<long>, bands array<long>"))
     real = rows.where("n > 0 and doc_id is not null")
     classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    nodes = settle(real.withColumnRenamed("doc_id", "rep").join(classes, ["d1", "d2", "rep"]).select("rep", "n", "sig", "bands"))
-    sigs = nodes.select("rep", F.struct("n", "sig").alias("s"))
+    nodes = settle(real.withColumnRenamed("doc_id", "rep").join(classes, ["d1", "d2", "rep"]).select("rep", "n", "sig", "bits", "bands"))
+    sigs = nodes.select("rep", F.struct("n", "sig", "bits").alias("s"))
     placed = nodes.select("rep", F.explode("bands").alias("key"))
-    buckets = placed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
-    members = settle(placed.join(buckets, "key").select("key", "rep", "pivot"))
+    buckets = placed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("met")).where("low < high").select("key", "met")
+    shared = settle(placed.join(buckets, "key").select("key", "rep", "met"))
+    known = shared.groupBy("rep").agg(F.sum("met").alias("met"))
+    middle = shared.select("key", "rep").join(known, "rep").groupBy("key").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("pivot"))
+    members = settle(shared.join(middle, "key").select("key", "rep", "pivot"))
 
     def estimated(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sigs.withColumnsRenamed({"rep": "a", "s": "p"}), "a").join(sigs.withColumnsRenamed({"rep": "b", "s": "q"}), "b")
@@ -190,7 +212,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # What shares a bucket, is in different components, and was not compared with the bucket's first.
     inside = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = settle(inside.join(split, "key").where("rep <> pivot").join(sigs, "rep").select("key", "rep", "component", F.col("s.n").alias("n"), F.col("s.sig").alias("sig")))
+    open_ = settle(inside.join(split, "key").where("rep <> pivot").join(sigs, "rep").select("key", "rep", "component", F.col("s.n").alias("n"), F.col("s.sig").alias("sig"), F.col("s.bits").alias("bits")))
     a, b = open_.alias("p"), open_.alias("q")
     pairs = a.join(b, (F.col("p.key") == F.col("q.key")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component")) & _plausible("p", "q", percent).isNotNull())
     third = settle(pairs.select(F.col("q.rep").alias("a"), F.col("p.rep").alias("b")).distinct())
@@ -208,7 +230,6 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, of which near_dedup() keeps the document."""
     gone = settle(near_dedup(docs, percent).where("not kept").select(F.col("doc_id").alias("id")).distinct())
-    marked = maybe_among(docs, "doc_id", gone)
-    mine = [docs[c] for c in docs.columns]
+    marked = maybe_among(docs.select(F.struct("*").alias("row"), "doc_id"), "doc_id", gone)
     doubtful = marked.where("maybe").join(gone, F.col("doc_id") == F.col("id"), "left_anti")
-    return marked.where("not maybe").select(*mine).unionByName(doubtful.select(*docs.columns))
+    return marked.where("not maybe").select("row.*").unionByName(doubtful.select("row.*"))
