@@ -106,10 +106,11 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
         zero = np.zeros(3 * FEATURES)
         return Model(zero, zero + 1, zero, 0.0, np.zeros((2, 2)))
     stacked = np.concatenate([x for x, _, _ in docs])
-    mean, scale = stacked.mean(axis=0), stacked.std(axis=0) + 1e-6
+    mean, scale = stacked.mean(axis=0, dtype=np.float64), stacked.std(axis=0, dtype=np.float64) + 1e-6
+    del stacked
     pieces = [(x[i : i + SEGMENT], y) for x, _, y in docs for i in range(0, len(x), SEGMENT)]
     count, width = len(pieces), max(len(x) for x, _ in pieces)
-    x = np.zeros((width, count, 3 * FEATURES))
+    x = np.zeros((width, count, 3 * FEATURES), np.float32)
     here = np.zeros((width, count))
     for j, (p, _) in enumerate(pieces):
         x[: len(p), j] = np.clip((p - mean) / scale, -6, 6)
@@ -121,7 +122,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     theta, m, v = np.zeros(3 * FEATURES + 5), 0.0, 0.0
     for step in range(1, STEPS + 1):
         weights, bias, edges = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
-        node = (x @ weights + bias) * here
+        node = (x @ weights.astype(np.float32) + bias) * here
         a, b = np.zeros((width, count, 2)), np.zeros((width, count, 2))
         a[0, :, 1] = node[0]
         for t in range(1, width):
@@ -136,7 +137,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
         p = np.exp(np.clip(a[:, :, 1] + b[:, :, 1] - total, -60, 0)) * here
         miss = (p - good * here) * each
         grad = np.zeros_like(theta)
-        grad[:-5] = np.einsum("tnf,tn->f", x, miss)
+        grad[:-5] = np.tensordot(miss.astype(np.float32), x, axes=2)
         grad[-5] = miss.sum()
         for i in range(2):
             for j in range(2):
@@ -173,11 +174,12 @@ def training_docs(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS)
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             both = [line_features(t) for t in df["text"]]
-            yield pd.DataFrame({"doc_id": df["doc_id"], "quality": df["quality"], "x": [f.astype(np.float32).ravel() for f, _ in both], "n": [n for _, n in both]})
+            yield pd.DataFrame({"doc_id": df["doc_id"], "quality": df["quality"], "x": [f.astype("<f4").tobytes() for f, _ in both], "n": [n.astype("<f8").tobytes() for _, n in both]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").mapInPandas(featured, "doc_id long, quality int, x array<float>, n array<double>")
-    found = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["quality"], len(r["n"])))
-    return [(np.array(r["x"]).reshape(len(r["n"]), -1), np.array(r["n"]), r["quality"]) for r in found]
+    # As bytes, because rows of numbers would take the driver ten times the memory.
+    rows = docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").mapInPandas(featured, "doc_id long, quality int, x binary, n binary")
+    found = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["quality"], bytes(r["n"]), bytes(r["x"])))
+    return [(np.frombuffer(r["x"], "<f4").reshape(len(r["n"]) // 8, -1), np.frombuffer(r["n"], "<f8"), r["quality"]) for r in found]
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
