@@ -146,3 +146,19 @@ def shift_left(mask: Column) -> Column:
 def numeric_name_order(name: Column) -> Column:
     """Sort key of file stems: the number, non-numeric ones last."""
     return F.coalesce(name.try_cast("int"), F.lit(1 << 30))
+
+
+def difficulties(column: Column, spec: str) -> Column:
+    """Rows of the difficulties that a spec such as "easy+hard" or "Easy, medium" lists; `all` lets every row pass."""
+    wanted = [x.strip().lower() for x in spec.replace("+", ",").split(",") if x.strip()]
+    return F.lit(True) if "all" in wanted else F.lower(column).isin(wanted)
+
+
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """A seeded order that is the same on every run and for any partitioning: sorted by a hash of the key."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
+
+
+def calibration(rows: DataFrame, place: str, length: str, train: int, longest: int, n: int) -> DataFrame:
+    """The first n rows of the training prefix that are not longer than `longest`."""
+    return rows.where((F.col(place) < train) & (F.col(length) <= longest)).orderBy(place).limit(n)

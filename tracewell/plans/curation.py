@@ -144,6 +144,26 @@ def numeric_file_order(spark, d):
     return _docs(spark, d).select("doc_id", curate.numeric_name_order(name).alias("place"))
 
 
+def difficulty_filter(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.initcap(F.substring("o_orderpriority", 3, 20)).alias("difficulty"))
+    return rows.where(curate.difficulties(F.col("difficulty"), "urgent+ Low")).groupBy("difficulty").agg(F.count("*").alias("n"))
+
+
+def seeded_shuffle(spark, d):
+    """Where a seeded shuffle of the documents puts the first ten."""
+    return curate.shuffled(_docs(spark, d).select("doc_id", "lang"), "doc_id", 7).limit(10)
+
+
+def calibration_texts(spark, d):
+    return curate.calibration(_docs(spark, d).select("doc_id", "n_chars"), "doc_id", "n_chars", 900, 1500, 64)
+
+
+def event_days(spark, d):
+    """Dates and clock times of events as text, counted by day."""
+    rows = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "HH:mm:ss").alias("clock"))
+    return rows.groupBy("day").agg(F.count("*").alias("n"), F.min("clock").alias("first"), F.max("clock").alias("last"))
+
+
 _CUR = "(row_number() OVER (ORDER BY n_chars, doc_id) - 1)"
 _PACK = """WITH RECURSIVE o AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents),
 f AS (SELECT lang, doc_id, n_chars, k, 0::BIGINT AS batch, 1::BIGINT AS cnt, n_chars AS longest FROM o WHERE k = 1
@@ -172,6 +192,10 @@ ORACLES = {
     "label_masking": "SELECT DISTINCT conv_id, turn, repeat('-100,', (turn + 1)::BIGINT) || array_to_string(list_transform(string_split(role, ''), lambda x: ord(x)), ',') AS labels, repeat('0', turn::BIGINT) || repeat('1', length(role)) || '0' AS predict FROM conversations",
     "padded_batches": "WITH x AS (SELECT DISTINCT conv_id, turn FROM conversations), y AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) - turn AS room, range(1, turn + 2) AS ids FROM x) SELECT conv_id, turn, array_to_string(ids, ',') || repeat(',0', room) AS input_ids, array_to_string(list_transform(ids, lambda i: 1), ',') || repeat(',0', room) AS mask, array_to_string(ids, ',') || repeat(',-100', room) AS labels FROM y",
     "early_stop_scan": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id < 800 AND lang IN ('en', 'de') AND n_chars <= 2000 ORDER BY doc_id LIMIT 50",
+    "difficulty_filter": "SELECT upper(substr(o_orderpriority, 3, 1)) || lower(substr(o_orderpriority, 4)) AS difficulty, count(*) AS n FROM orders WHERE lower(substr(o_orderpriority, 3)) IN ('urgent', 'low') GROUP BY 1",
+    "seeded_shuffle": "SELECT doc_id, lang FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 10",
+    "calibration_texts": "SELECT doc_id, n_chars FROM documents WHERE doc_id < 900 AND n_chars <= 1500 ORDER BY doc_id LIMIT 64",
+    "event_days": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, min(strftime(ts, '%H:%M:%S')) AS first, max(strftime(ts, '%H:%M:%S')) AS last FROM events GROUP BY 1",
     "numeric_file_order": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1073741824 ELSE doc_id END::INT AS place FROM documents",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
