@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import source_code, text, tokens, vectors
 from tracewell.operators import compare, curate, evaluate, stats
+from tracewell.operators.ordering import positions
 
 # Published discordant counts and exact p of the significance suite.
 GOLDEN = [
@@ -152,3 +153,13 @@ def test_distributions(spark):
     entries = F.array(*[F.struct(F.lit(i).cast("bigint").alias("id"), F.lit(v).alias("logprob")) for i, v in [(1, -1.0), (2, -2.0), (1, -1.0), (99, 0.0)]])
     got = one(tokens.normalize_top_k(entries, 3, 1.0, 50))
     assert [x["id"] for x in got] == [1, 2, 0] and sum(x["p"] for x in got) == pytest.approx(1.0)
+
+
+def test_positions_over_many_partitions(spark):
+    draw = random.Random(8)
+    rows = [(draw.choice([1, 1, 1, 5, 9]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(17)
+    got = [(r["a"], r["b"]) for r in sorted(positions(df, ["a", "b"]).collect(), key=lambda r: r["place"])]
+    assert got == sorted(rows)
+    assert sorted(r["place"] for r in positions(df, ["a", "b"]).collect()) == list(range(3000))
+    assert positions(df.where("false"), ["a", "b"]).count() == 0

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.ordering import positions
+
 
 def cache_valid(prompt: Column, cached_prompt: Column, n_tokens: Column, passed: Column, max_tokens: Column, wanted: int, rejection: bool) -> Column:
     """Same prompt, some tokens, and a pass where one is required or the cached budget was smaller."""
@@ -53,15 +55,8 @@ def truncated(prompt: Column, response: Column, max_length: int) -> list[Column]
 
 
 def curriculum(rows: DataFrame, length: str, key: str) -> DataFrame:
-    """Rank by length and key over all rows.
-
-    The place is the rows of smaller length plus a rank inside the length, so the only windows are over the distinct
-    lengths and within one length.
-    """
-    counts = rows.groupBy(length).agg(F.count("*").alias("_k"))
-    before = counts.select(length, F.coalesce(F.sum("_k").over(Window.orderBy(length).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(length).orderBy(key))
-    return rows.join(before, length).withColumn("place", (F.col("_before") + inside - 1).cast("bigint")).drop("_before")
+    """Place of each row by length and key, from 0."""
+    return positions(rows, [length, key])
 
 
 def split_at(rows: DataFrame, place: str, ratio: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import curate
+from tracewell.operators.ordering import positions
 from tracewell.plans.tables import table
 
 
@@ -63,7 +64,7 @@ def chunking(spark, d):
 
 def train_val_split(spark, d):
     """Positional split of problems, then short records of validation problems are kept out of training."""
-    docs = curate.split_at(curate.curriculum(table(spark, d, "documents").select("doc_id", F.lit(0).alias("same")), "same", "doc_id"), "place", 0.9)
+    docs = curate.split_at(positions(table(spark, d, "documents").select("doc_id"), ["doc_id"]), "place", 0.9)
     keys = table(spark, d, "conversations").select(curate.short_key(F.col("conv_id"), F.col("turn")).alias("key"))
     short = curate.leak_free(keys, docs.where("split = 'val'"), curate.problem_of(F.col("key")), "doc_id")
     return docs.select(F.col("doc_id").alias("key"), "split").unionByName(short.select("key", F.lit("short").alias("split")))

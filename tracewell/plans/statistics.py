@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import stats
+from tracewell.operators.ordering import positions
 from tracewell.plans.tables import table
 
 ITERS = 200
@@ -58,7 +59,7 @@ def tost_bound(spark, d):
 def clustered_bootstrap(spark, d):
     """Clusters (users) are resampled, not rows: mean of the clusters' rate differences."""
     rates = table(spark, d, "events").groupBy("user_id").agg((F.avg((F.col("event_type") == "click").cast("double")) - F.avg((F.col("event_type") == "view").cast("double"))).alias("delta"))
-    numbered = rates.withColumn("at", F.expr("row_number() over (order by user_id) - 1").cast("bigint"))  # a row per cluster
+    numbered = positions(rates, ["user_id"], "at")
     n = numbered.agg(F.count("*").alias("n"))
     draws = n.crossJoin(spark.range(ITERS).withColumnRenamed("id", "i")).select("i", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("j"))
     drawn = draws.select("i", stats.draw(F.col("i"), F.col("j"), F.col("n")).alias("at")).groupBy("i", "at").count()
