@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts spell it.
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
+#: Bytes of texts that a Python worker holds at a time.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -18,7 +25,8 @@ def settle(df: DataFrame) -> DataFrame:
 
     The files go to the shared folder in spark.checkpoint.dir, so any executor can read them
     again after another is lost. Only where that setting is missing is a folder chosen here:
-    under the warehouse on a cluster, a temporary one in local mode.
+    under the warehouse on a cluster, a temporary one in local mode. Whatever runs in Python meanwhile gets
+    its rows in batches of at most BATCH_BYTES.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -27,7 +35,24 @@ def settle(df: DataFrame) -> DataFrame:
         if not folder and context.master.startswith("local[") or context.master == "local":
             folder = folder or tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint()
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and afterwards its memory goes back to the system: Python workers outlive their tasks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
 
 
 def ascii_lower(text: Column) -> Column:

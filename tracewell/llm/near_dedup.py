@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import maybe_among, settle
+from tracewell.llm.common import maybe_among, released, settle
 from tracewell.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -167,7 +167,7 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
     rows = docs.select(F.col("doc_id").alias("id"), "text")
     texts = maybe_among(rows, "id", pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()).where("maybe").select("id", "text")
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return rows.select("a", "b", "x", "y").mapInArrow(released(check), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -178,7 +178,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     with nothing: they are kept, as are rows of null doc_id, which stay out of the search. Rows that repeat a doc_id
     count as one document: they share its links.
     """
-    rows = settle(docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, n long, d1 long, d2 long, sig array<long>, bits array<long>, bands array<long>"))
+    rows = settle(docs.select("doc_id", "text").mapInArrow(released(_signatures), "doc_id long, n long, d1 long, d2 long, sig array<long>, bits array<long>, bands array<long>"))
     real = rows.where("n > 0 and doc_id is not null")
     classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     nodes = settle(real.withColumnRenamed("doc_id", "rep").join(classes, ["d1", "d2", "rep"]).select("rep", "n", "sig", "bits", "bands"))

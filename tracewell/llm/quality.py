@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import released
+
 #: Labelled documents that the fit uses at most, those of the smallest hashes.
 SAMPLE_DOCS = 6000
 #: Lines of a training sequence; longer documents give several.
@@ -203,7 +205,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> D
             scores = m.score(np.array(quality))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(bad, pa.int64())], ["doc_id", "score", "predicted", "bad_lines"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, bad_lines long")
+    rows = docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, score double, predicted int, bad_lines long")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return rows.select("doc_id", held.alias("held_out"), "score", "predicted", "bad_lines")
 
@@ -219,4 +221,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) ->
             quality = np.array([quality_of(m, *line_features(t.as_py())) for t in batch.column(at)])
             yield batch.filter(pa.array(m.score(quality) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
