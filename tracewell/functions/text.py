@@ -83,8 +83,9 @@ def outcome(passed: Column, error: Column) -> Column:
 def shingle_ratio(text: Column, width: int = 24) -> Column:
     """Distinct share of the first len - width character shingles (the last one is left out); 1 for texts shorter than two widths."""
     n = F.char_length(text) - width
-    grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(width)))
-    return F.when(F.char_length(text) < 2 * width, F.lit(1.0)).otherwise(F.size(F.array_distinct(grams)) / n)
+    # The characters are bound once: substring() would walk the text from its start for every shingle.
+    distinct = lambda chars: F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(chars, i, F.lit(width)), ""))))
+    return F.when(F.char_length(text) < 2 * width, F.lit(1.0)).otherwise(F.get(F.transform(F.array(F.split(text, "")), distinct), F.lit(0)) / n)
 
 
 def collapse(text: Column, clip: int | None = None) -> Column:

@@ -63,8 +63,8 @@ def row_normalization(spark, d):
 
 
 def shingle_ratio(spark, d):
-    rows = table(spark, d, "documents")
-    return rows.select("doc_id", F.round(text.shingle_ratio(F.col("text")), 6).alias("ratio"), (text.shingle_ratio(F.col("text")) < 0.6).alias("degenerate"))
+    rows = table(spark, d, "documents").select("doc_id", text.shingle_ratio(F.col("text")).alias("x"))
+    return rows.select("doc_id", F.round("x", 6).alias("ratio"), (F.col("x") < 0.6).alias("degenerate"))
 
 
 def text_forms(spark, d):
