@@ -143,9 +143,10 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     seeds = settle(runs.select(*_KEY, "ids", "w", "ranks").mapInArrow(_seeds(min_words), ", ".join(f"{n} long" for n in names)))
     interval = ["a1", "a2", "a3"]
     groups = seeds.groupBy(*interval).agg(F.count("*").alias("n"), F.min("before").alias("low"), F.max("before").alias("high"))
-    groups = groups.where("n > 1 and (low < high or low = -1)").select(*interval)
+    # Stored, so that a join with it has nothing but exchanges below, and Spark can split a passage that is everywhere.
+    groups = settle(groups.where("n > 1 and (low < high or low = -1)").select(*interval))
     kept = settle(seeds.join(groups, interval).withColumn("line", F.col("start") + F.col("p")))
-    firsts = kept.groupBy(*interval, "rank").agg(F.min(F.struct("doc_id", "dh", "line", "start", "p")).alias("first"))
+    firsts = settle(kept.groupBy(*interval, "rank").agg(F.min(F.struct("doc_id", "dh", "line", "start", "p")).alias("first")))
     same = kept.join(firsts, [*interval, "rank"]).where(F.struct("doc_id", "dh", "line") != F.struct("first.doc_id", "first.dh", "first.line"))
     same = same.select("doc_id", "dh", "line", F.col("rest").alias("length"))
     several = firsts.groupBy(*interval).agg(F.count("*").alias("n")).where("n > 1").select(*interval)
