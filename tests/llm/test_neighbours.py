@@ -62,3 +62,21 @@ def test_copies_ties_and_odd_rows(spark):
     assert by.keys() == {0, 20, 40, 100}
     assert by[0] == list(range(1, 21)) and by[20] == list(range(20)) and by[40] == list(range(20))
     assert search(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_no_query_is_short(spark, sf_dir):
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    for n in (15, 21):
+        some = {i: vectors[i] for i in sorted(vectors)[:n]}
+        rows = search(spark.createDataFrame([(i, v, "x", "y") for i, v in some.items()], SCHEMA), every=1).collect()
+        assert {r["query_id"] for r in rows} == set(some)
+        assert recall(rows, some) >= 0.9  # asserts min(20, n - 1) rows a query
+
+
+def test_outliers_of_a_tight_cluster_are_not_short(spark):
+    draw = np.random.default_rng(5)
+    centre = draw.normal(size=64)
+    vectors = {i: ((centre if i >= 10 else -centre) + 0.05 * draw.normal(size=64)).astype(np.float32).tolist() for i in range(1000)}
+    rows = search(spark.createDataFrame([(i, v, "x", "y") for i, v in vectors.items()], SCHEMA), every=1).where("query_id < 10").collect()
+    assert {r["query_id"] for r in rows} == set(range(10))
+    assert recall(rows, vectors) >= 0.9

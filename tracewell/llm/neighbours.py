@@ -109,15 +109,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLE
     classes = settle(classes.select(F.xxhash64("h1", "h2").alias("id"), "v", "ids"))
     data = classes.select("id", "v").mapInArrow(hashes(False), kind).select("id", "v", F.explode("buckets").alias("bucket"))
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    queries = settle(queries.select(F.col("vec_id").alias("id"), "v").mapInArrow(hashes(True), kind)).select("id", "v", F.explode("buckets").alias("bucket"))
-
-    # Large buckets and busy queries are cut into blocks that meet pairwise.
-    counts = settle(data.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts")).join(queries.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("q_cuts")), "bucket"))
-    small = F.broadcast(counts)  # a row for each signed axis of each table
-    data = data.join(small, "bucket").withColumn("cut", F.pmod(F.col("id"), F.col("cuts"))).withColumn("q_cut", F.explode(F.sequence(F.lit(0), F.col("q_cuts") - 1)))
-    queries = queries.join(small, "bucket").withColumn("q_cut", F.pmod(F.xxhash64("id"), F.col("q_cuts"))).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    keys = [F.col("bucket"), F.col("cut").cast("int").alias("cut"), F.col("q_cut").cast("int").alias("q_cut")]
-    left, right = data.select(*keys, "id", "v"), queries.select(*keys, "id", "v")
+    queries = settle(queries.select(F.col("vec_id").alias("id"), "v").mapInArrow(hashes(True), kind))
 
     def rerank(a: pa.Table, b: pa.Table) -> pa.Table:
         names, kinds = ["query_id", "id", "score"], [pa.int64(), pa.int64(), pa.float64()]
@@ -126,19 +118,38 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLE
         x, y = _matrix(a["v"].combine_chunks()), _matrix(b["v"].combine_chunks())
         ids, qids = a["id"].to_numpy(), b["id"].to_numpy()
         found: list[tuple] = []
+        longest = np.sqrt((x * x).sum(axis=1).max())
         keep = min(k + 1, len(x))
         for at in range(0, len(y), 512):
             rough = y[at : at + 512] @ x.T
-            floor = np.partition(rough, len(x) - keep, axis=1)[:, len(x) - keep] - 1e-9 * (1 + largest * largest)
+            floor = np.partition(rough, len(x) - keep, axis=1)[:, len(x) - keep] - 1e-9 * longest * np.sqrt((y[at : at + 512] ** 2).sum(axis=1))
             q, i = np.nonzero(rough >= floor[:, None])
             found.append((qids[at + q], ids[i], (y[at + q] * x[i]).sum(axis=1)))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names)
 
-    found = left.groupBy("bucket", "cut", "q_cut").cogroup(right.groupBy("bucket", "cut", "q_cut")).applyInArrow(rerank, "query_id long, id long, score double")
-    # The k + 1 best classes of a query hold its k nearest, whichever of them is the query's own.
-    best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    best = best.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") <= k + 1)
-    each = best.join(classes.select("id", "ids"), "id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
-    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def meet(data: DataFrame, queries: DataFrame) -> DataFrame:
+        """The k + 1 best of each block, (query_id, id, score). Large buckets and busy queries are cut into blocks that meet pairwise."""
+        counts = settle(data.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts")).join(queries.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("q_cuts")), "bucket"))
+        small = F.broadcast(counts)  # a row for each signed axis of each table
+        data = data.join(small, "bucket").withColumn("cut", F.pmod(F.col("id"), F.col("cuts"))).withColumn("q_cut", F.explode(F.sequence(F.lit(0), F.col("q_cuts") - 1)))
+        queries = queries.join(small, "bucket").withColumn("q_cut", F.pmod(F.xxhash64("id"), F.col("q_cuts"))).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        keys = [F.col("bucket"), F.col("cut").cast("int").alias("cut"), F.col("q_cut").cast("int").alias("q_cut")]
+        left, right = data.select(*keys, "id", "v"), queries.select(*keys, "id", "v")
+        return left.groupBy("bucket", "cut", "q_cut").cogroup(right.groupBy("bucket", "cut", "q_cut")).applyInArrow(rerank, "query_id long, id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        # The k + 1 best classes of a query hold its k nearest, whichever of them is the query's own.
+        best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        best = best.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") <= k + 1)
+        each = best.join(classes.select("id", "ids"), "id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
+        each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    found = settle(meet(data, queries.select("id", "v", F.explode("buckets").alias("bucket"))))
+    # Queries whose buckets hold too few are held against every class.
+    full = min(k, base.select("vec_id").distinct().count() - 1)
+    enough = ranked(found).groupBy("query_id").count().where(F.col("count") >= full).select(F.col("query_id").alias("id"))
+    short = settle(queries.select("id", "v").join(enough, "id", "left_anti"))
+    everything = F.lit(-1).alias("bucket")
+    return ranked(found.unionByName(meet(classes.select("id", "v", everything), short.select("id", "v", everything))))
