@@ -66,7 +66,7 @@ def test_copies_ties_and_odd_rows(spark):
 
 def test_no_query_is_short(spark, sf_dir):
     vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
-    for n in (15, 21):
+    for n in (15, 21, 50):
         some = {i: vectors[i] for i in sorted(vectors)[:n]}
         rows = search(spark.createDataFrame([(i, v, "x", "y") for i, v in some.items()], SCHEMA), every=1).collect()
         assert {r["query_id"] for r in rows} == set(some)
@@ -80,3 +80,15 @@ def test_outliers_of_a_tight_cluster_are_not_short(spark):
     rows = search(spark.createDataFrame([(i, v, "x", "y") for i, v in vectors.items()], SCHEMA), every=1).where("query_id < 10").collect()
     assert {r["query_id"] for r in rows} == set(range(10))
     assert recall(rows, vectors) >= 0.9
+
+
+@pytest.mark.parametrize("scale", [1.5, 3, 100, None])
+def test_few_long_vectors_cost_no_recall(spark, scale):
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(1000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= np.exp(draw.normal(size=1000))[:, None] if scale is None else np.where(np.arange(1000) == 7, scale, 1)[:, None]
+    vectors = {i: v for i, v in enumerate(x.astype(np.float32).tolist())}
+    rows = search(spark.createDataFrame([(i, v, "x", "y") for i, v in vectors.items()], SCHEMA)).collect()
+    assert {r["query_id"] for r in rows} == set(range(0, 1000, 20))
+    assert recall(rows, vectors) >= 0.9

@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by inner product with cross-polytope hashing.
 
-Vectors are put on a sphere of one more dimension (so that the largest inner product is the smallest
-angle), turned by fast Hadamard pseudo-rotations, and hashed to the nearest signed axis; a table is
-one such hash. A query probes the several nearest axes of every table, and whatever lies there is
-reranked by the exact inner product. Buckets are dealt out in blocks of bounded size on both sides.
+Vectors are dealt to bands of similar norm, within which the largest inner product is nearly the smallest
+angle. Their directions are turned by fast Hadamard pseudo-rotations and hashed to the nearest signed axis;
+a table is one such hash. A query probes the several nearest axes of every table and band, and whatever
+lies there is reranked by the exact inner product. Whoever belongs among the k nearest scores no less
+than the k-th one found, which bounds its angle, and with it the chance that the probes missed it: where that chance
+is too large, or fewer than k were found, the query is held against the whole band. Buckets are
+dealt out in blocks of bounded size on both sides.
 """
 
 from __future__ import annotations
@@ -20,6 +23,10 @@ from tracewell.llm.common import settle
 TABLES, PROBES, SEED = 16, 10, 20_240_607
 #: Rows of a bucket that meet in one block of the rerank.
 BLOCK = 4096
+#: Norms of a band lie within this ratio, but for the last band, which has all smaller ones.
+RATIO, BANDS = 1.25, 8
+#: Chance of being probed that anyone who belongs among the k nearest must have.
+ASSURED = 0.95
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -48,6 +55,25 @@ def nearest_axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
     return np.argpartition(-score, min(probes, score.shape[1]) - 1, axis=1)[:, :probes]
 
 
+def assured_cosine(width: int, tables: int, probes: int) -> float:
+    """The least cosine, in steps of 0.01, at which the probes meet a vector with a chance of ASSURED, by simulation; -1 if they cover all axes."""
+    if probes >= 2 * width:
+        return -1.0
+    draw = np.random.default_rng(SEED)
+    x, y = draw.normal(size=(2, 2000, width))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    axis, rows = np.abs(x).argmax(axis=1), np.arange(len(x))
+    for cosine in np.arange(100) / 100:
+        turned = cosine * x + np.sqrt(1 - cosine * cosine) * y
+        mine = turned[rows, axis] * np.sign(x[rows, axis])
+        nearer = (turned > mine[:, None]).sum(axis=1) + (-turned > mine[:, None]).sum(axis=1)
+        if 1 - (1 - (nearer < probes).mean()) ** tables >= ASSURED:
+            return float(cosine)
+    return 1.0
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
@@ -65,9 +91,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLE
     """
     good = (F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(good)
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top"), F.min(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("low"))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    norm = norm * F.sqrt(F.aggregate(F.transform("v", lambda x: x / norm), F.lit(0.0), lambda a, x: a + x * x))  # neither over- nor underflows
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("top"))
     main = sizes.orderBy(F.desc("n"), "dim").first()
-    dim, largest, level = (main["dim"], float(np.sqrt(main["top"])), main["low"] > main["top"] * (1 - 1e-5)) if main else (1, 1.0, True)
+    dim, largest = (main["dim"], main["top"]) if main else (1, 1.0)
     rows = settle(rows.where(F.size("v") == dim))
 
     # Equal vectors: partial aggregation keeps the k + 1 smallest ids of each before anything is shuffled.
@@ -82,14 +110,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLE
     nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
     base = settle(fewer.dropDuplicates(["h1", "h2", "vec_id"]).withColumn("nth", nth).where(F.col("nth") <= k + 1).select("vec_id", "v", "h1", "h2"))
     classes = base.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    width = 1 << (dim - 1).bit_length() if level else 1 << dim.bit_length()
+    width = 1 << (dim - 1).bit_length()
 
-    def on_sphere(x: np.ndarray, query: bool) -> np.ndarray:
+    def on_sphere(x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), width))
-        norm = np.sqrt((x * x).sum(axis=1))
-        out[:, :dim] = x / (norm[:, None] if query else largest)
-        if not level and not query:
-            out[:, dim] = np.sqrt(np.maximum(0, 1 - (norm / largest) ** 2))
+        x = x / np.abs(x).max(axis=1)[:, None]
+        out[:, :dim] = x / np.sqrt((x * x).sum(axis=1))[:, None]
         return out
 
     def hashes(query: bool):
@@ -97,7 +123,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLE
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     some = batch.slice(at, 1024)
-                    x = on_sphere(_matrix(some.column(1)), query)
+                    x = on_sphere(_matrix(some.column(1)))
                     n = min(probes, 2 * width) if query else 1
                     axes = np.stack([nearest_axes(x, t, n) for t in range(tables)], axis=1).reshape(len(x), -1)
                     bucket = axes + np.repeat(np.arange(tables), n)[None, :] * 4 * width
@@ -106,8 +132,18 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLE
         return run
 
     kind = "id long, v array<double>, buckets array<int>"
-    classes = settle(classes.select(F.xxhash64("h1", "h2").alias("id"), "v", "ids"))
-    data = classes.select("id", "v").mapInArrow(hashes(False), kind).select("id", "v", F.explode("buckets").alias("bucket"))
+    band = F.least(F.greatest(F.floor(F.log(F.lit(largest) / norm) / np.log(RATIO)), F.lit(0)), F.lit(BANDS - 1)).cast("int")
+    classes = settle(classes.select(F.xxhash64("h1", "h2").alias("id"), "v", "ids", norm.alias("norm"), band.alias("band")))
+    bands = {r["band"]: r for r in classes.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()}  # at most BANDS rows
+    # Where a query would probe no fewer buckets than there are rows, it meets them all.
+    n_probes, n_buckets = min(probes, 2 * width), 4 * width * tables
+    small_bands = [b for b, r in bands.items() if r["n"] <= tables * n_probes]
+    hashed_bands = sorted(set(bands) - set(small_bands))
+    within = F.col("band").isin(hashed_bands) if hashed_bands else F.lit(False)
+    whole = classes.select("id", "v", (-1 - F.col("band")).alias("bucket"))
+
+    data = classes.where(within).select("id", "v").mapInArrow(hashes(False), kind).select("id", F.explode("buckets").alias("bucket"))
+    data = data.join(classes.select("id", "v", "band"), "id").select("id", "v", (F.col("bucket") + F.col("band") * n_buckets).alias("bucket"))
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
     queries = settle(queries.select(F.col("vec_id").alias("id"), "v").mapInArrow(hashes(True), kind))
 
@@ -146,10 +182,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLE
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-    found = settle(meet(data, queries.select("id", "v", F.explode("buckets").alias("bucket"))))
-    # Queries whose buckets hold too few are held against every class.
-    full = min(k, base.select("vec_id").distinct().count() - 1)
-    enough = ranked(found).groupBy("query_id").count().where(F.col("count") >= full).select(F.col("query_id").alias("id"))
-    short = settle(queries.select("id", "v").join(enough, "id", "left_anti"))
-    everything = F.lit(-1).alias("bucket")
-    return ranked(found.unionByName(meet(classes.select("id", "v", everything), short.select("id", "v", everything))))
+    places = F.flatten(F.array(F.array(*[F.lit(-1 - b) for b in small_bands]).cast("array<int>"), *[F.transform("buckets", lambda x, b=b: x + b * n_buckets) for b in hashed_bands]))
+    found = settle(meet(data.unionByName(whole.where(~within)), queries.select("id", "v", F.explode(places).alias("bucket"))))
+    # Queries that lack rows, or may have missed nearer ones in a band, are held against the whole band.
+    kth = ranked(found).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    least = assured_cosine(width, tables, n_probes)
+    doubtful = [F.when(F.col("kth").isNull() | (F.col("kth") < least * bands[b]["top"] * norm), F.lit(-1 - b)) for b in hashed_bands]
+    again = queries.select("id", "v").join(kth, "id", "left").select("id", "v", F.explode(F.array_compact(F.array(*doubtful).cast("array<int>"))).alias("bucket"))
+    return ranked(found.unionByName(meet(whole.where(within), settle(again))))
