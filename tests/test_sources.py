@@ -82,3 +82,40 @@ def test_streamed_log_and_counters(spark, tmp_path):
     c.awaitTermination()
     assert {r["difficulty"]: (r["passed"], r["failed"]) for r in spark.table("counts").collect()} == {"?": (2, 1), "Easy": (4, 0), "Hard": (0, 2)}
     assert records.run_log(spark, str(src)).where(F.col("kind") == "chunk").count() == 2
+
+
+def _cleaned(tokens):
+    """What the reference makes of tokens: the places of those kept, None for the bridge."""
+    text = "".join(tokens)
+    at = [sum(map(len, tokens[:i])) for i in range(len(tokens))]
+    first = lambda place: next((i for i, x in enumerate(at) if x >= place), len(tokens))
+    opens, thought = text.find("```python"), text.find("</think>")
+    ends = text.find("```", opens + 9)
+    if opens < 0 or ends < 0 or first(opens) == len(tokens):
+        return None
+    code, stop = first(opens), first(ends + 3)
+    keep = first(thought + 8) if 0 <= thought < opens else code
+    return ([*range(keep), None] if keep < code else []) + list(range(code, stop))
+
+
+def test_traces_are_cleaned(spark, tmp_path):
+    cases = [
+        ["<think>", "plan", "</think>", "\n", "Well, ", "```python", "\nx", " = 1\n", "```", " done"],
+        ["a", "b</thi", "nk>c", "so", " ``", "`python\ny", "```", "z"],
+        ["So ", "```python", "\nx\n", "``", "`\nmore", "</think>", "tail"],
+        ["</think>", "```python\n", "x", "```"],
+        ["no", " fence", " at </think>", " all"], ["```python", "\nopen"], ["x```python\ny```"], ["```python\n", "y", "```"],
+        ["é", "😀</think>", "ü ", "```python\nß", "```", "end"], ["long "] * 200 + ["</think>", "mid", "```python\n"] + ["line\n"] * 200 + ["```", "z"],
+    ]
+    for i, tokens in enumerate(cases):
+        n = range(len(tokens))
+        row = {"text": "raw", "tokens": tokens, "logprobs": [{"a": float(k)} for k in n], "top_k_ids": [[k] for k in n], "test_passed": 1, "test_total": 1}
+        (tmp_path / f"{i}.json").write_text(json.dumps(row | ({"top_k_vals": [[k + 0.5] for k in n]} if i % 2 else {})))
+    got = {r["idx"]: r for r in records.traces(spark, str(tmp_path)).collect()}
+    for i, tokens in enumerate(cases):
+        kept, r = _cleaned(tokens), got[i]
+        assert r["text"] == ("raw" if kept is None else "".join(r["tokens"]))
+        kept = list(range(len(tokens))) if kept is None else kept
+        assert r["tokens"] == ["\n" if k is None else tokens[k] for k in kept], i
+        assert r["logprobs"] == [{} if k is None else {"a": float(k)} for k in kept] and r["top_k_ids"] == [[] if k is None else [k] for k in kept]
+        assert r["top_k_vals"] == ([[] if k is None else [k + 0.5] for k in kept] if i % 2 else None)

@@ -136,3 +136,34 @@ def splice(tokens: Column, start: Column, stop: Column, bridge: str) -> Column:
     head = F.size(F.filter(begin, lambda e: e <= start))
     tail = F.size(F.filter(begin, lambda e: e < stop)) + 1
     return F.concat(F.slice(tokens, F.lit(1), head), F.array(F.lit(bridge)), F.slice(tokens, tail + 1, F.greatest(F.size(tokens) - tail, F.lit(0))))
+
+
+FENCE_OPEN, FENCE_CLOSE, THINK_END = "```python", "```", "</think>"
+
+
+def clean_trace(tokens: Column, bridges: dict[str, tuple[Column, Column]]) -> Column:
+    """Cut a trace to its thinking and its first code fence with a bridge token between, or to the code alone where thinking does not precede it.
+
+    `bridges` has under each name a column parallel to the tokens, and an array of the one element that stands for the bridge in it.
+    Returns a struct of tokens and those columns, all cut alike (null ones stay null), and `found`: whether there was code to cut to. Character places become the
+    first token that starts there or later. A trace without tokens or a closed fence stays as it is.
+    """
+    after = lambda text, part, start: F.when(F.instr(F.substring(text, start + 1, F.length(text)), part) > 0, F.instr(F.substring(text, start + 1, F.length(text)), part) - 1 + start)
+    names = ["tokens", *bridges]
+    parts = {"tokens": (tokens, F.array(F.lit("\n")))} | bridges
+    same = F.struct(*[parts[n][0].alias(n) for n in names], F.lit(False).alias("found"))
+
+    def cut(s: Column) -> Column:
+        text, starts = s["text"], s["starts"]
+        opens = after(text, FENCE_OPEN, F.lit(0))
+        ends = after(text, FENCE_CLOSE, opens + len(FENCE_OPEN)) + len(FENCE_CLOSE)
+        thought = after(text, THINK_END, F.lit(0))
+        # Of tokens that start at or after a place, the first; starts never fall, so it is the number of those before.
+        first = lambda place: F.size(F.filter(starts, lambda x: x < place))
+        code, stop, keep = first(opens), first(ends), F.when(thought < opens, first(thought + len(THINK_END)))
+        piece = lambda a, b: F.struct(*[F.concat(F.when(keep < code, F.concat(F.slice(v, F.lit(1), keep), bridge)).otherwise(F.slice(v, F.lit(1), F.lit(0))), F.slice(v, a + 1, b - a)).alias(n) for n, (v, bridge) in parts.items()], F.lit(True).alias("found"))
+        return F.when(ends.isNotNull() & (code < F.size(starts)), piece(code, stop)).otherwise(same)
+
+    starts = F.aggregate(tokens, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, t: F.struct((s["at"] + F.length(t)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+    # Bound once: the text and the starts are used many times.
+    return F.coalesce(F.get(F.transform(F.array(F.struct(F.array_join(tokens, "").alias("text"), starts.alias("starts"))), cut), F.lit(0)), same)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import source_code, text
 from tracewell.plans.tables import table
+from tracewell.sources import records
 
 _RAW = [
     (1, "<think>plan</think>\n\n```python\ndef f(x):\n\treturn x\n```\ndone", "check(f)", "f"),
@@ -111,9 +112,12 @@ def missing_index_fill(spark, d):
 
 
 def trace_cleaning(spark, d):
-    """Cut a span of characters out of parallel token arrays with a bridge token."""
-    tokens = F.split(F.substring("text", 1, 60), "(?<= )")
-    return table(spark, d, "documents").select("doc_id", F.array_join(text.splice(tokens, F.lit(10), F.lit(30), "\n"), "").alias("text"))
+    """Whole documents as traces, of which a third has thinking before the code, a third code alone and a third no fence; the parallel arrays are cut too (rows only)."""
+    fence = F.concat(F.lit("\n```python\nx = 1\n"), F.col("text"), F.lit("\n```\nThat is all."))
+    whole = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<think> "), F.col("text"), F.lit("</think>\n So "), fence)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("So "), fence)).otherwise(F.col("text"))
+    rows = table(spark, d, "documents").select("doc_id", "text", F.split(whole, "(?<=\\s)").alias("tokens"))
+    rows = rows.select("doc_id", "text", "tokens", F.transform("tokens", lambda t: F.create_map(t, F.lit(-0.5).cast("double"))).alias("logprobs"), F.transform("tokens", lambda t: F.array(F.length(t))).alias("top_k_ids"), F.transform("tokens", lambda t: F.array(F.lit(-0.5).cast("double"))).alias("top_k_vals"))
+    return records.cleaned(rows).select("doc_id", "text", F.size("tokens").alias("tokens"), F.size("logprobs").alias("logprobs"), F.size("top_k_ids").alias("top_k_ids"), F.size("top_k_vals").alias("top_k_vals"))
 
 
 def token_remap(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell import schemas
+from tracewell.functions.text import clean_trace
 from tracewell.operators.evaluate import fully_passed
 
 _STEM = r"([^/]+)\.[^./]+$"
@@ -19,17 +20,26 @@ def keyed_json(spark: SparkSession, folder: str, schema: str, numeric: bool = Tr
     return reader.json(folder).withColumn("idx", F.regexp_extract(F.col("_metadata.file_path"), _STEM, 1).try_cast("bigint"))
 
 
+def cleaned(rows: DataFrame) -> DataFrame:
+    """Traces whose tokens, logprobs and top-k columns are cut by `clean_trace`; the text is the tokens' where there was code to cut to."""
+    bridges = {"logprobs": F.array(F.create_map().cast("map<string, double>")), "top_k_ids": F.array(F.array().cast("array<int>")), "top_k_vals": F.array(F.array().cast("array<double>"))}
+    rows = rows.withColumn("_cut", clean_trace(F.col("tokens"), {n: (F.col(n), b) for n, b in bridges.items()}))
+    text = F.when(F.col("_cut.found"), F.array_join("_cut.tokens", "")).otherwise(F.col("text"))
+    return rows.withColumns({"text": text, **{n: F.col(f"_cut.{n}") for n in ["tokens", *bridges]}}).drop("_cut")
+
+
 def traces(spark: SparkSession, folder: str, require_passing: bool = True) -> DataFrame:
-    """Keyed traces: readable, fully passed if asked for, with a non-blank text."""
+    """Keyed traces: readable, fully passed if asked for, cleaned, with a non-blank text."""
     rows = keyed_json(spark, folder, schemas.TRACE).where("_corrupt is null").drop("_corrupt")
     if require_passing:
         rows = rows.where(fully_passed(F.col("test_passed"), F.col("test_total")))
+    rows = cleaned(rows)
     return rows.where(F.trim(F.coalesce("text", F.lit(""))) != "")
 
 
 def lookup(spark: SparkSession, folder: str, idx: int) -> DataFrame:
-    """The trace of one key: no rows if there is none. Only the one file is listed and read."""
-    return spark.read.schema(schemas.TRACE).option("multiLine", "true").option("pathGlobFilter", f"{int(idx)}.json").json(folder).withColumn("idx", F.lit(idx).cast("bigint"))
+    """The cleaned trace of one key: no rows if there is none. Only the one file is listed and read."""
+    return cleaned(spark.read.schema(schemas.TRACE).option("multiLine", "true").option("pathGlobFilter", f"{int(idx)}.json").json(folder)).withColumn("idx", F.lit(idx).cast("bigint"))
 
 
 def short_traces(spark: SparkSession, folder: str) -> DataFrame:
