@@ -163,3 +163,30 @@ def test_positions_over_many_partitions(spark):
     assert got == sorted(rows)
     assert sorted(r["place"] for r in positions(df, ["a", "b"]).collect()) == list(range(3000))
     assert positions(df.where("false"), ["a", "b"]).count() == 0
+
+
+def test_every_assert_of_a_suite_reports(capsys):
+    suite = "def near(a, b):\n    return abs(a - b) < 1\n\ndef check(candidate):\n    y = 2\n    assert candidate(y, [1]) == 3\n    for z in (1,):\n        assert near(candidate(z, 5), 9)\n        assert candidate(z, 0) > 0"
+    out = source_code.report(suite)
+    assert "assert " not in out and source_code.report("not python (") == "not python ("
+
+    def run(candidate):
+        space = {}
+        exec(out, space)
+        try:
+            space["check"](candidate)
+        except AssertionError as e:
+            return str(e), capsys.readouterr().out
+        return None, capsys.readouterr().out
+
+    assert run(lambda a, b: 0) == ("candidate(y, [1]) == 3", "  Input:    y, [1]\n  Output:   0\n  Expected: 3\n")
+    assert run(lambda a, b: 3 if b == [1] else 0) == ("near(candidate(z, 5), 9)", "  Input:    z, 5\n  Output:   0\n  Expected: 9\n")
+    assert run(lambda a, b: {5: 9, 0: 0}.get(b, 3) if b != [1] else 3) == ("candidate(z, 0) > 0", "  Failed:   candidate(z, 0) > 0\n")
+    assert run(lambda a, b: 3 if b == [1] else 9) == (None, "")
+
+
+def test_code_tools_instruments_asserts_inside_check(spark, sf_dir):
+    from tracewell.plans import texts
+
+    row = texts.code_tools(spark, sf_dir).where("id = 2").first()
+    assert "assert " not in row["instrumented"] and "Input:" in row["instrumented"]

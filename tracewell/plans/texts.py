@@ -133,7 +133,7 @@ def code_tools(spark, d):
     use, c = source_code.apply, source_code
     return rows.select(
         "id", use(c.largest_prefix, "code").alias("prefix"), use(c.unwrap, "code").alias("unwrapped"), F.array_join(use(c.split_tests, "tests", kind="array<string>"), "\n--\n").alias("cases"),
-        use(c.call_signature, "tests", "name").alias("called"), use(c.definition_signature, "code", "name").alias("defined"), use(c.alias, "code", "name").alias("alias"), use(c.instrument, "tests").alias("instrumented"),
+        use(c.call_signature, "tests", "name").alias("called"), use(c.definition_signature, "code", "name").alias("defined"), use(c.alias, "code", "name").alias("alias"), use(c.report, "tests").alias("instrumented"),
     )
 
 
