@@ -54,3 +54,16 @@ def test_odd_rows(spark, documents, odd_rows):
     assert len(got) == len(odd_rows) + len(extra)
     held([r for r in got if r["doc_id"] is not None], {i: t for i, t, _ in [*odd_rows, *extra]})
     assert licenses.scan_licenses(documents([])).count() == 0
+
+
+def test_paragraphs_find_wrapped_notices(spark, documents):
+    texts = {
+        "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")",
+        "bsd": "# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that",
+        "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy",
+        "": "Permission is hereby granted, free of charge, to any person obtaining a copy\n \t\nof this software and associated documentation files",
+    }
+    rows = documents([(i, f"First words.\n\n{t}\n\nLast words.", "s") for i, t in enumerate(texts.values())])
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(rows, paragraphs=True).collect()}
+    assert got == dict(enumerate(texts))
+    assert all(r["labels"] == "" for r in licenses.scan_licenses(rows).collect())

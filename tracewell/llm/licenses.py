@@ -1,6 +1,6 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with templates.
 
-A block (a line) matches a template when it contains at least `THRESHOLD` of the template's distinct
+A block (a line, or a paragraph if asked for) matches a template when it contains at least `THRESHOLD` of the template's distinct
 words. The join is the prefix-filter kind: words are put in one global order, rarest in the corpus
 first; a block that shares enough words with a template must share one within the prefixes of both,
 must have enough words at all (length filter), and must have enough words left after the first one
@@ -68,9 +68,11 @@ def _contained_in(template: set[str], order: list[str], threshold: float):
     return lambda block: _containment(block, order, template, threshold)
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, paragraphs: bool = False) -> DataFrame:
     """Scan every whole text of `docs` (doc_id, text; others are ignored).
 
+    Blocks are lines, or with `paragraphs` what blank lines part, so that a notice wrapped over lines is found too.
+
     Returns doc_id, n_words, n_base, first_word, last_word (word places of the phrases, from 0),
     base_labels, labels (the templates' too), score: 1 if a phrase occurs, else the largest verified
     containment. Null and empty texts have no words, null places, empty labels and score 0. Repeated
@@ -98,7 +100,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
 
     vocabulary = F.array(*map(F.lit, order))
     lines = F.filter(
-        F.transform(F.split(F.col("body"), "\n"), lambda line: F.array_intersect(vocabulary, F.split(line, " "))),
+        F.transform(F.split(F.col("body"), "\n *\n" if paragraphs else "\n"), lambda block: F.array_intersect(vocabulary, F.split(block, "[ \n]" if paragraphs else " "))),
         lambda block: F.size(block) >= min(math.ceil(threshold * len(t) - 1e-9) for t in sets.values()),
     )
     suspect = flat.rlike(" (" + "|".join(sorted(rare)) + ") ")
