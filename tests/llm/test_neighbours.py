@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from tracewell.llm.neighbours import search
+from tracewell.llm.neighbours import Space, best_buckets, search
 from tracewell.llm.queries import op3_nearest_neighbours
 
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("score", T.StringType()), T.StructField("bucket", T.StringType())])
@@ -92,3 +92,37 @@ def test_few_long_vectors_cost_no_recall(spark, scale):
     rows = search(spark.createDataFrame([(i, v, "x", "y") for i, v in vectors.items()], SCHEMA)).collect()
     assert {r["query_id"] for r in rows} == set(range(0, 1000, 20))
     assert recall(rows, vectors) >= 0.9
+
+
+@pytest.mark.parametrize("n", [1, 5, 22, 25, 40])
+def test_small_tables_are_exact(spark, n):
+    draw = np.random.default_rng(n)
+    vectors = {i: draw.normal(size=64).astype(np.float32).tolist() for i in range(n)}
+    rows = search(spark.createDataFrame([(i, v, "x", "y") for i, v in vectors.items()], SCHEMA)).collect()
+    assert {r["query_id"] for r in rows} == ({i for i in vectors if i % 20 == 0} if n > 1 else set())
+    assert not rows or recall(rows, vectors) == 1
+
+
+def test_each_dimension_is_searched(spark):
+    draw = np.random.default_rng(8)
+    vectors = {i: draw.normal(size=(64, 64, 7, 3)[i % 4]).astype(np.float32).tolist() for i in range(0, 1300)}
+    rows = search(spark.createDataFrame([(i, v, "x", "y") for i, v in vectors.items()], SCHEMA), every=3).collect()
+    assert {r["query_id"] for r in rows} == {i for i in vectors if i % 3 == 0}
+    for dims in (64, 7, 3):
+        some = {i: v for i, v in vectors.items() if len(v) == dims}
+        assert recall([r for r in rows if r["query_id"] in some], some) >= 0.9
+
+
+def test_best_buckets_are_the_best_sums():
+    draw = np.random.default_rng(9)
+    scores = [draw.normal(size=(5, 8)) for _ in range(3)]
+    code, value = best_buckets(scores, 40)
+    for i in range(5):
+        sums = (scores[0][i][:, None, None] + scores[1][i][None, :, None] + scores[2][i][None, None, :]).ravel()
+        assert value[i].tolist() == pytest.approx(sorted(sums, reverse=True)[:40])
+        assert sums[code[i]].tolist() == pytest.approx(value[i].tolist())
+
+
+def test_hash_length_grows_with_the_table():
+    lengths = [Space(0, n, 1.0, 64).tuned(cosine).length for n, cosine in ((100, 0.3), (2000, 0.29), (50_000, 0.42), (2_000_000, 0.7), (10**9, 0.8))]
+    assert lengths == sorted(lengths) and lengths[0] == 1 and lengths[-1] == 4

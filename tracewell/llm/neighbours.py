@@ -1,32 +1,42 @@
 """Approximate nearest neighbours by inner product with cross-polytope hashing.
 
-Vectors are dealt to bands of similar norm, within which the largest inner product is nearly the smallest
-angle. Their directions are turned by fast Hadamard pseudo-rotations and hashed to the nearest signed axis;
-a table is one such hash. A query probes the several nearest axes of every table and band, and whatever
-lies there is reranked by the exact inner product. Whoever belongs among the k nearest scores no less
-than the k-th one found, which bounds its angle, and with it the chance that the probes missed it: where that chance
-is too large, or fewer than k were found, the query is held against the whole band. Buckets are
-dealt out in blocks of bounded size on both sides.
+Vectors are dealt to spaces of one dimension and similar norm, within which the largest inner product is nearly the
+smallest angle. Their directions are turned by fast Hadamard pseudo-rotations and hashed to the nearest signed
+axis; a table concatenates one or more such hashes, more of them as a space has more rows and its neighbours are nearer.
+A query probes the likeliest combinations of axes in every table, and whatever lies there is reranked by the exact inner
+product. A few pilot queries, held against all rows, tell how near the k-th neighbours are, and so which hash length and
+how many probes a space needs. Whoever belongs among the k nearest scores no less than the k-th one found, which bounds
+its angle, and with it the chance that the probes missed it: where that chance is too large, or fewer than k were found,
+the query is held against the whole space. Buckets are dealt out in blocks of bounded size on both sides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm.common import settle
 
-TABLES, PROBES, SEED = 16, 10, 20_240_607
+TABLES, SEED = 16, 20_240_607
 #: Rows of a bucket that meet in one block of the rerank.
 BLOCK = 4096
-#: Norms of a band lie within this ratio, but for the last band, which has all smaller ones.
+#: Norms of a space lie within this ratio, but for the last one of a dimension, which has all smaller ones.
 RATIO, BANDS = 1.25, 8
 #: Chance of being probed that anyone who belongs among the k nearest must have.
-ASSURED = 0.95
+ASSURED = 0.9
+#: Spaces of so few rows are scanned whole: a query probes no fewer buckets.
+SMALL = 160
+#: Queries of a dimension held against all its rows beforehand, and the share of them that may turn out farther than the probes are made for.
+PILOTS, FARTHER = 64, 0.1
+#: Hash lengths and probes a table to choose from, those that find the fewest strangers first.
+LADDER = ((4, 1000), (4, 4000), (3, 500), (3, 2000), (2, 100), (2, 200), (2, 300), (2, 600), (1, 10), (1, 16))
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -38,65 +48,213 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def rotate(x: np.ndarray, table: int) -> np.ndarray:
+def rotate(x: np.ndarray, turn: int) -> np.ndarray:
     """Three rounds of random signs and a fast Hadamard transform."""
-    draw = np.random.default_rng(SEED + table)
+    draw = np.random.default_rng(SEED + turn)
     for _ in range(3):
         x = _hadamard(x * draw.choice([-1.0, 1.0], x.shape[1]))
     return x
 
 
-def nearest_axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """The `probes` nearest signed axes of each row, 2 i for +e_i and 2 i + 1 for -e_i."""
-    turned = rotate(x, table)
-    score = np.stack([turned, -turned], axis=2).reshape(len(x), -1)
-    if probes == 1:
-        return score.argmax(axis=1)[:, None]
-    return np.argpartition(-score, min(probes, score.shape[1]) - 1, axis=1)[:, :probes]
+def axis_scores(x: np.ndarray, table: int, length: int) -> list[np.ndarray]:
+    """For each of a table's rotations, the nearness of every signed axis: +e_i at i, -e_i at width + i."""
+    turned = [rotate(x, table * 8 + i) for i in range(length)]
+    return [np.concatenate([t, -t], axis=1) for t in turned]
 
 
-def assured_cosine(width: int, tables: int, probes: int) -> float:
-    """The least cosine, in steps of 0.01, at which the probes meet a vector with a chance of ASSURED, by simulation; -1 if they cover all axes."""
-    if probes >= 2 * width:
+def own_bucket(scores: list[np.ndarray]) -> np.ndarray:
+    code = np.zeros(len(scores[0]), np.int64)
+    for s in scores:
+        code = code * s.shape[1] + s.argmax(axis=1)
+    return code
+
+
+def best_buckets(scores: list[np.ndarray], probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `probes` combinations of axes (fewer if there are not as many) of greatest summed nearness, with that sum, best first.
+
+    Of two sorted lists, the places r and c (from 1) can only be among the best if r c <= probes.
+    """
+    code = value = None
+    for s in scores:
+        axes = np.argsort(-s, axis=1, kind="stable")[:, :probes]
+        near = np.take_along_axis(s, axes, axis=1)
+        if code is None:
+            code, value = axes.astype(np.int64), near
+            continue
+        r, c = np.nonzero(np.outer(np.arange(1, value.shape[1] + 1), np.arange(1, near.shape[1] + 1)) <= probes)
+        total = value[:, r] + near[:, c]
+        top = np.argsort(-total, axis=1, kind="stable")[:, :probes]
+        value, code = np.take_along_axis(total, top, axis=1), np.take_along_axis(code[:, r] * s.shape[1] + axes[:, c], top, axis=1)
+    return code, value
+
+
+@lru_cache(maxsize=None)
+def assured_cosine(width: int, length: int, probes: int, tables: int = TABLES) -> float:
+    """The least cosine, in steps of 0.01, at which the probes meet a vector with a chance of ASSURED, by simulation; -1 if they cover all buckets."""
+    if probes >= (2 * width) ** length:
         return -1.0
     draw = np.random.default_rng(SEED)
-    x, y = draw.normal(size=(2, 2000, width))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    y -= (x * y).sum(axis=1)[:, None] * x
-    y /= np.linalg.norm(y, axis=1)[:, None]
-    axis, rows = np.abs(x).argmax(axis=1), np.arange(len(x))
+    x, y = draw.normal(size=(2, 400, length, width))
+    x /= np.linalg.norm(x, axis=2)[:, :, None]
+    y -= (x * y).sum(axis=2)[:, :, None] * x
+    y /= np.linalg.norm(y, axis=2)[:, :, None]
+    signed = np.concatenate([x, -x], axis=2)
+    _, value = best_buckets([signed[:, i] for i in range(length)], probes)
     for cosine in np.arange(100) / 100:
         turned = cosine * x + np.sqrt(1 - cosine * cosine) * y
-        mine = turned[rows, axis] * np.sign(x[rows, axis])
-        nearer = (turned > mine[:, None]).sum(axis=1) + (-turned > mine[:, None]).sum(axis=1)
-        if 1 - (1 - (nearer < probes).mean()) ** tables >= ASSURED:
+        axis = np.concatenate([turned, -turned], axis=2).argmax(axis=2)
+        mine = sum(np.take_along_axis(signed[:, i], axis[:, i, None], axis=1)[:, 0] for i in range(length))
+        if 1 - (1 - (mine >= value[:, -1] - 1e-12).mean()) ** tables >= ASSURED:
             return float(cosine)
     return 1.0
 
 
+@dataclass(frozen=True)
+class Space:
+    """Rows of one dimension and band of norms. Hash length 0: scanned whole."""
+
+    index: int
+    rows: int
+    top: float
+    width: int
+    length: int = 0
+    probes: int = 0
+
+    def tuned(self, cosine: float) -> Space:
+        """With the first entry of LADDER that meets neighbours of this cosine and has more rows than all but one of its rotations have buckets."""
+        fit = [(n, p) for n, p in LADDER if n == 1 or (2 * self.width) ** (n - 1) <= self.rows]
+        length, probes = next((x for x in fit if assured_cosine(self.width, *x) <= cosine), fit[-1])
+        return Space(self.index, self.rows, self.top, self.width, length, min(probes, (2 * self.width) ** length))
+
+    def split(self, code: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """Key of a table's group of buckets, those of one first axis, and the rest of the code."""
+        rest = (2 * self.width) ** (self.length - 1)
+        return (self.index * TABLES + table) * 2 * self.width + code // rest, code % rest
+
+    @property
+    def whole(self) -> int:
+        return -1 - self.index
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def _on_sphere(x: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(x), width))
+    x = x / np.abs(x).max(axis=1)[:, None]
+    out[:, : x.shape[1]] = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    return out
+
+
+def _by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows (_, v, ...) of one dimension at a time, with their matrix."""
+    for batch in batches:
+        sizes = batch.column(1).value_lengths().to_numpy()
+        for dim in np.unique(sizes):
+            some = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+            for at in range(0, some.num_rows, 256):
+                yield (few := some.slice(at, 256)), _matrix(few.column(1))
+
+
+def _places(offsets: np.ndarray, buckets: np.ndarray, subs: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(buckets, pa.int64()), subs], ["bucket", "sub"]))
+
+
+def _data_places(spaces: dict[int, Space]):
+    """Rows (id, v, space) of hashed spaces -> id, v, and their bucket in each table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, x in _by_size(batches):
+            index = some.column(2).to_numpy()
+            for i in np.unique(index):
+                s, mine = spaces[i], np.flatnonzero(index == i)
+                sphere = _on_sphere(x[mine], s.width)
+                split = [s.split(own_bucket(axis_scores(sphere, t, s.length)), t) for t in range(TABLES)]
+                bucket, sub = (np.stack(c, axis=1).ravel() for c in zip(*split))
+                part = some.take(pa.array(mine))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _places(np.arange(len(mine) + 1) * TABLES, bucket, pa.array(sub))], ["id", "v", "places"])
+
+    return run
+
+
+def _query_places(spaces: dict[int, list[Space]]):
+    """Rows (id, v) -> id, v, and for each group of buckets that they probe in spaces of their dimension, the buckets' rests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, x in _by_size(batches):
+            n, found = len(x), [(np.zeros(0, np.int64),) * 3]
+            for s in spaces.get(x.shape[1], []):
+                if not s.length:
+                    found.append((np.arange(n), np.full(n, s.whole), np.zeros(n, np.int64)))
+                    continue
+                sphere = _on_sphere(x, s.width)
+                for t in range(TABLES):
+                    code = best_buckets(axis_scores(sphere, t, s.length), s.probes)[0]
+                    found.append((np.repeat(np.arange(n), code.shape[1]), *s.split(code.ravel(), t)))
+            row, bucket, sub = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((sub, bucket, row))
+            row, bucket, sub = row[order], bucket[order], sub[order]
+            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])][: len(row)])
+            subs = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(sub))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), _places(np.searchsorted(row[starts], np.arange(n + 1)), bucket[starts], subs)], ["id", "v", "places"])
+
+    return run
+
+
+def _rerank(k: int):
+    """The k + 1 best rows (id, v, sub) that each query (id, v, subs) of a block shares a bucket with."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        names, kinds = ["query_id", "id", "score"], [pa.int64(), pa.int64(), pa.float64()]
+        if not a.num_rows or not b.num_rows:
+            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names)
+        a = a.sort_by("sub")
+        x, y = _matrix(a["v"].combine_chunks()), _matrix(b["v"].combine_chunks())
+        ids, qids = a["id"].to_numpy(), b["id"].to_numpy()
+        subs, starts = np.unique(a["sub"].to_numpy(), return_index=True)
+        ends, lists = np.append(starts[1:], len(x)), b["sub"].combine_chunks()
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        longest, keep = np.sqrt((x * x).sum(axis=1).max()), min(k + 1, len(x))
+        for at in range(0, len(y), 512):
+            some, mine = y[at : at + 512], lists.slice(at, 512)
+            flat, owner = mine.flatten().to_numpy(), np.repeat(np.arange(len(some)), mine.value_lengths().to_numpy())
+            rough = np.full((len(some), len(x)), -np.inf)
+            place = np.minimum(np.searchsorted(subs, flat), len(subs) - 1)
+            hit = subs[place] == flat
+            place, owner = place[hit], owner[hit]
+            order = np.argsort(place, kind="stable")
+            place, owner = place[order], owner[order]
+            for p, q in zip(*np.unique(place, return_index=True)):
+                who = owner[q : np.searchsorted(place, p, "right")]
+                rough[who, starts[p] : ends[p]] = some[who] @ x[starts[p] : ends[p]].T
+            floor = np.partition(rough, len(x) - keep, axis=1)[:, len(x) - keep] - 1e-9 * longest * np.sqrt((some**2).sum(axis=1))
+            q, i = np.nonzero((rough >= floor[:, None]) & (rough > -np.inf))
+            found.append((qids[at + q], ids[i], (some[q] * x[i]).sum(axis=1)))
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names)
+
+    return run
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK) -> DataFrame:
     """The k nearest found for each row of `vectors` (vec_id, embedding; others are ignored) whose vec_id is divisible by `every`.
 
     Returns query_id, rank (from 1), vec_id, score: the inner product of the original vectors in
-    double precision, nearest first, ties to the smaller vec_id. Null and zero vectors, and those
-    with null or non-finite components, take no part, and neither do rows without vec_id or of
-    another dimension than most. Equal vectors are searched once: only the k + 1 smallest vec_ids of them can be
+    double precision, nearest first, ties to the smaller vec_id. Null, empty and zero vectors, and those
+    with null or non-finite components, take no part, and neither do rows without vec_id. Vectors of different dimensions
+    have no inner product: each dimension is searched by itself (the driver holds a row for each and its bands of norms). Equal
+    vectors are searched once: only the k + 1 smallest vec_ids of them can be
     among anyone's k nearest, so the others are set aside without loss. A vec_id that repeats with
     one vector counts once.
     """
     good = (F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(good)
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    narrow = isinstance(getattr(vectors.schema["embedding"].dataType, "elementType", None), T.FloatType)
+    kind = f"array<{'float' if narrow else 'double'}>"  # what the components are stored as: floats are exact in half the bytes
+    rows = vectors.select("vec_id", F.col("embedding").cast(kind).alias("v")).where(good)
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x).cast("double")))
     norm = norm * F.sqrt(F.aggregate(F.transform("v", lambda x: x / norm), F.lit(0.0), lambda a, x: a + x * x))  # neither over- nor underflows
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("top"))
-    main = sizes.orderBy(F.desc("n"), "dim").first()
-    dim, largest = (main["dim"], main["top"]) if main else (1, 1.0)
-    rows = settle(rows.where(F.size("v") == dim))
+    rows = settle(rows)
 
     # Equal vectors: partial aggregation keeps the k + 1 smallest ids of each before anything is shuffled.
     hashed = rows.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"))
@@ -106,72 +264,29 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLE
             df = df.sort_values("vec_id").drop_duplicates(["h1", "h2", "vec_id"])
             yield df[df.groupby(["h1", "h2"]).cumcount() <= k]
 
-    fewer = hashed.mapInPandas(smallest, "vec_id long, v array<double>, h1 long, h2 long")
+    fewer = hashed.mapInPandas(smallest, f"vec_id long, v {kind}, h1 long, h2 long")
     nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
     base = settle(fewer.dropDuplicates(["h1", "h2", "vec_id"]).withColumn("nth", nth).where(F.col("nth") <= k + 1).select("vec_id", "v", "h1", "h2"))
     classes = base.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    width = 1 << (dim - 1).bit_length()
-
-    def on_sphere(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), width))
-        x = x / np.abs(x).max(axis=1)[:, None]
-        out[:, :dim] = x / np.sqrt((x * x).sum(axis=1))[:, None]
-        return out
-
-    def hashes(query: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    some = batch.slice(at, 1024)
-                    x = on_sphere(_matrix(some.column(1)))
-                    n = min(probes, 2 * width) if query else 1
-                    axes = np.stack([nearest_axes(x, t, n) for t in range(tables)], axis=1).reshape(len(x), -1)
-                    bucket = axes + np.repeat(np.arange(tables), n)[None, :] * 4 * width
-                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(bucket.tolist(), pa.list_(pa.int32()))], ["id", "v", "buckets"])
-
-        return run
-
-    kind = "id long, v array<double>, buckets array<int>"
-    band = F.least(F.greatest(F.floor(F.log(F.lit(largest) / norm) / np.log(RATIO)), F.lit(0)), F.lit(BANDS - 1)).cast("int")
-    classes = settle(classes.select(F.xxhash64("h1", "h2").alias("id"), "v", "ids", norm.alias("norm"), band.alias("band")))
-    bands = {r["band"]: r for r in classes.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()}  # at most BANDS rows
-    # Where a query would probe no fewer buckets than there are rows, it meets them all.
-    n_probes, n_buckets = min(probes, 2 * width), 4 * width * tables
-    small_bands = [b for b, r in bands.items() if r["n"] <= tables * n_probes]
-    hashed_bands = sorted(set(bands) - set(small_bands))
-    within = F.col("band").isin(hashed_bands) if hashed_bands else F.lit(False)
-    whole = classes.select("id", "v", (-1 - F.col("band")).alias("bucket"))
-
-    data = classes.where(within).select("id", "v").mapInArrow(hashes(False), kind).select("id", F.explode("buckets").alias("bucket"))
-    data = data.join(classes.select("id", "v", "band"), "id").select("id", "v", (F.col("bucket") + F.col("band") * n_buckets).alias("bucket"))
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    queries = settle(queries.select(F.col("vec_id").alias("id"), "v").mapInArrow(hashes(True), kind))
-
-    def rerank(a: pa.Table, b: pa.Table) -> pa.Table:
-        names, kinds = ["query_id", "id", "score"], [pa.int64(), pa.int64(), pa.float64()]
-        if not a.num_rows or not b.num_rows:
-            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names)
-        x, y = _matrix(a["v"].combine_chunks()), _matrix(b["v"].combine_chunks())
-        ids, qids = a["id"].to_numpy(), b["id"].to_numpy()
-        found: list[tuple] = []
-        longest = np.sqrt((x * x).sum(axis=1).max())
-        keep = min(k + 1, len(x))
-        for at in range(0, len(y), 512):
-            rough = y[at : at + 512] @ x.T
-            floor = np.partition(rough, len(x) - keep, axis=1)[:, len(x) - keep] - 1e-9 * longest * np.sqrt((y[at : at + 512] ** 2).sum(axis=1))
-            q, i = np.nonzero(rough >= floor[:, None])
-            found.append((qids[at + q], ids[i], (y[at + q] * x[i]).sum(axis=1)))
-        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names)
+    classes = settle(classes.select(F.monotonically_increasing_id().alias("id"), "v", "ids", F.size("v").alias("dim"), norm.alias("norm")))
+    longest = classes.groupBy("dim").agg(F.max("norm").alias("longest"))
+    band = F.least(F.greatest(F.floor(F.log(F.col("longest") / F.col("norm")) / np.log(RATIO)), F.lit(0)), F.lit(BANDS - 1))
+    classes = settle(classes.join(F.broadcast(longest), "dim").select("id", "v", "ids", (F.col("dim") * BANDS + band).cast("int").alias("space")))
+    found_spaces = classes.select("space", norm.alias("norm")).groupBy("space").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()
+    spaces = {r["space"]: Space(r["space"], r["n"], r["top"], 1 << (r["space"] // BANDS - 1).bit_length()) for r in found_spaces}
+    large = [i for i, s in spaces.items() if s.rows > SMALL]
+    whole = classes.select("id", "v", (-1 - F.col("space")).cast("long").alias("bucket"), F.lit(0).cast("long").alias("sub"))
+    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).select(F.col("vec_id").alias("id"), "v")
 
     def meet(data: DataFrame, queries: DataFrame) -> DataFrame:
         """The k + 1 best of each block, (query_id, id, score). Large buckets and busy queries are cut into blocks that meet pairwise."""
         counts = settle(data.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts")).join(queries.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("q_cuts")), "bucket"))
-        small = F.broadcast(counts)  # a row for each signed axis of each table
+        small = F.broadcast(counts)  # a row for each signed axis of each table and space
         data = data.join(small, "bucket").withColumn("cut", F.pmod(F.col("id"), F.col("cuts"))).withColumn("q_cut", F.explode(F.sequence(F.lit(0), F.col("q_cuts") - 1)))
         queries = queries.join(small, "bucket").withColumn("q_cut", F.pmod(F.xxhash64("id"), F.col("q_cuts"))).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         keys = [F.col("bucket"), F.col("cut").cast("int").alias("cut"), F.col("q_cut").cast("int").alias("q_cut")]
-        left, right = data.select(*keys, "id", "v"), queries.select(*keys, "id", "v")
-        return left.groupBy("bucket", "cut", "q_cut").cogroup(right.groupBy("bucket", "cut", "q_cut")).applyInArrow(rerank, "query_id long, id long, score double")
+        left, right = data.select(*keys, "id", "v", "sub"), queries.select(*keys, "id", "v", "sub")
+        return left.groupBy("bucket", "cut", "q_cut").cogroup(right.groupBy("bucket", "cut", "q_cut")).applyInArrow(_rerank(k), "query_id long, id long, score double")
 
     def ranked(found: DataFrame) -> DataFrame:
         # The k + 1 best classes of a query hold its k nearest, whichever of them is the query's own.
@@ -182,11 +297,35 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLE
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-    places = F.flatten(F.array(F.array(*[F.lit(-1 - b) for b in small_bands]).cast("array<int>"), *[F.transform("buckets", lambda x, b=b: x + b * n_buckets) for b in hashed_bands]))
-    found = settle(meet(data.unionByName(whole.where(~within)), queries.select("id", "v", F.explode(places).alias("bucket"))))
-    # Queries that lack rows, or may have missed nearer ones in a band, are held against the whole band.
-    kth = ranked(found).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
-    least = assured_cosine(width, tables, n_probes)
-    doubtful = [F.when(F.col("kth").isNull() | (F.col("kth") < least * bands[b]["top"] * norm), F.lit(-1 - b)) for b in hashed_bands]
-    again = queries.select("id", "v").join(kth, "id", "left").select("id", "v", F.explode(F.array_compact(F.array(*doubtful).cast("array<int>"))).alias("bucket"))
-    return ranked(found.unionByName(meet(whole.where(within), settle(again))))
+    def kth(found: DataFrame) -> DataFrame:
+        return ranked(found).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+
+    def exploded(queries: DataFrame, spaces: dict[int, Space]) -> DataFrame:
+        by_dim: dict[int, list[Space]] = {}
+        for i, s in spaces.items():
+            by_dim.setdefault(i // BANDS, []).append(s)
+        placed = queries.mapInArrow(_query_places(by_dim), f"id long, v {kind}, places array<struct<bucket: long, sub: array<long>>>")
+        return placed.select("id", "v", F.explode("places").alias("place")).select("id", "v", "place.*")
+
+    if large:
+        among = F.size("v").isin(sorted({i // BANDS for i in large}))
+        pilots = queries.where(among).withColumn("n", F.row_number().over(Window.partitionBy(F.size("v")).orderBy(F.xxhash64("id"), "id", F.xxhash64("v"))))
+        pilots = settle(pilots.where(F.col("n") <= PILOTS).select("id", "v"))
+        reach = pilots.join(kth(meet(whole, exploded(pilots, spaces))), "id", "left").select(F.size("v").alias("dim"), (F.col("kth") / norm).alias("reach")).collect()  # PILOTS a dimension
+        for i in large:
+            cosines = sorted(-1.0 if r["reach"] is None else r["reach"] / spaces[i].top for r in reach if r["dim"] == i // BANDS) or [-1.0]
+            spaces[i] = spaces[i].tuned(cosines[int(FARTHER * len(cosines))])
+
+    within = F.col("space").isin(large) if large else F.lit(False)
+    data = classes.where(within).select("id", "v", "space").mapInArrow(_data_places(spaces), f"id long, v {kind}, places array<struct<bucket: long, sub: long>>")
+    data = data.select("id", "v", F.explode("places").alias("place")).select("id", "v", "place.*")
+    asked = settle(exploded(queries, spaces))
+    found = settle(meet(data.unionByName(whole.where(F.col("bucket").isin([s.whole for s in spaces.values() if not s.length]))), asked))
+    # Queries that lack rows, or may have missed nearer ones in a space, are held against the whole of it.
+    reached = queries.join(kth(found), "id", "left").select("id", "v", "kth", norm.alias("norm"))
+    doubtful = [
+        F.when((F.size("v") == i // BANDS) & (F.col("kth").isNull() | (F.col("kth") < assured_cosine(spaces[i].width, spaces[i].length, spaces[i].probes) * spaces[i].top * F.col("norm"))), F.lit(spaces[i].whole))
+        for i in large
+    ]
+    again = reached.select("id", "v", F.explode(F.array_compact(F.array(*doubtful).cast("array<long>"))).alias("bucket"), F.array(F.lit(0).cast("long")).alias("sub"))
+    return ranked(found.unionByName(meet(whole.where(F.col("bucket").isin([spaces[i].whole for i in large])), settle(again))))
