@@ -6,7 +6,8 @@ exponentially by the document's words z, with one multiplier lambda for each sou
 constraint. The multipliers solve a convex dual, whose gradient and curvature are sums over the
 documents; Newton's steps take these from one distributed aggregation each, over a histogram of sizes.
 Rates become whole copies by a rounding that hashes the doc_id, and the rounding's error in each
-source is then worked off by adding or removing single copies in hashed order.
+source is then worked off by adding or removing single copies in hashed order, until no document is small enough
+to bring the source nearer.
 """
 
 from __future__ import annotations
@@ -23,7 +24,12 @@ CAP = 3
 #: sigmoid(THETA) = 1 / CAP: without a tilt every document is taken once.
 THETA = -math.log(CAP - 1)
 WEIGHTS = (1, 2, 3)
-STEPS, TOLERANCE, REPAIRS, BINS = 40, 1e-7, 5, 4096
+#: Newton's steps, or halvings where these fail, before it is an error that the constraints are not met to TOLERANCE.
+STEPS, TOLERANCE, BINS = 200, 1e-7, 4096
+#: A source this near to its target, as a share of it, is not repaired further.
+NEAR = 1e-5
+#: Hashes have so many values; a repair that finds its first bin too full looks at it alone, BINS times as finely.
+HASHES = 1 << 36
 #: Tables of one row per source are broadcast up to so many rows, and joined by shuffle beyond.
 SMALL_ROWS = 100_000
 
@@ -71,29 +77,29 @@ def balance(histogram: DataFrame, params: DataFrame, near) -> DataFrame:
         lam = F.when(F.col("d") == 0, F.col("lam")).otherwise(safe)
         state = settle(step.select("k", "source", "source_size", "target", "scale", "full", lam.alias("lam"), "lo", "hi", (F.abs("d") / F.greatest(F.col("target"), F.lit(1.0))).alias("miss")))
         if (state.agg(F.max("miss")).first()[0] or 0) < TOLERANCE:
-            break
-    return state.drop("lo", "hi", "miss")
+            return state.drop("lo", "hi", "miss")
+    raise ArithmeticError(f"the token constraints are not met after {STEPS} steps")
 
 
 def _key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
 
-def _uniform(seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(1 << 40)) / float(1 << 40)
+def _uniform(seed: str | Column) -> Column:
+    return F.pmod(F.xxhash64(seed, "doc_id", "size"), F.lit(HASHES)) / float(HASHES)
 
 
 def _movable(copies: Column, miss: Column) -> Column:
-    return (F.col("size") > 0) & (F.col("size") <= F.abs(miss)) & F.when(miss > 0, copies < CAP).otherwise(copies > 0)
+    return (F.abs(miss) > NEAR * F.col("target")) & (F.col("size") > 0) & (F.col("size") <= F.abs(miss)) & F.when(miss > 0, copies < CAP).otherwise(copies > 0)
 
 
 def _with_copies(rows: DataFrame, state: DataFrame, near, repairs: int) -> DataFrame:
     """Copies of rows (doc_id, k, size, ...): the rounded rate, then the repairs found so far."""
     rate = _rate(F.col("lam"), F.col("size") / F.col("scale"), F.col("full"))
-    copies = F.least(F.floor(rate + _uniform(0)).cast("long"), F.lit(CAP).cast("long"))
+    copies = F.least(F.floor(rate + _uniform(F.lit(0).cast("long"))).cast("long"), F.lit(CAP).cast("long"))
     if repairs:
         # A fold, because nested columns would repeat the expression of every earlier step.
-        found = F.array(*[F.struct(F.col(f"miss{t}").alias("miss"), (F.floor(_uniform(t + 1) * BINS) < F.col(f"cut{t}")).alias("hit")) for t in range(repairs)])
+        found = F.array(*[F.struct(F.col(f"miss{t}").alias("miss"), (_uniform(f"seed{t}") < F.col(f"cut{t}")).alias("hit")) for t in range(repairs)])
         copies = F.aggregate(found, copies, lambda c, x: c + F.when(x["hit"] & _movable(c, x["miss"]), F.signum(x["miss"])).otherwise(0).cast("long"))
     return rows.join(near(state), "k").withColumn("copies", copies)
 
@@ -108,16 +114,28 @@ def _solve(docs: DataFrame) -> tuple:
         "k", "source", "source_size", "target", F.greatest(F.col("source_size") / F.col("docs"), F.lit(1.0)).alias("scale"),
         (F.col("target") >= CAP * F.col("source_size") * (1 - 1e-12)).alias("full"),
     )
-    state = balance(histogram, params, near)
-    for t in range(REPAIRS):
-        now = _with_copies(rows, state, near, t)
+    start = [F.lit(1).cast("long").alias("zoom"), F.lit(1).cast("long").alias("seed"), F.lit(False).alias("done")]
+    state, repairs = balance(histogram, params, near).select("*", *start), 0
+    while True:
+        now = _with_copies(rows, state, near, repairs)
         misses = settle(now.groupBy("k").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss")))
-        bins = now.join(near(misses), "k").where(_movable(F.col("copies"), F.col("miss"))).groupBy("k", "miss", F.floor(_uniform(t + 1) * BINS).alias("bin")).agg(F.sum("size").alias("s"))
+        place = F.floor(_uniform("seed") * F.col("zoom") * BINS)
+        bins = now.join(near(misses), "k").where(~F.col("done") & _movable(F.col("copies"), F.col("miss")) & (place < BINS)).groupBy("k", "miss", "zoom", place.alias("bin")).agg(F.sum("size").alias("s"))
         run = Window.partitionBy("k").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows of a source at most
-        over = bins.withColumn("sum", F.sum("s").over(run)).groupBy("k").agg(F.min(F.when(F.col("sum") > F.abs("miss"), F.col("bin"))).alias("cut"))
-        cuts = misses.join(near(over), "k", "left").select("k", F.col("miss").alias(f"miss{t}"), F.coalesce("cut", F.lit(BINS)).alias(f"cut{t}"))
-        state = settle(state.join(near(cuts), "k"))
-    return rows, state, near
+        over = bins.withColumn("sum", F.sum("s").over(run)).groupBy("k").agg(F.min(F.when(F.col("sum") > F.abs("miss"), F.col("bin"))).alias("bin"), F.first("zoom").alias("z"))
+        found = over.select("k", (F.coalesce("bin", F.lit(BINS)) / (F.col("z") * BINS)).alias("cut"), F.coalesce(F.col("bin") == 0, F.lit(False)).alias("crowded"))
+        # A source is done when nothing movable is left, or only rows of one hash that are too many together.
+        done = F.col("done") | F.col("cut").isNull() | (F.col("crowded") & (F.col("zoom") * BINS >= HASHES))
+        state = state.join(near(misses), "k").join(near(found), "k", "left").withColumn("done", done)
+        state = settle(state.select(
+            *[c for c in state.columns if c not in ("zoom", "seed", "miss", "cut", "crowded")],
+            F.col("miss").alias(f"miss{repairs}"), F.coalesce("cut", F.lit(0.0)).alias(f"cut{repairs}"), F.col("seed").alias(f"seed{repairs}"),
+            F.when(F.col("crowded"), F.col("zoom") * BINS).otherwise(F.lit(1)).cast("long").alias("zoom"),
+            F.when(F.col("crowded"), F.col("seed")).otherwise(F.col("seed") + 1).alias("seed"),
+        ))
+        repairs += 1
+        if not state.where(~F.col("done")).limit(1).count():
+            return rows, state, near, repairs
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -128,12 +146,12 @@ def mix(docs: DataFrame) -> DataFrame:
     words is taken once; an empty table gives no rows. Copies are decided by a hash of doc_id and size, so reruns agree
     and repeated rows (null doc_ids of a size among them) are taken alike.
     """
-    rows, state, near = _solve(docs)
-    return _with_copies(rows, state, near, REPAIRS).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+    rows, state, near, repairs = _solve(docs)
+    return _with_copies(rows, state, near, repairs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 def repeat(docs: DataFrame) -> DataFrame:
     """The mixture itself: each row of docs as often as mix() takes it, without a shuffle of the texts."""
-    _, state, near = _solve(docs)
+    _, state, near, repairs = _solve(docs)
     wide = docs.select(F.struct("*").alias("_row"), "doc_id", _key("source").alias("k"), words(F.col("text")).alias("size"))
-    return _with_copies(wide, state, near, REPAIRS).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    return _with_copies(wide, state, near, repairs).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
