@@ -1,16 +1,44 @@
+import functools
 import re
 
+import pytest
 from comparing import assert_same
+from pyspark.sql import functions as F
 
 from tracewell.llm import queries
 from tracewell.llm.oracles import ORACLES
-from tracewell.llm.url_filter import bloom, filter_urls
+from tracewell.llm.url_filter import BITS_PER_URL, _bits, bloom, filter_urls
 
 
 def test_whole_table_against_sql(spark, sf_dir):
     assert_same(queries.op4_url_filter(spark, sf_dir), ORACLES["op4_url_filter"], sf_dir)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_list_is_not_empty_and_blocks(spark, sf):
+    rows = queries.op4_url_filter(spark, f"/root/testdata/{sf}").where("listed and rule is null").collect()
+    assert rows and all(r["verdict"] == "block" for r in rows)
+    assert all(set(r["host"].split(".")) & set(queries.BAD_HOSTS) for r in rows)
+
+
+def test_false_positives_of_the_filter_are_removed(spark):
+    listed = spark.range(20000).selectExpr("concat('http://h/u', id) as url")
+    pages = spark.range(400000).selectExpr("id as page_id", "concat('http://h/u', id) as url")
+    blocks = -(-20000 * BITS_PER_URL // 512)
+    test = lambda i, b: F.call_function("shiftright", F.col(f"w{i}"), b).bitwiseAND(F.lit(1)) == 1
+    probed = pages.selectExpr("page_id", "concat('h/u', page_id) as url").withColumn("block", F.pmod(F.xxhash64("url"), F.lit(blocks))).join(bloom(listed.selectExpr("substring(url, 8) as url"), blocks), "block")
+    possible = probed.where(functools.reduce(lambda a, b: a & b, [test(i, b) for i, b in enumerate(_bits(F.col("url")))])).count()
+    assert 20000 < possible < 20000 + 0.01 * 380000
+    assert filter_urls(pages, listed, []).where("listed").count() == 20000
+
+
+def test_very_long_and_repeated_urls(spark):
+    long = "http://h/" + "x" * 1_000_000
+    pages = spark.createDataFrame([(1, long), (1, long), (2, long + "y"), (3, long + "?b=1&a=2"), (None, None)], "page_id long, url string")
+    rows = filter_urls(pages, pages.where("page_id = 1").select("url"), queries.URL_RULES).collect()
+    assert sorted((r["page_id"] or 0, r["verdict"], len(r["path"])) for r in rows) == [(0, "allow", 0), (1, "block", 1_000_001), (1, "block", 1_000_001), (2, "allow", 1_000_002), (3, "allow", 1_000_001)]
+
+
 def test_rules_and_odd_urls(spark):
     urls = ["http://a.Example.COM/en/7x?q#f", "https://example.com/en/8", "http://xexample.com/en/7", "ftp://x.example.net/de/80", "http://net/de/", None, "", "no scheme/en/", "http://", "://h/p", "x://é.ORG/es/É?#", "http://b.org/fr/\n/x", "http://com?/en/", "a://b://c/d"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)] + [(0, urls[0], "clash"), (None, urls[1], None)], "page_id long, url string, canon string")

@@ -18,7 +18,7 @@ URLS = f"""WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN subs
 p AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1) AS query FROM r),
 q AS (SELECT page_id, host, path, list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)'))) AS kept FROM p),
 c AS (SELECT page_id, host, path, host || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canon FROM q),
-l AS (SELECT *, canon <> '' AND canon IN (SELECT canon FROM c WHERE starts_with(host, 'spam-farm.')) AS listed FROM c)
+l AS (SELECT *, canon <> '' AND canon IN (SELECT canon FROM c WHERE regexp_matches(host, '(^|\\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\\.')) AS listed FROM c)
 SELECT page_id, host, path, CASE {_RULE} END AS rule, CASE {_VERDICT} WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM l"""
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -11,8 +11,9 @@ from tracewell.llm.common import table
 
 #: The override rules of the URL query, as (verdict, host, path).
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: Hosts whose pages stand in for a list of URLs to block.
-LISTED_HOSTS = "spam-farm."
+#: Names of hosts whose pages, on any subdomain of any domain, make up the list of URLs to block.
+BAD_HOSTS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED = rf"(^|\.)({'|'.join(BAD_HOSTS)})\."
 
 
 def word_bpe() -> str:
@@ -36,7 +37,7 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host = url_filter.parts(pages["url"])[0]
-    return url_filter.filter_urls(pages, pages.where(host.startswith(LISTED_HOSTS)).select("url"), URL_RULES)
+    return url_filter.filter_urls(pages, pages.where(host.rlike(LISTED)).select("url"), URL_RULES)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ascii_lower
+from tracewell.llm.common import ascii_lower, settle
 
 WORDS, BITS_PER_URL, BROADCAST_BYTES = 8, 16, 64 << 20
 
@@ -52,7 +52,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     """
     host, path, query = parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), canonical(host, path, query).alias("canon"))
-    wanted = listed.select(canonical(*parts(F.col("url"))).alias("url")).where("url <> ''").distinct()
+    wanted = settle(listed.select(canonical(*parts(F.col("url"))).alias("url")).where("url <> ''").distinct())
     blocks = max(1, -(-wanted.count() * BITS_PER_URL // (64 * WORDS)))
     bits = bloom(wanted, blocks)
     if blocks * (WORDS + 1) * 8 <= BROADCAST_BYTES:
@@ -62,7 +62,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     possible = F.lit(True)
     for i, b in enumerate(_bits(F.col("canon"))):
         possible = possible & test(i, b)
-    probed = probed.select("page_id", "host", "path", "canon", F.coalesce(possible, F.lit(False)).alias("possible"))
+    probed = settle(probed.select("page_id", "host", "path", "canon", F.coalesce(possible, F.lit(False)).alias("possible")))
     hits = probed.where("possible").join(wanted.select(F.col("url").alias("canon"), F.lit(True).alias("listed")), "canon", "left")
     out = ["page_id", "host", "path", F.coalesce("listed", F.lit(False)).alias("listed")]
     judged = hits.select(*out).unionByName(probed.where("not possible").select("page_id", "host", "path", F.lit(False).alias("listed")))
