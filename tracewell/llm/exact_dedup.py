@@ -3,12 +3,13 @@
 A Misra-Gries summary (the frequent-items sketch behind Spark's approx_top_k) over the digests
 names every digest that can hold more than a 1/`HEAVY`th of the rows. Their true counts are then
 taken by one exact aggregation, the verified winners (at most `HEAVY`) are broadcast, and their
-rows are settled map-side; all other digests are few enough in a group for an ordinary shuffle.
+rows are settled map-side; all other digests go through an ordinary shuffle: an aggregation with partial
+results, and a join of its repeated groups, which Spark can split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import SPACE, settle
@@ -41,6 +42,7 @@ def exact_dedup(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     hot = settle(heavy_digests(rows, heavy)).select("text_sha256", F.col("n").alias("hot_n"), F.col("first").alias("hot_first"))
     marked = rows.join(F.broadcast(hot), "text_sha256", "left")
     result = lambda df: df.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    cold = marked.where("hot_n is null").select("doc_id", "text_sha256", "rid", F.count("*").over(group).alias("n"), F.min(F.struct("doc_id", "rid")).over(group).alias("first"))
+    cold = marked.where("hot_n is null").select("doc_id", "text_sha256", "rid")
+    groups = cold.groupBy("text_sha256").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid")).alias("first")).where("n > 1")
+    cold = cold.join(groups, "text_sha256", "left").withColumn("first", F.when(F.col("n").isNull(), F.struct("doc_id", "rid")).otherwise(F.col("first"))).fillna(1, ["n"])
     return result(marked.where("hot_n is not null").withColumnsRenamed({"hot_n": "n", "hot_first": "first"})).unionByName(result(cold))
