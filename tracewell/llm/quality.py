@@ -3,7 +3,8 @@
 Every line is good or bad. A line's features and those of both neighbours score the two states, and
 a 2 x 2 table scores what follows what; forward-backward gives each line's marginal probability of
 being good. Their mean, weighted by line length, is the document's quality, on a scale that is
-calibrated to the labels. Lines have no labels of their own, so in training each takes its document's.
+calibrated to the labels. Lines have no labels of their own, so in training each takes its document's, and those
+that clearly are of the other kind change sides for a second fit.
 """
 
 from __future__ import annotations
@@ -24,7 +25,12 @@ from tracewell.llm.common import released
 SAMPLE_DOCS = 6000
 #: Lines of a training sequence; longer documents give several.
 SEGMENT = 24
-STEPS, RATE, RIDGE, EDGE_LIMIT = 250, 0.05, 1e-3, 1.5
+#: Sequences of a long training document, evenly spaced: what it can take of the driver's memory.
+SEGMENTS = 10
+#: While all lines of a document have its label, states never change, and only EDGE_LIMIT keeps the edges finite.
+STEPS, RELABELED_STEPS, RATE, RIDGE, EDGE_LIMIT = 200, 60, 0.05, 1e-3, 1.5
+#: Marginal probability from which a line's state is believed against its document's label.
+SURE = 0.97
 THRESHOLD = 0.3
 
 _KEEP = {
@@ -102,8 +108,43 @@ def marginals(node: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
+def likelihood(theta: np.ndarray, x: np.ndarray, here: np.ndarray, good: np.ndarray, each: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log-likelihood of the states `good` (lines x sequences, as `here`, which marks the lines there are), weighted by `each`
+    sequence; its gradient; and the marginals of all lines."""
+    (width, count), weights, bias, edges = here.shape, theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
+    node = (x @ weights.astype(x.dtype) + bias) * here
+    a, b = np.zeros((width, count, 2)), np.zeros((width, count, 2))
+    a[0, :, 1] = node[0]
+    for t in range(1, width):
+        into = np.logaddexp(a[t - 1][:, 0:1] + edges[0], a[t - 1][:, 1:2] + edges[1])
+        into[:, 1] += node[t]
+        a[t] = np.where(here[t][:, None] > 0, into, a[t - 1])
+    total = np.logaddexp(a[-1, :, 0], a[-1, :, 1])
+    for t in range(width - 2, -1, -1):
+        ahead = b[t + 1] + np.stack([np.zeros(count), node[t + 1]], axis=1)
+        back = np.logaddexp(ahead[:, 0:1] + edges[:, 0], ahead[:, 1:2] + edges[:, 1])
+        b[t] = np.where(here[t + 1][:, None] > 0, back, 0.0)
+    p = np.exp(np.clip(a[:, :, 1] + b[:, :, 1] - total, -60, 0)) * here
+    score, miss = (node * good).sum(axis=0), (p - good * here) * each
+    grad = np.zeros_like(theta)
+    grad[:-5] = np.tensordot(miss.astype(x.dtype), x, axes=2)
+    grad[-5] = miss.sum()
+    for i in range(2):
+        for j in range(2):
+            pair = a[:-1, :, i] + edges[i, j] + (node[1:] if j else 0) + b[1:, :, j] - total
+            both = np.exp(np.clip(pair, -60, 0)) * here[1:]
+            seen = ((good[:-1] == i) & (good[1:] == j)) * here[1:]
+            score = score + edges[i, j] * seen.sum(axis=0)
+            grad[-4 + 2 * i + j] = ((both - seen) * each).sum()
+    return float(((total - score) * each).sum()), grad, p
+
+
 def fit(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
-    """Fit to (features, lengths, label) of documents: maximum likelihood of the line sequences by Adam, then the calibration."""
+    """Fit to (features, lengths, label) of documents: maximum likelihood of the line sequences by Adam, then the calibration.
+
+    Lines take their document's label at first; then those that the model is SURE are of the other kind change
+    sides, and the fit goes on with sequences in which states do change.
+    """
     if not docs:
         zero = np.zeros(3 * FEATURES)
         return Model(zero, zero + 1, zero, 0.0, np.zeros((2, 2)))
@@ -117,40 +158,21 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     for j, (p, _) in enumerate(pieces):
         x[: len(p), j] = np.clip((p - mean) / scale, -6, 6)
         here[: len(p), j] = 1
-    good = np.array([y for _, y in pieces], float)
+    label = np.array([y for _, y in pieces], float) * here
     # Documents weigh alike, however many sequences they give.
     each = np.concatenate([np.full(-(-len(f) // SEGMENT), 1 / len(f)) for f, _, _ in docs])
     each *= len(docs) / (each[None, :] * here).sum()
-    theta, m, v = np.zeros(3 * FEATURES + 5), 0.0, 0.0
-    for step in range(1, STEPS + 1):
-        weights, bias, edges = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
-        node = (x @ weights.astype(np.float32) + bias) * here
-        a, b = np.zeros((width, count, 2)), np.zeros((width, count, 2))
-        a[0, :, 1] = node[0]
-        for t in range(1, width):
-            into = np.logaddexp(a[t - 1][:, 0:1] + edges[0], a[t - 1][:, 1:2] + edges[1])
-            into[:, 1] += node[t]
-            a[t] = np.where(here[t][:, None] > 0, into, a[t - 1])
-        total = np.logaddexp(a[-1, :, 0], a[-1, :, 1])
-        for t in range(width - 2, -1, -1):
-            ahead = b[t + 1] + np.stack([np.zeros(count), node[t + 1]], axis=1)
-            back = np.logaddexp(ahead[:, 0:1] + edges[:, 0], ahead[:, 1:2] + edges[:, 1])
-            b[t] = np.where(here[t + 1][:, None] > 0, back, 0.0)
-        p = np.exp(np.clip(a[:, :, 1] + b[:, :, 1] - total, -60, 0)) * here
-        miss = (p - good * here) * each
-        grad = np.zeros_like(theta)
-        grad[:-5] = np.tensordot(miss.astype(np.float32), x, axes=2)
-        grad[-5] = miss.sum()
-        for i in range(2):
-            for j in range(2):
-                pair = a[:-1, :, i] + edges[i, j] + (node[1:] if j else 0) + b[1:, :, j] - total
-                both = np.exp(np.clip(pair, -60, 0)) * here[1:]
-                seen = (good == i) * (good == j)
-                grad[-4 + 2 * i + j] = ((both - seen * here[1:]) * each).sum()
-        grad = grad / len(docs) + RIDGE * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        theta[-4:] = np.clip(theta[-4:], -EDGE_LIMIT, EDGE_LIMIT)
+    theta, p = np.zeros(3 * FEATURES + 5), np.zeros_like(here)
+    for steps, edge_limit in ((STEPS, EDGE_LIMIT), (RELABELED_STEPS, np.inf)):
+        # No line changes sides before the first fit, when p is 0 everywhere and label is all there is.
+        good = np.where(p > SURE, 1.0, np.where(p < 1 - SURE, 0.0, label)) * here if p.any() else label
+        m = v = 0.0
+        for step in range(1, steps + 1):
+            _, grad, p = likelihood(theta, x, here, good, each)
+            grad = grad / len(docs) + RIDGE * theta
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+            theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            theta[-4:] = np.clip(theta[-4:], -edge_limit, edge_limit)
     model = Model(mean, scale, theta[:-5], float(theta[-5]), theta[-4:].reshape(2, 2))
     q = _logit(np.array([quality_of(model, f, n) for f, n, _ in docs]))
     y = np.array([y for _, _, y in docs], float)
@@ -168,18 +190,30 @@ def quality_of(model: Model, features: np.ndarray, lengths: np.ndarray) -> float
     return float(marginals(model.nodes(features), model.edges) @ lengths / lengths.sum())
 
 
+def segments(features: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All lines of a document, or SEGMENTS evenly spaced runs of SEGMENT lines of a longer one."""
+    if len(lengths) <= SEGMENT * SEGMENTS:
+        return features, lengths
+    at = (np.linspace(0, len(lengths) - SEGMENT, SEGMENTS).astype(int)[:, None] + np.arange(SEGMENT)).ravel()
+    return features[at], lengths[at]
+
+
 def training_docs(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """At most `sample` labelled documents outside the held-out fifth, as features."""
+    """At most `sample` labelled documents outside the held-out fifth, as features of at most SEGMENT * SEGMENTS lines.
+
+    A doc_id that repeats is one document, with the text of the smallest hash and the lower of its labels.
+    """
     mine = labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("quality").isin(0, 1))
-    mine = mine.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    mine = mine.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            both = [line_features(t) for t in df["text"]]
+            both = [segments(*line_features(t)) for t in df["text"]]
             yield pd.DataFrame({"doc_id": df["doc_id"], "quality": df["quality"], "x": [f.astype("<f4").tobytes() for f, _ in both], "n": [n.astype("<f8").tobytes() for _, n in both]})
 
     # As bytes, because rows of numbers would take the driver ten times the memory.
-    rows = docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").mapInPandas(featured, "doc_id long, quality int, x binary, n binary")
+    rows = docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = rows.mapInPandas(featured, "doc_id long, quality int, x binary, n binary")
     found = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["quality"], bytes(r["n"]), bytes(r["x"])))
     return [(np.frombuffer(r["x"], "<f4").reshape(len(r["n"]) // 8, -1), np.frombuffer(r["n"], "<f8"), r["quality"]) for r in found]
 
