@@ -2,7 +2,7 @@ import random
 import re
 from collections import defaultdict
 
-from tracewell.llm.line_dedup import line_dedup, without_repeats
+from tracewell.llm.line_dedup import line_dedup, stretches, without_repeats
 from tracewell.llm.queries import op2_line_dedup
 
 
@@ -54,6 +54,14 @@ def test_nested_runs_keep_the_longer_copy(spark, documents):
     assert got[2].startswith("x\n" + c[:4]) and got[3] == d
 
 
+def test_repeated_rows_are_one_document(spark, documents):
+    passage = " ".join(f"w{i}" for i in range(60))
+    df = documents([(1, f"a\n{passage}", "s")] * 5000 + [(2, f"b\n{passage}\nc", "s")] * 5000)
+    assert sorted((r["doc_id"], len(r["ids"])) for r in stretches(df, 50).collect()) == [(1, 2), (2, 3)]
+    got = line_dedup(df).groupBy("doc_id", "text", "removed_lines").count().collect()
+    assert {tuple(r) for r in got} == {(1, f"a\n{passage}", 0, 5000), (2, "b\nc", 1, 5000)}
+
+
 def test_odd_rows(spark, documents, odd_rows):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [*odd_rows, (20, f"p\n{passage}\nq", "a"), (21, f"r\n{passage}\ns", "b"), (22, passage, "c")]

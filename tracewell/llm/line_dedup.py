@@ -36,7 +36,7 @@ def stretches(docs: DataFrame, min_words: int) -> DataFrame:
     """Runs of consecutive lines that each occur at least twice: doc_id, dh, start, ids, w."""
     lines = _lines(docs)
     repeated = settle(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.monotonically_increasing_id().alias("id")))
-    rows = lines.join(repeated, ["h1", "h2"]).groupBy("doc_id", "dh").agg(F.array_sort(F.collect_list(F.struct("j", "id", "w"))).alias("lines"))
+    rows = lines.join(repeated, ["h1", "h2"]).groupBy("doc_id", "dh").agg(F.array_sort(F.collect_set(F.struct("j", "id", "w"))).alias("lines"))  # a set, because repeated rows are one document
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,9 +45,7 @@ def stretches(docs: DataFrame, min_words: int) -> DataFrame:
                 at = 0
                 for i in range(1, len(lines) + 1):
                     if i == len(lines) or lines[i]["j"] > lines[i - 1]["j"] + 1:
-                        # A repeated row gives each line twice; it is one document.
                         run = lines[at:i]
-                        run = [x for n, x in enumerate(run) if not n or x["j"] != run[n - 1]["j"]]
                         if sum(x["w"] for x in run) >= min_words:
                             for column, value in zip(out, (doc_id, dh, run[0]["j"], [x["id"] for x in run], [x["w"] for x in run])):
                                 column.append(value)
