@@ -72,6 +72,21 @@ def test_components_of_chains_stars_and_cycles(spark, local):
     assert components(spark.createDataFrame([], "a long, b long"), local).count() == 0
 
 
+def test_long_chain(spark):
+    chain = spark.range(100_000).selectExpr("id as a", "id + 1 as b")
+    assert components(chain, 0).agg({"component": "max", "id": "count"}).first().asDict() == {"max(component)": 0, "count(id)": 100_001}
+
+
+def test_repeated_rows_are_one_document(spark, documents, monkeypatch):
+    words = [f"w{i}" for i in range(80)]
+    rows = [(1, " ".join(words), "s")] * 5000 + [(2, " ".join([*words[:40], "x", *words[41:]]), "s")] * 5000
+    seen, verify = [], near_dedup.verify
+    monkeypatch.setattr(near_dedup, "verify", lambda pairs, texts, percent: (seen.append((pairs.count(), texts.count())), verify(pairs, texts, percent))[1])
+    got = near_dedup.near_dedup(documents(rows)).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(1, 1, True, 5000), (2, 1, False, 5000)}
+    assert [p for p, _ in seen if p] == [1] and {t for _, t in seen} == {2}
+
+
 def test_odd_rows(spark, documents, odd_rows):
     rows = [*odd_rows, (40, "Tie", "a"), (41, "one two three four", "a"), (42, "ONE two\nthree\tfour", "a"), (43, "one two three", "a")]
     df = documents(rows)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,17 +23,13 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage with a reliable checkpoint.
 
     The files go to the shared folder in spark.checkpoint.dir, so any executor can read them
-    again after another is lost. Only where that setting is missing is a folder chosen here:
-    under the warehouse on a cluster, a temporary one in local mode. Whatever runs in Python meanwhile gets
-    its rows in batches of at most BATCH_BYTES.
+    again after another is lost. Only where that setting is missing is a folder chosen here,
+    under the warehouse. Whatever runs in Python meanwhile gets its rows in batches of at most BATCH_BYTES.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.startswith("local[") or context.master == "local":
-            folder = folder or tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(BATCH_BYTES))
     try:
@@ -64,6 +59,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs (id, text) without the repetitions of rows whose id is in repeated.id; only these are shuffled."""
+    marked = maybe_among(docs, "id", repeated)
+    return marked.where("not maybe").select("id", "text").unionByName(marked.where("maybe").select("id", "text").distinct())
+
+
 def maybe_among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """df with a column `maybe`: true where df[column] is in ids.id, and seldom elsewhere.
 

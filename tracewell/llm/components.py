@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import settle
 
-ROUNDS = 60
 #: Edges (of 16 bytes) that one task contracts by itself instead of by further rounds.
 LOCAL_EDGES = 1_000_000
 
@@ -58,7 +57,7 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """
     mark = None
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(ROUNDS):
+    while True:
         seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break

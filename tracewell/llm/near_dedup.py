@@ -14,6 +14,7 @@ are compared with each other, inside the join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import maybe_among, released, settle
+from tracewell.llm.common import maybe_among, once, released, settle
 from tracewell.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -142,7 +143,7 @@ def _plausible(a: str, b: str, percent: int) -> Column:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets reach the threshold."""
+    """The pairs (a, b) of ids, each listed once, whose full sets reach the threshold; docs has (id, text)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}
@@ -164,8 +165,7 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
         _words.clear()
 
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
-    texts = maybe_among(rows, "id", pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()).where("maybe").select("id", "text")
+    texts = maybe_among(docs, "id", pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()).where("maybe").select("id", "text")
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return rows.select("a", "b", "x", "y").mapInArrow(released(check), "a long, b long")
 
@@ -181,7 +181,10 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = settle(docs.select("doc_id", "text").mapInArrow(released(_signatures), "doc_id long, n long, d1 long, d2 long, sig array<long>, bits array<long>, bands array<long>"))
     real = rows.where("n > 0 and doc_id is not null")
     classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    nodes = settle(real.withColumnRenamed("doc_id", "rep").join(classes, ["d1", "d2", "rep"]).select("rep", "n", "sig", "bits", "bands"))
+    # Repeated rows are one node, and their text is read once.
+    nodes = settle(real.withColumnRenamed("doc_id", "rep").join(classes, ["d1", "d2", "rep"]).dropDuplicates(["d1", "d2", "rep"]).select("rep", "n", "sig", "bits", "bands"))
+    repeated = settle(real.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id")))
+    texts = once(docs.select(F.col("doc_id").alias("id"), "text"), repeated)
     sigs = nodes.select("rep", F.struct("n", "sig", "bits").alias("s"))
     placed = nodes.select("rep", F.explode("bands").alias("key"))
     buckets = placed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("met")).where("low < high").select("key", "met")
@@ -196,7 +199,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     star = settle(estimated(members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()))
     first = star.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
-    links = settle(verify(settle(first), docs, percent))
+    links = settle(verify(settle(first), texts, percent))
     found = settle(components(links))
 
     def crossing(pairs: DataFrame) -> DataFrame:
@@ -206,18 +209,20 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     second = settle(crossing(star.select("a", "b")).join(first, ["a", "b"], "left_anti"))
     if second.limit(1).count():
-        links = settle(links.union(verify(second, docs, percent)))
+        links = settle(links.union(verify(second, texts, percent)))
         found = settle(components(links))
 
     # What shares a bucket, is in different components, and was not compared with the bucket's first.
     inside = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = settle(inside.join(split, "key").where("rep <> pivot").join(sigs, "rep").select("key", "rep", "component", F.col("s.n").alias("n"), F.col("s.sig").alias("sig"), F.col("s.bits").alias("bits")))
-    a, b = open_.alias("p"), open_.alias("q")
-    pairs = a.join(b, (F.col("p.key") == F.col("q.key")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component")) & _plausible("p", "q", percent).isNotNull())
+    open_ = settle(inside.join(split, "key").where("rep <> pivot").join(sigs, "rep").select("key", "rep", "component", F.col("s.n").alias("n"), F.col("s.sig").alias("sig"), F.col("s.bits").alias("bits"), F.floor(F.log(F.col("s.n")) / math.log(100 / percent)).alias("sizes")))
+    # The smaller set of a link has at least percent of the larger one's shingles, so their classes of size are the same or next to each other.
+    a = open_.withColumn("sizes", F.explode(F.array(F.col("sizes") - 1, F.col("sizes"), F.col("sizes") + 1))).alias("p")
+    b = open_.alias("q")
+    pairs = a.join(b, (F.col("p.key") == F.col("q.key")) & (F.col("p.sizes") == F.col("q.sizes")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component")) & _plausible("p", "q", percent).isNotNull())
     third = settle(pairs.select(F.col("q.rep").alias("a"), F.col("p.rep").alias("b")).distinct())
     if third.limit(1).count():
-        links = settle(links.union(verify(third, docs, percent)))
+        links = settle(links.union(verify(third, texts, percent)))
         found = settle(components(links))
 
     of_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
