@@ -1,7 +1,8 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with templates.
 
-A block (a line, or a paragraph if asked for) matches a template when it contains at least `THRESHOLD` of the template's distinct
-words. The join is the prefix-filter kind: words are put in one global order, rarest in the corpus
+A block is a sentence, whatever lines it is wrapped over. It matches a template when it contains at least `THRESHOLD` of
+the template's distinct words, all of those that tell the template from others among them, and none that only another
+license has. The join is the prefix-filter kind: words are put in one global order, rarest in the corpus
 first; a block that shares enough words with a template must share one within the prefixes of both,
 must have enough words at all (length filter), and must have enough words left after the first one
 shared (positional filter). What passes is verified on the full sets, so the result is exact. The
@@ -17,19 +18,25 @@ from pyspark.sql import functions as F
 
 #: The phrases that a scan always reports, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Short forms of public license notices: what a block must contain most of.
+#: Opening sentences and short forms of public license notices: what a block must contain most of, the words of it that
+#: it must contain, and words that it must not.
 TEMPLATES = {
-    "apache-2.0": "licensed under the apache license version 2 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
-    "cc-by-nc": "licensed under cc by nc 4 0",
-    "gpl-3.0": "this work is licensed under the gnu general public license version 3",
-    "mit": "released under the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "agpl-3.0": ("this work is licensed under the gnu affero general public license version 3", "gnu affero 3", ""),
+    "apache-2.0": ("licensed under the apache license version 2 0", "apache 2 0", ""),
+    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "redistribution source binary", ""),
+    "cc-by-nc": ("licensed under cc by nc 4 0", "cc by nc", ""),
+    "gpl-2.0": ("this work is licensed under the gnu general public license version 2", "gnu general 2", "affero lesser library 3"),
+    "gpl-3.0": ("this work is licensed under the gnu general public license version 3", "gnu general 3", "affero lesser library"),
+    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission distribute fee", ""),
+    "lgpl-3.0": ("this work is licensed under the gnu lesser general public license version 3", "gnu lesser 3", ""),
+    "mit": ("released under the mit license", "released mit license", ""),
+    "mit-grant": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission charge copy", ""),
+    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla 2 0", ""),
 }
+#: A sentence ends at one of .!? before white space and a capital, or at an empty line.
+_SENTENCE_END, _EMPTY_LINE = r"([.!?])[\x20\x09-\x0D]+([A-Z])", r"\n[\x20\x09\x0B-\x0D]*\n"
 THRESHOLD = 0.8
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_BREAKS_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _lower(text: Column) -> Column:
@@ -50,8 +57,8 @@ def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def _containment(block: Column, order: list[str], template: set[str], threshold: float) -> Column:
-    """Share of the template's words in `block`, an array in global order; 0 below the threshold."""
+def _containment(block: Column, order: list[str], template: set[str], needed: set[str], foreign: set[str], threshold: float) -> Column:
+    """Share of the template's words in `block`, an array in global order; 0 below the threshold, or if a needed word is missing or a foreign one there."""
     mine = [w for w in order if w in template]
     need = math.ceil(threshold * len(mine) - 1e-9)
     here = F.array(*map(F.lit, mine))
@@ -61,17 +68,20 @@ def _containment(block: Column, order: list[str], template: set[str], threshold:
         & F.arrays_overlap(F.slice(block, 1, F.greatest(F.size(block) - need + 1, F.lit(0))), F.array(*map(F.lit, mine[: len(mine) - need + 1])))
         & (1 + F.least(F.size(block) - F.array_position(block, F.try_element_at(shared, F.lit(1))), len(mine) - F.array_position(here, F.try_element_at(shared, F.lit(1)))) >= need)
     )
-    return F.when(passes & (F.size(shared) >= need), F.size(shared) / F.lit(float(len(mine)))).otherwise(F.lit(0.0))
+    told = F.size(F.array_intersect(block, F.array(*map(F.lit, sorted(needed))))) == len(needed)
+    if foreign:
+        told = told & ~F.arrays_overlap(block, F.array(*map(F.lit, sorted(foreign))))
+    return F.when(passes & (F.size(shared) >= need) & told, F.size(shared) / F.lit(float(len(mine)))).otherwise(F.lit(0.0))
 
 
-def _contained_in(template: set[str], order: list[str], threshold: float):
-    return lambda block: _containment(block, order, template, threshold)
+def _contained_in(template: tuple[set[str], set[str], set[str]], order: list[str], threshold: float):
+    return lambda block: _containment(block, order, *template, threshold)
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, paragraphs: bool = False) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Scan every whole text of `docs` (doc_id, text; others are ignored).
 
-    Blocks are lines, or with `paragraphs` what blank lines part, so that a notice wrapped over lines is found too.
+    `templates` has, by label, a notice, the words of it that must be there, and words that must not.
 
     Returns doc_id, n_words, n_base, first_word, last_word (word places of the phrases, from 0),
     base_labels, labels (the templates' too), score: 1 if a phrase occurs, else the largest verified
@@ -79,17 +89,16 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     rows are scanned alike.
     """
     templates = TEMPLATES if templates is None else templates
-    sets = {label: set(t.split()) for label, t in sorted(templates.items())}
-    order = word_order(docs, sorted(set().union(*sets.values())))
+    parts = {label: tuple(set(x.split()) for x in t) for label, t in sorted(templates.items())}
+    sets = {label: t[0] for label, t in parts.items()}
+    order = word_order(docs, sorted(set().union(*(x for t in parts.values() for x in t))))
     rare = {w for t in sets.values() for w in [x for x in order if x in t][: len(t) - math.ceil(threshold * len(t) - 1e-9) + 1]}
 
     lowered = _lower(F.coalesce(F.col("text"), F.lit("")))
-    # A line end stays inside the run of breaks that it is part of, so that lines can be told apart.
-    rows = docs.select("doc_id", F.regexp_replace(lowered, _BREAKS_IN_LINE, " ").alias("body"))
-    rows = rows.select("doc_id", "body", F.concat(F.lit(" "), F.trim(F.regexp_replace("body", "[ \n]+", " ")), F.lit(" ")).alias("flat"))
+    rows = docs.select("doc_id", "text", F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, _BREAKS, " ")), F.lit(" ")).alias("flat"))
     flat = F.col("flat")
     counts = {p: F.regexp_count(flat, F.lit(f" {p}(?= )")) for p in PHRASES}
-    rows = rows.select("doc_id", "body", "flat", F.when(F.char_length(flat) > 2, _spaces(flat) - 1).otherwise(0).cast("long").alias("n_words"), *[c.alias(f"n_{i}") for i, c in enumerate(counts.values())])
+    rows = rows.select("doc_id", "text", "flat", F.when(F.char_length(flat) > 2, _spaces(flat) - 1).otherwise(0).cast("long").alias("n_words"), *[c.alias(f"n_{i}") for i, c in enumerate(counts.values())])
     firsts, lasts = [], []
     for i, p in enumerate(PHRASES):
         ahead = F.substring(flat, F.lit(1), F.instr(flat, f" {p} "))
@@ -99,14 +108,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     base = F.array_compact(F.array(*[F.when(F.col(f"n_{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]))
 
     vocabulary = F.array(*map(F.lit, order))
-    lines = F.filter(
-        F.transform(F.split(F.col("body"), "\n *\n" if paragraphs else "\n"), lambda block: F.array_intersect(vocabulary, F.split(block, "[ \n]" if paragraphs else " "))),
+    # Only evaluated for suspects: sentences are found before capitals go.
+    sentences = F.filter(
+        F.transform(F.split(F.regexp_replace("text", _SENTENCE_END, "$1\n\n$2"), _EMPTY_LINE), lambda block: F.array_intersect(vocabulary, F.split(_lower(block), _BREAKS))),
         lambda block: F.size(block) >= min(math.ceil(threshold * len(t) - 1e-9) for t in sets.values()),
     )
     suspect = flat.rlike(" (" + "|".join(sorted(rare)) + ") ")
-    blocks = F.when(suspect, lines).otherwise(F.array().cast("array<array<string>>"))
+    blocks = F.when(suspect, sentences).otherwise(F.array().cast("array<array<string>>"))
     rows = rows.select("doc_id", "n_words", (F.col("n_0") + F.col("n_1") + F.col("n_2")).cast("long").alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), base.alias("base"), blocks.alias("blocks"))
-    best = [F.coalesce(F.array_max(F.transform("blocks", _contained_in(t, order, threshold))), F.lit(0.0)) for t in sets.values()]
+    best = [F.coalesce(F.array_max(F.transform("blocks", _contained_in(t, order, threshold))), F.lit(0.0)) for t in parts.values()]
     rows = rows.select("*", *[b.alias(f"t_{i}") for i, b in enumerate(best)])
     own = F.array_compact(F.array(*[F.when(F.col(f"t_{i}") > 0, F.lit(label)) for i, label in enumerate(sets)]))
     return rows.select(

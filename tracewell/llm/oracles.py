@@ -30,16 +30,17 @@ def _licenses() -> str:
         words = phrase.split()
         test = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(words))
         places.append(f"list_transform(list_filter(range(0, len(w)), lambda i: {test}), lambda i: {{'i': i, 'l': '{label}'}})")
-    sets = {label: sorted(set(t.split())) for label, t in sorted(licenses.TEMPLATES.items())}
+    sets = {label: [sorted(set(x.split())) for x in t] for label, t in sorted(licenses.TEMPLATES.items())}
     scores = []
-    for label, t in sets.items():
+    for label, (t, needed, foreign) in sets.items():
         need, words = math.ceil(licenses.THRESHOLD * len(t) - 1e-9), "[" + ", ".join(f"'{x}'" for x in t) + "]"
         shared = f"len(list_intersect(list_distinct(b), {words}))"
-        scores.append(f"coalesce(list_max(list_transform(blocks, lambda b: CASE WHEN {shared} >= {need} THEN {shared} / {len(t)}.0::DOUBLE ELSE 0.0 END)), 0.0) AS \"s_{label}\"")
+        told = f"len(list_intersect(list_distinct(b), {needed})) = {len(needed)}" + (f" AND NOT list_has_any(b, {foreign})" if foreign else "")
+        scores.append(f"coalesce(list_max(list_transform(blocks, lambda b: CASE WHEN {shared} >= {need} AND {told} THEN {shared} / {len(t)}.0::DOUBLE ELSE 0.0 END)), 0.0) AS \"s_{label}\"")
     own = ", ".join(f"CASE WHEN \"s_{label}\" > 0 THEN '{label}' END" for label in sets)
     best = ", ".join(f'"s_{label}"' for label in sets)
-    return f"""WITH t AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS x FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(x, '{_WORD}') AS w, list_transform(string_split(x, chr(10)), lambda l: regexp_extract_all(l, '{_WORD}')) AS blocks FROM t),
+    return f"""WITH t AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS x, regexp_replace(coalesce(text, ''), '{licenses._SENTENCE_END}', '\\1\n\n\\2', 'g') AS y FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(x, '{_WORD}') AS w, list_transform(string_split_regex(y, '{licenses._EMPTY_LINE}'), lambda l: regexp_extract_all({_LOWER.format('l')}, '{_WORD}')) AS blocks FROM t),
 p AS (SELECT doc_id, len(w) AS n_words, list_concat({', '.join(places)}) AS p, {', '.join(scores)} FROM w),
 q AS (SELECT *, list_transform(p, lambda z: z.i) AS places, list_sort(list_distinct(list_transform(p, lambda z: z.l))) AS base FROM p)
 SELECT doc_id, n_words, len(p) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, array_to_string(base, ',') AS base_labels,
