@@ -53,3 +53,16 @@ def test_written_shards_hold_every_row(spark, documents, odd_rows, tmp_path):
     write_shards(df, str(tmp_path / "out"), 3)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == len(odd_rows) and set(df.columns) < set(got.columns)
+
+
+def test_filters_on_each_dimension_read_few_shards(spark):
+    """Shards whose least and greatest value let a filter in, against those that a hash of the document would let in: all."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    placed = shard(docs).select("doc_id", "shard", "size").join(docs.select("doc_id", "lang", "source"), "doc_id").toPandas()
+    left = {}
+    for name in ("lang", "source", "size"):
+        of = placed.groupby("shard")[name].agg(["min", "max"])
+        values = sorted(placed[name].unique()) if name != "size" else list(placed[name].quantile([0.05, 0.25, 0.5, 0.75, 0.95]))
+        left[name] = np.mean([((of["min"] <= v) & (of["max"] >= v)).sum() for v in values])
+    assert left["lang"] < 15 and left["source"] < 15 and left["size"] < 15, left
+    assert len(placed) == docs.count()

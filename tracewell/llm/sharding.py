@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import settle
 
+#: Tables of one row per distinct value are broadcast up to so many rows, and joined by shuffle beyond.
+SMALL_ROWS = 100_000
+
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     """Curve index of each row of `cells` (n x dims, values below 2**bits), by bitwise untangling."""
@@ -40,30 +43,41 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def _cells(rows: DataFrame, name: str, top: int) -> DataFrame:
+    """(name, cell): values in order share the cells 1 to top by their number of rows, each at the middle of its own.
+
+    Like the values, the cells are in order, so that the least and greatest value of a shard follow the curve.
+    """
+    values = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
+    run = Window.orderBy(name)  # a row for each distinct value
+    values = values.withColumn("upto", F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return settle(values.select(name, (1 + F.floor((F.col("upto") - F.col("n") / 2) * top / F.col("all"))).cast("long").alias("cell")))
+
+
 def shard(docs: DataFrame, shards: int = 24, bits: int = 8) -> DataFrame:
     """Assign each row of `docs` (doc_id, text, lang, source; others are ignored) to a shard.
 
     Law `bytes`: runs of the curve order hold near equal bytes; a boundary falls where the middle of
     a document passes the ideal cut, so a shard misses its share by less than one document at either
     end. Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), curve.
+    Cells follow the order of the values and share the rows: quantiles of size, and of lang and source by code point.
     Null text has size 8 and the checksum of nothing; null lang or source fall in cell 0; equal texts
     of one cell, repeated rows included, lie next to each other. Fewer rows than shards leave some
     shards empty; an empty table gives no rows.
     """
     top = (1 << bits) - 1
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-
-    def cell(name: str):
-        return F.coalesce(F.when(F.col(name).isNotNull(), F.pmod(F.xxhash64(name), F.lit(top)) + 1), F.lit(0))
-
-    rows = docs.select(
-        "doc_id", size.alias("size"), F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")).alias("text_crc32"),
-        cell("lang").alias("a"), cell("source").alias("b"),
-        F.least(F.lit(top), F.floor(F.log2(size.cast("double")) * 8)).cast("long").alias("c"),
-    )
+    text_crc = F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8"))
+    rows = settle(docs.select("doc_id", size.alias("size"), text_crc.alias("text_crc32"), "lang", "source"))
+    bounds = np.array(rows.agg(F.percentile_approx("size", [i / top for i in range(1, top)], 100 * top)).first()[0] or [0])
+    for name, cell in (("lang", "a"), ("source", "b")):
+        cells = _cells(rows, name, top).withColumnRenamed("cell", cell)
+        # A row for each distinct value: small enough to broadcast, or joined by shuffle.
+        rows = rows.join(F.broadcast(cells) if cells.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else cells, name, "left").fillna(0, [cell]).drop(name)
 
     def index(batches: Iterator) -> Iterator:
         for df in batches:
+            df["c"] = np.searchsorted(bounds, df["size"].to_numpy())
             df["curve"] = hilbert_index(df[["a", "b", "c"]].to_numpy(np.int64).reshape(-1, 3), bits)
             yield df[["doc_id", "size", "text_crc32", "curve"]]
 
