@@ -35,6 +35,8 @@ ASSURED = 0.9
 SMALL = 160
 #: Queries of a dimension held against all its rows beforehand, and the share of them that may turn out farther than the probes are made for.
 PILOTS, FARTHER = 64, 0.1
+#: Rows of a dimension, and bytes of them at most, whose (k + 1)-th best is a floor for every query's results.
+SAMPLE, SAMPLE_BYTES = 2048, 16 << 20
 #: Hash lengths and probes a table to choose from, those that find the fewest strangers first.
 LADDER = ((4, 1000), (4, 4000), (3, 500), (3, 2000), (2, 100), (2, 200), (2, 300), (2, 600), (1, 10), (1, 16))
 
@@ -179,12 +181,15 @@ def _data_places(spaces: dict[int, Space]):
     return run
 
 
-def _query_places(spaces: dict[int, list[Space]]):
-    """Rows (id, v) -> id, v, and for each group of buckets that they probe in spaces of their dimension, the buckets' rests."""
+def _query_places(spaces: dict[int, list[Space]], sample, k: int):
+    """Rows (id, v) -> id, v, a score that the k + 1 best reach, and for each group of buckets that they probe in spaces of their dimension, the buckets' rests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, x in _by_size(batches):
             n, found = len(x), [(np.zeros(0, np.int64),) * 3]
+            some_rows, floor = sample.value.get(x.shape[1], np.zeros((0, 1))), np.full(n, -np.inf)
+            if len(some_rows) > k:
+                floor = np.partition(x @ some_rows.T, len(some_rows) - k - 1, axis=1)[:, len(some_rows) - k - 1]
             for s in spaces.get(x.shape[1], []):
                 if not s.length:
                     found.append((np.arange(n), np.full(n, s.whole), np.zeros(n, np.int64)))
@@ -198,13 +203,14 @@ def _query_places(spaces: dict[int, list[Space]]):
             row, bucket, sub = row[order], bucket[order], sub[order]
             starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])][: len(row)])
             subs = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(sub))
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), _places(np.searchsorted(row[starts], np.arange(n + 1)), bucket[starts], subs)], ["id", "v", "places"])
+            places = _places(np.searchsorted(row[starts], np.arange(n + 1)), bucket[starts], subs)
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(floor), places], ["id", "v", "floor", "places"])
 
     return run
 
 
 def _rerank(k: int):
-    """The k + 1 best rows (id, v, sub) that each query (id, v, subs) of a block shares a bucket with."""
+    """The k + 1 best rows (id, v, sub) that each query (id, v, sub, floor) of a block shares a bucket with, unless below its floor."""
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         names, kinds = ["query_id", "id", "score"], [pa.int64(), pa.int64(), pa.float64()]
@@ -212,7 +218,7 @@ def _rerank(k: int):
             return pa.Table.from_arrays([pa.array([], t) for t in kinds], names)
         a = a.sort_by("sub")
         x, y = _matrix(a["v"].combine_chunks()), _matrix(b["v"].combine_chunks())
-        ids, qids = a["id"].to_numpy(), b["id"].to_numpy()
+        ids, qids, least = a["id"].to_numpy(), b["id"].to_numpy(), b["floor"].to_numpy()
         subs, starts = np.unique(a["sub"].to_numpy(), return_index=True)
         ends, lists = np.append(starts[1:], len(x)), b["sub"].combine_chunks()
         found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -229,7 +235,7 @@ def _rerank(k: int):
             for p, q in zip(*np.unique(place, return_index=True)):
                 who = owner[q : np.searchsorted(place, p, "right")]
                 rough[who, starts[p] : ends[p]] = some[who] @ x[starts[p] : ends[p]].T
-            floor = np.partition(rough, len(x) - keep, axis=1)[:, len(x) - keep] - 1e-9 * longest * np.sqrt((some**2).sum(axis=1))
+            floor = np.maximum(np.partition(rough, len(x) - keep, axis=1)[:, len(x) - keep], least[at : at + 512]) - 1e-9 * longest * np.sqrt((some**2).sum(axis=1))
             q, i = np.nonzero((rough >= floor[:, None]) & (rough > -np.inf))
             found.append((qids[at + q], ids[i], (some[q] * x[i]).sum(axis=1)))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names)
@@ -285,14 +291,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK)
         data = data.join(small, "bucket").withColumn("cut", F.pmod(F.col("id"), F.col("cuts"))).withColumn("q_cut", F.explode(F.sequence(F.lit(0), F.col("q_cuts") - 1)))
         queries = queries.join(small, "bucket").withColumn("q_cut", F.pmod(F.xxhash64("id"), F.col("q_cuts"))).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         keys = [F.col("bucket"), F.col("cut").cast("int").alias("cut"), F.col("q_cut").cast("int").alias("q_cut")]
-        left, right = data.select(*keys, "id", "v", "sub"), queries.select(*keys, "id", "v", "sub")
+        left, right = data.select(*keys, "id", "v", "sub"), queries.select(*keys, "id", "v", "sub", "floor")
         return left.groupBy("bucket", "cut", "q_cut").cogroup(right.groupBy("bucket", "cut", "q_cut")).applyInArrow(_rerank(k), "query_id long, id long, score double")
 
-    def ranked(found: DataFrame) -> DataFrame:
+    def best(found: DataFrame) -> DataFrame:
         # The k + 1 best classes of a query hold its k nearest, whichever of them is the query's own.
-        best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-        best = best.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") <= k + 1)
-        each = best.join(classes.select("id", "ids"), "id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
+        found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        return found.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") <= k + 1).drop("place")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        each = best(found).join(classes.select("id", "ids"), "id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
         each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -304,11 +312,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK)
         by_dim: dict[int, list[Space]] = {}
         for i, s in spaces.items():
             by_dim.setdefault(i // BANDS, []).append(s)
-        placed = queries.mapInArrow(_query_places(by_dim), f"id long, v {kind}, places array<struct<bucket: long, sub: array<long>>>")
-        return placed.select("id", "v", F.explode("places").alias("place")).select("id", "v", "place.*")
-
+        placed = queries.mapInArrow(_query_places(by_dim, sample, k), f"id long, v {kind}, floor double, places array<struct<bucket: long, sub: array<long>>>")
+        return placed.select("id", "v", "floor", F.explode("places").alias("place")).select("id", "v", "floor", "place.*")
+
+    among = F.size("v").isin(sorted({i // BANDS for i in large})) if large else F.lit(False)
+    some = classes.where(among).withColumn("n", F.row_number().over(Window.partitionBy(F.size("v")).orderBy(F.xxhash64("id"))))
+    of_dim: dict[int, list] = {}
+    for r in some.where(F.col("n") <= F.least(F.lit(SAMPLE), F.floor(SAMPLE_BYTES / 8 / F.size("v")))).select("v").collect():
+        of_dim.setdefault(len(r["v"]), []).append(r["v"])
+    sample = vectors.sparkSession.sparkContext.broadcast({d: np.array(v, np.float64) for d, v in of_dim.items()})
     if large:
-        among = F.size("v").isin(sorted({i // BANDS for i in large}))
         pilots = queries.where(among).withColumn("n", F.row_number().over(Window.partitionBy(F.size("v")).orderBy(F.xxhash64("id"), "id", F.xxhash64("v"))))
         pilots = settle(pilots.where(F.col("n") <= PILOTS).select("id", "v"))
         reach = pilots.join(kth(meet(whole, exploded(pilots, spaces))), "id", "left").select(F.size("v").alias("dim"), (F.col("kth") / norm).alias("reach")).collect()  # PILOTS a dimension
@@ -320,12 +333,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK)
     data = classes.where(within).select("id", "v", "space").mapInArrow(_data_places(spaces), f"id long, v {kind}, places array<struct<bucket: long, sub: long>>")
     data = data.select("id", "v", F.explode("places").alias("place")).select("id", "v", "place.*")
     asked = settle(exploded(queries, spaces))
-    found = settle(meet(data.unionByName(whole.where(F.col("bucket").isin([s.whole for s in spaces.values() if not s.length]))), asked))
+    found = settle(best(meet(data.unionByName(whole.where(F.col("bucket").isin([s.whole for s in spaces.values() if not s.length]))), asked)))
     # Queries that lack rows, or may have missed nearer ones in a space, are held against the whole of it.
-    reached = queries.join(kth(found), "id", "left").select("id", "v", "kth", norm.alias("norm"))
+    reached = queries.join(kth(found), "id", "left").select("id", "v", "kth", norm.alias("norm"), F.coalesce("kth", F.lit(float("-inf"))).alias("floor"))
     doubtful = [
         F.when((F.size("v") == i // BANDS) & (F.col("kth").isNull() | (F.col("kth") < assured_cosine(spaces[i].width, spaces[i].length, spaces[i].probes) * spaces[i].top * F.col("norm"))), F.lit(spaces[i].whole))
         for i in large
     ]
-    again = reached.select("id", "v", F.explode(F.array_compact(F.array(*doubtful).cast("array<long>"))).alias("bucket"), F.array(F.lit(0).cast("long")).alias("sub"))
+    again = reached.select("id", "v", F.explode(F.array_compact(F.array(*doubtful).cast("array<long>"))).alias("bucket"), F.array(F.lit(0).cast("long")).alias("sub"), "floor")
     return ranked(found.unionByName(meet(whole.where(F.col("bucket").isin([spaces[i].whole for i in large])), settle(again))))
