@@ -12,46 +12,53 @@ from pyspark.sql import functions as F
 
 
 def largest_prefix(code: str) -> str:
-    """The longest head of whole lines that parses, found by cutting at the reported error line."""
+    """The longest head of whole lines that parses, without trailing white space.
+
+    The head is cut before the line that the parser reports; where it reports none before the last, by one line.
+    """
     lines = code.split("\n")
-    while lines:
+    keep = len(lines)
+    while keep:
+        head = "\n".join(lines[:keep])
         try:
-            ast.parse("\n".join(lines))
-            return "\n".join(lines)
+            ast.parse(head)
+            return head.rstrip()
         except SyntaxError as e:
-            lines = lines[: min(len(lines) - 1, max(0, (e.lineno or len(lines)) - 1))]
+            bad = (e.lineno or 0) - 1
         except ValueError:
-            return ""
+            bad = head.partition("\0")[0].count("\n")
+        except (MemoryError, RecursionError):
+            bad = 0
+        keep = bad if 0 < bad < keep else keep - 1
     return ""
 
 
 class _WithoutSelf(ast.NodeTransformer):
-    def visit_Call(self, node: ast.Call) -> ast.AST:
-        self.generic_visit(node)
-        if isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Name) and node.func.value.id == "self":
-            node.func = ast.Name(node.func.attr, ast.Load())
-        return node
+    def visit_Attribute(self, node: ast.Attribute) -> ast.AST:
+        of_self = isinstance(node.value, ast.Name) and node.value.id == "self"
+        return ast.Name(node.attr, node.ctx) if of_self else self.generic_visit(node)
+
+
+def _members(wrapper: ast.ClassDef) -> list[ast.stmt]:
+    """What stays of a class: its functions but __init__, without self, and its assignments."""
+    kept: list[ast.stmt] = []
+    for item in wrapper.body:
+        if isinstance(item, (ast.Assign, ast.AnnAssign)):
+            kept.append(item)
+        elif isinstance(item, (ast.FunctionDef, ast.AsyncFunctionDef)) and item.name != "__init__":
+            del item.args.args[: bool(item.args.args and item.args.args[0].arg == "self")]
+            kept.append(_WithoutSelf().visit(item))
+    return kept
 
 
 def unwrap(code: str, name: str = "Solution") -> str:
-    """Methods of class `name` become functions without self; __init__ goes. Other code is unchanged."""
-    try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError):
-        return code
-    wrapper = next((n for n in tree.body if isinstance(n, ast.ClassDef) and n.name == name), None)
-    if wrapper is None:
+    """The largest prefix that parses, in which the members of classes `name` stand at the top: functions without self, and assignments."""
+    code = largest_prefix(code) if code.strip() else code
+    tree = ast.parse(code) if code.strip() else ast.Module([], [])
+    wraps = lambda n: isinstance(n, ast.ClassDef) and n.name == name
+    if not any(map(wraps, tree.body)):
         return code
-    functions = []
-    for item in wrapper.body:
-        if isinstance(item, ast.FunctionDef) and item.name != "__init__":
-            arguments = item.args.posonlyargs or item.args.args
-            if arguments and arguments[0].arg == "self":
-                arguments.pop(0)
-            item.decorator_list = [d for d in item.decorator_list if not (isinstance(d, ast.Name) and d.id in ("staticmethod", "classmethod"))]
-            functions.append(_WithoutSelf().visit(item))
-    at = tree.body.index(wrapper)
-    tree.body[at : at + 1] = functions
+    tree.body = [x for n in tree.body for x in (_members(n) if wraps(n) else [n])]
     return ast.unparse(ast.fix_missing_locations(tree))
 
 
@@ -59,40 +66,41 @@ def _calls(tree: ast.AST, name: str) -> list[ast.Call]:
     return [n for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id == name]
 
 
-def split_tests(suite: str) -> list[str]:
-    """One case per assertion, each after the other statements that precede it in its function or module."""
+def split_tests(suite: str, name: str) -> list[str]:
+    """One complete suite for each statement of check(): all else at the top of the suite, check() with that statement alone, and its call.
+
+    None for a blank suite or name, a suite that does not parse, or one without check().
+    """
     try:
-        tree = ast.parse(suite)
-    except (SyntaxError, ValueError):
-        return [suite] if suite.strip() else []
-    body = next((n.body for n in tree.body if isinstance(n, ast.FunctionDef) and n.name == "check"), tree.body)
-    setup, cases = [], []
-    for node in body:
-        if isinstance(node, ast.Assert):
-            cases.append("\n".join([*map(ast.unparse, setup), ast.unparse(node)]))
-        else:
-            setup.append(node)
-    return cases
+        tree = ast.parse(suite if name else "")
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
+        return []
+    check = next((n for n in tree.body if isinstance(n, ast.FunctionDef) and n.name == "check"), None)
+    if check is None:
+        return []
+    shared = [ast.unparse(n) for n in tree.body if n is not check]
+    head = f"def check({ast.unparse(check.args)}):"
+    body = lambda n: "\n".join("    " + line for line in ast.unparse(n).split("\n"))
+    return ["\n".join([*shared, head, body(n), f"check({name})"]) for n in check.body]
 
 
 def call_signature(tests: str, name: str) -> str:
-    """`def name(a0, ...)` with as many arguments as the widest call in the tests; empty without a call."""
+    """`def name(...)` by the widest call of `candidate` in the tests, the first of these: variables and keywords by their names,
+    other arguments by their places (arg0, ...). Empty without a call that has arguments."""
     try:
-        calls = _calls(ast.parse(tests), name)
-    except (SyntaxError, ValueError):
-        return ""
-    if not calls:
+        calls = _calls(ast.parse(tests), "candidate") if name else []
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return ""
-    widest = max(calls, key=lambda c: len(c.args) + len(c.keywords))
-    names = [f"a{i}" for i in range(len(widest.args))] + [k.arg or "kwargs" for k in widest.keywords]
-    return f"def {name}({', '.join(names)}):"
+    given = [[a.id if isinstance(a, ast.Name) else f"arg{i}" for i, a in enumerate(c.args)] + [k.arg for k in c.keywords if k.arg] for c in calls]
+    widest = max(given, key=len, default=[])
+    return f"def {name}({', '.join(widest)}):" if widest else ""
 
 
 def definition_signature(code: str, name: str) -> str:
     """The header of the definition of `name`, or of the last function."""
     try:
         found = [n for n in ast.walk(ast.parse(code)) if isinstance(n, ast.FunctionDef)]
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return ""
     match = next((n for n in found if n.name == name), found[-1] if found else None)
     return f"def {match.name}({ast.unparse(match.args)}):" if match else ""
@@ -102,7 +110,7 @@ def instrument(case: str) -> str:
     """Turn `assert f(x) == y` into statements that keep input, output and expectation before asserting; other assertions stay."""
     try:
         tree = ast.parse(case)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return case
     out: list[ast.stmt] = []
     for node in tree.body:
@@ -143,25 +151,31 @@ def report(suite: str) -> str:
     """
     try:
         tree = ast.parse(suite)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return suite
     checks = [n for n in tree.body if isinstance(n, ast.FunctionDef) and n.name == "check" and n.args.args]
     return ast.unparse(ast.fix_missing_locations(_Reporter(checks[-1].args.args[0].arg if checks else None).visit(tree)))
 
 
-def alias(code: str, name: str) -> str:
-    """The defined function that `name` means: the same but for case and _, else the only one, else the last that no other calls."""
+def meant(code: str, name: str) -> str:
+    """The top-level function that `name` means: itself, the same but for case and _, else the only one, else the last that no other calls; empty if there is none."""
     try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError):
+        found = [n for n in ast.parse(code).body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return ""
-    names = [n.name for n in tree.body if isinstance(n, ast.FunctionDef)]
+    names = [n.name for n in found]
     plain = lambda s: s.replace("_", "").lower()
-    same = [n for n in names if plain(n) == plain(name)]
+    same = [n for n in names if n == name] or [n for n in names if plain(n) == plain(name)]
     if same or len(names) < 2:
         return (same or names or [""])[0]
-    free = [n for n in names if not any(n != f.name and _calls(f, n) for f in tree.body if isinstance(f, ast.FunctionDef))]
-    return (free or names)[-1]
+    used = {n.func.id for f in found for n in ast.walk(f) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id != f.name}
+    return ([n for n in names if n not in used] or names)[-1]
+
+
+def alias(code: str, name: str) -> str:
+    """The code with `name` bound to the function that it means, if that has another name."""
+    target = meant(code, name) if name else ""
+    return f"{code}\n{name} = {target}\n" if target and target != name else code
 
 
 def apply(f, *columns: str, kind: str = "string"):

@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: How outcomes are told apart, in order: (category, substrings any of which marks it).
+#: How errors are told apart, in order: (category, alternatives, each of substrings that must all be there).
 OUTCOMES = [
-    ("timeout", ["timeout", "timed out"]),
-    ("syntax_error", ["SyntaxError", "IndentationError"]),
-    ("missing_function", ["NameError", "is not defined"]),
-    ("wrong_answer", ["AssertionError"]),
+    ("syntax_error", [["SyntaxError"], ["IndentationError"]]),
+    ("wrong_answer", [["AssertionError"]]),
+    ("missing_function", [["NameError", "not defined"]]),
 ]
 
 
+#: A fence, whatever follows its name, to the next one or the end.
+FENCED = r"(?is)```(?:python|py\s)?\s*(.*?)(?:```|\z)"
+DEFINED = r"(?sm)^((?:def|class) \w.*)"
+
+
+def strip(text: Column) -> Column:
+    """Without ASCII white space at either end."""
+    return F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z", "")
+
+
 def strip_thinking(text: Column) -> Column:
     """What follows the first </think>, left-trimmed; the whole text without one."""
     at = F.instr(text, "</think>")
@@ -22,19 +31,28 @@ def strip_thinking(text: Column) -> Column:
 
 def fenced_code(text: Column) -> Column:
     """Body of the first code fence, to its end or the text's; null without one."""
-    body = F.regexp_extract(text, r"(?is)```(?:python|py)?[ \t]*\n(.*?)(?:```|$)", 1)
+    body = F.regexp_extract(text, FENCED, 1)
     return F.when(text.rlike("```"), F.replace(body, F.lit("\t"), F.lit("    ")))
 
 
 def unfenced_code(text: Column) -> Column:
-    """From the first top-level def or class on, the lines that belong to code, without trailing blank ones; empty if there is none.
+    """From the first top-level def or class up to the first line that is no code, without trailing blank lines; empty if there is none.
 
-    A line ends the code if it is neither blank nor indented and starts none of def, class, @, import, from or a comment.
+    A line is code if it is empty or indented, or starts with def, class or @.
     """
-    lines = F.split(F.regexp_extract(text, r"(?sm)^((?:def|class) \w.*)", 1), "\n")
-    code = lambda x: (F.trim(x) == "") | x.rlike(r"^(\s|def |class |@)")
-    kept = F.filter(lines, lambda x: code(x))
-    return F.regexp_replace(F.array_join(kept, "\n"), r"\s+$", "")
+    lines = F.split(F.regexp_extract(text, DEFINED, 1), "\n")
+    end = F.array_position(F.transform(lines, lambda x: (x == "") | x.rlike(r"^([ \t]|def |class |@)")), False)
+    kept = F.slice(lines, F.lit(1), F.when(end > 0, end - 1).otherwise(F.size(lines)).cast("int"))
+    return F.regexp_replace(F.array_join(kept, "\n"), r"\s+\z", "")
+
+
+def code_of(answer: Column) -> Column:
+    """The code of an answer, before it is parsed: after the thinking, tabs as four spaces; the first fence from its first def or class on
+    (all of it if it has none), or else the code lines."""
+    body = strip(F.replace(strip_thinking(answer), F.lit("\t"), F.lit("    ")))
+    fenced = strip(fenced_code(body))
+    defined = F.regexp_extract(fenced, DEFINED, 1)
+    return F.when(body.rlike("```"), F.when(defined != "", defined).otherwise(fenced)).otherwise(unfenced_code(body))
 
 
 def render(template: str, text: Column) -> Column:
@@ -70,14 +88,18 @@ def trailing_name(entry: Column) -> Column:
     return F.when(name == "", entry).otherwise(name)
 
 
-def outcome(passed: Column, error: Column) -> Column:
+def outcome(status: Column, error: Column) -> Column:
+    """Category of a run by its status (pass and timeout are categories themselves) and, for others, its error."""
     out = F.lit("runtime_error")
-    for category, marks in reversed(OUTCOMES):
+    for category, alternatives in reversed(OUTCOMES):
         hit = F.lit(False)
-        for m in marks:
-            hit = hit | F.contains(F.coalesce(error, F.lit("")), F.lit(m))
+        for marks in alternatives:
+            both = F.lit(True)
+            for m in marks:
+                both = both & F.contains(F.coalesce(error, F.lit("")), F.lit(m))
+            hit = hit | both
         out = F.when(hit, category).otherwise(out)
-    return F.when(passed, "pass").otherwise(out)
+    return F.when(status.isin("pass", "timeout"), status).otherwise(out)
 
 
 def shingle_ratio(text: Column, width: int = 24) -> Column:

@@ -13,11 +13,15 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with value computed once: inside a lambda it would be computed for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def softmax(z: Column, temperature: float = 1.0) -> Column:
     t = max(temperature, 1e-6)
-    top = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp((x - top) / t))
-    return F.transform(e, lambda x: x / total(e))
+    e = bound(F.struct(z.alias("z"), F.array_max(z).alias("top")), lambda b: F.transform(b["z"], lambda x: F.exp((x - b["top"]) / t)))
+    return bound(e, lambda e: bound(F.struct(e.alias("e"), total(e).alias("sum")), lambda b: F.transform(b["e"], lambda x: x / b["sum"])))
 
 
 def normalize_top_k(entries: Column, k: int, temperature: float, vocab: int) -> Column:
@@ -27,11 +31,11 @@ def normalize_top_k(entries: Column, k: int, temperature: float, vocab: int) ->
     """
     t = max(temperature, 1e-6)
     good = F.filter(F.transform(entries, lambda e: F.struct(e["id"].alias("id"), F.exp(e["logprob"] / t).alias("p"))), lambda e: (e["id"] >= 0) & (e["id"] < vocab) & (e["p"] > 0))
-    ids = F.array_distinct(F.transform(good, lambda e: e["id"]))
-    merged = F.transform(ids, lambda i, n: F.struct((-total(F.transform(F.filter(good, lambda e: e["id"] == i), lambda e: e["p"]))).alias("m"), n.alias("n"), i.alias("id")))
+    ids = lambda good: F.array_distinct(F.transform(good, lambda e: e["id"]))
+    merged = bound(good, lambda good: F.transform(ids(good), lambda i, n: F.struct((-total(F.transform(F.filter(good, lambda e: e["id"] == i), lambda e: e["p"]))).alias("m"), n.alias("n"), i.alias("id"))))
     top = F.slice(F.array_sort(merged), 1, k)
-    mass = total(F.transform(top, lambda e: -e["m"]))
-    found = F.transform(top, lambda e: F.struct(e["id"].alias("id"), (-e["m"] / mass).alias("p")))
+    massed = lambda top: F.struct(top.alias("top"), total(F.transform(top, lambda e: -e["m"])).alias("mass"))
+    found = bound(top, lambda top: bound(massed(top), lambda b: F.transform(b["top"], lambda e: F.struct(e["id"].alias("id"), (-e["m"] / b["mass"]).alias("p")))))
     return F.concat(found, F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("p")), F.lit(k) - F.size(found)))
 
 

@@ -92,13 +92,15 @@ def compare_to_reference(spark, d):
 
 
 def depth_bins(spark, d):
-    """Thirds of the depth range; empty bins are left out."""
-    rows = _vec(spark, d).select((F.col("vec_id") % 28).alias("layer"), vectors.norm(F.slice("w", 1, 8)).alias("x"))
+    """Thirds of the depth range; an empty bin has a mean of NaN."""
+    rows = _vec(spark, d).select((F.col("vec_id") % 18).alias("layer"), vectors.largest(F.col("w")).alias("x"))
     bounds = [("early", 0, 8), ("middle", 9, 17), ("late", 18, 27)]
     name = F.lit(None)
     for label, low, high in bounds:
         name = F.when(F.col("layer").between(low, high), label).otherwise(name)
-    return rows.groupBy(name.alias("depth")).agg(r6(F.avg("x"), "mean"), F.count("*").alias("n"), F.count_if(F.col("x") > 0.35).alias("worse")).select("depth", "mean", "n", F.format_string("%d/%d", "worse", "n").alias("worse"))
+    found = rows.groupBy(name.alias("depth")).agg(r6(F.avg("x"), "mean"), F.count("*").alias("n"), F.count_if(F.col("x") > 0.35).alias("worse"))
+    bins = spark.createDataFrame([(label,) for label, _, _ in bounds], "depth string").join(F.broadcast(found), "depth", "left").fillna(0, ["n", "worse"])
+    return bins.select("depth", F.coalesce("mean", F.lit(float("nan"))).alias("mean"), "n", F.format_string("%d/%d", "worse", "n").alias("worse"))
 
 
 def top_metrics(spark, d):
@@ -112,13 +114,13 @@ def size_by_bits(spark, d):
 
 
 def _dist(spark, d):
-    """Eight logits of a vector as a distribution."""
-    return _vec(spark, d).select("vec_id", "label", F.transform(F.slice("w", 1, 8), lambda x: x * 10).alias("z"))
+    """A vector's components as logits."""
+    return _vec(spark, d).select("vec_id", "label", F.transform("w", lambda x: x * 10).alias("z"))
 
 
 def topk_normalize(spark, d):
-    entries = F.transform(F.slice("w", 1, 12), lambda x, i: F.struct(F.when(i < 6, i).otherwise(i - 4).cast("bigint").alias("id"), (x * 5).alias("logprob")))
-    rows = _vec(spark, d).select("vec_id", tokens.normalize_top_k(entries, 5, 2.0, 7).alias("t"))
+    entries = F.transform("w", lambda x, i: F.struct(F.when(i < 32, i).otherwise(i - 20).cast("bigint").alias("id"), (x * 5).alias("logprob")))
+    rows = _vec(spark, d).select("vec_id", tokens.normalize_top_k(entries, 5, 2.0, 40).alias("t"))
     return rows.select("vec_id", F.posexplode("t").alias("k", "e")).select("vec_id", F.col("k").cast("int").alias("k"), F.col("e.id").alias("id"), r6(F.col("e.p"), "p"))
 
 
@@ -193,8 +195,7 @@ def _minus(a: str, b: str) -> str:
 
 
 _P = f"{_W}, p AS (SELECT a.vec_id, a.label, a.w, list_transform(list_zip(a.w, b.w), lambda z: z[1] + 0.1::DOUBLE * z[2]) AS t FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)"
-_SOFT = lambda z: f"list_transform({z}, lambda x: exp(x - list_max({z})) / list_sum(list_transform({z}, lambda y: exp(y - list_max({z})))))"
-_Z = f"{_W}, z AS (SELECT vec_id, label, list_transform(w[1:8], lambda x: x * 10) AS z FROM e), s AS (SELECT vec_id, label, {_SOFT('z')} AS p FROM z)"
+_Z = f"{_W}, z1 AS (SELECT vec_id, label, list_transform(w, lambda x: x * 10) AS z FROM e), z2 AS (SELECT *, list_max(z) AS top FROM z1), z3 AS (SELECT *, list_transform(z, lambda x: exp(x - top)) AS ex FROM z2), z4 AS (SELECT *, list_sum(ex) AS mass FROM z3), s AS (SELECT vec_id, label, list_transform(ex, lambda x: x / mass) AS p FROM z4)"
 _H = "list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN -x * ln(x) ELSE 0.0 END))"
 _TWO = f"{_Z}, two AS (SELECT a.vec_id, a.label, a.p, b.p AS q FROM s a JOIN s b ON b.vec_id = a.vec_id + 1)"
 _KL = lambda lam: f"list_sum(list_transform(list_zip(p, q), lambda v: v[1] * (ln(greatest(v[1], 1e-10)) - ln(greatest({lam}::DOUBLE * v[2] + (1 - {lam}::DOUBLE) * v[1], 1e-10)))))"
@@ -211,14 +212,14 @@ ORACLES = {
     "gap_changes": f"WITH {_W}, m AS (SELECT vec_id, list_transform(range(0, 8), lambda g: list_max(list_transform(w[g * 8 + 1 : g * 8 + 8], lambda x: abs(x)))) AS m FROM e), p AS (SELECT vec_id, list_filter(range(1, 8), lambda i: abs(m[i + 1] - m[i]) > 0.25::DOUBLE * m[i]) AS p FROM m) SELECT vec_id, len(p)::INT AS points, CASE WHEN len(p) > 1 THEN list_sort(list_transform(range(2, len(p) + 1), lambda i: p[i] - p[i - 1]))[(len(p) - 1) // 2 + 1] END::INT AS gap FROM p",
     "int8_error_weights": f"WITH {_W}, a AS (SELECT vec_id, label, w, list_min(w) AS lo, greatest((list_max(w) - list_min(w)) / 255, 1e-8) AS sc FROM e), b AS (SELECT vec_id, label, sqrt({_S('list_transform(w, lambda y: y - (greatest(least(round_even((y - lo) / sc, 0), 255.0), 0.0) * sc + lo))')}) AS er FROM a) SELECT vec_id, round(CASE WHEN sum(er) OVER g > 0 THEN er * count(*) OVER g / sum(er) OVER g ELSE 1.0 END, 6) AS weight FROM b WINDOW g AS (PARTITION BY label)",
     "compare_to_reference": f"WITH {_W}, u AS (SELECT vec_id, w, {_q('w', 4, 16)} AS a, {_q('w', 8, 0)} AS b FROM e) SELECT vec_id, round(sqrt({_S(_minus('a', 'b'))}) / sqrt({_S('b')}), 6) AS rel, round({_S(_minus('b', 'a'))} / {_S('b')}, 6) AS nmse, round(sqrt({_S(_minus('w', 'a'))} / 64) * sqrt(12.0), 6) AS step FROM u",
-    "depth_bins": f"WITH {_W}, u AS (SELECT vec_id % 28 AS layer, sqrt({_S('w[1:8]')}) AS x FROM e) SELECT CASE WHEN layer <= 8 THEN 'early' WHEN layer <= 17 THEN 'middle' ELSE 'late' END AS depth, round(avg(x), 6) AS mean, count(*) AS n, (count(*) FILTER (x > 0.35::DOUBLE)) || '/' || count(*) AS worse FROM u GROUP BY 1",
+    "depth_bins": f"WITH {_W}, u AS (SELECT vec_id % 18 AS layer, list_max(list_transform(w, lambda x: abs(x))) AS x FROM e), b(depth, low, high) AS (VALUES ('early', 0, 8), ('middle', 9, 17), ('late', 18, 27)) SELECT depth, coalesce(round(avg(x), 6), 'nan'::DOUBLE) AS mean, count(x) AS n, (count(*) FILTER (x > 0.35::DOUBLE)) || '/' || count(x) AS worse FROM b LEFT JOIN u ON layer BETWEEN low AND high GROUP BY 1",
     "top_metrics": f"WITH {_W} SELECT vec_id, round(list_max(list_transform(w, lambda x: abs(x))), 6) AS max_abs FROM e ORDER BY max_abs DESC, vec_id LIMIT 5",
     "size_by_bits": "SELECT sum(len(embedding) * 4)::BIGINT AS fp32, sum(len(embedding) * 4) / 2.0::DOUBLE AS bf16, sum(len(embedding) * 4) / 4.0::DOUBLE AS int8, sum(len(embedding) * 4) / 8.0::DOUBLE AS int4 FROM embeddings",
-    "topk_normalize": f"""WITH {_W}, x AS (SELECT vec_id, unnest(range(0, 12)) AS i, w FROM e), y AS (SELECT vec_id, i, CASE WHEN i < 6 THEN i ELSE i - 4 END AS id, exp(w[i + 1] * 5 / 2.0::DOUBLE) AS p FROM x), g AS (SELECT vec_id, id, sum(p) AS p, min(i) AS i FROM y WHERE id < 7 AND p > 0 GROUP BY 1, 2),
+    "topk_normalize": f"""WITH {_W}, x AS (SELECT vec_id, unnest(range(0, 64)) AS i, w FROM e), y AS (SELECT vec_id, i, CASE WHEN i < 32 THEN i ELSE i - 20 END AS id, exp(w[i + 1] * 5 / 2.0::DOUBLE) AS p FROM x), g AS (SELECT vec_id, id, sum(p) AS p, min(i) AS i FROM y WHERE id < 40 AND p > 0 GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS k FROM g) SELECT vec_id, (k - 1)::INT AS k, id, round(p / sum(p) OVER (PARTITION BY vec_id), 6) AS p FROM r WHERE k <= 5""",
-    "entropy_weights": f"WITH {_Z}, h AS (SELECT vec_id, {_H} AS h FROM s) SELECT vec_id, round(h, 6) AS entropy, round(exp(h), 6) AS effective_k, round(1 - greatest(least(h / ln(8.0), 1.0), 0.0), 6) + 0.0 AS confidence, round(greatest(least(h / ln(8.0), 1.0), 0.0) * 0.7::DOUBLE + 0.3::DOUBLE, 6) AS focus FROM h",
+    "entropy_weights": f"WITH {_Z}, h AS (SELECT vec_id, {_H} AS h FROM s) SELECT vec_id, round(h, 6) AS entropy, round(exp(h), 6) AS effective_k, round(1 - greatest(least(h / ln(64.0), 1.0), 0.0), 6) + 0.0 AS confidence, round(greatest(least(h / ln(64.0), 1.0), 0.0) * 0.7::DOUBLE + 0.3::DOUBLE, 6) AS focus FROM h",
     "soft_signal": f"WITH {_Z}, h AS (SELECT exp({_H}) AS k, list_max(p) AS top FROM s) SELECT round(avg(k), 6) AS effective_k, round(avg(top), 6) AS top_1, count(*) FILTER (top > 0.9::DOUBLE) AS peaked, count(*) FILTER (k > 4) AS broad FROM h",
-    "skew_kl": f"WITH {_TWO}, l AS (SELECT label, {_KL(0.9)} AS l, -ln(q[1]) AS ce, greatest(least({_H} / ln(8.0), 1.0), 0.0) * 0.7::DOUBLE + 0.3::DOUBLE AS wt FROM two), g AS (SELECT label, sum(l * wt) / greatest(sum(wt), 1e-8) AS loss, avg(ce) AS ce FROM l GROUP BY label) SELECT label, round(loss, 6) AS loss, round(0.7::DOUBLE * loss + 0.3::DOUBLE * ce, 6) AS mixed, round(greatest(least(0.5::DOUBLE + 0.4::DOUBLE * tanh(loss / 4), 0.9::DOUBLE), 0.5::DOUBLE), 6) AS \"lambda\" FROM g",
+    "skew_kl": f"WITH {_TWO}, l AS (SELECT label, {_KL(0.9)} AS l, -ln(q[1]) AS ce, greatest(least({_H} / ln(64.0), 1.0), 0.0) * 0.7::DOUBLE + 0.3::DOUBLE AS wt FROM two), g AS (SELECT label, sum(l * wt) / greatest(sum(wt), 1e-8) AS loss, avg(ce) AS ce FROM l GROUP BY label) SELECT label, round(loss, 6) AS loss, round(0.7::DOUBLE * loss + 0.3::DOUBLE * ce, 6) AS mixed, round(greatest(least(0.5::DOUBLE + 0.4::DOUBLE * tanh(loss / 4), 0.9::DOUBLE), 0.5::DOUBLE), 6) AS \"lambda\" FROM g",
     "top1_agreement": f"WITH {_TWO}, u AS (SELECT p, q, list_position(p, list_max(p)) AS a, list_position(q, list_max(q)) AS b FROM two) SELECT round(avg((a = b)::INT), 6) AS agreement, round(avg({_KL(1.0)}), 6) AS kl, round(avg(CASE WHEN a = b THEN {_H} END), 6) AS entropy_same, count(*) FILTER (q[a] < list_reverse_sort(q)[3]) AS fell_out FROM u",
     "offset_align": "WITH r AS (SELECT conv_id, max(turn) AS pl, count(*) AS n FROM conversations GROUP BY conv_id), s AS (SELECT conv_id, unnest(range(0, n + 2)) AS pos, pl FROM r) SELECT conv_id, pos, CASE WHEN pos - pl + 1 >= 0 THEN pos - pl + 2 ELSE 0 END AS v FROM s",
     "score_tables_join": "WITH t AS (SELECT DISTINCT conv_id AS idx, turn AS pos, role FROM conversations) SELECT idx, count(*) AS positions FROM t WHERE pos < 6 AND idx % 2 = 0 AND role <> 'system' GROUP BY idx",

@@ -61,7 +61,7 @@ def fixed_width_table(spark, d):
 def solution_lines(spark, d):
     """{task_id, solution} lines written and reread."""
     path = scratch.folder(spark, "solutions")
-    sinks.solutions(table(spark, d, "benchmark").select(F.concat(F.lit("task/"), F.col("item_id").cast("string")).alias("task_id"), F.substring("text", 1, 30).alias("solution")), path)
+    sinks.solutions(table(spark, d, "benchmark").select(F.concat(F.lit("task/"), F.col("item_id").cast("string")).alias("task_id"), F.col("text").alias("solution")), path)
     return spark.read.schema("task_id string, solution string").json(path)
 
 
@@ -72,6 +72,6 @@ ORACLES = {
     "event_status": "WITH r AS (SELECT user_id AS run, event_id::DOUBLE AS t, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) SELECT run, t, event_type FROM r WHERE k = 1",
     "failure_report": f"WITH {SAMPLES_SQL}, h AS (SELECT idx, substr('def f' || min(j) || '(): pass', 1, 12) AS code FROM samples WHERE solved GROUP BY idx), l AS (SELECT idx, string_agg('- ' || category || ': at line ' || total, chr(10) ORDER BY j) AS l FROM samples WHERE NOT solved AND j <= 2 GROUP BY idx) SELECT idx, concat_ws(chr(10), '## Problem ' || idx, '```python', code, '```', l) AS section FROM h LEFT JOIN l USING (idx)",
     "fixed_width_table": "SELECT rpad(n_name, 20, ' ') || ' ' || lpad(n_nationkey::VARCHAR, 6, ' ') || ' ' || lpad(n_regionkey::VARCHAR, 4, ' ') AS line FROM nation",
-    "solution_lines": "SELECT 'task/' || item_id AS task_id, substr(text, 1, 30) AS solution FROM benchmark",
+    "solution_lines": "SELECT 'task/' || item_id AS task_id, text AS solution FROM benchmark",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}

@@ -21,36 +21,44 @@ _CODE = [
 ]
 
 
+#: Errors whose marks collide.
+_ERRORS = [
+    "x: AssertionError", "AssertionError: NameError: name f is not defined", "NameError: name f is not defined", "NameError: free variable", "ValueError: timeout must be positive", "it is not defined",
+    "IndentationError after AssertionError", "SyntaxError: NameError is not defined", "ZeroDivisionError", "",
+]
+
+
 def _raw(spark):
     return spark.createDataFrame(_RAW, "id int, text string, tests string, entry string")
 
 
 def strip_thinking(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>"), F.substring("text", 1, 40), F.lit("</think>\n  "), F.substring("text", 41, 40))).otherwise(F.substring("text", 1, 40)).alias("t"))
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>"), F.col("text"), F.lit("</think>\n  "), F.col("text"))).otherwise(F.col("text")).alias("t"))
     return rows.select("doc_id", text.strip_thinking(F.col("t")).alias("answer"))
 
 
 def fence_extract(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x\n```Python\n\t"), F.replace(F.substring("text", 1, 30), F.lit("\n"), F.lit(" ")), F.when(F.col("doc_id") % 4 == 0, "\n```\ny").otherwise(""))).otherwise(F.substring("text", 1, 30)).alias("t"))
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x\n```Python"), F.when(F.col("doc_id") % 8 < 4, "\n\t").otherwise(" "), F.lit("y = 1\n\t"), F.col("text"), F.when(F.col("doc_id") % 4 == 0, "\n```\ny").otherwise(""))).otherwise(F.col("text")).alias("t"))
     return rows.select("doc_id", text.fenced_code(F.col("t")).alias("code"))
 
 
 def prompt_render(spark, d):
     rows = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
-    prompt = text.with_signature(text.render("Solve:\n{text}\n", F.substring("text", 1, 50)), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("def f"), F.col("turn").cast("string"), F.lit("():"))))
+    prompt = text.with_signature(text.render("Solve:\n{text}\n", F.col("text")), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("def f"), F.col("turn").cast("string"), F.lit("():"))))
     prompt = text.with_suffixes(prompt, cp=(F.col("turn") > 2, "Read from stdin."), budget=(F.col("conv_id") % 3 == 0, "Be brief."))
     return rows.select("conv_id", "turn", prompt.alias("prompt"))
 
 
 def chat_turn_assembly(spark, d):
     rows = table(spark, d, "conversations").where("role = 'user'")
-    messages = text.chat(F.lit("You solve tasks."), F.substring("text", 1, 60))
+    messages = text.chat(F.lit("You solve tasks."), F.col("text"))
     return rows.select("conv_id", "turn", F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("messages"))
 
 
 def classify_outcome(spark, d):
-    error = F.when(F.col("event_type") == "error", "x: AssertionError").when(F.col("event_type") == "view", "NameError: name 'f' is not defined").when(F.col("event_type") == "purchase", "Timed out; timed out after 3s").when(F.col("event_type") == "signup", "ZeroDivisionError")
-    return table(spark, d, "events").select("event_id", text.outcome(F.col("event_type") == "click", error).alias("outcome"))
+    error = F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % len(_ERRORS) + 1).cast("int"))
+    status = F.when(F.col("event_type") == "click", "pass").when(F.col("event_type") == "purchase", "timeout").otherwise("fail")
+    return table(spark, d, "events").select("event_id", text.outcome(status, error).alias("outcome"))
 
 
 def entry_point_names(spark, d):
@@ -58,9 +66,11 @@ def entry_point_names(spark, d):
 
 
 def row_normalization(spark, d):
-    """Null to empty, trim, drop rows without text."""
-    rows = table(spark, d, "documents").select("doc_id", F.trim(F.coalesce(F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("  "), F.substring("text", 1, 20), F.lit(" "))), F.lit(""))).alias("text"), F.trim(F.coalesce("lang", F.lit(""))).alias("lang"))
-    return rows.where("text <> ''")
+    """Five fields: null to empty and trimmed, the entry point's last name; rows without text go."""
+    padded = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit(" \n "), F.col("text"), F.lit("\t ")))
+    fields = {"text": padded, "code": F.when(F.col("doc_id") % 3 != 0, F.col("text")), "test_cases": F.col("lang"), "entry_point": F.concat_ws(".", "lang", "source"), "difficulty": F.concat(F.lit(" "), F.col("source"))}
+    rows = table(spark, d, "documents").select("doc_id", *[text.strip(F.coalesce(c, F.lit(""))).alias(n) for n, c in fields.items()])
+    return rows.where("text <> ''").withColumn("entry_point", text.trailing_name(F.col("entry_point")))
 
 
 def shingle_ratio(spark, d):
@@ -132,27 +142,25 @@ def code_tools(spark, d):
     rows = spark.createDataFrame(_CODE, "id int, code string, tests string, name string")
     use, c = source_code.apply, source_code
     return rows.select(
-        "id", use(c.largest_prefix, "code").alias("prefix"), use(c.unwrap, "code").alias("unwrapped"), F.array_join(use(c.split_tests, "tests", kind="array<string>"), "\n--\n").alias("cases"),
-        use(c.call_signature, "tests", "name").alias("called"), use(c.definition_signature, "code", "name").alias("defined"), use(c.alias, "code", "name").alias("alias"), use(c.report, "tests").alias("instrumented"),
+        "id", use(c.largest_prefix, "code").alias("prefix"), use(c.unwrap, "code").alias("unwrapped"), F.array_join(use(c.split_tests, "tests", "name", kind="array<string>"), "\n--\n").alias("cases"),
+        use(c.call_signature, "tests", "name").alias("called"), use(c.definition_signature, "code", "name").alias("defined"), use(c.alias, "code", "name").alias("bound"), use(c.report, "tests").alias("instrumented"),
     )
 
 
 def code_extraction(spark, d):
-    """Thinking stripped, then the fenced code, or else the code lines; the largest prefix that parses (rows only)."""
-    answer = text.strip_thinking(F.col("text"))
-    found = F.coalesce(text.fenced_code(answer), text.unfenced_code(answer))
-    return _raw(spark).select("id", source_code.apply(source_code.largest_prefix, found).alias("code"))
+    """An answer's code, the largest prefix that parses, out of its Solution class (rows only)."""
+    return _raw(spark).select("id", source_code.apply(source_code.unwrap, text.code_of(F.col("text"))).alias("code"))
 
 
 _LIT = "(VALUES (1, 'check(f)', 'f'), (2, 'assert g(1, 2) == 3' || chr(10) || 'assert g(2, 2) == 4', 'mod.g'), (3, 'assert candidate(1)' || chr(10) || 'check(candidate)', ''), (4, '', 'x.y.h')) v(id, tests, entry)"
 ORACLES = {
-    "strip_thinking": r"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<think>' || substr(text, 1, 40) || '</think>' || chr(10) || '  ' || substr(text, 41, 40) ELSE substr(text, 1, 40) END AS t FROM documents) SELECT doc_id, CASE WHEN strpos(t, '</think>') > 0 THEN regexp_replace(substr(t, strpos(t, '</think>') + 8), '^\s+', '') ELSE t END AS answer FROM t",
-    "fence_extract": r"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'x' || chr(10) || '```Python' || chr(10) || chr(9) || replace(substr(text, 1, 30), chr(10), ' ') || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '```' || chr(10) || 'y' ELSE '' END ELSE substr(text, 1, 30) END AS t FROM documents) SELECT doc_id, CASE WHEN contains(t, '```') THEN replace(regexp_extract(t, '(?is)```(?:python|py)?[ \t]*\n(.*?)(?:```|$)', 1), chr(9), '    ') END AS code FROM t",
-    "prompt_render": "SELECT conv_id, turn, (CASE WHEN turn % 2 = 0 THEN rtrim('Solve:' || chr(10) || substr(text, 1, 50) || chr(10), ' ') || chr(10) || chr(10) || '```python' || chr(10) || 'def f' || turn || '():' || chr(10) || '```' ELSE 'Solve:' || chr(10) || substr(text, 1, 50) || chr(10) END) || CASE WHEN turn > 2 THEN chr(10) || 'Read from stdin.' ELSE '' END || CASE WHEN conv_id % 3 = 0 THEN chr(10) || 'Be brief.' ELSE '' END AS prompt FROM conversations WHERE role = 'user'",
-    "chat_turn_assembly": "SELECT conv_id, turn, 'system: You solve tasks.' || chr(10) || 'user: ' || substr(text, 1, 60) AS messages FROM conversations WHERE role = 'user'",
-    "classify_outcome": "SELECT event_id, CASE event_type WHEN 'click' THEN 'pass' WHEN 'error' THEN 'wrong_answer' WHEN 'view' THEN 'missing_function' WHEN 'purchase' THEN 'timeout' ELSE 'runtime_error' END AS outcome FROM events",
+    "strip_thinking": r"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<think>' || text || '</think>' || chr(10) || '  ' || text ELSE text END AS t FROM documents) SELECT doc_id, CASE WHEN strpos(t, '</think>') > 0 THEN regexp_replace(substr(t, strpos(t, '</think>') + 8), '^\s+', '') ELSE t END AS answer FROM t",
+    "fence_extract": r"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'x' || chr(10) || '```Python' || CASE WHEN doc_id % 8 < 4 THEN chr(10) || chr(9) ELSE ' ' END || 'y = 1' || chr(10) || chr(9) || text || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '```' || chr(10) || 'y' ELSE '' END ELSE text END AS t FROM documents) SELECT doc_id, CASE WHEN contains(t, '```') THEN replace(regexp_extract(t, '(?is)```(?:python|py\s)?\s*(.*?)(?:```|\z)', 1), chr(9), '    ') END AS code FROM t",
+    "prompt_render": "SELECT conv_id, turn, (CASE WHEN turn % 2 = 0 THEN rtrim('Solve:' || chr(10) || text || chr(10), ' ') || chr(10) || chr(10) || '```python' || chr(10) || 'def f' || turn || '():' || chr(10) || '```' ELSE 'Solve:' || chr(10) || text || chr(10) END) || CASE WHEN turn > 2 THEN chr(10) || 'Read from stdin.' ELSE '' END || CASE WHEN conv_id % 3 = 0 THEN chr(10) || 'Be brief.' ELSE '' END AS prompt FROM conversations WHERE role = 'user'",
+    "chat_turn_assembly": "SELECT conv_id, turn, 'system: You solve tasks.' || chr(10) || 'user: ' || text AS messages FROM conversations WHERE role = 'user'",
+    "classify_outcome": f"WITH t AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'pass' WHEN 'purchase' THEN 'timeout' ELSE 'fail' END AS s, {_ERRORS}[event_id % {len(_ERRORS)} + 1] AS e FROM events) SELECT event_id, CASE WHEN s <> 'fail' THEN s WHEN contains(e, 'SyntaxError') OR contains(e, 'IndentationError') THEN 'syntax_error' WHEN contains(e, 'AssertionError') THEN 'wrong_answer' WHEN contains(e, 'NameError') AND contains(e, 'not defined') THEN 'missing_function' ELSE 'runtime_error' END AS outcome FROM t",
     "entry_point_names": rf"SELECT id, array_to_string(list_filter(list_distinct(list_concat(regexp_extract_all(tests, 'check\((\w+)\)', 1), regexp_extract_all(tests, 'assert (\w+)\(', 1))), lambda x: x <> 'candidate'), ',') AS names, CASE WHEN regexp_extract(entry, '(\w+)$', 1) = '' THEN entry ELSE regexp_extract(entry, '(\w+)$', 1) END AS entry FROM {_LIT}",
-    "row_normalization": "WITH t AS (SELECT doc_id, trim(coalesce(CASE WHEN doc_id % 5 <> 0 THEN '  ' || substr(text, 1, 20) || ' ' END, '')) AS text, trim(coalesce(lang, '')) AS lang FROM documents) SELECT * FROM t WHERE text <> ''",
+    "row_normalization": r"WITH t AS (SELECT doc_id, regexp_replace(coalesce(CASE WHEN doc_id % 5 <> 0 THEN ' ' || chr(10) || ' ' || text || chr(9) || ' ' END, ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g') AS text, regexp_replace(coalesce(CASE WHEN doc_id % 3 <> 0 THEN text END, ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g') AS code, regexp_replace(coalesce(lang, ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g') AS test_cases, concat_ws('.', lang, source) AS entry_point, regexp_replace(coalesce(' ' || source, ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g') AS difficulty FROM documents) SELECT doc_id, text, code, test_cases, CASE WHEN regexp_extract(entry_point, '(\w+)$', 1) = '' THEN entry_point ELSE regexp_extract(entry_point, '(\w+)$', 1) END AS entry_point, difficulty FROM t WHERE text <> ''",
     "shingle_ratio": "WITH r AS (SELECT doc_id, CASE WHEN length(text) < 48 THEN 1.0 ELSE len(list_distinct(list_transform(range(1, length(text) - 23), lambda i: substr(text, i, 24))))::DOUBLE / (length(text) - 24) END AS x FROM documents) SELECT doc_id, round(x, 6) AS ratio, x < 0.6::DOUBLE AS degenerate FROM r",
     "text_forms": r"SELECT doc_id, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 40) AS clip, replace(source, ' ', '_') || '_a_b' AS label, substr(md5(text), 1, 8) AS hash, source || ':' || n_chars AS fingerprint, printf('%dh %02dm %02ds', n_chars * 7 // 3600, n_chars * 7 % 3600 // 60, n_chars * 7 % 60) AS clock, (doc_id % 28)::VARCHAR AS layer, lang AS proj, substr(array_to_string(string_split(text, chr(10))[1:2], ' '), 1, 160) AS head FROM documents",
     "name_filter": "SELECT p_partkey, (p_partkey % 28)::INT AS layer, ['q_proj', 'k_proj', 'v_proj', 'o_proj', 'gate_proj', 'up_proj', 'down_proj', 'norm'][(p_partkey % 8) + 1] AS proj FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 8 <> 7",
