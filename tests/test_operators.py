@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,11 +92,16 @@ def test_budget_packing_admits_an_oversized_item_alone(spark):
 
 
 def test_text_functions(spark):
-    rows = spark.createDataFrame([("<think>a</think>\n b",), ("plain",), ("```py\nx\t= 1\n``` end",), ("hi\ndef f(x):\n    return x\n\nbye",)], "t string")
+    rows = spark.createDataFrame([("<think>a</think>\n b",), ("plain",), ("```py\nx\t= 1\n``` end",), ("hi\ndef f(x):\n    return x\n\nbye\n  indented\n@mention",), ("x ```python x = 1",), ("```\nintro\ndef g():\n\treturn 1\n```",)], "t string")
     got = rows.select(text.strip_thinking(F.col("t")).alias("s"), text.fenced_code(F.col("t")).alias("f"), text.unfenced_code(F.col("t")).alias("u")).collect()
     assert [r["s"] for r in got][:2] == ["b", "plain"]
     assert got[2]["f"] == "x    = 1\n" and got[1]["f"] is None
     assert got[3]["u"] == "def f(x):\n    return x" and got[1]["u"] == ""
+    assert got[4]["f"] == "x = 1"
+    assert [r[0] for r in rows.select(text.code_of(F.col("t"))).collect()][2:] == ["x    = 1", "def f(x):\n    return x", "x = 1", "def g():\n    return 1"]
+    errors = [("fail", "AssertionError: NameError: x is not defined"), ("fail", "ValueError: timeout must be positive"), ("fail", "NameError: free"), ("fail", "NameError: name 'f' is not defined"), ("timeout", "SyntaxError"), ("pass", "x"), ("fail", None), ("fail", "AssertionError in SyntaxError")]
+    kinds = spark.createDataFrame(errors, "s string, e string").select(text.outcome(F.col("s"), F.col("e"))).collect()
+    assert [r[0] for r in kinds] == ["wrong_answer", "runtime_error", "runtime_error", "missing_function", "timeout", "pass", "runtime_error", "syntax_error"]
 
 
 def test_shingle_ratio_leaves_the_last_out(spark):
@@ -113,11 +119,22 @@ def test_source_code_tools():
     assert c.largest_prefix("x = 1\ny = (\n") == "x = 1"
     assert c.largest_prefix("") == ""
     assert "def add(a):" in c.unwrap("class Solution:\n    def add(self, a):\n        return self.add(a)") and "self" not in c.unwrap("class Solution:\n    def add(self, a):\n        return self.add(a)")
-    assert c.split_tests("def check(candidate):\n    y = 1\n    assert candidate(y)\n    assert candidate(2) == 3") == ["y = 1\nassert candidate(y)", "y = 1\nassert candidate(2) == 3"]
-    assert c.call_signature("assert f(1) == f(1, 2, k=3)", "f") == "def f(a0, a1, k):"
+    cases = c.split_tests("import math\n\ndef near(a):\n    return a\n\ndef check(candidate):\n    y = math.pi\n    assert near(candidate(2)) == 3", "f")
+    assert cases == [f"import math\ndef near(a):\n    return a\ndef check(candidate):\n    {x}\ncheck(f)" for x in ("y = math.pi", "assert near(candidate(2)) == 3")]
+    assert c.split_tests("x = 1", "f") == c.split_tests("def check(", "f") == c.split_tests(" ", "f") == []
+    assert c.call_signature("assert candidate(1) == candidate(nums, 2, k=3)\ncandidate(a, b)", "f") == "def f(nums, arg1, k):"
+    assert c.call_signature("assert f(1)", "f") == c.call_signature("candidate()", "f") == ""
+    assert c.largest_prefix("x = 1  \n\n") == "x = 1" and c.largest_prefix("a = 1\nb = \0") == "a = 1" and c.largest_prefix("(" * 100_000) == ""
+    whole = c.unwrap("import re\nclass Solution:\n    K: int = 3\n    def __init__(self):\n        pass\n    async def go(self):\n        return self.K\n    def f(self, x):\n        return x + self.K\nbroken (")
+    space = {}
+    exec(whole, space)
+    assert space["f"](1) == 4 and "async def go()" in whole and "import re" in whole and "self" not in whole and "__init__" not in whole
+    assert c.unwrap("x = (\n") == "" and c.unwrap("def f(): pass\n") == "def f(): pass"
     assert c.definition_signature("def g(a, b=2): pass", "f") == "def g(a, b=2):"
-    assert c.alias("def addTwo(a): return helper(a)\ndef helper(a): return a", "add_two") == "addTwo"
-    assert c.alias("def one(a): return two(a)\ndef two(a): return a", "zzz") == "one"
+    assert c.meant("def addTwo(a): return helper(a)\ndef helper(a): return a", "add_two") == "addTwo"
+    assert c.meant("def one(a): return two(a)\ndef two(a): return a", "zzz") == "one"
+    assert c.alias("async def addTwo(a): pass", "add_two") == "async def addTwo(a): pass\nadd_two = addTwo\n"
+    assert c.alias("def f(): pass", "f") == c.alias("def f(): pass", "") == "def f(): pass" and c.alias("x = (", "f") == "x = ("
     assert "assert _out == _want" in c.instrument("assert f(1) == 2") and c.instrument("assert f(1)") == "assert f(1)"
 
 
@@ -190,3 +207,45 @@ def test_code_tools_instruments_asserts_inside_check(spark, sf_dir):
 
     row = texts.code_tools(spark, sf_dir).where("id = 2").first()
     assert "assert " not in row["instrumented"] and "Input:" in row["instrumented"]
+
+
+def test_resamples_follow_the_exact_distribution(spark):
+    """Interval ends of 20,000 resamples against quantiles of the exact distribution of the resampled sum."""
+    n, b, c, iters = 60, 9, 17, 20_000
+    single, exact = np.array([b, n - b - c, c]) / n, np.array([1.0])
+    for _ in range(n):
+        exact = np.convolve(exact, single)
+    below = np.cumsum(exact)
+    places = {"low": 500, "high": 19_500}
+    assert stats.interval_places(iters) == (500, 19_500) and stats.interval_places_minus_one(iters, 0.95) == (500, 19_499)
+    counts = spark.createDataFrame([(n, b, c)], "n long, b long, c long")
+    row = stats.order_statistics(stats.bootstrap_sums(counts, iters), "total", places).first()
+    again = stats.order_statistics(stats.bootstrap_sums(counts, iters), "total", places).first()
+    other = stats.grouped_intervals(counts, ["n", "b", "c"], iters, places).first()
+    for got in (row, other):
+        for name, q in (("low", 0.025), ("high", 0.975)):
+            want = int(np.searchsorted(below, q)) - n
+            assert abs(got[name] - want) <= 1
+    assert row == again
+    none = stats.bootstrap_sums(spark.createDataFrame([(0, 0, 0)], "n long, b long, c long"), 10).collect()
+    assert [r["total"] for r in none] == [0] * 10
+
+
+def test_clustered_resamples(spark):
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=400)
+    rows = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(7)
+    means = np.array([r["mean"] for r in stats.clustered_bootstrap_means(rows, "x", 3000).collect()])
+    assert len(means) == 3000 and means.mean() == pytest.approx(x.mean(), abs=0.01) and means.std() == pytest.approx(x.std() / 20, rel=0.08)
+
+
+def test_mcnemar_of_large_counts(spark):
+    pairs = [(0, 0), (0, 5), (3, 9), (40, 60), (500_000, 501_500), (10**9, 10**9 + 150_000), (7, 10**7)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "b bigint, c bigint").select(stats.mcnemar(F.col("b"), F.col("c"))).collect()]
+    for (b, c), p in zip(pairs, got):
+        n, m = b + c, min(b, c)
+        if n < 10**6:
+            want = min(1.0, 2 * sum(math.comb(n, i) for i in range(m + 1)) / 2**n)
+        else:  # with the correction for continuity the normal approximation is exact enough here
+            want = min(1.0, math.erfc((abs(b - c) - 1) / math.sqrt(2 * n)))
+        assert p == pytest.approx(want, rel=1e-3, abs=1e-12), (b, c)

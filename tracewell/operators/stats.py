@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.ordering import materialized
+
+SEED = 20_240_515
+
 
 def paired(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """(idx, by..., solved) of two models -> discordant counts b (only a) and c (only b) over the common problems."""
@@ -15,11 +24,12 @@ def paired(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
 def mcnemar(b: Column, c: Column) -> Column:
     """Exact two-sided p: min(1, 2 sum_{i <= min(b, c)} C(n, i) / 2^n), 1 for n = 0.
 
-    Terms are taken relative to the largest, whose logarithm is a sum, so that no n overflows.
+    Terms are taken relative to the largest, whose logarithm comes from log-gamma, so that no n overflows. They fall by a
+    growing ratio from it: those beyond 20 sqrt(n) + 60 are below exp(-800) of it, so the array is as long as the root of the counts.
     """
     n, m = (b + c).cast("double"), F.least(b, c)
-    steps = F.when(m > 0, F.sequence(F.lit(1).cast("bigint"), m)).otherwise(F.array().cast("array<bigint>"))
-    log_top = F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.log((n - m + i) / i)) - n * F.log(F.lit(2.0))
+    steps = F.when(m > 0, F.sequence(F.lit(1).cast("bigint"), F.least(m, F.ceil(20 * F.sqrt(n)) + 60))).otherwise(F.array().cast("array<bigint>"))
+    log_top = log_factorial(n) - log_factorial(m.cast("double")) - log_factorial(n - m) - n * F.log(F.lit(2.0))
     zero = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
 
     def down(s, k):
@@ -31,26 +41,61 @@ def mcnemar(b: Column, c: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * rest * F.exp(log_top)))
 
 
+def log_factorial(n: Column) -> Column:
+    """log n! by Stirling's series from n + 10 on, from which ten factors lead back."""
+    x = n + 11.0
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    back = F.lit(0.0)
+    for k in range(1, 11):
+        back = back + F.log(n + float(k))
+    return series - back
+
+
 def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
 
 
-def draw(i: Column, j: Column, n: Column) -> Column:
-    """Draw j of resample i: a place below n, the same in any engine that has md5."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", i.cast("string"), j.cast("string"))), 1, 8), 16, 10).cast("bigint") % n
+def bootstrap_sums(counts: DataFrame, iters: int, seed: int = SEED) -> DataFrame:
+    """(n, b, c), one row -> (i, total): sums of the differences in each of `iters` resamples of the n pairs.
 
+    A difference is -1 (b of them), 1 (c) or 0, so the numbers of each kind in a resample of n are one
+    multinomial draw, whatever n is: no pair is drawn, and a resample costs the same for ten pairs as for ten billion.
+    """
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            totals = []
+            for i, n, b, c in zip(df["i"], df["n"], df["b"], df["c"]):
+                worse, better, _ = np.random.default_rng([seed, i]).multinomial(n, [b / n, c / n, (n - b - c) / n]) if n else (0, 0, 0)
+                totals.append(int(better) - int(worse))
+            yield pd.DataFrame({"i": df["i"], "total": totals})
+
+    spread = counts.sparkSession.range(iters).withColumnRenamed("id", "i")
+    return spread.join(F.broadcast(counts.select("n", "b", "c"))).mapInPandas(draw, "i long, total long")  # counts is one row
 
-def bootstrap_sums(counts: DataFrame, iters: int) -> DataFrame:
-    """(n, b, c), one row -> (i, total): sums of resampled differences.
 
-    A difference is -1 (b of them), 1 (c) or 0, so a draw needs the counts alone and no join with the
-    pairs: the draws are made where they are summed, and only partial sums are shuffled.
+def clustered_bootstrap_means(clusters: DataFrame, value: str, iters: int, seed: int = SEED) -> DataFrame:
+    """(i, mean): the mean of `value` over each of `iters` resamples of the rows (one a cluster).
+
+    How many draws of a resample fall to each stored partition is one multinomial draw, which every task repeats from the same seed; a task then
+    draws among its own rows, and only a sum for each resample and task is shuffled.
     """
-    draws = counts.crossJoin(counts.sparkSession.range(iters).withColumnRenamed("id", "i"))
-    draws = draws.select("i", "n", "b", "c", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).otherwise(F.array().cast("array<bigint>"))).alias("j"))
-    at = draw(F.col("i"), F.col("j"), F.col("n"))
-    value = F.when(at < F.col("b"), -1).when(at < F.col("b") + F.col("c"), 1).otherwise(0)
-    return draws.groupBy("i").agg(F.sum(value).alias("total"))
+    stored = materialized(clusters.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x")).withColumn("part", F.spark_partition_id()))
+    sizes = {r["part"]: r["n"] for r in stored.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()}  # a row for each partition
+    parts, total = sorted(sizes), sum(sizes.values())
+    shares = np.array([sizes[p] / total for p in parts])
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [df for df in batches if len(df)]
+        if held:
+            part, x = int(held[0]["part"].iloc[0]), np.concatenate([df["x"].to_numpy() for df in held])
+            at, sums = parts.index(part), np.zeros(iters)
+            for i in range(iters):
+                mine = np.random.default_rng([seed, i]).multinomial(total, shares)[at]
+                sums[i] = x[np.random.default_rng([seed, i, part]).integers(0, len(x), mine)].sum()
+            yield pd.DataFrame({"i": np.arange(iters), "sum": sums})
+
+    return stored.select("x", "part").mapInPandas(draw, "i long, sum double").groupBy("i").agg((F.sum("sum") / F.lit(total)).alias("mean"))
 
 
 def order_statistics(sums: DataFrame, value: str, places: dict[str, int]) -> DataFrame:
@@ -59,6 +104,24 @@ def order_statistics(sums: DataFrame, value: str, places: dict[str, int]) -> Dat
     return ordered.select(*[F.get("a", F.lit(k)).alias(name) for name, k in places.items()])
 
 
+def grouped_intervals(counts: DataFrame, by: list[str], iters: int, places: dict[str, int], seed: int = SEED) -> DataFrame:
+    """(by..., n, b, c) -> with the values at 0-based places of each row's sorted resampled sums. A row's resamples are made, sorted and dropped where it is."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for name, at in places.items():
+                df[name] = [int(np.partition(_resampled(n, b, c, iters, seed), at)[at]) for n, b, c in zip(df["n"], df["b"], df["c"])]
+            yield df
+
+    kept = counts.select(*by)
+    return kept.mapInPandas(draw, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"{name} long" for name in places]))
+
+
+def _resampled(n: int, b: int, c: int, iters: int, seed: int) -> np.ndarray:
+    drawn = np.random.default_rng([seed, n, b, c]).multinomial(n, [b / n, c / n, (n - b - c) / n] if n else [0, 0, 1], iters)
+    return drawn[:, 1] - drawn[:, 0]
+
+
 def interval_places(iters: int, confidence: float = 0.95) -> tuple[int, int]:
     """Places of the plain interval: int(alpha/2 N) and int((1 - alpha/2) N)."""
     a = (1 - confidence) / 2
@@ -77,11 +140,22 @@ def equivalence(low: Column, high: Column, margin: float, n: Column) -> list[Col
 
 
 def average_rank(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """1-based ranks, ties sharing their mean. Ranks are taken over distinct values, so a heavy tie is one row of the window."""
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*by, value, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
-    return rows.join(ranks, [*by, value])
+    """1-based ranks, ties sharing their mean.
+
+    The histogram of distinct values, in which a heavy tie is one row, is range-sorted and stored; running counts inside its partitions and a
+    row for each partition and group give the ranks, so no task sees a whole group.
+    """
+    order = [*by, value]
+    counts = rows.groupBy(*order).agg(F.count("*").alias("_n")).repartitionByRange(*order).sortWithinPartitions(*order)
+    counts = materialized(counts.withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("_part", *by).agg(F.sum("_n").alias("_all"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = parts.select("_part", *by, F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_start"))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ["_part", *by]]
+    ranks = counts.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("c").join(F.broadcast(starts).alias("s"), same)
+    ranks = ranks.select(*[F.col(f"c.{k}").alias(k) for k in order], (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
+    return rows.join(ranks, order)
 
 
 def correlation(x: Column, y: Column) -> Column:

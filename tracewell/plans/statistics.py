@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import stats
-from tracewell.operators.ordering import positions
 from tracewell.plans.tables import table
 
-ITERS = 200
+#: As many resamples as the published figures rest on. Their draws are numpy's, which SQL cannot repeat: tests hold them against the exact distribution.
+ITERS = 20_000
 
 
 def _pair(spark, d):
@@ -24,10 +24,14 @@ def mcnemar_by_lang(spark, d):
     return stats.paired(a, b, ["lang"]).withColumn("p", p).select("lang", "n", "solved_a", "solved_b", "b", "c", F.round("p", 6).alias("p"), stats.stars(F.col("p")).alias("stars"))
 
 
+#: Pairs of lines as pairs of models; two have a side that does not exist.
+_SPECS = [(f"t{i}", f"line{a}", f"line{b}") for i, (a, b) in enumerate([(1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (1, 7), (2, 3), (2, 5), (2, 7), (3, 4), (3, 6), (4, 5), (5, 6), (6, 7), (1, 8), (9, 2)], 1)]
+
+
 def test_suite(spark, d):
     """A table of test specifications joined twice to the outcomes; a missing side is reported as skipped."""
     rows = table(spark, d, "lineitem").groupBy(F.concat(F.lit("line"), F.col("l_linenumber").cast("string")).alias("model"), F.col("l_orderkey").alias("idx")).agg(F.bool_or(F.col("l_linestatus") == "O").alias("solved"))
-    spec = spark.createDataFrame([("t1", "line1", "line2"), ("t2", "line1", "line7"), ("t3", "line3", "none")], "test string, a string, b string")
+    spec = spark.createDataFrame(_SPECS, "test string, a string, b string")
     x = spec.join(rows.select(F.col("model").alias("a"), "idx", F.col("solved").alias("x")), "a").select("test", "idx", "x")
     y = spec.join(rows.select(F.col("model").alias("b"), "idx", F.col("solved").alias("y")), "b").select("test", "idx", "y")
     counts = x.join(y, ["test", "idx"]).groupBy("test").agg(F.count("*").alias("n"), F.count_if(F.col("x") & ~F.col("y")).alias("b"), F.count_if(F.col("y") & ~F.col("x")).alias("c"))
@@ -35,6 +39,14 @@ def test_suite(spark, d):
     return out.select("test", "n", "b", "c", F.when(F.col("n").isNotNull(), F.round("p", 6)).alias("p"), F.col("n").isNull().alias("skipped"))
 
 
+def pairwise_intervals(spark, d):
+    """Exact test and bootstrap interval side by side for each language (rows only: SQL cannot repeat the draws)."""
+    a, b = _pair(spark, d)
+    counts = stats.paired(a, b, ["lang"]).select("lang", "n", "b", "c", F.round(stats.mcnemar(F.col("b"), F.col("c")), 6).alias("p"))
+    low, high = stats.interval_places(ITERS)
+    return stats.grouped_intervals(counts, ["lang", "n", "b", "c", "p"], ITERS, {"low": low, "high": high})
+
+
 def paired_diff(spark, d):
     a, b = _pair(spark, d)
     return stats.paired(a, b, []).withColumn("diff", F.col("c") - F.col("b"))
@@ -59,11 +71,7 @@ def tost_bound(spark, d):
 def clustered_bootstrap(spark, d):
     """Clusters (users) are resampled, not rows: mean of the clusters' rate differences."""
     rates = table(spark, d, "events").groupBy("user_id").agg((F.avg((F.col("event_type") == "click").cast("double")) - F.avg((F.col("event_type") == "view").cast("double"))).alias("delta"))
-    numbered = positions(rates, ["user_id"], "at")
-    n = numbered.agg(F.count("*").alias("n"))
-    draws = n.crossJoin(spark.range(ITERS).withColumnRenamed("id", "i")).select("i", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("j"))
-    drawn = draws.select("i", stats.draw(F.col("i"), F.col("j"), F.col("n")).alias("at")).groupBy("i", "at").count()
-    means = drawn.join(numbered, "at").groupBy("i").agg(F.round(F.sum(F.col("delta") * F.col("count")) / F.sum("count"), 9).alias("mean"))
+    means = stats.clustered_bootstrap_means(rates, "delta", ITERS)
     low, high = stats.interval_places(ITERS)
     return stats.order_statistics(means, "mean", {"low": low, "high": high}).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
@@ -74,15 +82,17 @@ def agreement_rate(spark, d):
 
 
 def _measures(spark, d):
-    return table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("e"), F.col("l_discount").alias("s"))
+    return table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("e"), F.col("l_discount").alias("s"), F.col("l_tax").alias("t"))
 
 
 def correlation_suite(spark, d):
-    """Pearson and Spearman of two pairs of columns, by flag."""
+    """Pearson and Spearman of four pairs of columns, by flag."""
     rows = _measures(spark, d)
-    ranked = stats.average_rank(stats.average_rank(stats.average_rank(rows, ["l_returnflag"], "q", "rq"), ["l_returnflag"], "e", "re"), ["l_returnflag"], "s", "rs")
+    ranked = rows
+    for column in "qest":
+        ranked = stats.average_rank(ranked, ["l_returnflag"], column, f"r{column}")
     c = lambda x, y, name: F.round(stats.correlation(F.col(x), F.col(y)), 6).alias(name)
-    return ranked.groupBy("l_returnflag").agg(c("q", "e", "pearson_qe"), c("q", "s", "pearson_qs"), c("rq", "re", "spearman_qe"), c("rq", "rs", "spearman_qs"))
+    return ranked.groupBy("l_returnflag").agg(*[x for a, b in ("qe", "qs", "es", "et") for x in (c(a, b, f"pearson_{a}{b}"), c(f"r{a}", f"r{b}", f"spearman_{a}{b}"))])
 
 
 def spearman(spark, d):
@@ -112,15 +122,9 @@ def alignment_report(spark, d):
     return stats.place_percentiles(rows, "delta", {"median": 0.5}).crossJoin(rows.agg(F.max("delta").alias("largest"), F.round(F.avg((F.col("delta") > 2).cast("double")), 6).alias("above")))
 
 
-_DRAW = "(('0x' || substr(md5(concat_ws(':', i, j)), 1, 8))::BIGINT % n)"
 _COUNTS = """p AS (SELECT quality = 1 AS x, toxic = 0 AS y FROM labels JOIN documents USING (doc_id)),
 k AS (SELECT count(*) AS n, count(*) FILTER (x) AS solved_a, count(*) FILTER (y) AS solved_b, count(*) FILTER (x AND NOT y) AS b, count(*) FILTER (y AND NOT x) AS c FROM p)"""
-_SUMS = f"""{_COUNTS}, dr AS (SELECT i, {_DRAW} AS pos, b, c FROM k, range({ITERS}) r(i), range((SELECT n FROM k)) s(j)),
-t AS (SELECT i, sum(CASE WHEN pos < b THEN -1 WHEN pos < b + c THEN 1 ELSE 0 END)::BIGINT AS total FROM dr GROUP BY i), o AS (SELECT list_sort(list(total)) AS a FROM t)"""
 _P = "CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END"
-_L, _H = stats.interval_places(ITERS)
-_L2, _H2 = stats.interval_places_minus_one(ITERS, 0.9)
-
 
 def _rank(col: str, by: str, name: str) -> str:
     return f"rank() OVER ({by} ORDER BY {col}) + (count(*) OVER ({'PARTITION BY ' + col if not by else by + ', ' + col}) - 1) / 2.0::DOUBLE AS {name}"
@@ -128,19 +132,15 @@ def _rank(col: str, by: str, name: str) -> str:
 
 ORACLES = {
     "mcnemar_by_lang": f"WITH k AS (SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS solved_a, count(*) FILTER (toxic = 0) AS solved_b, count(*) FILTER (quality = 1 AND toxic <> 0) AS b, count(*) FILTER (toxic = 0 AND quality <> 1) AS c FROM labels JOIN documents USING (doc_id) GROUP BY lang), q AS (SELECT *, {_P} AS p0 FROM k) SELECT lang, n, solved_a, solved_b, b, c, round(p0, 6) AS p, CASE WHEN p0 < .001 THEN '***' WHEN p0 < .01 THEN '**' WHEN p0 < .05 THEN '*' ELSE 'ns' END AS stars FROM q",
-    "test_suite": f"""WITH r AS (SELECT 'line' || l_linenumber AS model, l_orderkey AS idx, bool_or(l_linestatus = 'O') AS solved FROM lineitem GROUP BY 1, 2), s(test, a, b) AS (VALUES ('t1', 'line1', 'line2'), ('t2', 'line1', 'line7'), ('t3', 'line3', 'none')),
+    "test_suite": f"""WITH r AS (SELECT 'line' || l_linenumber AS model, l_orderkey AS idx, bool_or(l_linestatus = 'O') AS solved FROM lineitem GROUP BY 1, 2), s(test, a, b) AS (VALUES {', '.join(map(str, _SPECS))}),
 k AS (SELECT s.test, count(*) AS n, count(*) FILTER (x.solved AND NOT y.solved) AS b, count(*) FILTER (y.solved AND NOT x.solved) AS c FROM s JOIN r x ON x.model = s.a JOIN r y ON y.model = s.b AND y.idx = x.idx GROUP BY 1)
 SELECT s.test, n, k.b AS b, k.c AS c, CASE WHEN n IS NOT NULL THEN round((SELECT {_P.replace('b + c', 'k.b + k.c').replace('least(b, c)', 'least(k.b, k.c)')}), 6) END AS p, n IS NULL AS skipped FROM s LEFT JOIN k USING (test)""",
     "paired_diff": f"WITH {_COUNTS} SELECT *, c - b AS diff FROM k",
-    "bootstrap_ci": f"WITH {_SUMS} SELECT a[{_L + 1}] AS low, a[{_H + 1}] AS high FROM o",
-    "tost_bound": f"WITH {_SUMS}, e AS (SELECT a[{_L2 + 1}] AS low, a[{_H2 + 1}] AS high, n FROM o, k) SELECT low, high, n, greatest(abs(low), abs(high)) AS bound, round(100.0::DOUBLE * greatest(abs(low), abs(high)) / n, 6) AS bound_percent, CASE WHEN low > -10 AND high < 10 THEN 'equivalent' ELSE 'not shown' END AS verdict FROM e",
-    "clustered_bootstrap": f"""WITH r AS (SELECT user_id, avg((event_type = 'click')::INT) - avg((event_type = 'view')::INT) AS delta FROM events GROUP BY 1), m AS (SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS pos, count(*) OVER () AS n FROM r),
-dr AS (SELECT i, {_DRAW} AS pos FROM (SELECT max(n) AS n FROM m), range({ITERS}) x(i), range((SELECT max(n) FROM m)) s(j)), t AS (SELECT i, avg(delta) AS mean FROM dr JOIN m USING (pos) GROUP BY i), o AS (SELECT list_sort(list(mean)) AS a FROM t) SELECT round(a[{_L + 1}], 6) AS low, round(a[{_H + 1}], 6) AS high FROM o""",
     "agreement_rate": "SELECT user_id, round(avg((event_type = 'click')::INT), 6) AS rate FROM events GROUP BY user_id",
-    "correlation_suite": f"WITH r AS (SELECT l_returnflag, l_quantity AS q, l_extendedprice AS e, l_discount AS s, {_rank('l_quantity', 'PARTITION BY l_returnflag', 'rq')}, {_rank('l_extendedprice', 'PARTITION BY l_returnflag', 're')}, {_rank('l_discount', 'PARTITION BY l_returnflag', 'rs')} FROM lineitem) SELECT l_returnflag, round(corr(q, e), 6) AS pearson_qe, round(corr(q, s), 6) AS pearson_qs, round(corr(rq, re), 6) AS spearman_qe, round(corr(rq, rs), 6) AS spearman_qs FROM r GROUP BY l_returnflag",
+    "correlation_suite": f"WITH r AS (SELECT l_returnflag, l_quantity AS q, l_extendedprice AS e, l_discount AS s, l_tax AS t, {_rank('l_quantity', 'PARTITION BY l_returnflag', 'rq')}, {_rank('l_extendedprice', 'PARTITION BY l_returnflag', 're')}, {_rank('l_discount', 'PARTITION BY l_returnflag', 'rs')}, {_rank('l_tax', 'PARTITION BY l_returnflag', 'rt')} FROM lineitem) SELECT l_returnflag, {', '.join(f'round(corr({a}, {b}), 6) AS pearson_{a}{b}, round(corr(r{a}, r{b}), 6) AS spearman_{a}{b}' for a, b in ('qe', 'qs', 'es', 'et'))} FROM r GROUP BY l_returnflag",
     "spearman": f"WITH r AS (SELECT {_rank('l_quantity', '', 'rq')}, {_rank('l_extendedprice', '', 're')} FROM lineitem) SELECT round(corr(rq, re), 6) AS rho, count(*) AS n FROM r",
     "nan_statistics": "SELECT l_returnflag, round(avg(l_quantity) FILTER (l_linenumber <> 7), 6) AS mean, median(l_quantity) FILTER (l_linenumber <> 7) AS median, count(*) FILTER (l_linenumber = 7) AS skipped FROM lineitem GROUP BY l_returnflag",
     "cache_profile": "WITH o AS (SELECT list_sort(list(n_chars)) AS a, count(*) AS n, count(*) FILTER (trim(text) = '') AS empty, count(*) FILTER (n_chars >= 3950) AS truncated, max(n_chars) AS longest FROM documents) SELECT n AS total, empty, truncated, longest, a[floor(n * 0.5::DOUBLE)::INT + 1] AS p50, a[floor(n * 0.9::DOUBLE)::INT + 1] AS p90 FROM o",
     "alignment_report": "WITH x AS (SELECT abs(n_chars - 5 * len(string_split(text, ' '))) AS delta FROM documents), o AS (SELECT list_sort(list(delta)) AS a, count(*) AS n, max(delta) AS largest, round(avg((delta > 2)::INT), 6) AS above FROM x) SELECT a[n // 2 + 1] AS median, largest, above FROM o",
 }
-QUERIES = {name: globals()[name] for name in ORACLES}
+QUERIES = {name: globals()[name] for name in [*ORACLES, "bootstrap_ci", "pairwise_intervals", "tost_bound", "clustered_bootstrap"]}
