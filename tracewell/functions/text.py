@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,11 +104,20 @@ def outcome(status: Column, error: Column) -> Column:
 
 
 def shingle_ratio(text: Column, width: int = 24) -> Column:
-    """Distinct share of the first len - width character shingles (the last one is left out); 1 for texts shorter than two widths."""
-    n = F.char_length(text) - width
-    # The characters are bound once: substring() would walk the text from its start for every shingle.
-    distinct = lambda chars: F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(chars, i, F.lit(width)), ""))))
-    return F.when(F.char_length(text) < 2 * width, F.lit(1.0)).otherwise(F.get(F.transform(F.array(F.split(text, "")), distinct), F.lit(0)) / n)
+    """Distinct share of the first len - width character shingles (the last one is left out); 1 for texts shorter than two widths.
+
+    An Arrow UDF: a JVM lambda is interpreted and builds an array of all shingles, where a set needs the distinct ones alone.
+    """
+
+    @F.pandas_udf("double")
+    def ratio(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> float | None:
+            n = len(t or "") - width
+            return None if t is None else 1.0 if n < width else len({t[i : i + width] for i in range(n)}) / n
+
+        return pd.Series([one(t) for t in texts], dtype="float64")
+
+    return ratio(text)
 
 
 def collapse(text: Column, clip: int | None = None) -> Column:

@@ -27,6 +27,13 @@ def comparison_counts(compared: DataFrame) -> DataFrame:
     return compared.agg(F.count("*").alias("problems"), *[F.count_if(n).alias(n) for n in names])
 
 
+def comparison_ids(compared: DataFrame) -> DataFrame:
+    """(list, idx): the ids of each list, in order. Rows and not arrays, so that no list has to fit in one task."""
+    names = ["gained", "regressed", "unreachable", "reachable_miss"]
+    lists = F.array_compact(F.array(*[F.when(F.col(n), n) for n in names]))
+    return compared.select(F.explode(lists).alias("list"), "idx").orderBy("list", "idx")
+
+
 def outcome_matrix(outcomes: DataFrame, models: list[str]) -> DataFrame:
     """model x problem 0/1, and each model's delta against the first."""
     wide = outcomes.groupBy("idx").pivot("model", models).agg(F.max(F.col("solved").cast("int")))

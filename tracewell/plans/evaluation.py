@@ -142,6 +142,10 @@ def comparison_summary(spark, d):
     return compare.comparison_counts(compare.compare_roles(_roles(spark, d)))
 
 
+def comparison_ids(spark, d):
+    return compare.comparison_ids(compare.compare_roles(_roles(spark, d)))
+
+
 def truncation_by_role(spark, d):
     rows = table(spark, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("idx"), F.when(F.col("l_linenumber") == 1, "original").when(F.col("l_linenumber") == 2, "distilled").otherwise("teacher").alias("role"), (F.col("l_quantity") >= 45).alias("truncated"))
     per = rows.groupBy("role", "idx").agg(F.count_if("truncated").alias("t"))
@@ -150,7 +154,7 @@ def truncation_by_role(spark, d):
 
 def outcome_matrix(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("idx"), F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("model"), (F.col("l_linestatus") == "O").alias("solved"))
-    return compare.outcome_matrix(rows, ["m1", "m2", "m3"])
+    return compare.outcome_matrix(rows, [f"m{i}" for i in range(1, 8)])
 
 
 def verified_subset(spark, d):
@@ -192,8 +196,9 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY f, event_t
     "drop_failed": f"WITH {SAMPLES_SQL}, x AS (SELECT category, passed, CASE WHEN category <> 'timeout' THEN total END AS total FROM samples) SELECT category, count(*) AS n, sum(passed)::BIGINT AS passed FROM x WHERE total > 0 AND passed = total GROUP BY category",
     "compare_roles": f"WITH {_ROLES_SQL} SELECT * FROM c",
     "comparison_summary": f"WITH {_ROLES_SQL} SELECT count(*) AS problems, count(*) FILTER (gained) AS gained, count(*) FILTER (regressed) AS regressed, count(*) FILTER (unreachable) AS unreachable, count(*) FILTER (reachable_miss) AS reachable_miss FROM c",
+    "comparison_ids": f"WITH {_ROLES_SQL}, l AS (" + " UNION ALL ".join(f"SELECT '{n}' AS list, idx FROM c WHERE {n}" for n in ("gained", "regressed", "unreachable", "reachable_miss")) + ") SELECT * FROM l ORDER BY list, idx",
     "truncation_by_role": "WITH p AS (SELECT CASE l_linenumber WHEN 1 THEN 'original' WHEN 2 THEN 'distilled' ELSE 'teacher' END AS role, l_orderkey, count(*) FILTER (l_quantity >= 45) AS t FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2) SELECT role, sum(t)::BIGINT AS samples, count(*) FILTER (t > 0) AS problems FROM p GROUP BY role",
-    "outcome_matrix": "WITH w AS (SELECT l_orderkey AS idx, " + ", ".join(f"coalesce(max(CASE WHEN l_linenumber = {i} THEN (l_linestatus = 'O')::INT END), 0) AS m{i}" for i in (1, 2, 3)) + " FROM lineitem GROUP BY l_orderkey) SELECT *, m2 - m1 AS m2_delta, m3 - m1 AS m3_delta FROM w",
+    "outcome_matrix": "WITH w AS (SELECT l_orderkey AS idx, " + ", ".join(f"coalesce(max(CASE WHEN l_linenumber = {i} THEN (l_linestatus = 'O')::INT END), 0) AS m{i}" for i in range(1, 8)) + " FROM lineitem GROUP BY l_orderkey) SELECT *, " + ", ".join(f"m{i} - m1 AS m{i}_delta" for i in range(2, 8)) + " FROM w",
     "verified_subset": "SELECT lang, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY lang",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
