@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """df computed once and stored reliably: in spark.checkpoint.dir, or under the warehouse (local mode: a temporary folder) where that is unset."""
+    """df computed once and stored reliably: in spark.checkpoint.dir, or under the warehouse where that is unset."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint()
 
 
