@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import source_code, text, tokens, vectors
-from tracewell.operators import compare, curate, evaluate, stats
+from tracewell.operators import batching, compare, curate, evaluate, stats
 from tracewell.operators.ordering import positions
 
 # Published discordant counts and exact p of the significance suite.
@@ -87,10 +87,42 @@ def test_monotone_upsert_keeps_passes(spark):
 
 def test_budget_packing_admits_an_oversized_item_alone(spark):
     rows = spark.createDataFrame([("g", i, n) for i, n in enumerate([50, 500, 10, 10, 10, 10])], "g string, i bigint, n bigint")
-    got = curate.pack_by_budget(rows, "g", "i", "n", 3, 100).orderBy("i").collect()
+    got = batching.pack_by_budget(rows, "g", "i", "n", 3, 100).orderBy("i").collect()
     assert [r["batch"] for r in got] == [0, 1, 2, 2, 2, 3]
 
 
+def test_budget_packing_across_blocks(spark):
+    draw = random.Random(7)
+    rows = [(draw.choice(["a", "b", None]), draw.randrange(200), draw.choice([1, 2, 5, 9, 40, None])) for _ in range(400)]
+    want, last = [], None
+    for g, i, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2] is not None, r[2] or 0)):
+        if g != last or not want:
+            last, batch, count, longest = g, 0, 0, 0
+        if count and (count + 1 > 4 or max(longest, n or 0) * (count + 1) > 30):
+            batch, count, longest = batch + 1, 0, 0
+        count, longest = count + 1, max(longest, n or 0)
+        want.append((g, i, n, batch))
+    df = spark.createDataFrame(rows, "g string, i int, n int")
+    for block in (1, 30, 1000):
+        got = [tuple(r) for r in batching.pack_by_budget(df, "g", "i", "n", 4, 30, block).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), block
+    assert batching.pack_by_budget(df.limit(0), "g", "i", "n", 4, 30).count() == 0
+
+
+def test_retry_once_keeps_what_fails_twice(spark):
+    attempt = lambda df, k: df.withColumn("ok", F.when(F.col("x") != 4, F.col("x") <= 2 * k)).withColumn("x", F.when(F.col("ok"), F.col("x") + 10).otherwise(F.col("x")))
+    got = evaluate.retry_once(spark.createDataFrame([(0,), (1,), (3,), (4,), (None,)], "x int"), attempt, lambda df: df).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(10, 1, False), (11, 2, False), (3, 2, True), (4, 2, True), (None, 2, True)], key=str)
+
+
+def test_causes_of_unsolved_samples(spark):
+    rows = [(1, 0, False, "b", True), (1, 1, False, "b", None), (1, 2, False, "a", True), (2, 0, True, "a", True), (3, 0, False, "", False), (3, 1, True, None, None)]
+    df = spark.createDataFrame(rows, "idx int, j int, solved boolean, category string, cut boolean")
+    got = {r["idx"]: (r["solved"], r["unsolved"], r["truncated"], r["cause"]) for r in evaluate.diagnose(df, F.col("cut")).collect()}
+    assert got == {1: (False, 3, 2, "b"), 2: (True, 0, 1, None), 3: (True, 1, 0, None)}
+    assert {r["idx"]: r["any_truncated"] for r in evaluate.representative(df, F.col("cut")).collect()} == {1: True, 2: True, 3: False}
+
+
 def test_text_functions(spark):
     rows = spark.createDataFrame([("<think>a</think>\n b",), ("plain",), ("```py\nx\t= 1\n``` end",), ("hi\ndef f(x):\n    return x\n\nbye\n  indented\n@mention",), ("x ```python x = 1",), ("```\nintro\ndef g():\n\treturn 1\n```",)], "t string")
     got = rows.select(text.strip_thinking(F.col("t")).alias("s"), text.fenced_code(F.col("t")).alias("f"), text.unfenced_code(F.col("t")).alias("u")).collect()

@@ -99,24 +99,6 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))).orderBy("_h", key).limit(n).drop("_h")
 
 
-def pack_by_budget(rows: DataFrame, by: str, order: str, length: str, max_items: int, budget: int) -> DataFrame:
-    """Greedy batches in order within each group: a new one if the count would exceed max_items or longest x count the budget; an oversized item is alone.
-
-    The fold is sequential by nature, so groups are the unit of parallelism and should be chunks of bounded size.
-    """
-    items = F.array_sort(F.collect_list(F.struct(order, length)))
-    start = F.struct(F.lit(-1).cast("bigint").alias("batch"), F.lit(0).cast("bigint").alias("count"), F.lit(0).cast("bigint").alias("longest"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(s, x):
-        longest = F.greatest(s["longest"], x[length])
-        full = (s["count"] + 1 > max_items) | (longest * (s["count"] + 1) > budget) | (s["batch"] < 0)
-        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, F.lit(1).cast("bigint")).otherwise(s["count"] + 1).alias("count"), F.when(full, x[length]).otherwise(longest).cast("bigint").alias("longest"), F.concat(s["out"], F.array(batch)).alias("out"))
-
-    folded = rows.groupBy(by).agg(items.alias("items")).withColumn("batches", F.aggregate("items", start, step, lambda s: s["out"]))
-    return folded.select(by, F.explode(F.arrays_zip("items", "batches")).alias("z")).select(by, F.col(f"z.items.{order}").alias(order), F.col(f"z.items.{length}").alias(length), F.col("z.batches").alias("batch"))
-
-
 def padded(arrays: DataFrame, by: str, ids: str, pad: int) -> DataFrame:
     """Pad ids to the longest of their batch, with mask and labels (-100 where padded)."""
     longest = F.max(F.size(ids)).over(Window.partitionBy(by))
@@ -150,8 +132,14 @@ def difficulties(column: Column, spec: str) -> Column:
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """A seeded order that is the same on every run and for any partitioning: sorted by a hash of the key."""
-    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
+    """Each row's place in a seeded order that is the same on every run and for any partitioning: by a hash of the key."""
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    return positions(hashed, ["_h", key]).drop("_h")
+
+
+def invalid(rows: DataFrame, ok: Column) -> DataFrame:
+    """Rows for which a check fails or is unknown."""
+    return rows.where(~F.coalesce(ok, F.lit(False)))
 
 
 def calibration(rows: DataFrame, place: str, length: str, train: int, longest: int, n: int) -> DataFrame:

@@ -5,6 +5,8 @@ A sample table has idx (problem), j (sample, from 0), passed and total (tests),
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +26,11 @@ def ratio(x: Column, n: Column) -> Column:
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
-    """Unbiased pass@k of c successes in n samples: 1 - prod_{i=n-c+1..n} (1 - k/i)."""
-    steps = F.when(c > 0, F.sequence(n - c + 1, n)).otherwise(F.array().cast("array<bigint>"))
-    return F.when(n - c < k, 1.0).otherwise(1 - F.aggregate(steps, F.lit(1.0), lambda a, i: a * (1 - F.lit(float(k)) / i)))
+    """Unbiased pass@k of c successes in n samples: 1 - C(n-c, k) / C(n, k), whose k factors are plain arithmetic; 1 if fewer than k samples fail."""
+    missed = F.lit(1.0)
+    for i in range(k):
+        missed = missed * ((n - c - i) / F.greatest(n - i, F.lit(1)))
+    return F.when(n - c < k, 1.0).otherwise(1 - missed)
 
 
 def fold_samples(samples: DataFrame) -> DataFrame:
@@ -108,16 +112,26 @@ def distinct_failures(rows: DataFrame, key: str, category: str, error: str, posi
     return firsts.withColumn("nth", nth).where(F.col("nth") <= keep).select(key, "nth", category, F.col("_e").alias("error"))
 
 
-def diagnose(samples: DataFrame) -> DataFrame:
-    """Per problem: the most common category over its unsolved samples (each sample counts a category once), alphabetical on ties; null if all solved."""
-    counts = samples.where("not solved").groupBy("idx", "category").count()
-    cause = counts.groupBy("idx").agg(F.max("count").alias("top")).join(counts, "idx").where(F.col("count") == F.col("top")).groupBy("idx").agg(F.min("category").alias("cause"))
-    return samples.groupBy("idx").agg(F.bool_or("solved").alias("solved"), F.count_if(~F.col("solved")).alias("unsolved")).join(cause, "idx", "left")
+def diagnose(samples: DataFrame, truncated: Column | None = None) -> DataFrame:
+    """Per problem: the most common cause over its unsolved samples, alphabetical on ties, null if there is none.
+
+    Each unsolved sample counts its category once, unless that is null or empty, and the cause `truncated` if it was cut off; truncated samples are counted whether solved or not.
+    """
+    cut = F.lit(False) if truncated is None else F.coalesce(truncated, F.lit(False))
+    rows = samples.withColumn("_cut", cut)
+    causes = F.array_distinct(F.array_compact(F.array(F.nullif("category", F.lit("")), F.when(F.col("_cut"), "truncated"))))
+    counts = rows.where("not solved").select("idx", F.explode(causes).alias("cause")).groupBy("idx", "cause").agg(F.count("*").alias("n"))
+    most = F.struct(-F.col("n"), "cause")
+    cause = counts.groupBy("idx").agg(F.min_by("cause", most).alias("cause"))
+    heads = rows.groupBy("idx").agg(F.bool_or("solved").alias("solved"), F.count_if(~F.col("solved")).alias("unsolved"), F.count_if("_cut").alias("truncated"))
+    return heads.join(cause, "idx", "left")
 
 
-def representative(samples: DataFrame) -> DataFrame:
-    """The first unsolved sample of each problem, or its first."""
-    return samples.groupBy("idx").agg(F.min_by(F.struct("j", "category", "solved"), F.struct("solved", "j")).alias("s")).select("idx", "s.j", "s.category", "s.solved")
+def representative(samples: DataFrame, truncated: Column | None = None) -> DataFrame:
+    """The first unsolved sample of each problem, or its first; with `truncated`, whether any sample was cut off."""
+    note = [] if truncated is None else [F.bool_or(F.coalesce(truncated, F.lit(False))).alias("any_truncated")]
+    rows = samples.groupBy("idx").agg(F.min_by(F.struct("j", "category", "solved"), F.struct("solved", "j")).alias("s"), *note)
+    return rows.select("idx", "s.j", "s.category", "s.solved", *(["any_truncated"] if note else []))
 
 
 def recovery(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
@@ -125,3 +139,29 @@ def recovery(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
     both = before.where("not solved").join(after.select("idx", F.col("solved").alias("now")), "idx", "left")
     got = F.count_if(F.coalesce(F.col("now"), F.lit(False)))
     return both.groupBy(by).agg(F.count("*").alias("failed"), got.alias("recovered")).withColumn("percent", F.expr("recovered * 100 div failed"))
+
+
+def recovery_totals(before: DataFrame, after: DataFrame, by: str, chunk: str) -> DataFrame:
+    """Recovered and still failing by chunk and group, and their totals so far within the group: a window over counts, not over rows."""
+    both = before.where("not solved").join(after.select("idx", F.col("solved").alias("now")), "idx", "left").withColumn("now", F.coalesce("now", F.lit(False)))
+    counts = both.groupBy(chunk, by).agg(F.count_if("now").alias("recovered"), F.count_if(~F.col("now")).alias("failing"))
+    upto = Window.partitionBy(by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumns({"total_recovered": F.sum("recovered").over(upto), "total_failing": F.sum("failing").over(upto)})
+
+
+def retry_once(rows: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """attempt(rows, 0) adds a boolean ok; what fails goes through attempt(rows, 1). Adds attempts and dead.
+
+    An attempt leaves a row as it was where it fails, so rows that fail twice come out as they went in, as dead letters.
+    `store` keeps the first results, so that a lost executor does not let a retried row be attempted anew.
+    """
+    first = store(attempt(rows, 0).withColumn("ok", F.coalesce("ok", F.lit(False))))
+    again = attempt(first.where("not ok").select(*rows.columns), 1)
+    done = first.where("ok").drop("ok").withColumns({"attempts": F.lit(1), "dead": F.lit(False)})
+    return done.unionByName(again.withColumns({"attempts": F.lit(2), "dead": ~F.coalesce("ok", F.lit(False))}).drop("ok"))
+
+
+def retention(scores: DataFrame, base: Column, reduced: Column) -> DataFrame:
+    """What is left of a score after a reduction: gap, ratio and percent; ratio and percent are null where the base is 0."""
+    share = reduced / F.nullif(base, F.lit(0).cast("double"))
+    return scores.select("*", (reduced - base).alias("gap"), share.alias("ratio"), (100 * share).alias("retention"))

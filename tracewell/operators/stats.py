@@ -197,3 +197,8 @@ def place_percentiles(rows: DataFrame, value: str, places: dict[str, float]) ->
     return counts.select(value, upto.alias("upto"), total.alias("n")).agg(
         *[F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col(value))).alias(name) for name, q in places.items()]
     )
+
+
+def means_by(rows: DataFrame, by: str, kinds: list[str], values: list[str], digits: int) -> DataFrame:
+    """Count and rounded means of the rows of each listed kind; a kind without rows is left out, and NaN counts as a number."""
+    return rows.where(F.col(by).isin(kinds)).groupBy(by).agg(F.count("*").alias("n"), *[F.round(F.avg(v), digits).alias(v) for v in values])

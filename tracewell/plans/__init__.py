@@ -1,8 +1,8 @@
 """Every query of the library over the test tables, and its DuckDB SQL."""
 
-from tracewell.plans import arrays, curation, evaluation, files, statistics, telemetry, texts
+from tracewell.plans import arrays, curation, evaluation, files, scans, statistics, telemetry, texts
 
-_MODULES = (evaluation, statistics, curation, texts, arrays, telemetry, files)
+_MODULES = (evaluation, statistics, curation, texts, arrays, telemetry, files, scans)
 
 
 def queries() -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import curate
+from tracewell.operators import batching, curate
 from tracewell.operators.ordering import positions
 from tracewell.plans.tables import table
 
@@ -54,7 +54,7 @@ def curriculum_order(spark, d):
 
 def pack_by_budget(spark, d):
     rows = _docs(spark, d).select("lang", "doc_id", "n_chars")
-    return curate.pack_by_budget(rows, "lang", "doc_id", "n_chars", 8, 16384)
+    return batching.pack_by_budget(rows, "lang", "doc_id", "n_chars", 8, 16384)
 
 
 def chunking(spark, d):
@@ -151,8 +151,8 @@ def difficulty_filter(spark, d):
 
 
 def seeded_shuffle(spark, d):
-    """Where a seeded shuffle of the documents puts the first ten."""
-    return curate.shuffled(_docs(spark, d).select("doc_id", "lang"), "doc_id", 7).limit(10)
+    """Where a seeded shuffle puts each document."""
+    return curate.shuffled(_docs(spark, d).select("doc_id", "lang"), "doc_id", 7)
 
 
 def calibration_texts(spark, d):
@@ -194,7 +194,7 @@ ORACLES = {
     "padded_batches": "WITH x AS (SELECT DISTINCT conv_id, turn FROM conversations), y AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) - turn AS room, range(1, turn + 2) AS ids FROM x) SELECT conv_id, turn, array_to_string(ids, ',') || repeat(',0', room) AS input_ids, array_to_string(list_transform(ids, lambda i: 1), ',') || repeat(',0', room) AS mask, array_to_string(ids, ',') || repeat(',-100', room) AS labels FROM y",
     "early_stop_scan": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id < 800 AND lang IN ('en', 'de') AND n_chars <= 2000 ORDER BY doc_id LIMIT 50",
     "difficulty_filter": "SELECT upper(substr(o_orderpriority, 3, 1)) || lower(substr(o_orderpriority, 4)) AS difficulty, count(*) AS n FROM orders WHERE lower(substr(o_orderpriority, 3)) IN ('urgent', 'low') GROUP BY 1",
-    "seeded_shuffle": "SELECT doc_id, lang FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 10",
+    "seeded_shuffle": "SELECT doc_id, lang, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1 AS place FROM documents",
     "calibration_texts": "SELECT doc_id, n_chars FROM documents WHERE doc_id < 900 AND n_chars <= 1500 ORDER BY doc_id LIMIT 64",
     "event_days": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, min(strftime(ts, '%H:%M:%S')) AS first, max(strftime(ts, '%H:%M:%S')) AS last FROM events GROUP BY 1",
     "numeric_file_order": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1073741824 ELSE doc_id END::INT AS place FROM documents",

@@ -101,11 +101,11 @@ def distinct_failures(spark, d):
 
 
 def problem_diagnosis(spark, d):
-    return evaluate.diagnose(samples(spark, d))
+    return evaluate.diagnose(samples(spark, d), F.col("total") >= 45)
 
 
 def representative_sample(spark, d):
-    return evaluate.representative(samples(spark, d))
+    return evaluate.representative(samples(spark, d), F.col("total") >= 45)
 
 
 def recovery_tally(spark, d):
@@ -189,8 +189,10 @@ c AS (SELECT *, sum(bad::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event
 SELECT event_id, CASE WHEN aborted THEN 'timeout' ELSE event_type END AS outcome, aborted FROM e""",
     "distinct_failures": r"""WITH a AS (SELECT user_id, event_type, substr(trim(regexp_replace(' at  ' || props, '\s+', ' ', 'g')), 1, 12) AS error, min(event_id) AS f FROM events WHERE event_type IN ('error', 'view') GROUP BY 1, 2, 3),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY f, event_type, error) AS INTEGER) AS nth FROM a) SELECT user_id, nth, event_type, error FROM r WHERE nth <= 3""",
-    "problem_diagnosis": f"WITH {SAMPLES_SQL}, c AS (SELECT idx, category, count(*) AS n FROM samples WHERE NOT solved GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY n DESC, category) AS k FROM c), s AS (SELECT idx, bool_or(solved) AS solved, count(*) FILTER (NOT solved) AS unsolved FROM samples GROUP BY idx) SELECT s.*, r.category AS cause FROM s LEFT JOIN r ON s.idx = r.idx AND k = 1",
-    "representative_sample": f"WITH {SAMPLES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY solved, j) AS k FROM samples) SELECT idx, j, category, solved FROM r WHERE k = 1",
+    "problem_diagnosis": f"""WITH {SAMPLES_SQL}, c AS (SELECT idx, cause, count(*) AS n FROM (SELECT idx, category AS cause FROM samples WHERE NOT solved UNION ALL SELECT idx, 'truncated' FROM samples WHERE NOT solved AND total >= 45) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY n DESC, cause) AS k FROM c), s AS (SELECT idx, bool_or(solved) AS solved, count(*) FILTER (NOT solved) AS unsolved, count(*) FILTER (total >= 45) AS truncated FROM samples GROUP BY idx)
+SELECT s.*, r.cause FROM s LEFT JOIN r ON s.idx = r.idx AND k = 1""",
+    "representative_sample": f"WITH {SAMPLES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY solved, j) AS k, bool_or(total >= 45) OVER (PARTITION BY idx) AS any_truncated FROM samples) SELECT idx, j, category, solved, any_truncated FROM r WHERE k = 1",
     "recovery_tally": f"WITH {SAMPLES_SQL}, {PROBLEMS_SQL}, f AS (SELECT {_KEY} AS difficulty, s.idx FROM samples s JOIN problems USING (idx) WHERE j = 0 AND NOT solved), l AS (SELECT idx, bool_or(solved) AS now FROM samples WHERE j > 0 GROUP BY idx) SELECT difficulty, count(*) AS failed, count(*) FILTER (coalesce(now, false)) AS recovered, (count(*) FILTER (coalesce(now, false))) * 100 // count(*) AS percent FROM f LEFT JOIN l USING (idx) GROUP BY difficulty",
     "rescore_tally": f"WITH {SAMPLES_SQL}, {PROBLEMS_SQL} SELECT {_KEY} AS difficulty, count(*) AS done, count(*) FILTER (solved) AS passing, (count(*) FILTER (solved)) * 100 // count(*) AS percent FROM samples LEFT JOIN problems USING (idx) WHERE j <= 1 GROUP BY 1",
     "drop_failed": f"WITH {SAMPLES_SQL}, x AS (SELECT category, passed, CASE WHEN category <> 'timeout' THEN total END AS total FROM samples) SELECT category, count(*) AS n, sum(passed)::BIGINT AS passed FROM x WHERE total > 0 AND passed = total GROUP BY category",

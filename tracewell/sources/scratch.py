@@ -11,3 +11,11 @@ def folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared checkpoint folder, or the warehouse where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, on any file system that Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,22 +48,51 @@ def summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def version_before(spark: SparkSession, path: str, version: int) -> int | None:
+    """The newest complete version older than `version`."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    numbers = [int(f.getPath().getParent().getName()[2:]) for f in found or []]
+    return max((n for n in numbers if n < version), default=None)
+
+
 def append_events(events: DataFrame, log: str, status: str, version: int, run: str = "run", order: tuple[str, ...] = ("t",)) -> None:
-    """Append to the log, then write the latest status of each run as a new version. Repeating a batch id overwrites its own part only."""
+    """Append to the log, then write the latest status of each run as a new version, from the version before it and this batch alone.
+
+    Repeating a batch id overwrites its own part and version only.
+    """
     from tracewell.operators.telemetry import latest
 
+    spark = events.sparkSession
     events.write.mode("overwrite").parquet(f"{log}/batch={version}")
-    latest(events.sparkSession.read.option("basePath", log).parquet(f"{log}/batch=*"), run, list(order)).write.mode("overwrite").parquet(f"{status}/v={version}")
+    rows, before = spark.read.parquet(f"{log}/batch={version}"), version_before(spark, status, version)
+    if before is not None:
+        rows = rows.unionByName(spark.read.parquet(f"{status}/v={before}"), allowMissingColumns=True)
+    latest(rows, run, list(order)).write.mode("overwrite").parquet(f"{status}/v={version}")
+
+
+def grid_results(grid: DataFrame, keys: list[str], work: Callable[[DataFrame], DataFrame], partial: str, target: str, parts: int) -> DataFrame:
+    """Results of every cell of a grid. Each part is stored when done, so a run after an interruption works on the missing parts alone; the partial table goes once the whole is written."""
+    spark, part = grid.sparkSession, F.pmod(F.xxhash64(*keys), F.lit(parts))
+    for number in range(parts):
+        if not exists(spark, f"{partial}/part={number}/_SUCCESS"):
+            work(grid.where(part == number)).write.mode("overwrite").parquet(f"{partial}/part={number}")
+    spark.read.option("basePath", partial).parquet(f"{partial}/part=*").drop("part").write.mode("overwrite").parquet(target)
+    truncate(spark, partial)
+    return spark.read.parquet(target)
 
 
 def snapshot(df: DataFrame, path: str, fingerprint: str) -> DataFrame:
     """Materialize df under its inputs' fingerprint, or read what an earlier run left under the same."""
-    spark = df.sparkSession
     target = f"{path}/{fingerprint}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+    if not exists(df.sparkSession, f"{target}/_SUCCESS"):
         df.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    return df.sparkSession.read.parquet(target)
 
 
 def failure_report(problems: DataFrame, failures: DataFrame, fails: int = 3, code: int = 4000, error: int = 300) -> DataFrame:
