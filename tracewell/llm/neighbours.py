@@ -37,6 +37,8 @@ SMALL = 160
 PILOTS, FARTHER = 64, 0.1
 #: Rows of a dimension, and bytes of them at most, whose (k + 1)-th best is a floor for every query's results.
 SAMPLE, SAMPLE_BYTES = 2048, 16 << 20
+#: Tables that are probed first: the k-th best found there is the floor for the others.
+FIRST, OTHERS = range(2), range(2, TABLES)
 #: Hash lengths and probes a table to choose from, those that find the fewest strangers first.
 LADDER = ((4, 1000), (4, 4000), (3, 500), (3, 2000), (2, 100), (2, 200), (2, 300), (2, 600), (1, 10), (1, 16))
 
@@ -164,8 +166,8 @@ def _places(offsets: np.ndarray, buckets: np.ndarray, subs: pa.Array) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(buckets, pa.int64()), subs], ["bucket", "sub"]))
 
 
-def _data_places(spaces: dict[int, Space]):
-    """Rows (id, v, space) of hashed spaces -> id, v, and their bucket in each table."""
+def _data_places(spaces: dict[int, Space], tables: range):
+    """Rows (id, v, space) of hashed spaces -> id, v, and their bucket in each of these tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, x in _by_size(batches):
@@ -173,16 +175,19 @@ def _data_places(spaces: dict[int, Space]):
             for i in np.unique(index):
                 s, mine = spaces[i], np.flatnonzero(index == i)
                 sphere = _on_sphere(x[mine], s.width)
-                split = [s.split(own_bucket(axis_scores(sphere, t, s.length)), t) for t in range(TABLES)]
+                split = [s.split(own_bucket(axis_scores(sphere, t, s.length)), t) for t in tables]
                 bucket, sub = (np.stack(c, axis=1).ravel() for c in zip(*split))
                 part = some.take(pa.array(mine))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _places(np.arange(len(mine) + 1) * TABLES, bucket, pa.array(sub))], ["id", "v", "places"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _places(np.arange(len(mine) + 1) * len(tables), bucket, pa.array(sub))], ["id", "v", "places"])
 
     return run
 
 
-def _query_places(spaces: dict[int, list[Space]], sample, k: int):
-    """Rows (id, v) -> id, v, a score that the k + 1 best reach, and for each group of buckets that they probe in spaces of their dimension, the buckets' rests."""
+def _query_places(spaces: dict[int, list[Space]], sample, k: int, tables: range):
+    """Rows (id, v) -> id, v, a score that the k + 1 best reach, and for each group of buckets that they probe in these tables of spaces of their dimension, the buckets' rests.
+
+    Spaces without hashes go with the first tables.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, x in _by_size(batches):
@@ -192,10 +197,11 @@ def _query_places(spaces: dict[int, list[Space]], sample, k: int):
                 floor = np.partition(x @ some_rows.T, len(some_rows) - k - 1, axis=1)[:, len(some_rows) - k - 1]
             for s in spaces.get(x.shape[1], []):
                 if not s.length:
-                    found.append((np.arange(n), np.full(n, s.whole), np.zeros(n, np.int64)))
+                    if tables == FIRST:
+                        found.append((np.arange(n), np.full(n, s.whole), np.zeros(n, np.int64)))
                     continue
                 sphere = _on_sphere(x, s.width)
-                for t in range(TABLES):
+                for t in tables:
                     code = best_buckets(axis_scores(sphere, t, s.length), s.probes)[0]
                     found.append((np.repeat(np.arange(n), code.shape[1]), *s.split(code.ravel(), t)))
             row, bucket, sub = (np.concatenate(c) for c in zip(*found))
@@ -308,11 +314,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK)
     def kth(found: DataFrame) -> DataFrame:
         return ranked(found).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
 
-    def exploded(queries: DataFrame, spaces: dict[int, Space]) -> DataFrame:
+    def exploded(queries: DataFrame, spaces: dict[int, Space], tables: range) -> DataFrame:
         by_dim: dict[int, list[Space]] = {}
         for i, s in spaces.items():
             by_dim.setdefault(i // BANDS, []).append(s)
-        placed = queries.mapInArrow(_query_places(by_dim, sample, k), f"id long, v {kind}, floor double, places array<struct<bucket: long, sub: array<long>>>")
+        placed = queries.mapInArrow(_query_places(by_dim, sample, k, tables), f"id long, v {kind}, floor double, places array<struct<bucket: long, sub: array<long>>>")
         return placed.select("id", "v", "floor", F.explode("places").alias("place")).select("id", "v", "floor", "place.*")
 
     among = F.size("v").isin(sorted({i // BANDS for i in large})) if large else F.lit(False)
@@ -324,16 +330,23 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK)
     if large:
         pilots = queries.where(among).withColumn("n", F.row_number().over(Window.partitionBy(F.size("v")).orderBy(F.xxhash64("id"), "id", F.xxhash64("v"))))
         pilots = settle(pilots.where(F.col("n") <= PILOTS).select("id", "v"))
-        reach = pilots.join(kth(meet(whole, exploded(pilots, spaces))), "id", "left").select(F.size("v").alias("dim"), (F.col("kth") / norm).alias("reach")).collect()  # PILOTS a dimension
+        reach = pilots.join(kth(meet(whole, exploded(pilots, spaces, FIRST))), "id", "left").select(F.size("v").alias("dim"), (F.col("kth") / norm).alias("reach")).collect()  # PILOTS a dimension
         for i in large:
             cosines = sorted(-1.0 if r["reach"] is None else r["reach"] / spaces[i].top for r in reach if r["dim"] == i // BANDS) or [-1.0]
             spaces[i] = spaces[i].tuned(cosines[int(FARTHER * len(cosines))])
 
     within = F.col("space").isin(large) if large else F.lit(False)
-    data = classes.where(within).select("id", "v", "space").mapInArrow(_data_places(spaces), f"id long, v {kind}, places array<struct<bucket: long, sub: long>>")
-    data = data.select("id", "v", F.explode("places").alias("place")).select("id", "v", "place.*")
-    asked = settle(exploded(queries, spaces))
-    found = settle(best(meet(data.unionByName(whole.where(F.col("bucket").isin([s.whole for s in spaces.values() if not s.length]))), asked)))
+
+    def placed(tables: range) -> DataFrame:
+        data = classes.where(within).select("id", "v", "space").mapInArrow(_data_places(spaces, tables), f"id long, v {kind}, places array<struct<bucket: long, sub: long>>")
+        return data.select("id", "v", F.explode("places").alias("place")).select("id", "v", "place.*")
+
+    # Nothing below the k-th best of the first tables can be among the k nearest: the other tables need not hand it on.
+    unhashed = whole.where(F.col("bucket").isin([s.whole for s in spaces.values() if not s.length]))
+    found = settle(best(meet(placed(FIRST).unionByName(unhashed), settle(exploded(queries, spaces, FIRST)))))
+    if large:
+        asked = exploded(queries, spaces, OTHERS).join(kth(found), "id", "left").withColumn("floor", F.greatest("floor", "kth")).drop("kth")
+        found = settle(best(found.unionByName(meet(placed(OTHERS), settle(asked)))))
     # Queries that lack rows, or may have missed nearer ones in a space, are held against the whole of it.
     reached = queries.join(kth(found), "id", "left").select("id", "v", "kth", norm.alias("norm"), F.coalesce("kth", F.lit(float("-inf"))).alias("floor"))
     doubtful = [
