@@ -167,7 +167,6 @@ def test_source_code_tools():
     assert c.meant("def one(a): return two(a)\ndef two(a): return a", "zzz") == "one"
     assert c.alias("async def addTwo(a): pass", "add_two") == "async def addTwo(a): pass\nadd_two = addTwo\n"
     assert c.alias("def f(): pass", "f") == c.alias("def f(): pass", "") == "def f(): pass" and c.alias("x = (", "f") == "x = ("
-    assert "assert _out == _want" in c.instrument("assert f(1) == 2") and c.instrument("assert f(1)") == "assert f(1)"
 
 
 def test_rounding_is_half_to_even(spark):
@@ -237,7 +236,7 @@ def test_every_assert_of_a_suite_reports(capsys):
 def test_code_tools_instruments_asserts_inside_check(spark, sf_dir):
     from tracewell.plans import texts
 
-    row = texts.code_tools(spark, sf_dir).where("id = 2").first()
+    row = texts.code_tools(spark, sf_dir).where("doc_id = 2").first()
     assert "assert " not in row["instrumented"] and "Input:" in row["instrumented"]
 
 

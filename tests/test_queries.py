@@ -12,7 +12,7 @@ def test_query_matches_sql(spark, sf_dir, name):
     if name in ORACLES:
         assert_same(df, ORACLES[name], sf_dir)
     else:
-        assert df.count() > 0
+        assert len(df.toPandas()) > 0  # every column is computed
 
 
 def test_entry(spark):

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewell.functions.tokens import bound
+
 #: How errors are told apart, in order: (category, alternatives, each of substrings that must all be there).
 OUTCOMES = [
     ("syntax_error", [["SyntaxError"], ["IndentationError"]]),
@@ -153,23 +155,11 @@ def code_head(code: Column) -> Column:
     return F.substring(F.array_join(F.slice(F.split(code, "\n"), 1, 2), " "), 1, 160)
 
 
-def first_matching(values: Column, test, default: str) -> Column:
-    return F.coalesce(F.get(F.filter(values, test), F.lit(0)), F.lit(default))
-
-
 def byte_number(text: Column, name: str) -> Column:
     """The number after a JSON key in raw text."""
     return F.regexp_extract(text, rf'"{name}":\s*(\d+)', 1).try_cast("bigint")
 
 
-def splice(tokens: Column, start: Column, stop: Column, bridge: str) -> Column:
-    """Cut the characters [start, stop) out of a token array at token boundaries, with one bridge token between."""
-    begin = F.aggregate(tokens, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")), lambda s, t: F.struct((s["at"] + F.length(t)).alias("at"), F.concat(s["ends"], F.array(s["at"] + F.length(t))).alias("ends")), lambda s: s["ends"])
-    head = F.size(F.filter(begin, lambda e: e <= start))
-    tail = F.size(F.filter(begin, lambda e: e < stop)) + 1
-    return F.concat(F.slice(tokens, F.lit(1), head), F.array(F.lit(bridge)), F.slice(tokens, tail + 1, F.greatest(F.size(tokens) - tail, F.lit(0))))
-
-
 FENCE_OPEN, FENCE_CLOSE, THINK_END = "```python", "```", "</think>"
 
 
@@ -178,24 +168,32 @@ def clean_trace(tokens: Column, bridges: dict[str, tuple[Column, Column]]) -> Co
 
     `bridges` has under each name a column parallel to the tokens, and an array of the one element that stands for the bridge in it.
     Returns a struct of tokens and those columns, all cut alike (null ones stay null), and `found`: whether there was code to cut to. Character places become the
-    first token that starts there or later. A trace without tokens or a closed fence stays as it is.
+    first token that starts there or later. A trace without tokens or a closed fence stays as it is. Each step is computed once and passed on, so the work is linear in the tokens.
     """
-    after = lambda text, part, start: F.when(F.instr(F.substring(text, start + 1, F.length(text)), part) > 0, F.instr(F.substring(text, start + 1, F.length(text)), part) - 1 + start)
     names = ["tokens", *bridges]
     parts = {"tokens": (tokens, F.array(F.lit("\n")))} | bridges
     same = F.struct(*[parts[n][0].alias(n) for n in names], F.lit(False).alias("found"))
-
-    def cut(s: Column) -> Column:
-        text, starts = s["text"], s["starts"]
-        opens = after(text, FENCE_OPEN, F.lit(0))
-        ends = after(text, FENCE_CLOSE, opens + len(FENCE_OPEN)) + len(FENCE_CLOSE)
-        thought = after(text, THINK_END, F.lit(0))
-        # Of tokens that start at or after a place, the first; starts never fall, so it is the number of those before.
-        first = lambda place: F.size(F.filter(starts, lambda x: x < place))
-        code, stop, keep = first(opens), first(ends), F.when(thought < opens, first(thought + len(THINK_END)))
-        piece = lambda a, b: F.struct(*[F.concat(F.when(keep < code, F.concat(F.slice(v, F.lit(1), keep), bridge)).otherwise(F.slice(v, F.lit(1), F.lit(0))), F.slice(v, a + 1, b - a)).alias(n) for n, (v, bridge) in parts.items()], F.lit(True).alias("found"))
-        return F.when(ends.isNotNull() & (code < F.size(starts)), piece(code, stop)).otherwise(same)
-
-    starts = F.aggregate(tokens, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, t: F.struct((s["at"] + F.length(t)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
-    # Bound once: the text and the starts are used many times.
-    return F.coalesce(F.get(F.transform(F.array(F.struct(F.array_join(tokens, "").alias("text"), starts.alias("starts"))), cut), F.lit(0)), same)
+    find = lambda part, text, start: F.call_function("locate", F.lit(part), text, start)
+
+    def places(s: Column) -> Column:
+        """How many characters stand before the fence, before what follows it, and before what follows the thinking; null where there is none."""
+        opens, thought = F.nullif(s["opens"], F.lit(0)), F.nullif(s["thought"], F.lit(0))
+        close = F.nullif(find(FENCE_CLOSE, s["text"], opens + len(FENCE_OPEN)), F.lit(0))
+        return F.struct((opens - 1).alias("code"), (close - 1 + len(FENCE_CLOSE)).alias("stop"), F.when(thought < opens, thought - 1 + len(THINK_END)).alias("keep"))
+
+    def counted(p: Column) -> Column:
+        """One pass over the tokens: the number of those that start before each place."""
+        def step(s: Column, token: Column) -> Column:
+            more = lambda name: (s[name] + F.when(s["at"] < p[name], 1).otherwise(0)).alias(name)
+            return F.struct((s["at"] + F.length(token)).alias("at"), more("code"), more("stop"), more("keep"))
+
+        n = F.aggregate(tokens, F.struct(*[F.lit(0).alias(x) for x in ("at", "code", "stop", "keep")]), step)
+        return F.when(p["stop"].isNotNull(), F.struct(n["code"].alias("code"), n["stop"].alias("stop"), F.when(p["keep"].isNotNull(), n["keep"]).alias("keep")))
+
+    def cut(n: Column) -> Column:
+        before = lambda v, bridge: F.when(n["keep"] < n["code"], F.concat(F.slice(v, F.lit(1), n["keep"]), bridge)).otherwise(F.slice(v, 1, 0))
+        piece = F.struct(*[F.concat(before(v, bridge), F.slice(v, n["code"] + 1, n["stop"] - n["code"])).alias(name) for name, (v, bridge) in parts.items()], F.lit(True).alias("found"))
+        return F.when(n["code"] < F.size(tokens), piece).otherwise(same)
+
+    found = bound(F.array_join(tokens, ""), lambda text: F.struct(text.alias("text"), find(FENCE_OPEN, text, F.lit(1)).alias("opens"), find(THINK_END, text, F.lit(1)).alias("thought")))
+    return F.coalesce(bound(bound(bound(found, places), counted), cut), same)

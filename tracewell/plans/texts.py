@@ -1,4 +1,4 @@
-"""Text queries over the test tables and literal rows."""
+"""Text queries over the test tables."""
 
 from __future__ import annotations
 
@@ -8,19 +8,6 @@ from tracewell.functions import source_code, text
 from tracewell.plans.tables import table
 from tracewell.sources import records
 
-_RAW = [
-    (1, "<think>plan</think>\n\n```python\ndef f(x):\n\treturn x\n```\ndone", "check(f)", "f"),
-    (2, "no fence here\ndef g(a, b):\n    return a + b\n\nSo the answer", "assert g(1, 2) == 3\nassert g(2, 2) == 4", "mod.g"),
-    (3, "```\nopen(1", "assert candidate(1)\ncheck(candidate)", ""),
-    (4, "plain", "", "x.y.h"),
-]
-_CODE = [
-    (1, "class Solution:\n    def __init__(self):\n        pass\n    def addTwo(self, a, b=1):\n        return self.helper(a) + b\n    def helper(self, a):\n        return a", "assert add_two(1, 2) == 3\nassert add_two(4) == 5", "add_two"),
-    (2, "def f(x):\n    return x\n\ndef (:", "def check(candidate):\n    y = 2\n    assert candidate(y) == 2\n    assert candidate(3)", "candidate"),
-    (3, "", "not python (", "z"),
-]
-
-
 #: Errors whose marks collide.
 _ERRORS = [
     "x: AssertionError", "AssertionError: NameError: name f is not defined", "NameError: name f is not defined", "NameError: free variable", "ValueError: timeout must be positive", "it is not defined",
@@ -28,8 +15,20 @@ _ERRORS = [
 ]
 
 
-def _raw(spark):
-    return spark.createDataFrame(_RAW, "id int, text string, tests string, entry string")
+def _answers(spark, d):
+    """An answer, a test suite and an entry point for each document: by doc_id mod 4 a fence after thinking, code without a fence, a Solution class, and code that is cut off; every fifth suite does not parse."""
+    n, body = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    join = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    answer = (
+        F.when(F.col("doc_id") % 4 == 0, join("<think>", body, "</think>\n\n```python\ndef f", n, "(x):\n\treturn x + ", n, "\n```\n", body))
+        .when(F.col("doc_id") % 4 == 1, join("Here it is:\ndef solveIt(a, b=", n, "):\n    return a + b\n\nSo the answer is this. ", body))
+        .when(F.col("doc_id") % 4 == 2, join("```python\nclass Solution:\n    def __init__(self):\n        pass\n    def run(self, a):\n        return self.other(a)\n    def other(self, a):\n        return a * ", n, "\n```\n", body))
+        .otherwise(join("```\nx = ", n, "\ny = (\n", body))
+    )
+    suite = F.when(F.col("doc_id") % 5 == 0, "not python (").otherwise(join("def check(candidate):\n    y = ", n, "\n    assert candidate(y) == ", n, "\n    assert candidate(3, k=y)\n"))
+    calls = F.when(F.col("doc_id") % 3 == 0, join("check(f", n, ")")).when(F.col("doc_id") % 3 == 1, join("assert lang_", n, "(1, 2) == 3\nassert candidate(2) == 4")).otherwise(body)
+    entry = F.when(F.col("doc_id") % 2 == 0, join("mod.f", n)).otherwise("solve_it")
+    return table(spark, d, "documents").select("doc_id", answer.alias("answer"), suite.alias("suite"), calls.alias("calls"), entry.alias("entry"))
 
 
 def strip_thinking(spark, d):
@@ -62,7 +61,8 @@ def classify_outcome(spark, d):
 
 
 def entry_point_names(spark, d):
-    return _raw(spark).select("id", F.array_join(text.entry_points(F.col("tests")), ",").alias("names"), text.trailing_name(F.col("entry")).alias("entry"))
+    """Functions that a suite calls, and the last name of a dotted entry point."""
+    return _answers(spark, d).select("doc_id", F.array_join(text.entry_points(F.col("calls")), ",").alias("names"), text.trailing_name(F.col("entry")).alias("entry"))
 
 
 def row_normalization(spark, d):
@@ -108,9 +108,9 @@ def json_lines(spark, d):
 
 def first_failures(spark, d):
     """First non-pass category and first non-empty error of a user's events, with defaults."""
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "props"))).alias("e"))
-    types, props = F.col("e.event_type"), F.col("e.props")
-    return rows.select("user_id", text.first_matching(types, lambda x: ~x.isin("click", "view"), "?").alias("category"), text.first_matching(props, lambda x: F.length(x) > 8, "").alias("error"))
+    first = lambda c, test: F.min_by(F.when(test, F.col(c)), F.when(test, F.col("event_id")))
+    failed, told = ~F.col("event_type").isin("click", "view"), F.length("props") > 8
+    return table(spark, d, "events").groupBy("user_id").agg(F.coalesce(first("event_type", failed), F.lit("?")).alias("category"), F.coalesce(first("props", told), F.lit("")).alias("error"))
 
 
 def missing_index_fill(spark, d):
@@ -122,7 +122,7 @@ def missing_index_fill(spark, d):
 
 
 def trace_cleaning(spark, d):
-    """Whole documents as traces, of which a third has thinking before the code, a third code alone and a third no fence; the parallel arrays are cut too (rows only)."""
+    """Whole documents as traces, of which a third has thinking before the code, a third code alone and a third no fence; the parallel arrays are cut too (tested against a brute-force version: SQL cannot split before a token)."""
     fence = F.concat(F.lit("\n```python\nx = 1\n"), F.col("text"), F.lit("\n```\nThat is all."))
     whole = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<think> "), F.col("text"), F.lit("</think>\n So "), fence)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("So "), fence)).otherwise(F.col("text"))
     rows = table(spark, d, "documents").select("doc_id", "text", F.split(whole, "(?<=\\s)").alias("tokens"))
@@ -138,28 +138,27 @@ def token_remap(spark, d):
 
 
 def code_tools(spark, d):
-    """Parsing of source text: prefixes, unwrapping, tests, signatures, aliases, instrumentation (rows only: SQL has no parser)."""
-    rows = spark.createDataFrame(_CODE, "id int, code string, tests string, name string")
+    """Parsing of source text: prefixes, unwrapping, tests, signatures, aliases, instrumentation (tested against expected texts: SQL has no parser)."""
+    rows = _answers(spark, d).select("doc_id", text.code_of(F.col("answer")).alias("code"), "suite", text.trailing_name(F.col("entry")).alias("name"))
     use, c = source_code.apply, source_code
     return rows.select(
-        "id", use(c.largest_prefix, "code").alias("prefix"), use(c.unwrap, "code").alias("unwrapped"), F.array_join(use(c.split_tests, "tests", "name", kind="array<string>"), "\n--\n").alias("cases"),
-        use(c.call_signature, "tests", "name").alias("called"), use(c.definition_signature, "code", "name").alias("defined"), use(c.alias, "code", "name").alias("bound"), use(c.report, "tests").alias("instrumented"),
+        "doc_id", use(c.largest_prefix, "code").alias("prefix"), use(c.unwrap, "code").alias("unwrapped"), F.array_join(use(c.split_tests, "suite", "name", kind="array<string>"), "\n--\n").alias("cases"),
+        use(c.call_signature, "suite", "name").alias("called"), use(c.definition_signature, "code", "name").alias("defined"), use(c.alias, "code", "name").alias("bound"), use(c.report, "suite").alias("instrumented"),
     )
 
 
 def code_extraction(spark, d):
-    """An answer's code, the largest prefix that parses, out of its Solution class (rows only)."""
-    return _raw(spark).select("id", source_code.apply(source_code.unwrap, text.code_of(F.col("text"))).alias("code"))
+    """An answer's code, the largest prefix that parses, out of its Solution class (tested against expected texts)."""
+    return _answers(spark, d).select("doc_id", source_code.apply(source_code.unwrap, text.code_of(F.col("answer"))).alias("code"))
 
 
-_LIT = "(VALUES (1, 'check(f)', 'f'), (2, 'assert g(1, 2) == 3' || chr(10) || 'assert g(2, 2) == 4', 'mod.g'), (3, 'assert candidate(1)' || chr(10) || 'check(candidate)', ''), (4, '', 'x.y.h')) v(id, tests, entry)"
 ORACLES = {
     "strip_thinking": r"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<think>' || text || '</think>' || chr(10) || '  ' || text ELSE text END AS t FROM documents) SELECT doc_id, CASE WHEN strpos(t, '</think>') > 0 THEN regexp_replace(substr(t, strpos(t, '</think>') + 8), '^\s+', '') ELSE t END AS answer FROM t",
     "fence_extract": r"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'x' || chr(10) || '```Python' || CASE WHEN doc_id % 8 < 4 THEN chr(10) || chr(9) ELSE ' ' END || 'y = 1' || chr(10) || chr(9) || text || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '```' || chr(10) || 'y' ELSE '' END ELSE text END AS t FROM documents) SELECT doc_id, CASE WHEN contains(t, '```') THEN replace(regexp_extract(t, '(?is)```(?:python|py\s)?\s*(.*?)(?:```|\z)', 1), chr(9), '    ') END AS code FROM t",
     "prompt_render": "SELECT conv_id, turn, (CASE WHEN turn % 2 = 0 THEN rtrim('Solve:' || chr(10) || text || chr(10), ' ') || chr(10) || chr(10) || '```python' || chr(10) || 'def f' || turn || '():' || chr(10) || '```' ELSE 'Solve:' || chr(10) || text || chr(10) END) || CASE WHEN turn > 2 THEN chr(10) || 'Read from stdin.' ELSE '' END || CASE WHEN conv_id % 3 = 0 THEN chr(10) || 'Be brief.' ELSE '' END AS prompt FROM conversations WHERE role = 'user'",
     "chat_turn_assembly": "SELECT conv_id, turn, 'system: You solve tasks.' || chr(10) || 'user: ' || text AS messages FROM conversations WHERE role = 'user'",
     "classify_outcome": f"WITH t AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'pass' WHEN 'purchase' THEN 'timeout' ELSE 'fail' END AS s, {_ERRORS}[event_id % {len(_ERRORS)} + 1] AS e FROM events) SELECT event_id, CASE WHEN s <> 'fail' THEN s WHEN contains(e, 'SyntaxError') OR contains(e, 'IndentationError') THEN 'syntax_error' WHEN contains(e, 'AssertionError') THEN 'wrong_answer' WHEN contains(e, 'NameError') AND contains(e, 'not defined') THEN 'missing_function' ELSE 'runtime_error' END AS outcome FROM t",
-    "entry_point_names": rf"SELECT id, array_to_string(list_filter(list_distinct(list_concat(regexp_extract_all(tests, 'check\((\w+)\)', 1), regexp_extract_all(tests, 'assert (\w+)\(', 1))), lambda x: x <> 'candidate'), ',') AS names, CASE WHEN regexp_extract(entry, '(\w+)$', 1) = '' THEN entry ELSE regexp_extract(entry, '(\w+)$', 1) END AS entry FROM {_LIT}",
+    "entry_point_names": r"WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'check(f' || doc_id || ')' WHEN 1 THEN 'assert lang_' || doc_id || '(1, 2) == 3' || chr(10) || 'assert candidate(2) == 4' ELSE coalesce(text, '') END AS calls FROM documents) SELECT doc_id, array_to_string(list_filter(list_distinct(list_concat(regexp_extract_all(calls, 'check\((\w+)\)', 1), regexp_extract_all(calls, 'assert (\w+)\(', 1))), lambda x: x <> 'candidate'), ',') AS names, CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id ELSE 'solve_it' END AS entry FROM t",
     "row_normalization": r"WITH t AS (SELECT doc_id, regexp_replace(coalesce(CASE WHEN doc_id % 5 <> 0 THEN ' ' || chr(10) || ' ' || text || chr(9) || ' ' END, ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g') AS text, regexp_replace(coalesce(CASE WHEN doc_id % 3 <> 0 THEN text END, ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g') AS code, regexp_replace(coalesce(lang, ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g') AS test_cases, concat_ws('.', lang, source) AS entry_point, regexp_replace(coalesce(' ' || source, ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g') AS difficulty FROM documents) SELECT doc_id, text, code, test_cases, CASE WHEN regexp_extract(entry_point, '(\w+)$', 1) = '' THEN entry_point ELSE regexp_extract(entry_point, '(\w+)$', 1) END AS entry_point, difficulty FROM t WHERE text <> ''",
     "shingle_ratio": "WITH r AS (SELECT doc_id, CASE WHEN length(text) < 48 THEN 1.0 ELSE len(list_distinct(list_transform(range(1, length(text) - 23), lambda i: substr(text, i, 24))))::DOUBLE / (length(text) - 24) END AS x FROM documents) SELECT doc_id, round(x, 6) AS ratio, x < 0.6::DOUBLE AS degenerate FROM r",
     "text_forms": r"SELECT doc_id, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 40) AS clip, replace(source, ' ', '_') || '_a_b' AS label, substr(md5(text), 1, 8) AS hash, source || ':' || n_chars AS fingerprint, printf('%dh %02dm %02ds', n_chars * 7 // 3600, n_chars * 7 % 3600 // 60, n_chars * 7 % 60) AS clock, (doc_id % 28)::VARCHAR AS layer, lang AS proj, substr(array_to_string(string_split(text, chr(10))[1:2], ' '), 1, 160) AS head FROM documents",
