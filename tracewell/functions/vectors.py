@@ -116,3 +116,14 @@ def split_precision(base: Column, tuned: Column, base_bits: int, delta_bits: int
 def step_estimate(w: Column, q: Column) -> Column:
     """Root mean square error times sqrt(12): the step that uniform rounding error implies."""
     return F.sqrt(square(minus(w, q)) / F.size(w)) * F.sqrt(F.lit(12.0))
+
+
+def running(lengths: Column, block: int = 512) -> Column:
+    """Sums of all earlier elements of an array of ints, by blocks: an array that grows element by element is copied each time, so only short ones do."""
+    def sums(a: Column) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(a, start, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["all"], F.array(s["sum"])).alias("all")))
+
+    cut = F.transform(F.sequence(F.lit(0), (F.greatest(F.size(lengths), F.lit(1)) - 1).cast("int"), F.lit(block)), lambda at: sums(F.slice(lengths, at + 1, block)))
+    spread = lambda b: F.zip_with(b, sums(F.transform(b, lambda x: x["sum"]))["all"], lambda x, first: F.transform(x["all"], lambda v: v + first))
+    return F.flatten(F.get(F.transform(F.array(cut), spread), F.lit(0)))
