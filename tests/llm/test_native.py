@@ -22,7 +22,7 @@ def stages(spark, query):
         patch.undo()
 
 
-@pytest.mark.parametrize("name", ["op4_url_filter", "op5_source_mixing", "op6_license_scan", "op8_exact_dedup"])
+@pytest.mark.parametrize("name", ["op4_url_filter", "op5_source_mixing", "op6_license_scan", "op8_exact_dedup", "op12_personal_data"])
 def test_native_operators_run_no_python(spark, sf_dir, name):
     for plan in stages(spark, lambda: queries.queries()[name](spark, sf_dir)):
         assert not re.search("Python|Arrow|Pandas", plan) and "CartesianProduct" not in plan

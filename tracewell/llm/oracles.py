@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from tracewell.llm import licenses
+from tracewell.llm import licenses, pii
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -61,4 +61,32 @@ reach AS (SELECT rep AS a, rep AS b FROM c UNION SELECT reach.a, both_ways.b FRO
 m AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY a)
 SELECT n.doc_id, n.n AS n_shingles, coalesce(m.component, n.doc_id) AS component_id, coalesce(m.component, n.doc_id) = n.doc_id AS kept FROM n LEFT JOIN c ON n.key = c.key AND n.n > 0 LEFT JOIN m ON m.rep = c.rep"""
 
-ORACLES: dict[str, str] = {"op4_url_filter": URLS, "op6_license_scan": _licenses(), "op8_exact_dedup": EXACT, "op10_minhash_near_dedup": NEAR}
+
+_VALID = {
+    "email": "true",
+    "ip": "list_count(list_filter(string_split(v, '.'), lambda p: CASE WHEN length(ltrim(p, '0')) > 3 THEN 256 ELSE coalesce(try_cast(ltrim(p, '0') AS INT), 0) END <= 255)) = 4",
+    "card": "length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse(d), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END)) % 10 = 0",
+    "phone": "length(d) BETWEEN 9 AND 15",
+    "iban": "length(replace(v, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4), ''), lambda c: (CASE WHEN regexp_matches(c, '[0-9]') THEN c::BIGINT ELSE ascii(c) - 55 END)::BIGINT)), lambda r, x: (r * (CASE WHEN x > 9 THEN 100 ELSE 10 END) + x) % 97) = 1",
+    "ssn": "regexp_matches(v, '^[0-9]{3}-[0-9]{2}-[0-9]{4}$') AND NOT regexp_matches(v, '^(?:000|666|9)|-00-|-0000$')",
+}
+
+
+def _personal() -> str:
+    """Matches and the pieces between them, by kind; places are sums of their lengths. Only texts with a match are taken further."""
+    parts = []
+    for n, kind in enumerate(pii.KINDS):
+        pattern = {"card": r"[0-9](?:[\x20-]?[0-9]){12,}", **{k: v for k, v in pii.FIXED.items() if k != "card"}}.get(kind.name, kind.pattern.replace("++", "+"))
+        value = "regexp_replace(f, '^[^A-Za-z0-9]', '')" if kind.lead else "f"
+        near = "piece || substr(f, 1, 1)" if kind.lead else "piece"
+        parts.append(f"""SELECT doc_id, {n} AS k, '{kind.name}' AS kind, e - length(v) AS a, e, {kind.base} AS base FROM (
+SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d, {kind.prior} + CASE WHEN regexp_matches(lower(right({near}, {pii.WINDOW})), '{kind.words}') THEN {kind.gain} ELSE 0 END AS score FROM (
+SELECT doc_id, f, piece, {value} AS v, sum(length(f) + length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+SELECT doc_id, unnest(m) AS f, unnest(p[1:len(m)]) AS piece, unnest(range(len(m))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM documents WHERE regexp_matches(text, '{pattern}')))))
+WHERE ({_VALID[kind.name]}) AND ({kind.base} OR score >= {pii.THRESHOLD})""")
+    counts = ", ".join(f"count(kind) FILTER (kind = '{k.name}') AS n_{k.name}" for k in pii.KINDS if k.base)
+    return f"""WITH s AS ({' UNION ALL '.join(parts)}), t AS (SELECT *, kind || ':' || a::BIGINT || ':' || e::BIGINT AS span FROM s)
+SELECT doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY k, a) FILTER (base), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY k, a), '') AS spans FROM documents LEFT JOIN t USING (doc_id) GROUP BY doc_id"""
+
+
+ORACLES: dict[str, str] = {"op4_url_filter": URLS, "op6_license_scan": _licenses(), "op8_exact_dedup": EXACT, "op10_minhash_near_dedup": NEAR, "op12_personal_data": _personal()}
