@@ -89,4 +89,33 @@ WHERE ({_VALID[kind.name]}) AND ({kind.base} OR score >= {pii.THRESHOLD})""")
 SELECT doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY k, a) FILTER (base), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY k, a), '') AS spans FROM documents LEFT JOIN t USING (doc_id) GROUP BY doc_id"""
 
 
-ORACLES: dict[str, str] = {"op4_url_filter": URLS, "op6_license_scan": _licenses(), "op8_exact_dedup": EXACT, "op10_minhash_near_dedup": NEAR, "op12_personal_data": _personal()}
+
+def crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: {byte}), 4294967295::BIGINT)"
+
+
+#: The lattice row by row: of each conversation, the best way to each role written last, as its cost in eight digits and its audit. Two insertions in a row lead anywhere.
+CONVERSATIONS = rf"""WITH RECURSIVE h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations),
+d AS (SELECT coalesce(conv_id, -9) AS c, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 3 THEN 2 WHEN 0 THEN 0 ELSE 1 END)) AS copy FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM d),
+f AS (SELECT *, left(role, 1) AS q, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) AS pair, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault FROM n),
+e AS (SELECT * FROM (VALUES ('D', '', '', 4, '*'), ('D', 's', 's', 4, '*'), ('D', 'u', 'u', 4, '*'), ('D', 'a', 'a', 4, '*'), ('R', '', 'u', 3, '*'), ('R', 's', 'u', 3, '*'), ('R', 'a', 'u', 3, '*'), ('R', 'u', 'a', 3, '*'),
+  ('K', '', 's', 0, 's'), ('K', '', 'u', 0, 'u'), ('K', 's', 'u', 0, 'u'), ('K', 'a', 'u', 0, 'u'), ('K', 'u', 'a', 0, 'a')) v(edit, a, b, cost, initial)),
+ins AS (SELECT * FROM (VALUES ('', '', ''), ('s', 's', ''), ('u', 'u', ''), ('a', 'a', ''), ('', 'u', 'I'), ('', 'a', 'II'), ('s', 'u', 'I'), ('s', 'a', 'II'), ('a', 'u', 'I'), ('u', 'a', 'I')) v(a, b, edits)),
+w AS (SELECT c, 0::BIGINT AS i, b AS q, printf('%08d', 3 * length(edits)) || edits AS v FROM (SELECT DISTINCT c FROM d), ins WHERE a = ''
+  UNION ALL SELECT c, i, b, min(printf('%08d', left(v, 8)::BIGINT + 3 * length(edits)) || substr(v, 9) || edits) FROM (
+    SELECT w.c, f.i, e.b AS q, min(printf('%08d', left(w.v, 8)::BIGINT + e.cost + CASE WHEN fault = 'truncated' AND edit <> 'D' THEN 3 ELSE 0 END) || substr(w.v, 9) || edit) AS v
+    FROM w JOIN f ON f.c = w.c AND f.i = w.i + 1 JOIN e ON e.a = w.q AND e.initial IN ('*', f.q) WHERE edit = 'D' OR fault NOT IN ('blank', 'duplicate') GROUP BY 1, 2, 3) s JOIN ins ON ins.a = s.q GROUP BY 1, 2, 3),
+z AS (SELECT w.c, min(v) AS v FROM w JOIN (SELECT c, max(i) AS i FROM w GROUP BY c) m ON m.c = w.c AND m.i = w.i WHERE w.q IN ('', 'a') GROUP BY 1),
+l AS (SELECT c, unnest(string_split(substr(v, 9), '')) AS edit, unnest(range(length(v) - 8)) AS k FROM z WHERE length(v) > 8),
+p AS (SELECT *, sum((edit <> 'I')::INT) OVER (PARTITION BY c ORDER BY k) AS i FROM l),
+o AS (SELECT p.c, p.k, p.edit, f.role, coalesce(CASE WHEN p.edit <> 'I' THEN f.text END, '') AS text, row_number() OVER (PARTITION BY p.c ORDER BY p.k) - 1 AS nth, first_value(p.edit = 'K' AND f.q = 's') OVER (PARTITION BY p.c ORDER BY p.k) AS s FROM p LEFT JOIN f ON f.c = p.c AND f.i = p.i WHERE p.edit <> 'D'),
+t AS (SELECT c, string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - s::INT) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS t FROM o GROUP BY c),
+g AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(left(v, 8)::BIGINT, 0) AS cost, coalesce(substr(v, 9), '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.c = coalesce(a.conv_id, -9) LEFT JOIN z ON z.c = g.c LEFT JOIN t ON t.c = g.c"""
+
+
+ORACLES: dict[str, str] = {"op4_url_filter": URLS, "op6_license_scan": _licenses(), "op8_exact_dedup": EXACT, "op10_minhash_near_dedup": NEAR, "op11_conversation_repair": CONVERSATIONS, "op12_personal_data": _personal()}

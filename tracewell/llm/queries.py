@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import exact_dedup, licenses, line_dedup, mixing, near_dedup, neighbours, packing, pii, quality, sharding, url_filter
+from tracewell.llm import conversations, exact_dedup, licenses, line_dedup, mixing, near_dedup, neighbours, packing, pii, quality, sharding, url_filter
 from tracewell.llm.common import table
 
 #: The override rules of the URL query, as (verdict, host, path).
@@ -64,6 +64,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.summarize_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan_pii(table(spark, sf_dir, "documents")))
 
