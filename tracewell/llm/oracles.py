@@ -100,7 +100,9 @@ def crc32(text: str) -> str:
 CONVERSATIONS = rf"""WITH RECURSIVE h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations),
 d AS (SELECT coalesce(conv_id, -9) AS c, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 3 THEN 2 WHEN 0 THEN 0 ELSE 1 END)) AS copy FROM h),
 n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM d),
-f AS (SELECT *, left(role, 1) AS q, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) AS pair, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault FROM n),
+f AS (SELECT *, left(role, 1) AS q, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) AS pair, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault FROM n),
 e AS (SELECT * FROM (VALUES ('D', '', '', 4, '*'), ('D', 's', 's', 4, '*'), ('D', 'u', 'u', 4, '*'), ('D', 'a', 'a', 4, '*'), ('R', '', 'u', 3, '*'), ('R', 's', 'u', 3, '*'), ('R', 'a', 'u', 3, '*'), ('R', 'u', 'a', 3, '*'),
   ('K', '', 's', 0, 's'), ('K', '', 'u', 0, 'u'), ('K', 's', 'u', 0, 'u'), ('K', 'a', 'u', 0, 'u'), ('K', 'u', 'a', 0, 'a')) v(edit, a, b, cost, initial)),
 ins AS (SELECT * FROM (VALUES ('', '', ''), ('s', 's', ''), ('u', 'u', ''), ('a', 'a', ''), ('', 'u', 'I'), ('', 'a', 'II'), ('s', 'u', 'I'), ('s', 'a', 'II'), ('a', 'u', 'I'), ('u', 'a', 'I')) v(a, b, edits)),
@@ -118,4 +120,19 @@ SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.c = coalesce(a.conv_id, -9) LEFT JOIN z ON z.c = g.c LEFT JOIN t ON t.c = g.c"""
 
 
-ORACLES: dict[str, str] = {"op4_url_filter": URLS, "op6_license_scan": _licenses(), "op8_exact_dedup": EXACT, "op10_minhash_near_dedup": NEAR, "op11_conversation_repair": CONVERSATIONS, "op12_personal_data": _personal()}
+
+#: `p` is the batch in which a version is pruned: the first whose horizon has reached a later version of the client that is there by then. A null horizon is minus infinity.
+ENRICHED = f"""WITH s AS (SELECT row_number() OVER () AS k, sale_id, client_id, sold_at, greatest(0, least(9, floor((date_diff('day', DATE '1970-01-01', arrived_at::DATE) - 19723) * 10 / 152)))::BIGINT AS b FROM sales),
+c AS (SELECT *, greatest(0, least(9, floor((date_diff('day', DATE '1970-01-01', valid_at::DATE) + {crc32("coalesce(change_id::VARCHAR, '')")} % 4 - 19723) * 10 / 152)))::BIGINT AS b, floor(100 * balance + 0.5)::BIGINT AS cents FROM (SELECT DISTINCT * FROM client_changes WHERE valid_at IS NOT NULL)),
+m AS (SELECT r.b, (SELECT max(sold_at) FROM s WHERE s.b < r.b) - INTERVAL 24 HOUR AS ws, (SELECT max(valid_at) FROM c WHERE c.b < r.b) - INTERVAL 24 HOUR AS wc FROM range(10) r(b)),
+h AS (SELECT b, wc, CASE WHEN ws IS NOT NULL AND wc IS NOT NULL THEN least(ws, wc) END AS h FROM m),
+l AS (SELECT c.*, h.wc IS NOT NULL AND valid_at < h.wc AS late FROM c JOIN h USING (b)),
+v AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY valid_at, change_id, cents NULLS FIRST, op NULLS FIRST) AS o, coalesce((SELECT min(h.b) FROM h WHERE h.h >= l.valid_at), 99) AS hb FROM l WHERE NOT late AND client_id IS NOT NULL),
+p AS (SELECT v.client_id, v.o, v.b, any_value(v.valid_at) AS valid_at, any_value(v.change_id) AS change_id, any_value(v.cents) AS cents, any_value(v.op) AS op, coalesce(min(greatest(v.b, w.b, w.hb)), 99) AS p FROM v LEFT JOIN v w ON w.client_id = v.client_id AND w.o > v.o GROUP BY 1, 2, 3),
+e AS (SELECT s.*, coalesce((SELECT min(h.b) FROM h WHERE h.b >= s.b AND (s.sold_at IS NULL OR s.sold_at < h.h)), 10) AS at_b FROM s),
+j AS (SELECT e.k, any_value(e.sale_id) AS id, any_value(e.at_b) AS batch, count(p.o) AS n_held, arg_max({{'change_id': p.change_id, 'cents': p.cents, 'op': p.op}}, p.o) FILTER (p.valid_at <= e.sold_at) AS best FROM e LEFT JOIN p ON p.client_id = e.client_id AND p.b <= e.at_b AND p.p >= e.at_b GROUP BY e.k)
+SELECT 'sale' AS rec, id, batch, n_held, best.change_id AS change_id, best.cents AS balance_cents, best.op AS op FROM j
+UNION ALL SELECT 'late', change_id, b, NULL, NULL, NULL, NULL FROM l WHERE late"""
+
+
+ORACLES: dict[str, str] = {"op4_url_filter": URLS, "op6_license_scan": _licenses(), "op8_exact_dedup": EXACT, "op10_minhash_near_dedup": NEAR, "op11_conversation_repair": CONVERSATIONS, "op12_personal_data": _personal(), "op13_sale_enrichment": ENRICHED}

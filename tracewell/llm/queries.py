@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import conversations, exact_dedup, licenses, line_dedup, mixing, near_dedup, neighbours, packing, pii, quality, sharding, url_filter
+from tracewell.llm import conversations, enrichment, exact_dedup, licenses, line_dedup, mixing, near_dedup, neighbours, packing, pii, quality, sharding, url_filter
 from tracewell.llm.common import table
 
 #: The override rules of the URL query, as (verdict, host, path).
@@ -72,6 +72,11 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan_pii(table(spark, sf_dir, "documents")))
 
 
+def op13_sale_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales, changes = enrichment.in_batches(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"), 10)
+    return enrichment.enrich(sales, changes, 10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
