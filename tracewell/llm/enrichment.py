@@ -293,6 +293,7 @@ def _stream(spark: SparkSession, folder: str, tops: dict[str, list[int | None]],
     settings = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a store that stays open keeps files of fixed size, for every start
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # a batch of its own for a new watermark would release sales too early
         "spark.sql.streaming.multipleWatermarkPolicy": "min",
     }

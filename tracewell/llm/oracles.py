@@ -128,7 +128,7 @@ m AS (SELECT r.b, (SELECT max(sold_at) FROM s WHERE s.b < r.b) - INTERVAL 24 HOU
 h AS (SELECT b, wc, CASE WHEN ws IS NOT NULL AND wc IS NOT NULL THEN least(ws, wc) END AS h FROM m),
 l AS (SELECT c.*, h.wc IS NOT NULL AND valid_at < h.wc AS late FROM c JOIN h USING (b)),
 v AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY valid_at, change_id, cents NULLS FIRST, op NULLS FIRST) AS o, coalesce((SELECT min(h.b) FROM h WHERE h.h >= l.valid_at), 99) AS hb FROM l WHERE NOT late AND client_id IS NOT NULL),
-p AS (SELECT v.client_id, v.o, v.b, any_value(v.valid_at) AS valid_at, any_value(v.change_id) AS change_id, any_value(v.cents) AS cents, any_value(v.op) AS op, coalesce(min(greatest(v.b, w.b, w.hb)), 99) AS p FROM v LEFT JOIN v w ON w.client_id = v.client_id AND w.o > v.o GROUP BY 1, 2, 3),
+p AS (SELECT v.client_id, v.o, v.b, any_value(v.valid_at) AS valid_at, any_value(v.change_id) AS change_id, any_value(v.cents) AS cents, any_value(v.op) AS op, coalesce(min(CASE WHEN w.o IS NOT NULL THEN greatest(v.b, w.b, w.hb) END), 99) AS p FROM v LEFT JOIN v w ON w.client_id = v.client_id AND w.o > v.o GROUP BY 1, 2, 3),
 e AS (SELECT s.*, coalesce((SELECT min(h.b) FROM h WHERE h.b >= s.b AND (s.sold_at IS NULL OR s.sold_at < h.h)), 10) AS at_b FROM s),
 j AS (SELECT e.k, any_value(e.sale_id) AS id, any_value(e.at_b) AS batch, count(p.o) AS n_held, arg_max({{'change_id': p.change_id, 'cents': p.cents, 'op': p.op}}, p.o) FILTER (p.valid_at <= e.sold_at) AS best FROM e LEFT JOIN p ON p.client_id = e.client_id AND p.b <= e.at_b AND p.p >= e.at_b GROUP BY e.k)
 SELECT 'sale' AS rec, id, batch, n_held, best.change_id AS change_id, best.cents AS balance_cents, best.op AS op FROM j
