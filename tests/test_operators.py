@@ -280,3 +280,33 @@ def test_mcnemar_of_large_counts(spark):
         else:  # with the correction for continuity the normal approximation is exact enough here
             want = min(1.0, math.erfc((abs(b - c) - 1) / math.sqrt(2 * n)))
         assert p == pytest.approx(want, rel=1e-3, abs=1e-12), (b, c)
+
+
+def test_p_values_of_correlations(spark):
+    """Against I_x(1, b) = 1 - (1 - x)^b, I_x(a, 1) = x^a, symmetry, published quantiles of t, and numerical integration."""
+    rows = spark.createDataFrame([(x, a, b) for x in (0.0, 1e-9, 0.2, 0.5, 0.93, 1.0) for a, b in ((1.0, 3.5), (2.5, 1.0), (0.5, 0.5), (30000.0, 0.5), (7.0, 90.0))], "x double, a double, b double")
+    x, a, b = F.col("x"), F.col("a"), F.col("b")
+    for r in rows.select("*", stats.incomplete_beta(x, a, b).alias("i"), stats.incomplete_beta(1.0 - x, b, a).alias("j")).collect():
+        assert r["i"] + r["j"] == pytest.approx(1.0, abs=1e-9)
+        if r["a"] == 1.0:
+            assert r["i"] == pytest.approx(1 - (1 - r["x"]) ** r["b"], abs=1e-9)
+        if r["b"] == 1.0:
+            assert r["i"] == pytest.approx(r["x"] ** r["a"], abs=1e-9)
+        if r["a"] == r["b"] == 0.5:
+            assert r["i"] == pytest.approx(2 / math.pi * math.asin(math.sqrt(r["x"])), abs=1e-9)
+
+    def by_integral(t, df, n=200_000):
+        """Two-sided p of t by Simpson's rule, to 1e-12 at these sizes."""
+        u = np.linspace(0, t, n + 1)
+        y = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - (df + 1) / 2 * np.log1p(u * u / df))
+        return 1 - 2 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum()) * t / n / 3
+
+    cases = [(0.1, 20), (-0.63, 12), (0.5, 5), (0.02, 10_000), (0.9, 4), (0.003, 60_000)]
+    got = spark.createDataFrame(cases, "r double, n long").select("r", "n", stats.correlation_p(F.col("r"), F.col("n")).alias("p")).collect()
+    for r in got:
+        df = r["n"] - 2
+        assert r["p"] == pytest.approx(by_integral(abs(r["r"]) * math.sqrt(df / (1 - r["r"] ** 2)), df), abs=1e-8)
+    t = 2.228138851964939  # the 97.5 % quantile of t with 10 degrees of freedom
+    edge = spark.createDataFrame([(t / math.sqrt(10 + t * t), 12), (1.0, 9), (-1.0, 9), (0.0, 9), (float("nan"), 9), (0.5, 2)], "r double, n long")
+    p = [r[0] for r in edge.select(stats.correlation_p(F.col("r"), F.col("n"))).collect()]
+    assert p[0] == pytest.approx(0.05, abs=1e-9) and p[1] == p[2] == 0 and p[3] == 1 and math.isnan(p[4]) and math.isnan(p[5])

@@ -1,10 +1,13 @@
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.sources import records, safetensors, sinks
+from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+from tracewell.sources import file_ends, records, safetensors, sinks
 from tracewell.streaming import run_log
 
 
@@ -58,6 +61,43 @@ def test_safetensors(spark, tmp_path):
     assert safetensors.decode(np.array([0x3FC0], "<u2").tobytes(), "BF16").tolist() == [1.5]
 
 
+def test_tensor_filters_are_pushed_and_shards_written_by_tasks(spark, tmp_path):
+    folder = str(tmp_path / "shards")
+    rows = spark.range(1000).select(F.concat(F.lit("t"), (F.col("id") % 4).cast("string")).alias("name"), F.array(F.col("id").cast("float"), F.lit(0.5).cast("float")).alias("values"))
+    assert safetensors.write_shards(rows.repartition(5), folder) == 1000 and len(list((tmp_path / "shards").iterdir())) == 5
+    file_ends.register(spark, safetensors.Safetensors)
+    got = spark.read.format("safetensors").load(folder).where("name = 't1'")
+    assert sorted(r["values"][0] for r in got.collect()) == [float(i) for i in range(1, 1000, 4)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ") Filter" not in plan
+    reader = safetensors._Reader({"path": folder})
+    assert list(reader.pushFilters([EqualTo(("name",), "t1"), EqualTo(("row",), 1)])) == [EqualTo(("row",), 1)]
+    assert {b.name for b in reader.partitions()} == {"t1"} and sum(b.rows for b in reader.partitions()) == 250
+    assert {r["name"] for r in safetensors.catalog(spark, folder).collect()} == {"t0", "t1", "t2", "t3"}
+    assert spark.read.format("safetensors").load(folder).where("name = 'none'").count() == 0
+
+
+def test_only_the_ends_of_files_are_read(spark, tmp_path):
+    """One file is larger than binaryFile can load, and sparse: reading it whole would take 3 GB."""
+    for i in range(20):
+        (tmp_path / f"{i}.json").write_text('{"prompt": "p", ' + "x" * 5000 + f' "test_passed": {i}, "test_total": 20}}')
+    with open(tmp_path / "99.json", "wb") as f:
+        f.seek(3 << 30)
+        f.write(b'"test_passed": 7, "test_total": 9}')
+    rows = file_ends.file_ends(spark, str(tmp_path), head=10, tail=400).collect()
+    assert len(rows) == 21 and all(r["fetched"] == 410 for r in rows) and {r["stem"]: r["length"] for r in rows}["99"] > 3 << 30
+    assert {r["idx"]: r["test_passed"] for r in records.tail_counts(spark, str(tmp_path)).collect()} == {**{i: i for i in range(20)}, 99: 7}
+    assert all(r["complete"] for r in records.complete(spark, str(tmp_path)).collect())
+    reader = file_ends._Reader({"path": str(tmp_path), "tail": "5", "filespersartition": "3"})
+    assert list(reader.pushFilters([In(("stem",), (1, "3", "99")), GreaterThan(("length",), 10_000)])) == []
+    assert [stem for p in reader.partitions() for stem, _ in p.files] == [str(tmp_path / "99.json")]
+    few = file_ends.file_ends(spark, str(tmp_path)).where("stem = '3'")
+    assert [r["stem"] for r in few.collect()] == ["3"] and few.rdd.getNumPartitions() == 1
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty/e.json").write_text("")
+    assert file_ends.file_ends(spark, str(tmp_path / "empty")).first()["tail"] == b"" and file_ends.file_ends(spark, str(tmp_path / "empty"), suffix=".none").count() == 0
+
+
 def test_snapshot_is_written_once_for_a_fingerprint(spark, tmp_path):
     df = spark.range(3)
     assert sinks.snapshot(df, str(tmp_path), "a").count() == 3
@@ -119,3 +159,65 @@ def test_traces_are_cleaned(spark, tmp_path):
         assert r["tokens"] == ["\n" if k is None else tokens[k] for k in kept], i
         assert r["logprobs"] == [{} if k is None else {"a": float(k)} for k in kept] and r["top_k_ids"] == [[] if k is None else [k] for k in kept]
         assert r["top_k_vals"] == ([[] if k is None else [k + 0.5] for k in kept] if i % 2 else None)
+
+
+def test_results_of_other_settings_are_made_anew(spark, tmp_path):
+    grid, runs, part = spark.range(9).withColumnRenamed("id", "k"), [], F.col("k") % 3
+
+    def work(cells):
+        runs.append(sorted(r["k"] for r in cells.collect()))
+        return cells
+
+    get = lambda settings: sinks.grid_results(grid, part, work, str(tmp_path / "p"), str(tmp_path / "t"), 3, settings)
+    sinks.grid_part(lambda c: c, grid.where(part == 1), str(tmp_path / "p"), 1, sinks.settings_key({"b": 2, "a": 1}))
+    sinks.grid_part(lambda c: c, grid.where(part == 2), str(tmp_path / "p"), 2, sinks.settings_key({"a": 1, "b": 3}))
+    assert get({"a": 1, "b": 2}).count() == 9 and runs == [[0, 3, 6], [2, 5, 8]]
+    # A part whose manifest is missing was interrupted.
+    grid.where(part == 0).write.parquet(str(tmp_path / "p/results/part=0"))
+    runs.clear()
+    assert get({"a": 1, "b": 2}).count() == 9 and len(runs) == 3
+
+
+def test_snapshots_follow_their_sources(spark, tmp_path):
+    source, builds = str(tmp_path / "in"), []
+    spark.range(5).write.parquet(source)
+
+    def build():
+        builds.append(1)
+        return spark.read.parquet(source)
+
+    ask = lambda ids=None: sinks.fresh_snapshot(spark, str(tmp_path / "snap"), [source], build, ids)
+    ids = spark.range(3)
+    assert ask(ids)[1] and not ask(ids)[1] and not ask(spark.range(2, -1, -1))[1] and len(builds) == 1
+    assert ask(spark.range(4))[1] and len(builds) == 2
+    spark.range(2).write.mode("append").parquet(source)
+    rows, made = ask(spark.range(4))
+    assert made and rows.count() == 7
+    file = next(f for f in (tmp_path / "in").iterdir() if f.name.startswith("part"))
+    os.utime(file, (1, 1))
+    assert ask(spark.range(4))[1] and not ask(spark.range(4))[1]
+
+
+def test_counts_survive_a_stop_and_a_replay(spark, tmp_path):
+    src, target, check = tmp_path / "in", str(tmp_path / "counts"), str(tmp_path / "check")
+    src.mkdir()
+    event = lambda d, p, f: json.dumps({"run": "r", "t": 1.0, "kind": "chunk", "by_difficulty": {d: {"pass": p, "fail": f}}})
+    run = lambda: run_log.durable_counters(run_log.read_events(spark, str(src)), target, check).awaitTermination()
+    counts = lambda: {r["difficulty"]: (r["passed"], r["failed"]) for r in run_log.newest(spark, target).collect()}
+    (src / "0.jsonl").write_text(event("Easy", 1, 2) + "\n" + event("Hard", 0, 5) + "\n")
+    run()
+    assert counts() == {"Easy": (1, 2), "Hard": (0, 5)}
+    (src / "1.jsonl").write_text(event("Easy", 10, 0) + "\n")
+    run()  # a new start on the same checkpoint
+    assert counts() == {"Easy": (11, 2), "Hard": (0, 5)}
+    # The last batch was done but not committed when the driver died: it is run again under its number.
+    versions = len(list((tmp_path / "counts").iterdir()))
+    last = max(int(f.name) for f in (tmp_path / "check/commits").iterdir() if f.name.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        if (tmp_path / "check/commits" / name).exists():
+            (tmp_path / "check/commits" / name).unlink()
+    run()
+    assert counts() == {"Easy": (11, 2), "Hard": (0, 5)} and len(list((tmp_path / "counts").iterdir())) == versions
+    (src / "2.jsonl").write_text(event("New", 1, 1) + "\n")
+    run()
+    assert counts() == {"Easy": (11, 2), "Hard": (0, 5), "New": (1, 1)}

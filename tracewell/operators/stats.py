@@ -10,9 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.tokens import bound
 from tracewell.operators.ordering import materialized
 
 SEED = 20_240_515
+#: Rows of a histogram that may be broadcast: some 50 bytes each.
+FEW_VALUES = 100_000
 
 
 def paired(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
@@ -135,15 +138,15 @@ def interval_places_minus_one(iters: int, confidence: float) -> tuple[int, int]:
 
 
 def equivalence(low: Column, high: Column, margin: float, n: Column) -> list[Column]:
-    bound = F.greatest(F.abs(low), F.abs(high))
-    return [bound.alias("bound"), (100.0 * bound / n).alias("bound_percent"), F.when((low > -margin) & (high < margin), "equivalent").otherwise("not shown").alias("verdict")]
+    far = F.greatest(F.abs(low), F.abs(high))
+    return [far.alias("bound"), (100.0 * far / n).alias("bound_percent"), F.when((low > -margin) & (high < margin), "equivalent").otherwise("not shown").alias("verdict")]
 
 
 def average_rank(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """1-based ranks, ties sharing their mean.
 
     The histogram of distinct values, in which a heavy tie is one row, is range-sorted and stored; running counts inside its partitions and a
-    row for each partition and group give the ranks, so no task sees a whole group.
+    row for each partition and group give the ranks, so no task sees a whole group. A histogram of few values, each of which may stand in many rows, is broadcast.
     """
     order = [*by, value]
     counts = rows.groupBy(*order).agg(F.count("*").alias("_n")).repartitionByRange(*order).sortWithinPartitions(*order)
@@ -155,7 +158,7 @@ def average_rank(rows: DataFrame, by: list[str], value: str, name: str) -> DataF
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ["_part", *by]]
     ranks = counts.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("c").join(F.broadcast(starts).alias("s"), same)
     ranks = ranks.select(*[F.col(f"c.{k}").alias(k) for k in order], (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
-    return rows.join(ranks, order)
+    return rows.join(F.broadcast(ranks) if counts.count() <= FEW_VALUES else ranks, order)
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -166,6 +169,39 @@ def correlation(x: Column, y: Column) -> Column:
     return F.when((F.count(F.when(good, 1)) < 3) | (spread == 0), F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop(a, b), spread))
 
 
+def incomplete_beta(x: Column, a: Column, b: Column, rest: Column | None = None) -> Column:
+    """The regularised incomplete beta function I_x(a, b) for 0 <= x <= 1 and a, b > 0, by its continued fraction, which is short on the side
+    of x where it is used; `rest` is 1 - x, if it is known better than by subtraction."""
+    rest = 1.0 - x if rest is None else rest
+    low = x < (a + 1.0) / (a + b + 2.0)
+    front = F.exp(log_factorial(a + b - 1.0) - log_factorial(a - 1.0) - log_factorial(b - 1.0) + a * F.log(x) + b * F.log(rest))
+
+    def fraction(v: Column) -> Column:
+        p, q, z = v["p"], v["q"], v["z"]
+        first = 1.0 / (1.0 - (p + q) * z / (p + 1.0))
+
+        def step(s: Column, k: Column) -> Column:
+            even = k * (q - k) * z / ((p + 2.0 * k - 1.0) * (p + 2.0 * k))
+            odd = -(p + k) * (p + q + k) * z / ((p + 2.0 * k) * (p + 2.0 * k + 1.0))
+            half = lambda c, d, n: F.struct((1.0 + n / c).alias("c"), (1.0 / (1.0 + n * d)).alias("d"))
+            one = bound(half(s["c"], s["d"], even), lambda h: F.struct(half(h["c"], h["d"], odd).alias("v"), (s["h"] * h["c"] * h["d"]).alias("h")))
+            return bound(one, lambda h: F.struct(h["v"]["c"].alias("c"), h["v"]["d"].alias("d"), (h["h"] * h["v"]["c"] * h["v"]["d"]).alias("h")))
+
+        steps = F.sequence(F.lit(1), (F.ceil(5 * F.sqrt(F.greatest(p, q))) + 100).cast("int"))
+        return F.aggregate(steps, F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")), lambda s, k: step(s, k.cast("double")), lambda s: s["h"]) / p
+
+    side = F.struct(F.when(low, a).otherwise(b).alias("p"), F.when(low, b).otherwise(a).alias("q"), F.when(low, x).otherwise(rest).alias("z"))
+    inner = front * bound(side, fraction)
+    return F.when(x <= 0, 0.0).when(rest <= 0, 1.0).when(low, inner).otherwise(1.0 - inner)
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of n pairs, from the t distribution with n - 2 degrees of freedom: I_(1 - r^2)((n - 2) / 2, 1 / 2). NaN for fewer than 3 pairs or a NaN."""
+    clean = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    found = incomplete_beta(1.0 - clean * clean, (n - 2.0) / 2.0, F.lit(0.5), clean * clean)
+    return F.when(F.isnan(r) | (n < 3), F.lit(float("nan"))).otherwise(found)
+
+
 def moments(x: Column) -> list[Column]:
     return [F.stddev_pop(x).alias("std"), F.max(F.abs(x)).alias("max_abs"), F.kurtosis(x).alias("excess_kurtosis")]
 

@@ -1,35 +1,44 @@
-"""Record scans, sinks and streams as round trips: files made of the small tables are written to a shared folder and read back."""
+"""Record scans, sinks and streams as round trips: files made of whole tables are written to a shared folder by tasks and read back."""
 
 from __future__ import annotations
 
-import json
-import os
+import functools
 
-import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators import curate, evaluate, stats
 from tracewell.operators.ordering import materialized
 from tracewell.plans.tables import PROBLEMS_SQL, SAMPLES_SQL, problems, samples, table
-from tracewell.sources import records, safetensors, scratch, sinks
+from tracewell.sources import file_ends, records, safetensors, scratch, sinks, stores
 from tracewell.streaming import run_log
 
 
-def _nations(spark, d) -> list:
-    """Nations, of which there are 25 at any scale."""
-    return table(spark, d, "nation").orderBy("n_nationkey").collect()
+def _documents(spark, d):
+    """Documents with what the record files are made of."""
+    n = F.col("doc_id")
+    return table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"), n.cast("string").alias("n"), F.floor(n / 100).cast("string").alias("part"))
 
 
-def _traces(spark, d) -> str:
-    """A trace of each nation, whose tests all pass in region 3; every fourth file is cut off."""
-    folder = scratch.folder(spark, "traces")
-    for n in _nations(spark, d):
-        tokens = ["so ", "```python\n", n.n_name, "\n```", " done"]
-        body = json.dumps({"text": "".join(tokens), "tokens": tokens, "logprobs": [{"a": 0.5}] * 5, "top_k_ids": [[1]] * 5, "test_passed": n.n_regionkey, "test_total": 3}, indent=1)
-        scratch.put(spark, f"{folder}/{n.n_nationkey}.json", body if n.n_nationkey % 4 else body[:-3])
+def _files(rows, name, body, label: str) -> str:
+    """A folder with a file for each row, written by the tasks that hold the rows."""
+    folder = scratch.folder(rows.sparkSession, label)
+    stores.put_files(rows.select(name.alias("name"), body.alias("body")), folder)
     return folder
 
 
+def _traces(spark, d) -> str:
+    """A trace of each document, whose tests all pass in every fourth; every fifth file is cut off."""
+    tokens = F.array(F.lit("so "), F.lit("```python\n"), F.col("text"), F.lit("\n```"), F.lit(" done"))
+    fields = {
+        "prompt": F.concat(F.lit("Say "), F.col("lang"), F.lit(' "'), "n", F.lit('"')), "max_tokens": (F.col("doc_id") % 3 * 1000).cast("int"), "text": F.array_join(tokens, ""), "tokens": F.when(F.col("doc_id") % 7 > 0, tokens).otherwise(F.array().cast("array<string>")),
+        "logprobs": F.array_repeat(F.create_map(F.lit("a"), F.lit(0.5)), 5), "top_k_ids": F.array_repeat(F.array(F.lit(1)), 5), "test_passed": (F.col("doc_id") % 4).cast("int"), "test_total": F.lit(3),
+    }
+    body = F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))
+    body = F.when(F.col("doc_id") % 5 == 0, F.substring(body, F.lit(1), F.length(body) - 3)).otherwise(body)
+    return _files(_documents(spark, d), F.concat("n", F.lit(".json")), body, "traces")
+
+
 def keyed_traces(spark, d):
     """Readable, fully passed traces, cleaned."""
     return records.traces(spark, _traces(spark, d)).select("idx", "text", F.size("tokens").alias("n_tokens"))
@@ -47,62 +56,76 @@ def tail_counts(spark, d):
     return records.tail_counts(spark, _traces(spark, d))
 
 
+def cache_probe(spark, d):
+    """Which cached traces may be kept, from the two ends of their files: documents of even languages changed their prompt since."""
+    prompt = F.concat(F.lit("Say "), F.col("lang"), F.lit(' "'), "n", F.when(F.col("doc_id") % 6 == 0, '!').otherwise('"'))
+    return records.cache_probe(spark, _traces(spark, d), _documents(spark, d).select(F.col("doc_id").alias("idx"), prompt.alias("prompt")), 2000)
+
+
 def short_traces(spark, d):
-    folder = scratch.folder(spark, "short")
-    for n in _nations(spark, d):
-        scratch.put(spark, f"{folder}/{n.n_nationkey}.json", json.dumps({"prompt": n.n_name, "attempts": 4, "texts": [f"{n.n_name}{i}" for i in range(n.n_regionkey)]}))
-    return records.short_traces(spark, folder)
+    texts = F.transform(F.slice(F.array(*[F.lit(i) for i in range(4)]), F.lit(1), (F.col("doc_id") % 5).cast("int")), lambda i: F.concat(F.col("text"), i.cast("string")))
+    body = F.to_json(F.struct(F.col("lang").alias("prompt"), F.lit(4).alias("attempts"), texts.alias("texts")))
+    return records.short_traces(spark, _files(_documents(spark, d), F.concat("n", F.lit(".json")), body, "short"))
 
 
 def eval_records(spark, d):
-    """A compact evaluation record for each region, with a problem for each nation."""
-    folder, nations = scratch.folder(spark, "eval"), _nations(spark, d)
-    for region in {n.n_regionkey for n in nations}:
-        rows = [{"idx": n.n_nationkey, "solved": n.n_nationkey % 2 == 0} for n in nations if n.n_regionkey == region]
-        scratch.put(spark, f"{folder}/m{region}.json", json.dumps({"name": f"m{region}", "per_problem": rows}))
-    return records.eval_records(spark, folder)
+    """A compact evaluation record for each hundred documents."""
+    rows = _documents(spark, d).groupBy("part").agg(F.collect_list(F.struct(F.col("doc_id").alias("idx"), (F.col("doc_id") % 2 == 0).alias("solved"))).alias("rows"))
+    body = F.to_json(F.struct(F.concat(F.lit("m"), "part").alias("name"), F.col("rows").alias("per_problem")))
+    return records.eval_records(spark, _files(rows, F.concat(F.lit("m"), "part", F.lit(".json")), body, "eval"))
 
 
 def plus_results(spark, d):
-    path = f"{scratch.folder(spark, 'plus')}/results.json"
-    found = {f"t/{n.n_nationkey}": [{"plus_status": "pass" if n.n_nationkey % 3 else "fail"}, {"plus_status": "pass"}][: 0 if n.n_regionkey == 4 else 2] for n in _nations(spark, d)}
-    scratch.put(spark, path, json.dumps({"eval": found}))
-    return records.plus_results(spark, path).select("task", F.coalesce(F.col("solved").cast("string"), F.lit("no samples")).alias("solved"))
+    """Whether the first sample of each task passed; every fifth task has none."""
+    status = lambda c: F.struct(c.alias("plus_status"))
+    samples = F.array(status(F.when(F.col("doc_id") % 3 > 0, "pass").otherwise("fail")), status(F.lit("pass")))
+    rows = _documents(spark, d).withColumn("samples", F.when(F.col("doc_id") % 5 > 0, samples).otherwise(F.slice(samples, 1, 0)))
+    rows = rows.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("t/"), "n"), "samples"))).alias("eval"))
+    folder = _files(rows, F.concat("part", F.lit(".json")), F.to_json(F.struct("eval")), "plus")
+    return records.plus_results(spark, folder).select("task", F.coalesce(F.col("solved").cast("string"), F.lit("no samples")).alias("solved"))
 
 
 def id_lists(spark, d):
-    """Nation keys in each of the forms that an id list may have."""
-    folder, keys = scratch.folder(spark, "ids"), [n.n_nationkey for n in _nations(spark, d)]
-    forms = {"list": keys, "ids": {"ids": keys}, "objects": [{"idx": k} if k % 2 else {"id": k} for k in keys], "broken": {"broken": [{"idx": k} for k in keys]}}
-    parts = []
-    for form, value in forms.items():
-        scratch.put(spark, f"{folder}/{form}.json", json.dumps(value))
-        parts.append(records.id_list(spark, f"{folder}/{form}.json").select(F.lit(form).alias("form"), "idx"))
+    """Document ids, a hundred to a file, in each of the forms that an id list may have."""
+    rows = _documents(spark, d).groupBy("part").agg(F.collect_list("doc_id").alias("ids"))
+    one = lambda i: F.when(i % 2 == 1, F.named_struct(F.lit("idx"), i, F.lit("id"), F.lit(None).cast("long"))).otherwise(F.named_struct(F.lit("idx"), F.lit(None).cast("long"), F.lit("id"), i))
+    objects = F.transform("ids", one)
+    forms = {"list": F.to_json("ids"), "ids": F.to_json(F.struct("ids")), "objects": F.to_json(objects), "broken": F.to_json(F.struct(objects.alias("broken")))}
+    parts = [records.id_list(spark, _files(rows, F.concat("part", F.lit(".json")), body, form)).select(F.lit(form).alias("form"), "idx") for form, body in forms.items()]
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
 def report_scrape(spark, d):
-    path = f"{scratch.folder(spark, 'report')}/report.md"
-    scratch.put(spark, path, "# Report\n" + "".join(f"## Problem {n.n_nationkey} ({n.n_name.title()}): {n.n_regionkey}/5 samples passed\ntext\n" for n in _nations(spark, d)))
-    return records.report_lines(spark, path)
+    """A report for each hundred documents."""
+    line = F.concat(F.lit("## Problem "), "n", F.lit(" ("), "lang", F.lit("): "), (F.col("doc_id") % 6).cast("string"), F.lit("/5 samples passed\ntext\n"))
+    rows = _documents(spark, d).groupBy("part").agg(F.array_join(F.collect_list(line), "").alias("lines"))
+    return records.report_lines(spark, _files(rows, F.concat("part", F.lit(".md")), F.concat(F.lit("# Report\n"), "lines"), "report"))
 
 
 def folder_sizes(spark, d):
-    folder = scratch.folder(spark, "sizes")
-    for n in _nations(spark, d):
-        scratch.put(spark, f"{folder}/{n.n_regionkey}/{n.n_nationkey}.{('bin', 'pt', 'txt')[n.n_nationkey % 3]}", n.n_name)
-    return records.folder_size(spark, folder, [".bin", ".pt"])
+    """The bytes of all texts, in files of three kinds and many folders."""
+    suffix = F.element_at(F.array(*map(F.lit, ("bin", "pt", "txt"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    return records.folder_size(spark, _files(_documents(spark, d), F.concat("part", F.lit("/"), "n", F.lit("."), suffix), F.col("text"), "sizes"), [".bin", ".pt"])
+
+
+def _tensors(spark, d):
+    """All embeddings as safetensors, a matrix for each label in every shard."""
+    folder = scratch.folder(spark, "tensors")
+    rows = table(spark, d, "embeddings").where("size(embedding) = 64").select(F.concat(F.lit("label"), F.coalesce(F.col("label").cast("string"), F.lit("-"))).alias("name"), F.col("embedding").alias("values"))
+    safetensors.write_shards(rows, folder)
+    file_ends.register(spark, safetensors.Safetensors)
+    rows = spark.read.format("safetensors").option("rowsPerPartition", "500").load(folder)
+    return rows.select("name", "dtype", F.aggregate("values", F.lit(0.0), lambda s, x: s + x).alias("sum"), F.element_at("values", 64).alias("last"))
 
 
 def tensor_scan(spark, d):
-    """A matrix and a vector stored as safetensors and read in blocks of rows. The format is read from mounted paths only."""
-    folder = scratch.folder(spark, "tensors").removeprefix("file:")
-    os.makedirs(folder)
-    rows = _nations(spark, d)
-    safetensors.write(f"{folder}/x.safetensors", {"matrix": np.array([[n.n_nationkey, n.n_regionkey] for n in rows]), "vector": np.array([n.n_regionkey for n in rows])})
-    spark.dataSource.register(safetensors.Safetensors)
-    found = spark.read.format("safetensors").option("rowsPerPartition", "10").load(folder)
-    return found.select("name", "row", "dtype", F.array_join(F.transform("values", lambda x: x.cast("int").cast("string")), ",").alias("numbers"))
+    """Count, sum and greatest last component of the vectors of each tensor."""
+    return _tensors(spark, d).groupBy("name", "dtype").agg(F.count("*").alias("n"), F.round(F.sum("sum"), 4).alias("total"), F.max("last").alias("last"))
+
+
+def tensor_filter(spark, d):
+    """The vectors of two tensors: the filter is applied when the scan is planned."""
+    return _tensors(spark, d).where("name in ('label1', 'label3')").groupBy("name").agg(F.count("*").alias("n"), F.max("last").alias("last"))
 
 
 def fresh_start(spark, d):
@@ -119,15 +142,43 @@ def failed_rows_deleted(spark, d):
 
 
 def grid_checkpoint(spark, d):
-    """Nations x samples, of which an earlier run left one part; the partial table is gone afterwards."""
-    folder = scratch.folder(spark, "grid")
-    grid = table(spark, d, "nation").select("n_nationkey").crossJoin(spark.range(4).withColumnRenamed("id", "sample"))
-    work = lambda cells, run: cells.select("n_nationkey", "sample", (F.col("n_nationkey") * 10 + F.col("sample")).alias("value"), F.lit(run).alias("run"))
-    keys = ["n_nationkey", "sample"]
-    work(grid.where(F.pmod(F.xxhash64(*keys), F.lit(3)) == 1), "earlier").write.parquet(f"{folder}/partial/part=1")
-    rows = sinks.grid_results(grid, keys, lambda cells: work(cells, "later"), f"{folder}/partial", f"{folder}/whole", 3)
-    redone = (F.pmod(F.xxhash64(*keys), F.lit(3)) == 1) != (F.col("run") == "earlier")
-    return rows.select(*keys, "value", redone.alias("redone"), F.lit(sinks.exists(spark, f"{folder}/partial")).alias("partial_left"))
+    """Orders x samples in three parts: an earlier run left part 1 under the same settings and part 2 under others, so 0 and 2 are made now; the partial table is gone afterwards."""
+    folder, part = scratch.folder(spark, "grid"), F.col("o_orderkey") % 3
+    grid = table(spark, d, "orders").select("o_orderkey").crossJoin(spark.range(2).withColumnRenamed("id", "sample"))
+    work = lambda run: lambda cells: cells.select("o_orderkey", "sample", (F.col("o_orderkey") * 10 + F.col("sample")).alias("value"), F.lit(run).alias("run"))
+    settings = {"temperature": 0.2, "samples": 2}
+    for number, made in ((1, {"samples": 2, "temperature": 0.2}), (2, {"samples": 2, "temperature": 0.8})):
+        sinks.grid_part(work("earlier"), grid.where(part == number), f"{folder}/partial", number, sinks.settings_key(made))
+    rows = sinks.grid_results(grid, part, work("now"), f"{folder}/partial", f"{folder}/whole", 3, settings)
+    return rows.select("o_orderkey", "sample", "value", "run", F.lit(sinks.exists(spark, f"{folder}/partial")).alias("partial_left"))
+
+
+def settings_cache(spark, d):
+    """Totals of samples under settings that are asked for in turn: it is made anew under others, and is there when they come again."""
+    folder, asked = scratch.folder(spark, "settings"), []
+    for k, least in enumerate((10, 10, 30, 30, 10)):
+        key = sinks.settings_key({"least": least, "by": "category"})
+        rows, made = sinks.kept(spark, folder, key, lambda least=least: samples(spark, d).where(F.col("total") >= least).groupBy("category").agg(F.count("*").alias("n")))
+        asked.append(rows.select(F.lit(k).alias("asked"), F.lit(made).alias("made"), "category", "n"))
+    return functools.reduce(DataFrame.unionByName, asked)
+
+
+def stale_snapshot(spark, d):
+    """A snapshot of orders by status that is asked for five times: new, unchanged, after a source got a file, unchanged, and for other ids."""
+    folder, rows = scratch.folder(spark, "sources"), table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    sources = [f"{folder}/source={k}" for k in range(2)]
+    for k, path in enumerate(sources):
+        rows.where(F.col("o_orderkey") % 2 == k).write.parquet(path)
+    ids, asked = rows.select("o_orderkey"), []
+    for k in range(5):
+        if k == 2:
+            rows.where("o_orderpriority = '1-URGENT'").write.mode("append").parquet(sources[1])
+        if k == 4:
+            ids = ids.where("o_orderkey % 5 <> 0")
+        build = lambda ids=ids: spark.read.parquet(*sources).join(ids, "o_orderkey", "left_semi").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+        found, made = sinks.fresh_snapshot(spark, f"{folder}/snapshot", sources, build, ids)
+        asked.append(found.select(F.lit(k).alias("asked"), F.lit(made).alias("made"), "o_orderstatus", "n"))
+    return functools.reduce(DataFrame.unionByName, asked)
 
 
 def stream_counters(spark, d):
@@ -139,10 +190,10 @@ def stream_counters(spark, d):
         F.when(~old, F.create_map("event_type", part)).alias("by_difficulty"),
     )
     rows.write.json(f"{folder}/in")
-    name = f"counters_{os.path.basename(folder).replace('-', '_')}"
-    counts = run_log.counters(run_log.read_events(spark, f"{folder}/in")).writeStream.outputMode("complete").format("memory").queryName(name)
-    counts.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    for batches in (1, None):  # by files one by one, then by what is left
+        query = run_log.durable_counters(run_log.read_events(spark, f"{folder}/in", batches), f"{folder}/counts", f"{folder}/checkpoint")
+        query.awaitTermination()
+    return run_log.newest(spark, f"{folder}/counts")
 
 
 def retry_once(spark, d):
@@ -180,22 +231,28 @@ def retention_table(spark, d):
     return evaluate.retention(rows, F.col("base"), F.col("reduced")).select("category", "gap", F.round("ratio", 6).alias("ratio"), F.round("retention", 4).alias("retention"))
 
 
-_CLEAN = "'```python' || chr(10) || n_name || chr(10) || '```'"
+_DOC = "(SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents)"
+_CLEAN = "'```python' || chr(10) || text || chr(10) || '```'"
+_KEPT = f"CASE WHEN doc_id % 7 > 0 THEN {_CLEAN} ELSE 'so ```python' || chr(10) || text || chr(10) || '``` done' END"
 ORACLES = {
-    "keyed_traces": f"SELECT n_nationkey::BIGINT AS idx, {_CLEAN} AS text, 3 AS n_tokens FROM nation WHERE n_regionkey = 3 AND n_nationkey % 4 <> 0",
-    "trace_lookup": f"SELECT n_nationkey::BIGINT AS idx, {_CLEAN} AS text, n_regionkey AS test_passed FROM nation WHERE n_nationkey = 7",
-    "file_completeness": "SELECT n_nationkey::VARCHAR AS stem, n_nationkey % 4 <> 0 AS complete FROM nation",
-    "tail_counts": "SELECT n_nationkey::BIGINT AS idx, n_regionkey AS test_passed, CASE WHEN n_nationkey % 4 <> 0 THEN 3 END AS test_total FROM nation",
-    "short_traces": "SELECT idx, prompt, sample::INT AS sample, prompt || sample AS text FROM (SELECT n_nationkey::BIGINT AS idx, n_name AS prompt, unnest(range(n_regionkey)) AS sample FROM nation)",
-    "eval_records": "SELECT 'm' || n_regionkey AS record, n_nationkey::BIGINT AS idx, n_nationkey % 2 = 0 AS solved FROM nation",
-    "plus_results": "SELECT 't/' || n_nationkey AS task, CASE WHEN n_regionkey = 4 THEN 'no samples' WHEN n_nationkey % 3 <> 0 THEN 'true' ELSE 'false' END AS solved FROM nation",
-    "id_lists": "SELECT form, n_nationkey::BIGINT AS idx FROM nation, (VALUES ('list'), ('ids'), ('objects'), ('broken')) f(form)",
-    "report_scrape": "SELECT n_nationkey::BIGINT AS idx, n_regionkey AS passed FROM nation",
-    "folder_sizes": "SELECT CASE n_nationkey % 3 WHEN 0 THEN '.bin' ELSE '.pt' END AS suffix, sum(strlen(n_name))::BIGINT AS bytes FROM nation WHERE n_nationkey % 3 < 2 GROUP BY 1",
-    "tensor_scan": "SELECT 'matrix' AS name, n_nationkey AS row, 'F32' AS dtype, n_nationkey || ',' || n_regionkey AS numbers FROM nation UNION ALL SELECT 'vector', 0, 'F32', string_agg(n_regionkey::VARCHAR, ',' ORDER BY n_nationkey) FROM nation",
+    "keyed_traces": f"SELECT doc_id AS idx, {_KEPT} AS text, CASE WHEN doc_id % 7 > 0 THEN 3 ELSE 0 END AS n_tokens FROM {_DOC} WHERE doc_id % 4 = 3 AND doc_id % 5 <> 0",
+    "trace_lookup": f"SELECT doc_id AS idx, {_KEPT} AS text, (doc_id % 4)::INT AS test_passed FROM {_DOC} WHERE doc_id = 7",
+    "file_completeness": "SELECT doc_id::VARCHAR AS stem, doc_id % 5 <> 0 AS complete FROM documents",
+    "tail_counts": "SELECT doc_id AS idx, (doc_id % 4)::INT AS test_passed, CASE WHEN doc_id % 5 <> 0 THEN 3 END AS test_total FROM documents",
+    "cache_probe": "SELECT doc_id AS idx, doc_id % 6 <> 0 AND doc_id % 7 > 0 AND (doc_id % 4 = 3 AND doc_id % 5 <> 0 OR doc_id % 3 = 2) AS valid FROM documents",
+    "short_traces": f"SELECT idx, prompt, sample::INT AS sample, text || sample AS text FROM (SELECT doc_id AS idx, lang AS prompt, text, unnest(range(doc_id % 5)) AS sample FROM {_DOC})",
+    "eval_records": "SELECT 'm' || doc_id // 100 AS record, doc_id AS idx, doc_id % 2 = 0 AS solved FROM documents",
+    "plus_results": "SELECT 't/' || doc_id AS task, CASE WHEN doc_id % 5 = 0 THEN 'no samples' WHEN doc_id % 3 <> 0 THEN 'true' ELSE 'false' END AS solved FROM documents",
+    "id_lists": "SELECT form, doc_id AS idx FROM documents, (VALUES ('list'), ('ids'), ('objects'), ('broken')) f(form)",
+    "report_scrape": "SELECT doc_id AS idx, (doc_id % 6)::INT AS passed FROM documents",
+    "folder_sizes": "SELECT CASE doc_id % 3 WHEN 0 THEN '.bin' ELSE '.pt' END AS suffix, sum(strlen(coalesce(text, '')))::BIGINT AS bytes FROM documents WHERE doc_id % 3 < 2 GROUP BY 1",
+    "tensor_scan": "SELECT 'label' || coalesce(label::VARCHAR, '-') AS name, 'F32' AS dtype, count(*) AS n, round(sum(list_sum(embedding::DOUBLE[])), 4) AS total, max(embedding[64])::DOUBLE AS last FROM embeddings WHERE len(embedding) = 64 GROUP BY 1",
+    "tensor_filter": "SELECT 'label' || label AS name, count(*) AS n, max(embedding[64])::DOUBLE AS last FROM embeddings WHERE len(embedding) = 64 AND label IN (1, 3) GROUP BY 1",
     "fresh_start": "SELECT * FROM (VALUES (1, true), (2, false)) v(attempt, removed)",
     "failed_rows_deleted": f"WITH {SAMPLES_SQL} SELECT category, count(*) AS n, sum(passed)::BIGINT AS passed FROM samples WHERE category <> 'timeout' AND total > 0 AND passed = total GROUP BY category",
-    "grid_checkpoint": "SELECT n_nationkey, sample, n_nationkey * 10 + sample AS value, false AS redone, false AS partial_left FROM nation, range(4) r(sample)",
+    "grid_checkpoint": "SELECT o_orderkey, sample, o_orderkey * 10 + sample AS value, CASE o_orderkey % 3 WHEN 1 THEN 'earlier' ELSE 'now' END AS run, false AS partial_left FROM orders, range(2) r(sample)",
+    "settings_cache": f"WITH {SAMPLES_SQL} SELECT asked, made, category, count(*) AS n FROM samples, (VALUES (0, true, 10), (1, false, 10), (2, true, 30), (3, false, 30), (4, false, 10)) v(asked, made, least) WHERE total >= least GROUP BY 1, 2, 3",
+    "stale_snapshot": "SELECT asked, made, o_orderstatus, (count(*) + CASE WHEN asked >= 2 THEN count(*) FILTER (o_orderpriority = '1-URGENT') ELSE 0 END)::BIGINT AS n FROM orders, (VALUES (0, true), (1, false), (2, true), (3, false), (4, true)) v(asked, made) WHERE asked < 4 OR o_orderkey % 5 <> 0 GROUP BY 1, 2, 3",
     "stream_counters": "SELECT CASE WHEN event_id % 2 = 1 THEN '?' ELSE event_type END AS difficulty, sum(CASE WHEN event_id % 2 = 1 THEN 2 ELSE 1 END)::BIGINT AS passed, sum(CASE WHEN event_id % 2 = 1 THEN 3 ELSE event_id % 5 END)::BIGINT AS failed FROM events WHERE event_type IS NOT NULL GROUP BY 1",
     "retry_once": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 2 END AS attempts, o_orderkey % 15 = 0 AS dead FROM orders",
     "recovery_totals": f"""WITH {SAMPLES_SQL}, {PROBLEMS_SQL}, l AS (SELECT idx, bool_or(solved) AS now FROM samples WHERE j > 0 GROUP BY idx),

@@ -86,13 +86,15 @@ def _measures(spark, d):
 
 
 def correlation_suite(spark, d):
-    """Pearson and Spearman of four pairs of columns, by flag."""
+    """Pearson and Spearman of four pairs of columns, by flag, each with its p value."""
     rows = _measures(spark, d)
     ranked = rows
     for column in "qest":
         ranked = stats.average_rank(ranked, ["l_returnflag"], column, f"r{column}")
-    c = lambda x, y, name: F.round(stats.correlation(F.col(x), F.col(y)), 6).alias(name)
-    return ranked.groupBy("l_returnflag").agg(*[x for a, b in ("qe", "qs", "es", "et") for x in (c(a, b, f"pearson_{a}{b}"), c(f"r{a}", f"r{b}", f"spearman_{a}{b}"))])
+    c = lambda x, y, name: stats.correlation(F.col(x), F.col(y)).alias(name)
+    found = ranked.groupBy("l_returnflag").agg(F.count("*").alias("n"), *[x for a, b in ("qe", "qs", "es", "et") for x in (c(a, b, f"pearson_{a}{b}"), c(f"r{a}", f"r{b}", f"spearman_{a}{b}"))])
+    rs = [n for n in found.columns if n[0] in "ps"]
+    return found.select("l_returnflag", *[F.round(n, 6).alias(n) for n in rs], *[F.round(stats.correlation_p(F.col(n), F.col("n")), 7).alias(f"p_{n}") for n in rs])
 
 
 def spearman(spark, d):
@@ -130,6 +132,23 @@ def _rank(col: str, by: str, name: str) -> str:
     return f"rank() OVER ({by} ORDER BY {col}) + (count(*) OVER ({'PARTITION BY ' + col if not by else by + ', ' + col}) - 1) / 2.0::DOUBLE AS {name}"
 
 
+_PAIRS = ("qe", "qs", "es", "et")
+
+
+def _p_value(r: str) -> str:
+    """Two-sided p of a correlation r of n pairs: the continued fraction of the incomplete beta function, term by term."""
+    z, p, q = f"CASE WHEN {r} * {r} > 3 / (n + 3.0::DOUBLE) THEN 1 - {r} * {r} ELSE {r} * {r} END", f"CASE WHEN {r} * {r} > 3 / (n + 3.0::DOUBLE) THEN (n - 2) / 2.0::DOUBLE ELSE 0.5::DOUBLE END", f"CASE WHEN {r} * {r} > 3 / (n + 3.0::DOUBLE) THEN 0.5::DOUBLE ELSE (n - 2) / 2.0::DOUBLE END"
+    step = "{'k': k.k, 'p': s.p, 'q': s.q, 'z': s.z, 'c': 1 + N / s.c, 'd': 1 / (1 + N * s.d), 'h': s.h * (1 + N / s.c) / (1 + N * s.d)}"
+    even = "(k.k // 2 * (s.q - k.k // 2) * s.z / ((s.p + k.k - 1) * (s.p + k.k)))"
+    odd = "(-(s.p + (k.k - 1) // 2) * (s.p + s.q + (k.k - 1) // 2) * s.z / ((s.p + k.k - 1) * (s.p + k.k)))"
+    zero = f"{{'k': 0::BIGINT, 'p': {p}, 'q': {q}, 'z': {z}, 'c': 1::DOUBLE, 'd': 1 / (1 - ({p} + {q}) * ({z}) / ({p} + 1)), 'h': 1 / (1 - ({p} + {q}) * ({z}) / ({p} + 1))}}"
+    blank = "{'k': m, 'p': 0::DOUBLE, 'q': 0::DOUBLE, 'z': 0::DOUBLE, 'c': 0::DOUBLE, 'd': 0::DOUBLE, 'h': 0::DOUBLE}"
+    terms = f"list_transform(range(2, 2002 + 20 * ceil(sqrt(n))::BIGINT), lambda m: {blank})"
+    folded = f"list_reduce(list_prepend({zero}, {terms}), lambda s, k: CASE WHEN k.k % 2 = 0 THEN {step.replace('N', even)} ELSE {step.replace('N', odd)} END).h"
+    front = f"exp(lgamma((n - 1) / 2.0::DOUBLE) - lgamma((n - 2) / 2.0::DOUBLE) - lgamma(0.5::DOUBLE) + (n - 2) / 2.0::DOUBLE * ln(1 - {r} * {r}) + ln(abs({r})))"
+    return f"CASE WHEN {r} * {r} > 3 / (n + 3.0::DOUBLE) THEN {front} * {folded} / ((n - 2) / 2.0::DOUBLE) ELSE 1 - {front} * {folded} / 0.5::DOUBLE END"
+
+
 ORACLES = {
     "mcnemar_by_lang": f"WITH k AS (SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS solved_a, count(*) FILTER (toxic = 0) AS solved_b, count(*) FILTER (quality = 1 AND toxic <> 0) AS b, count(*) FILTER (toxic = 0 AND quality <> 1) AS c FROM labels JOIN documents USING (doc_id) GROUP BY lang), q AS (SELECT *, {_P} AS p0 FROM k) SELECT lang, n, solved_a, solved_b, b, c, round(p0, 6) AS p, CASE WHEN p0 < .001 THEN '***' WHEN p0 < .01 THEN '**' WHEN p0 < .05 THEN '*' ELSE 'ns' END AS stars FROM q",
     "test_suite": f"""WITH r AS (SELECT 'line' || l_linenumber AS model, l_orderkey AS idx, bool_or(l_linestatus = 'O') AS solved FROM lineitem GROUP BY 1, 2), s(test, a, b) AS (VALUES {', '.join(map(str, _SPECS))}),
@@ -137,7 +156,7 @@ k AS (SELECT s.test, count(*) AS n, count(*) FILTER (x.solved AND NOT y.solved)
 SELECT s.test, n, k.b AS b, k.c AS c, CASE WHEN n IS NOT NULL THEN round((SELECT {_P.replace('b + c', 'k.b + k.c').replace('least(b, c)', 'least(k.b, k.c)')}), 6) END AS p, n IS NULL AS skipped FROM s LEFT JOIN k USING (test)""",
     "paired_diff": f"WITH {_COUNTS} SELECT *, c - b AS diff FROM k",
     "agreement_rate": "SELECT user_id, round(avg((event_type = 'click')::INT), 6) AS rate FROM events GROUP BY user_id",
-    "correlation_suite": f"WITH r AS (SELECT l_returnflag, l_quantity AS q, l_extendedprice AS e, l_discount AS s, l_tax AS t, {_rank('l_quantity', 'PARTITION BY l_returnflag', 'rq')}, {_rank('l_extendedprice', 'PARTITION BY l_returnflag', 're')}, {_rank('l_discount', 'PARTITION BY l_returnflag', 'rs')}, {_rank('l_tax', 'PARTITION BY l_returnflag', 'rt')} FROM lineitem) SELECT l_returnflag, {', '.join(f'round(corr({a}, {b}), 6) AS pearson_{a}{b}, round(corr(r{a}, r{b}), 6) AS spearman_{a}{b}' for a, b in ('qe', 'qs', 'es', 'et'))} FROM r GROUP BY l_returnflag",
+    "correlation_suite": f"WITH r AS (SELECT l_returnflag, l_quantity AS q, l_extendedprice AS e, l_discount AS s, l_tax AS t, {_rank('l_quantity', 'PARTITION BY l_returnflag', 'rq')}, {_rank('l_extendedprice', 'PARTITION BY l_returnflag', 're')}, {_rank('l_discount', 'PARTITION BY l_returnflag', 'rs')}, {_rank('l_tax', 'PARTITION BY l_returnflag', 'rt')} FROM lineitem), c AS (SELECT l_returnflag, count(*) AS n, {', '.join(f'corr({a}, {b}) AS pearson_{a}{b}, corr(r{a}, r{b}) AS spearman_{a}{b}' for a, b in _PAIRS)} FROM r GROUP BY l_returnflag) SELECT l_returnflag, {', '.join(f'round({k}_{a}{b}, 6) AS {k}_{a}{b}, round({_p_value(f'{k}_{a}{b}')}, 7) AS p_{k}_{a}{b}' for a, b in _PAIRS for k in ('pearson', 'spearman'))} FROM c",
     "spearman": f"WITH r AS (SELECT {_rank('l_quantity', '', 'rq')}, {_rank('l_extendedprice', '', 're')} FROM lineitem) SELECT round(corr(rq, re), 6) AS rho, count(*) AS n FROM r",
     "nan_statistics": "SELECT l_returnflag, round(avg(l_quantity) FILTER (l_linenumber <> 7), 6) AS mean, median(l_quantity) FILTER (l_linenumber <> 7) AS median, count(*) FILTER (l_linenumber = 7) AS skipped FROM lineitem GROUP BY l_returnflag",
     "cache_profile": "WITH o AS (SELECT list_sort(list(n_chars)) AS a, count(*) AS n, count(*) FILTER (trim(text) = '') AS empty, count(*) FILTER (n_chars >= 3950) AS truncated, max(n_chars) AS longest FROM documents) SELECT n AS total, empty, truncated, longest, a[floor(n * 0.5::DOUBLE)::INT + 1] AS p50, a[floor(n * 0.9::DOUBLE)::INT + 1] AS p90 FROM o",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell import schemas
 from tracewell.functions.text import clean_trace
 from tracewell.operators.evaluate import fully_passed
+from tracewell.sources.file_ends import file_ends
 
 _STEM = r"([^/]+)\.[^./]+$"
 
@@ -73,19 +74,42 @@ def run_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RUN_EVENT + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).where("_corrupt is null and kind is not null").drop("_corrupt")
 
 
+def _text(raw: str) -> Column:
+    """Bytes as text; a character that the cut has halved becomes a replacement sign."""
+    return F.make_valid_utf8(F.col(raw).cast("string"))
+
+
+def _number(text: Column, key: str) -> Column:
+    return F.regexp_extract(text, rf'"{key}":\s*(\d+)', 1).try_cast("int").alias(key)
+
+
 def complete(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether each file ends as JSON does: with } or a line end. Only the files' bytes are read, not parsed."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
-    tail = F.decode(F.expr("substring(content, -1, 1)"), "utf-8")
-    return rows.select(F.regexp_extract("path", _STEM, 1).alias("stem"), tail.isin("}", "\n").alias("complete"))
+    """Whether each file ends as JSON does: with } or a line end. One byte of each is read."""
+    return file_ends(spark, folder, tail=1).select("stem", _text("tail").isin("}", "\n").alias("complete"))
 
 
 def tail_counts(spark: SparkSession, folder: str, tail: int = 400) -> DataFrame:
-    """Pass counts from the last bytes of large JSON files, without decoding their arrays."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*.json").load(folder)
-    text = F.decode(F.expr(f"substring(content, -{tail}, {tail})"), "utf-8")
-    number = lambda key: F.regexp_extract(text, rf'"{key}":\s*(\d+)', 1).try_cast("int").alias(key)
-    return rows.select(F.regexp_extract("path", _STEM, 1).try_cast("bigint").alias("idx"), number("test_passed"), number("test_total"))
+    """Pass counts from the last bytes of large JSON files, without reading their arrays."""
+    rows = file_ends(spark, folder, tail=tail).where(F.col("stem").rlike("^[0-9]"))
+    return rows.select(F.col("stem").try_cast("bigint").alias("idx"), _number(_text("tail"), "test_passed"), _number(_text("tail"), "test_total"))
+
+
+def cache_probe(spark: SparkSession, folder: str, prompts: DataFrame, max_tokens: int, require_passing: bool = True, head: int = 512, tail: int = 400) -> DataFrame:
+    """(idx, valid): whether a cached trace may be kept, from its two ends alone. prompts: idx, prompt.
+
+    Its prompt begins as the expected one does (as much of it as the head holds), it has tokens, it passed all its tests or need not, or else was
+    allowed as many tokens as now; null pass counts do not pass. Files without an expected prompt are not valid.
+    """
+    rows = file_ends(spark, folder, head, tail).where(F.col("stem").rlike("^[0-9]")).select(F.col("stem").try_cast("bigint").alias("idx"), _text("head").alias("head"), _text("tail").alias("tail"))
+    told = F.regexp_extract("head", r'(?s)^\{\s*"prompt":\s*"((?:[^"\\]|\\.)*+)', 1)
+    want = F.regexp_extract(F.to_json(F.struct("prompt")), r'(?s)^\{"prompt":"(.*)"\}\z', 1)
+    rows = rows.join(prompts.select("idx", want.alias("want")), "idx", "left")
+    # A whole prompt ends with a quote within the head; of a longer one the head holds the beginning.
+    same = F.when(F.col("head").rlike(r'(?s)^\{\s*"prompt":\s*"(?:[^"\\]|\\.)*+"'), told == F.col("want")).otherwise(F.startswith("want", told) & (told != ""))
+    passed = _number(F.col("tail"), "test_passed") == _number(F.col("tail"), "test_total")
+    tokens = ~F.concat("head", "tail").rlike(r'"tokens":\s*\[\s*\]')
+    allowed = F.lit(True) if not require_passing else passed | (_number(F.col("head"), "max_tokens") >= max_tokens)
+    return rows.select("idx", F.coalesce(same & tokens & allowed, F.lit(False)).alias("valid"))
 
 
 def report_lines(spark: SparkSession, path: str) -> DataFrame:

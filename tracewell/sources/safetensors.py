@@ -1,30 +1,37 @@
-"""A Python data source for safetensors files: spark.read.format("safetensors").load(path).
+"""A data source for safetensors files: spark.read.format("safetensors").load(path).
 
 Each row is one row of a matrix (or a whole vector): name, row, dtype, values. A file's header is a length of 8 bytes and
-JSON with each tensor's type, shape and byte range; a partition reads one byte range, so shards are read in
-parallel and no tensor need fit in one task. Local and mounted paths only: a data source gets no Hadoop file system.
+JSON with each tensor's type, shape and byte range. Planning reads headers alone; a partition is one byte range of about `bytesPerPartition`, so
+shards are read in parallel and no tensor need fit in one task. Filters on name (equal, in) take tensors out before any of their bytes are read.
+Rows leave Python as Arrow batches. Files may be on any store that pyarrow opens.
 """
 
 from __future__ import annotations
 
-import glob
 import json
-import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
+
+from tracewell.sources.stores import listing, opened
 
 _KINDS = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "i1", "U8": "u1", "BOOL": "u1", "BF16": "<u2"}
+_COLUMNS = ["name", "row", "dtype", "values"]
 
 
-def header(path: str) -> tuple[dict, int]:
-    """Tensor descriptions and the offset of the data."""
-    with open(path, "rb") as f:
-        (n,) = struct.unpack("<Q", f.read(8))
-        found = json.loads(f.read(n))
+def header(path: str, system: fs.FileSystem | None = None) -> tuple[dict, int]:
+    """Tensor descriptions and the offset of the data; path is an address, or a path in `system`."""
+    system, inner = (system, path) if system else opened(path)
+    with system.open_input_file(inner) as f:
+        (n,) = struct.unpack("<Q", f.read_at(8, 0))
+        found = json.loads(f.read_at(n, 8))
     found.pop("__metadata__", None)
     return found, 8 + n
 
@@ -50,30 +57,45 @@ class _Block(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.block = options["path"], int(options.get("rowsPerPartition", 4096))
-        self.only = set(filter(None, options.get("tensors", "").split(",")))
+        self.path = options["path"]
+        self.rows, self.bytes = int(options.get("rowsperpartition", 0)), int(options.get("bytesperpartition", 64 << 20))
+        self.names: set[str] | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("name",):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.names = wanted if self.names is None else self.names & wanted
+            elif not isinstance(f, IsNotNull):  # no column has nulls
+                yield f
 
     def partitions(self) -> list[_Block]:
-        files = sorted(glob.glob(os.path.join(self.path, "*.safetensors"))) if os.path.isdir(self.path) else [self.path]
-        found = []
-        for path in files:
-            tensors, data = header(path)
+        found, (system, _) = [], opened(self.path)
+        for path, _ in listing(self.path, ".safetensors"):
+            tensors, data = header(path, system)
             for name, t in sorted(tensors.items()):
-                if self.only and name not in self.only:
+                if self.names is not None and name not in self.names:
                     continue
                 shape = t["shape"] or [1]
                 rows, width = (1, shape[0]) if len(shape) == 1 else (shape[0], int(np.prod(shape[1:])))
                 step = width * np.dtype(_KINDS[t["dtype"]]).itemsize
-                for at in range(0, rows, self.block):
-                    found.append(_Block(path, name, t["dtype"], data + t["data_offsets"][0] + at * step, at, min(self.block, rows - at), width))
-        return found
-
-    def read(self, partition: _Block) -> Iterator[tuple]:
+                many = self.rows or max(1, self.bytes // max(step, 1))
+                for at in range(0, rows, many):
+                    found.append(_Block(path, name, t["dtype"], data + t["data_offsets"][0] + at * step, at, min(many, rows - at), width))
+        return found or [_Block("", "", "F32", 0, 0, 0, 0)]
+
+    def read(self, partition: _Block) -> Iterator[pa.RecordBatch]:
+        if not partition.rows:
+            return
         step = partition.width * np.dtype(_KINDS[partition.dtype]).itemsize
-        with open(partition.path, "rb") as f:
-            f.seek(partition.start)
-            for i in range(partition.rows):
-                yield partition.name, partition.first + i, partition.dtype, decode(f.read(step), partition.dtype).tolist()
+        system, _ = opened(self.path)
+        with system.open_input_file(partition.path) as f:
+            for at in range(0, partition.rows, many := max(1, (8 << 20) // max(step, 1))):
+                n = min(many, partition.rows - at)
+                values = decode(f.read_at(n * step, partition.start + at * step), partition.dtype)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * partition.width, pa.int32()), pa.array(values))
+                places = pa.array(np.arange(partition.first + at, partition.first + at + n), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([partition.name] * n), places, pa.array([partition.dtype] * n), lists], _COLUMNS)
 
 
 class Safetensors(DataSource):
@@ -88,20 +110,53 @@ class Safetensors(DataSource):
         return _Reader(self.options)
 
 
-def catalog(spark, path: str):
-    """(name, shard, dtype, shape) of all tensors of a file or folder."""
-    files = sorted(glob.glob(os.path.join(path, "*.safetensors"))) if os.path.isdir(path) else [path]
-    rows = [(name, f, t["dtype"], t["shape"]) for f in files for name, t in sorted(header(f)[0].items())]
-    return spark.createDataFrame(rows, "name string, shard string, dtype string, shape array<bigint>")
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """(name, shard, dtype, shape) of all tensors of a file or folder: headers are read in tasks."""
+    files = listing(path, ".safetensors")  # a row for each shard
 
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = opened(path)
+        for batch in batches:
+            rows = [(name, f, t["dtype"], t["shape"]) for f in batch.column("shard").to_pylist() for name, t in sorted(header(f, system)[0].items())]
+            for part in (rows,) if rows else ():
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), (pa.string(), pa.string(), pa.string(), pa.list_(pa.int64())))], ["name", "shard", "dtype", "shape"])
 
-def write(path: str, tensors: dict[str, np.ndarray]) -> None:
-    """A small file, for tests and examples: float arrays are stored as F32."""
-    parts, at, raw = {}, 0, b""
+    return spark.createDataFrame([(f,) for f, _ in files], "shard string").repartition(max(1, min(len(files), 200))).mapInArrow(heads, "name string, shard string, dtype string, shape array<bigint>")
+
+
+def packed(tensors: dict[str, np.ndarray]) -> bytes:
+    """A file's bytes: float arrays are stored as F32."""
+    parts, at, raw = {}, 0, []
     for name, a in tensors.items():
         b = np.asarray(a, "<f4").tobytes()
         parts[name] = {"dtype": "F32", "shape": list(a.shape), "data_offsets": [at, at + len(b)]}
-        at, raw = at + len(b), raw + b
+        at += len(b)
+        raw.append(b)
     head = json.dumps(parts).encode()
-    with open(path, "wb") as f:
-        f.write(struct.pack("<Q", len(head)) + head + raw)
+    return struct.pack("<Q", len(head)) + head + b"".join(raw)
+
+
+def write(path: str, tensors: dict[str, np.ndarray]) -> None:
+    system, inner = opened(path)
+    with system.open_output_stream(inner) as out:
+        out.write(packed(tensors))
+
+
+def write_shards(rows: DataFrame, folder: str) -> int:
+    """Store rows (name, values: vectors of one width) as shards, written by the tasks that hold them: of each task's batch a shard with a matrix for each name. Returns the number of rows."""
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        system, inner = opened(folder)
+        system.create_dir(inner, recursive=True)
+        part = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
+            names = np.array(batch.column("name").to_pylist(), dtype=object)
+            values = batch.column("values")
+            flat = np.asarray(values.flatten(), dtype="<f4").reshape(len(names), -1)
+            found = {name: flat[names == name] for name in dict.fromkeys(names)}
+            with system.open_output_stream(f"{inner}/shard-{part:05d}-{k:05d}.safetensors") as out:
+                out.write(packed(found))
+            yield pa.RecordBatch.from_pydict({"n": [len(names)]})
+
+    return rows.select("name", "values").mapInArrow(shards, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators.curate import monotone_upsert
@@ -76,13 +78,49 @@ def append_events(events: DataFrame, log: str, status: str, version: int, run: s
     latest(rows, run, list(order)).write.mode("overwrite").parquet(f"{status}/v={version}")
 
 
-def grid_results(grid: DataFrame, keys: list[str], work: Callable[[DataFrame], DataFrame], partial: str, target: str, parts: int) -> DataFrame:
-    """Results of every cell of a grid. Each part is stored when done, so a run after an interruption works on the missing parts alone; the partial table goes once the whole is written."""
-    spark, part = grid.sparkSession, F.pmod(F.xxhash64(*keys), F.lit(parts))
+def settings_key(settings: dict) -> str:
+    """Settings as text: equal for equal settings, whatever the order of their names."""
+    return json.dumps(settings, sort_keys=True, default=str)
+
+
+def put_manifest(spark: SparkSession, path: str, key: str) -> None:
+    """Say of a finished result what made it. It is written last, so a result without one is unfinished."""
+    spark.createDataFrame([(key,)], "key string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def manifest(spark: SparkSession, path: str) -> str | None:
+    return spark.read.parquet(path).first()["key"] if exists(spark, f"{path}/_SUCCESS") else None
+
+
+def kept(spark: SparkSession, path: str, key: str, build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """The result under path if it was made under the same key, else built anew; and whether it was built.
+
+    Results of different keys lie beside each other, each with its manifest, so a reader of an older one is not disturbed.
+    """
+    target = f"{path}/{hashlib.sha256(key.encode()).hexdigest()[:16]}"
+    made = manifest(spark, f"{target}-manifest") != key
+    if made:
+        build().write.mode("overwrite").parquet(target)
+        put_manifest(spark, f"{target}-manifest", key)
+    return spark.read.parquet(target), made
+
+
+def grid_part(work: Callable[[DataFrame], DataFrame], cells: DataFrame, partial: str, number: int, key: str) -> None:
+    """One part of a grid's results, and then the settings that made it."""
+    spark = cells.sparkSession
+    truncate(spark, f"{partial}/settings/{number}")
+    work(cells).write.mode("overwrite").parquet(f"{partial}/results/part={number}")
+    put_manifest(spark, f"{partial}/settings/{number}", key)
+
+
+def grid_results(grid: DataFrame, part: Column, work: Callable[[DataFrame], DataFrame], partial: str, target: str, parts: int, settings: dict) -> DataFrame:
+    """Results of every cell of a grid, in parts by the number in `part`. Each is stored when done, with the settings that made it, so a run after an interruption
+    works on the parts alone that are missing or were made under other settings; the partial table goes once the whole is written."""
+    spark, key = grid.sparkSession, settings_key(settings)
     for number in range(parts):
-        if not exists(spark, f"{partial}/part={number}/_SUCCESS"):
-            work(grid.where(part == number)).write.mode("overwrite").parquet(f"{partial}/part={number}")
-    spark.read.option("basePath", partial).parquet(f"{partial}/part=*").drop("part").write.mode("overwrite").parquet(target)
+        if manifest(spark, f"{partial}/settings/{number}") != key:
+            grid_part(work, grid.where(part == number), partial, number, key)
+    spark.read.option("basePath", f"{partial}/results").parquet(f"{partial}/results/part=*").drop("part").write.mode("overwrite").parquet(target)
     truncate(spark, partial)
     return spark.read.parquet(target)
 
@@ -95,6 +133,26 @@ def snapshot(df: DataFrame, path: str, fingerprint: str) -> DataFrame:
     return df.sparkSession.read.parquet(target)
 
 
+def sources_fingerprint(spark: SparkSession, folders: list[str], ids: DataFrame | None = None) -> str:
+    """A fingerprint of all files below the folders (path, time of change, length; only the listing is read) and of a list of ids (its first column, in any order).
+
+    Each is a count and two sums of hashes, which partial aggregation makes without moving a row.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select("path", "modificationTime", "length")
+
+    def marks(rows: DataFrame) -> str:
+        sums = [F.sum(F.xxhash64(F.lit(seed), *rows.columns).cast("decimal(38,0)")) for seed in (1, 2)]
+        return ":".join(map(str, rows.agg(F.count("*"), *sums).first()))
+
+    return f"{marks(files)}/{marks(ids.select(ids.columns[0])) if ids is not None else ''}"
+
+
+def fresh_snapshot(spark: SparkSession, path: str, folders: list[str], build: Callable[[], DataFrame], ids: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """A snapshot that is made anew when any of its source files, or its list of ids, is not as it was; and whether it was made now. The fingerprint is taken before the
+    sources are read, so one that changes meanwhile makes the snapshot stale."""
+    return kept(spark, path, sources_fingerprint(spark, folders, ids), build)
+
+
 def failure_report(problems: DataFrame, failures: DataFrame, fails: int = 3, code: int = 4000, error: int = 300) -> DataFrame:
     """A Markdown section per problem: header, clipped code, the first failures with collapsed, clipped errors."""
     text = F.substring(F.trim(F.regexp_replace("error", r"\s+", " ")), 1, error)

@@ -37,6 +37,31 @@ def counters(events: DataFrame) -> DataFrame:
     return rows.groupBy("difficulty").agg(F.sum("c.pass").alias("passed"), F.sum("c.fail").alias("failed"))
 
 
+def merge_counts(changed: DataFrame, target: str, number: int, key: str = "difficulty") -> None:
+    """A new version of a keyed table: the rows of the version before, of which those that changed are replaced. Repeating a batch writes the same version again."""
+    before = sinks.version_before(changed.sparkSession, target, number)
+    rows = changed
+    if before is not None:
+        old = changed.sparkSession.read.parquet(f"{target}/v={before}")
+        rows = old.join(changed.select(F.col(key).alias("_k")), F.col(key).eqNullSafe(F.col("_k")), "left_anti").unionByName(changed)
+    sinks.replace_table(rows, target, number)
+
+
+def durable_counters(events: DataFrame, target: str, checkpoint: str, key: str = "difficulty") -> StreamingQuery:
+    """counters() in update mode: a batch hands on the counts that it changed alone, and they become a new version of the table under target.
+
+    The counts are the stream's state and are stored with its checkpoint: after a stop the next start goes on from there. A batch that is run
+    again after a failure has the same number, and so replaces its own version.
+    """
+    write = counters(events).writeStream.outputMode("update").foreachBatch(lambda batch, number: merge_counts(batch, target, number, key))
+    return write.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest(spark: SparkSession, target: str) -> DataFrame:
+    """The newest version of a versioned table."""
+    return spark.read.parquet(f"{target}/v={sinks.version_before(spark, target, 1 << 62)}")
+
+
 def windowed_rates(events: DataFrame, start: str = "2000-01-01", late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Extra: pass rate by event-time window, with a watermark for late events."""
     at = (F.unix_timestamp(F.lit(start), "yyyy-MM-dd") + F.col("t")).cast("timestamp")
