@@ -310,3 +310,40 @@ def test_p_values_of_correlations(spark):
     edge = spark.createDataFrame([(t / math.sqrt(10 + t * t), 12), (1.0, 9), (-1.0, 9), (0.0, 9), (float("nan"), 9), (0.5, 2)], "r double, n long")
     p = [r[0] for r in edge.select(stats.correlation_p(F.col("r"), F.col("n"))).collect()]
     assert p[0] == pytest.approx(0.05, abs=1e-9) and p[1] == p[2] == 0 and p[3] == 1 and math.isnan(p[4]) and math.isnan(p[5])
+
+
+def test_recovery_goes_on_where_it_was_stopped(spark, tmp_path):
+    failed, calls = spark.range(12).withColumnRenamed("id", "idx"), []
+
+    def work(name, broken=False):
+        def one(problems, attempt):
+            calls.append((name, attempt, sorted(r["idx"] for r in problems.collect())))
+            if broken and attempt == 2:
+                raise RuntimeError("stopped")
+            known = problems.where("idx <> 11")  # of one there is no outcome, of another a null one
+            return known.select("idx", F.when(F.col("idx") == 10, None).otherwise(F.col("idx") % 4 == attempt + (1 if name == "b" else -1)).alias("solved"))
+
+        return one
+
+    folder = str(tmp_path / "r")
+    with pytest.raises(RuntimeError):
+        evaluate.recover(failed, [("a", 1, work("a")), ("b", 2, work("b", True))], folder)
+    assert [c[:2] for c in calls] == [("a", 1), ("b", 1), ("b", 2)] and calls[1][2] == [i for i in range(12) if i % 4 or i == 11]
+    calls.clear()
+    got = {r["idx"]: (r["stage"], r["attempt"], r["solved"]) for r in evaluate.recover(failed, [("a", 1, work("a")), ("b", 2, work("b"))], folder).collect()}
+    assert [c[:2] for c in calls] == [("b", 2)] and len(got) == 12
+    assert all(got[i] == {0: ("a", 1, True), 2: ("b", 1, True), 3: ("b", 2, True), 1: ("b", 2, False)}[i % 4] for i in range(10)) and got[10] == got[11] == ("b", 2, False)
+
+
+def test_quantiles_of_many_distinct_values(spark):
+    """Ten million distinct values, by no window over all of them."""
+    n = 10_000_000
+    rows = spark.range(n).select(((F.col("id") * 7_368_787) % n).cast("double").alias("x"), (F.col("id") % 2).alias("g"))
+    df = stats.place_percentiles(rows, "x", {"p10": 0.1, "p50": 0.5, "p100": 1.0})
+    assert tuple(df.first()) == (n * 0.1, n * 0.5, n - 1)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert windows and all("_part" in line for line in windows)  # inside sorted partitions, or over a row for each of them
+    few = spark.createDataFrame([(1, 3.0), (1, 1.0), (1, None), (1, float("nan")), (2, 5.0), (2, 7.0), (2, 7.0), (3, None)], "g int, x double")
+    assert {r["g"]: r["median"] for r in stats.medians(few, ["g"], "x").collect()} == {1: 2.0, 2: 7.0}
+    assert stats.place_percentiles(few.where("false"), "x", {"a": 0.5}).first()["a"] is None

@@ -5,11 +5,14 @@ A sample table has idx (problem), j (sample, from 0), passed and total (tests),
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.sources.scratch import exists
+
 OTHER = "unknown"
 #: The order in which difficulties are reported; others follow by name.
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -161,6 +164,28 @@ def retry_once(rows: DataFrame, attempt: Callable[[DataFrame, int], DataFrame],
     return done.unionByName(again.withColumns({"attempts": F.lit(2), "dead": ~F.coalesce("ok", F.lit(False))}).drop("ok"))
 
 
+def recover(failed: DataFrame, stages: list[tuple[str, int, Callable[[DataFrame, int], DataFrame]]], folder: str) -> DataFrame:
+    """Failed problems (idx, ...) through stages one after another: (idx, stage, attempt, solved), the first pass of each or its last attempt.
+
+    A stage is a name, a number of attempts and a function (problems, attempt) -> (idx, solved). What an attempt does not solve is the frontier of the next, of the
+    same stage or of the one after it. Each attempt's outcome is stored under `folder` before the next begins, so a run that was stopped goes on with
+    the attempt in which it was, and what was solved is never tried again. A problem without an outcome, or with a null one, is not solved.
+    """
+    spark = failed.sparkSession
+    frontier, done, last = failed, [], None
+    for name, attempts, work in stages:
+        for attempt in range(1, attempts + 1):
+            path = f"{folder}/{len(done):03d}-{name}-{attempt}"
+            if not exists(spark, f"{path}/_SUCCESS"):
+                tried = work(frontier, attempt).groupBy("idx").agg(F.bool_or("solved").alias("solved"))
+                rows = frontier.select("idx").join(tried, "idx", "left").select("idx", F.lit(name).alias("stage"), F.lit(attempt).alias("attempt"), F.coalesce("solved", F.lit(False)).alias("solved"))
+                rows.write.mode("overwrite").parquet(path)
+            last = spark.read.parquet(path)
+            done.append(last.where("solved"))
+            frontier = failed.join(last.where("not solved").select("idx"), "idx", "left_semi")
+    return functools.reduce(DataFrame.unionByName, [*done, last.where("not solved")])
+
+
 def retention(scores: DataFrame, base: Column, reduced: Column) -> DataFrame:
     """What is left of a score after a reduction: gap, ratio and percent; ratio and percent are null where the base is 0."""
     share = reduced / F.nullif(base, F.lit(0).cast("double"))

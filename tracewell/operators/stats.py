@@ -142,23 +142,33 @@ def equivalence(low: Column, high: Column, margin: float, n: Column) -> list[Col
     return [far.alias("bound"), (100.0 * far / n).alias("bound_percent"), F.when((low > -margin) & (high < margin), "equivalent").otherwise("not shown").alias("verdict")]
 
 
-def average_rank(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """1-based ranks, ties sharing their mean.
+def ordered_counts(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., value, _n, _before, _all): how often each distinct value stands in its group, how many rows of the group are smaller, and the group's size.
 
-    The histogram of distinct values, in which a heavy tie is one row, is range-sorted and stored; running counts inside its partitions and a
-    row for each partition and group give the ranks, so no task sees a whole group. A histogram of few values, each of which may stand in many rows, is broadcast.
+    The histogram, in which a heavy tie is one row, is range-sorted and stored; running counts inside its partitions and a row for each
+    partition and group give the rest, so no task sees a whole group or all values.
     """
     order = [*by, value]
     counts = rows.groupBy(*order).agg(F.count("*").alias("_n")).repartitionByRange(*order).sortWithinPartitions(*order)
     counts = materialized(counts.withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    parts = counts.groupBy("_part", *by).agg(F.sum("_n").alias("_all"))
-    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = parts.select("_part", *by, F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_start"))
+    parts = counts.groupBy("_part", *by).agg(F.sum("_n").alias("_sum"))
+    group = Window.partitionBy(*by or [F.lit(0)])  # a row for each partition
+    parts = parts.select("_part", *by, F.coalesce(F.sum("_sum").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_sum").over(group).alias("_all"))
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ["_part", *by]]
-    ranks = counts.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("c").join(F.broadcast(starts).alias("s"), same)
-    ranks = ranks.select(*[F.col(f"c.{k}").alias(k) for k in order], (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
-    return rows.join(F.broadcast(ranks) if counts.count() <= FEW_VALUES else ranks, order)
+    found = counts.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("c").join(_small(parts).alias("s"), same)
+    return found.select(*[F.col(f"c.{k}").alias(k) for k in order], "_n", (F.col("_start") + F.col("_before")).alias("_before"), "_all")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df to be broadcast, if it has few rows."""
+    return F.broadcast(df) if df.count() <= FEW_VALUES else df
+
+
+def average_rank(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """1-based ranks, ties sharing their mean. A histogram of few values, each of which may stand in many rows, is broadcast."""
+    ranks = ordered_counts(rows, by, value).select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
+    return rows.join(_small(ranks), [*by, value])
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -217,22 +227,23 @@ def nan_mean(x: Column) -> Column:
     return F.avg(F.when(~F.isnan(x), x))
 
 
-def nan_median(x: Column) -> Column:
-    """The true median, averaging the two middles, over values that are not NaN."""
-    return F.median(F.when(~F.isnan(x), x))
+def medians(rows: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+    """(by..., name): the true median of each group, averaging the two middles, over values that are neither NaN nor null; a group without any is left out."""
+    counts = ordered_counts(rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, value), by, value)
+    holds = lambda place: (F.col("_before") <= place) & (place < F.col("_before") + F.col("_n"))
+    at = lambda place: F.min(F.when(holds(place), F.col(value)))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    return counts.groupBy(*by).agg(((at(low) + at(high)) / 2).alias(name))
 
 
 def place_percentiles(rows: DataFrame, value: str, places: dict[str, float]) -> DataFrame:
-    """For each name, the value at 0-based place floor(n q) of the sorted column: for q = 0.5 the upper median.
+    """For each name, the value at 0-based place floor(n q) of the sorted column: for q = 0.5 the upper median. One row, of nulls for no values.
 
-    Exact, from counts of distinct values: what the one window sees grows with the range of the values, not with the rows.
+    Exact, from counts of distinct values in sorted partitions: each of them hands on a row.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("k").over(Window.partitionBy(F.lit(0)))
-    return counts.select(value, upto.alias("upto"), total.alias("n")).agg(
-        *[F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col(value))).alias(name) for name, q in places.items()]
-    )
+    counts = ordered_counts(rows.where(F.col(value).isNotNull()).select(value), [], value)
+    place = lambda q: F.least(F.floor(F.col("_all") * q), F.col("_all") - 1)
+    return counts.agg(*[F.min(F.when((F.col("_before") <= place(q)) & (place(q) < F.col("_before") + F.col("_n")), F.col(value))).alias(name) for name, q in places.items()])
 
 
 def means_by(rows: DataFrame, by: str, kinds: list[str], values: list[str], digits: int) -> DataFrame:

@@ -202,6 +202,16 @@ def retry_once(spark, d):
     return evaluate.retry_once(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), attempt, materialized)
 
 
+def staged_recovery(spark, d):
+    """Problems whose first sample failed: tested again, then sampled twice more, up to the first pass; the run is stopped after the first stage and started anew."""
+    rows, folder = samples(spark, d), scratch.folder(spark, "recovery")
+    failed = rows.where("j = 0 and not solved").select("idx")
+    of = lambda first: lambda problems, attempt: rows.where(F.col("j") == first + attempt).join(problems, "idx", "left_semi").select("idx", "solved")
+    stages = [("retest", 1, of(0)), ("resample", 2, of(1))]
+    evaluate.recover(failed, stages[:1], folder)
+    return evaluate.recover(failed, stages, folder)
+
+
 def recovery_totals(spark, d):
     """Recovered and still failing by chunk of problems and difficulty, with totals so far."""
     first = samples(spark, d).where("j = 0").join(problems(spark, d), "idx").withColumn("difficulty", evaluate.normal_difficulty(F.col("difficulty"))).withColumn("chunk", F.floor(F.col("idx") / 500))
@@ -255,6 +265,8 @@ ORACLES = {
     "stale_snapshot": "SELECT asked, made, o_orderstatus, (count(*) + CASE WHEN asked >= 2 THEN count(*) FILTER (o_orderpriority = '1-URGENT') ELSE 0 END)::BIGINT AS n FROM orders, (VALUES (0, true), (1, false), (2, true), (3, false), (4, true)) v(asked, made) WHERE asked < 4 OR o_orderkey % 5 <> 0 GROUP BY 1, 2, 3",
     "stream_counters": "SELECT CASE WHEN event_id % 2 = 1 THEN '?' ELSE event_type END AS difficulty, sum(CASE WHEN event_id % 2 = 1 THEN 2 ELSE 1 END)::BIGINT AS passed, sum(CASE WHEN event_id % 2 = 1 THEN 3 ELSE event_id % 5 END)::BIGINT AS failed FROM events WHERE event_type IS NOT NULL GROUP BY 1",
     "retry_once": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 2 END AS attempts, o_orderkey % 15 = 0 AS dead FROM orders",
+    "staged_recovery": f"""WITH {SAMPLES_SQL}, s AS (SELECT idx, bool_or(solved) FILTER (j = 1) AS a, bool_or(solved) FILTER (j = 2) AS b, bool_or(solved) FILTER (j = 3) AS c FROM samples GROUP BY idx HAVING NOT bool_or(solved) FILTER (j = 0))
+SELECT idx, CASE WHEN a THEN 'retest' ELSE 'resample' END AS stage, (CASE WHEN a OR b THEN 1 ELSE 2 END)::INT AS attempt, coalesce(a OR b OR c, false) AS solved FROM s""",
     "recovery_totals": f"""WITH {SAMPLES_SQL}, {PROBLEMS_SQL}, l AS (SELECT idx, bool_or(solved) AS now FROM samples WHERE j > 0 GROUP BY idx),
 f AS (SELECT idx // 500 AS chunk, CASE WHEN trim(difficulty) = '' THEN 'unknown' ELSE lower(trim(difficulty)) END AS difficulty, coalesce(now, false) AS now FROM samples s JOIN problems USING (idx) LEFT JOIN l USING (idx) WHERE j = 0 AND NOT solved),
 c AS (SELECT chunk, difficulty, count(*) FILTER (now) AS recovered, count(*) FILTER (NOT now) AS failing FROM f GROUP BY 1, 2)

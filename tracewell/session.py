@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **more: str) -> SparkSession:
     """A session with adaptive execution and UTC; everything else is left to the cluster's own settings."""
-    builder = SparkSession.builder.appName("tracewell").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    builder = SparkSession.builder.appName("tracewell").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true").config("spark.sql.python.filterPushdown.enabled", "true")
     if master:
         builder = builder.master(master)
     if shuffle_partitions:

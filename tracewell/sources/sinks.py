@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.curate import monotone_upsert
 from tracewell.operators.evaluate import fully_passed
+from tracewell.sources.scratch import exists
 
 
 def replace_table(df: DataFrame, path: str, version: int) -> str:
@@ -50,11 +51,6 @@ def summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def version_before(spark: SparkSession, path: str, version: int) -> int | None:
     """The newest complete version older than `version`."""
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
