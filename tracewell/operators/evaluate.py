@@ -115,10 +115,11 @@ def distinct_failures(rows: DataFrame, key: str, category: str, error: str, posi
     return firsts.withColumn("nth", nth).where(F.col("nth") <= keep).select(key, "nth", category, F.col("_e").alias("error"))
 
 
-def diagnose(samples: DataFrame, truncated: Column | None = None) -> DataFrame:
+def diagnose(samples: DataFrame, truncated: Column | None = None, code: Column | None = None) -> DataFrame:
     """Per problem: the most common cause over its unsolved samples, alphabetical on ties, null if there is none.
 
     Each unsolved sample counts its category once, unless that is null or empty, and the cause `truncated` if it was cut off; truncated samples are counted whether solved or not.
+    With `code`, code_length is that of the first unsolved sample, or of the first.
     """
     cut = F.lit(False) if truncated is None else F.coalesce(truncated, F.lit(False))
     rows = samples.withColumn("_cut", cut)
@@ -126,7 +127,8 @@ def diagnose(samples: DataFrame, truncated: Column | None = None) -> DataFrame:
     counts = rows.where("not solved").select("idx", F.explode(causes).alias("cause")).groupBy("idx", "cause").agg(F.count("*").alias("n"))
     most = F.struct(-F.col("n"), "cause")
     cause = counts.groupBy("idx").agg(F.min_by("cause", most).alias("cause"))
-    heads = rows.groupBy("idx").agg(F.bool_or("solved").alias("solved"), F.count_if(~F.col("solved")).alias("unsolved"), F.count_if("_cut").alias("truncated"))
+    length = [] if code is None else [F.min_by(F.length(code), F.struct("solved", "j")).alias("code_length")]
+    heads = rows.groupBy("idx").agg(F.bool_or("solved").alias("solved"), F.count_if(~F.col("solved")).alias("unsolved"), F.count_if("_cut").alias("truncated"), *length)
     return heads.join(cause, "idx", "left")
 
 

@@ -71,9 +71,10 @@ def level_report(spark, d):
 
 def gap_changes(spark, d):
     """Change points of window maxima (8 elements, change above 25 %): the median gap between them for each vector."""
-    w = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda g: F.array_max(F.transform(F.slice("w", g * 8 + 1, F.lit(8)), F.abs)))
+    whole = F.floor(F.size("w") / 8).cast("int")  # a rest of fewer than 8 elements is no window
+    w = F.transform(F.filter(F.sequence(F.lit(0), whole), lambda g: g < whole), lambda g: F.array_max(F.transform(F.slice("w", g * 8 + 1, F.lit(8)), F.abs)))
     rows = _vec(spark, d).select("vec_id", w.alias("m"))
-    points = F.filter(F.sequence(F.lit(1), F.lit(7)), lambda i: F.abs(F.get("m", i) - F.get("m", i - 1)) > 0.25 * F.get("m", i - 1))
+    points = F.filter(F.sequence(F.lit(0), F.size("m")), lambda i: (i > 0) & (i < F.size("m")) & (F.abs(F.get("m", i) - F.get("m", i - 1)) > 0.25 * F.get("m", i - 1)))
     rows = rows.withColumn("p", points)
     gaps = F.array_sort(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.get("p", i) - F.get("p", i - 1)))
     return rows.select("vec_id", F.size("p").alias("points"), F.when(F.size("p") > 1, F.get(gaps, F.floor((F.size("p") - 1) / 2).cast("int"))).alias("gap"))
@@ -209,7 +210,7 @@ ORACLES = {
     "split_precision": f"WITH {_P}, u AS (SELECT vec_id, w, t, {_q('w', 4, 16)} AS bq, {_q(_minus('t', 'w'), 8, 16)} AS dq, {_q('t', 4, 16)} AS j, list_transform({_grp('t', 16)}, lambda g: {_step('g', 4)}) AS st FROM p), v AS (SELECT *, list_transform(list_zip(bq, dq), lambda z: z[1] + z[2]) AS s FROM u) SELECT vec_id, round(sqrt({_S(_minus('s', 't'))}) / sqrt({_S('t')}), 6) AS split_error, round(sqrt({_S(_minus('j', 't'))}) / sqrt({_S('t')}), 6) AS joint_error, round(sqrt({_S(_minus('t', 'w'))} / 64) / (list_sum(st) / 4), 6) AS steps FROM v",
     "grid_probe": f"WITH {_W}, u AS (SELECT vec_id, w, {_q('w', 4, 32)} AS q FROM e), v AS (SELECT vec_id, greatest(len(list_distinct(list_transform(q[1:32], lambda x: x + 0.0))), len(list_distinct(list_transform(q[33:64], lambda x: x + 0.0))))::INT AS levels, greatest(len(list_distinct(list_transform(w[1:32], lambda x: x + 0.0))), len(list_distinct(list_transform(w[33:64], lambda x: x + 0.0))))::INT AS plain FROM u) SELECT *, levels <= 16 AS is_w4 FROM v",
     "level_report": f"WITH {_W}, u AS (SELECT label, round(unnest({_q('w', 8, 0)}), 6) AS x FROM e) SELECT label, count(DISTINCT x) AS levels, round(min(x), 6) AS low, round(max(x), 6) AS high, round(abs(max(x) + min(x)), 6) AS \"offset\" FROM u GROUP BY label",
-    "gap_changes": f"WITH {_W}, m AS (SELECT vec_id, list_transform(range(0, 8), lambda g: list_max(list_transform(w[g * 8 + 1 : g * 8 + 8], lambda x: abs(x)))) AS m FROM e), p AS (SELECT vec_id, list_filter(range(1, 8), lambda i: abs(m[i + 1] - m[i]) > 0.25::DOUBLE * m[i]) AS p FROM m) SELECT vec_id, len(p)::INT AS points, CASE WHEN len(p) > 1 THEN list_sort(list_transform(range(2, len(p) + 1), lambda i: p[i] - p[i - 1]))[(len(p) - 1) // 2 + 1] END::INT AS gap FROM p",
+    "gap_changes": f"WITH {_W}, m AS (SELECT vec_id, list_transform(range(0, len(w) // 8), lambda g: list_max(list_transform(w[g * 8 + 1 : g * 8 + 8], lambda x: abs(x)))) AS m FROM e), p AS (SELECT vec_id, list_filter(range(1, len(m)), lambda i: abs(m[i + 1] - m[i]) > 0.25::DOUBLE * m[i]) AS p FROM m) SELECT vec_id, len(p)::INT AS points, CASE WHEN len(p) > 1 THEN list_sort(list_transform(range(2, len(p) + 1), lambda i: p[i] - p[i - 1]))[(len(p) - 1) // 2 + 1] END::INT AS gap FROM p",
     "int8_error_weights": f"WITH {_W}, a AS (SELECT vec_id, label, w, list_min(w) AS lo, greatest((list_max(w) - list_min(w)) / 255, 1e-8) AS sc FROM e), b AS (SELECT vec_id, label, sqrt({_S('list_transform(w, lambda y: y - (greatest(least(round_even((y - lo) / sc, 0), 255.0), 0.0) * sc + lo))')}) AS er FROM a) SELECT vec_id, round(CASE WHEN sum(er) OVER g > 0 THEN er * count(*) OVER g / sum(er) OVER g ELSE 1.0 END, 6) AS weight FROM b WINDOW g AS (PARTITION BY label)",
     "compare_to_reference": f"WITH {_W}, u AS (SELECT vec_id, w, {_q('w', 4, 16)} AS a, {_q('w', 8, 0)} AS b FROM e) SELECT vec_id, round(sqrt({_S(_minus('a', 'b'))}) / sqrt({_S('b')}), 6) AS rel, round({_S(_minus('b', 'a'))} / {_S('b')}, 6) AS nmse, round(sqrt({_S(_minus('w', 'a'))} / 64) * sqrt(12.0), 6) AS step FROM u",
     "depth_bins": f"WITH {_W}, u AS (SELECT vec_id % 18 AS layer, list_max(list_transform(w, lambda x: abs(x))) AS x FROM e), b(depth, low, high) AS (VALUES ('early', 0, 8), ('middle', 9, 17), ('late', 18, 27)) SELECT depth, coalesce(round(avg(x), 6), 'nan'::DOUBLE) AS mean, count(x) AS n, (count(*) FILTER (x > 0.35::DOUBLE)) || '/' || count(x) AS worse FROM b LEFT JOIN u ON layer BETWEEN low AND high GROUP BY 1",

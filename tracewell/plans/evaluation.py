@@ -97,11 +97,12 @@ def timeout_abort(spark, d):
 
 def distinct_failures(spark, d):
     rows = table(spark, d, "events").where("event_type in ('error', 'view')")
-    return evaluate.distinct_failures(rows, "user_id", "event_type", F.concat(F.lit(" at  "), F.col("props")), "event_id", 3, 12)
+    return evaluate.distinct_failures(rows, "user_id", "event_type", F.concat(F.lit(" at  "), F.col("props")), "event_id", 3)
 
 
 def problem_diagnosis(spark, d):
-    return evaluate.diagnose(samples(spark, d), F.col("total") >= 45)
+    """Cause, truncations and the length of the code that stands for the problem: of its first unsolved sample, or its first."""
+    return evaluate.diagnose(samples(spark, d), F.col("total") >= 45, F.repeat(F.lit("x"), F.col("total").cast("int")))
 
 
 def representative_sample(spark, d):
@@ -187,10 +188,10 @@ SELECT cause, count(*) AS "any", count(*) FILTER (k = 1) AS dominant FROM r GROU
     "timeout_abort": """WITH a AS (SELECT *, event_type IN ('error', 'view') AS bad FROM events), b AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM a),
 c AS (SELECT *, sum(bad::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM b), e AS (SELECT *, coalesce(max(streak) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 3, false) AS aborted FROM c)
 SELECT event_id, CASE WHEN aborted THEN 'timeout' ELSE event_type END AS outcome, aborted FROM e""",
-    "distinct_failures": r"""WITH a AS (SELECT user_id, event_type, substr(trim(regexp_replace(' at  ' || props, '\s+', ' ', 'g')), 1, 12) AS error, min(event_id) AS f FROM events WHERE event_type IN ('error', 'view') GROUP BY 1, 2, 3),
+    "distinct_failures": r"""WITH a AS (SELECT user_id, event_type, substr(trim(regexp_replace(' at  ' || props, '\s+', ' ', 'g')), 1, 160) AS error, min(event_id) AS f FROM events WHERE event_type IN ('error', 'view') GROUP BY 1, 2, 3),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY f, event_type, error) AS INTEGER) AS nth FROM a) SELECT user_id, nth, event_type, error FROM r WHERE nth <= 3""",
     "problem_diagnosis": f"""WITH {SAMPLES_SQL}, c AS (SELECT idx, cause, count(*) AS n FROM (SELECT idx, category AS cause FROM samples WHERE NOT solved UNION ALL SELECT idx, 'truncated' FROM samples WHERE NOT solved AND total >= 45) GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY n DESC, cause) AS k FROM c), s AS (SELECT idx, bool_or(solved) AS solved, count(*) FILTER (NOT solved) AS unsolved, count(*) FILTER (total >= 45) AS truncated FROM samples GROUP BY idx)
+r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY n DESC, cause) AS k FROM c), s AS (SELECT idx, bool_or(solved) AS solved, count(*) FILTER (NOT solved) AS unsolved, count(*) FILTER (total >= 45) AS truncated, arg_min(total, CASE WHEN solved THEN 1000000 ELSE 0 END + j)::INT AS code_length FROM samples GROUP BY idx)
 SELECT s.*, r.cause FROM s LEFT JOIN r ON s.idx = r.idx AND k = 1""",
     "representative_sample": f"WITH {SAMPLES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY solved, j) AS k, bool_or(total >= 45) OVER (PARTITION BY idx) AS any_truncated FROM samples) SELECT idx, j, category, solved, any_truncated FROM r WHERE k = 1",
     "recovery_tally": f"WITH {SAMPLES_SQL}, {PROBLEMS_SQL}, f AS (SELECT {_KEY} AS difficulty, s.idx FROM samples s JOIN problems USING (idx) WHERE j = 0 AND NOT solved), l AS (SELECT idx, bool_or(solved) AS now FROM samples WHERE j > 0 GROUP BY idx) SELECT difficulty, count(*) AS failed, count(*) FILTER (coalesce(now, false)) AS recovered, (count(*) FILTER (coalesce(now, false))) * 100 // count(*) AS percent FROM f LEFT JOIN l USING (idx) GROUP BY difficulty",

@@ -48,9 +48,9 @@ def event_status(spark, d):
 def failure_report(spark, d):
     """Markdown sections of problems with their first distinct failures."""
     rows = samples(spark, d).where("not solved")
-    fails = rows.select("idx", F.col("j").alias("nth"), "category", F.concat(F.lit(" at   line "), F.col("total").cast("string")).alias("error"))
+    fails = rows.select("idx", (F.col("j") + 1).alias("nth"), "category", F.concat(F.lit(" at   line "), F.col("total").cast("string")).alias("error"))
     heads = evaluate.first_success(samples(spark, d)).select("idx", F.concat(F.lit("def f"), F.col("j").cast("string"), F.lit("(): pass")).alias("code"))
-    return sinks.failure_report(heads, fails, fails=2, code=12)
+    return sinks.failure_report(heads, fails)
 
 
 def fixed_width_table(spark, d):
@@ -70,7 +70,7 @@ ORACLES = {
     "versioned_upsert": "WITH u AS (SELECT doc_id AS idx, quality = 1 AS passed, 1 AS version FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, toxic = 1, 2 FROM labels WHERE doc_id % 3 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY passed DESC, version DESC) AS k FROM u) SELECT idx, passed, version FROM r WHERE k = 1",
     "fingerprinted_snapshot": "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1",
     "event_status": "WITH r AS (SELECT user_id AS run, event_id::DOUBLE AS t, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) SELECT run, t, event_type FROM r WHERE k = 1",
-    "failure_report": f"WITH {SAMPLES_SQL}, h AS (SELECT idx, substr('def f' || min(j) || '(): pass', 1, 12) AS code FROM samples WHERE solved GROUP BY idx), l AS (SELECT idx, string_agg('- ' || category || ': at line ' || total, chr(10) ORDER BY j) AS l FROM samples WHERE NOT solved AND j <= 2 GROUP BY idx) SELECT idx, concat_ws(chr(10), '## Problem ' || idx, '```python', code, '```', l) AS section FROM h LEFT JOIN l USING (idx)",
+    "failure_report": f"WITH {SAMPLES_SQL}, h AS (SELECT idx, substr('def f' || min(j) || '(): pass', 1, 4000) AS code FROM samples WHERE solved GROUP BY idx), l AS (SELECT idx, string_agg('- ' || category || ': at line ' || total, chr(10) ORDER BY j) AS l FROM samples WHERE NOT solved AND j <= 2 GROUP BY idx) SELECT idx, concat_ws(chr(10), '## Problem ' || idx, '```python', code, '```', l) AS section FROM h LEFT JOIN l USING (idx)",
     "fixed_width_table": "SELECT rpad(n_name, 20, ' ') || ' ' || lpad(n_nationkey::VARCHAR, 6, ' ') || ' ' || lpad(n_regionkey::VARCHAR, 4, ' ') AS line FROM nation",
     "solution_lines": "SELECT 'task/' || item_id AS task_id, text AS solution FROM benchmark",
 }

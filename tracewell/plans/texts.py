@@ -83,7 +83,7 @@ def text_forms(spark, d):
     rows = table(spark, d, "documents")
     name = F.concat_ws(".", F.lit("model"), F.lit("layers"), (F.col("doc_id") % 28).cast("string"), F.col("lang"), F.lit("weight"))
     return rows.select(
-        "doc_id", text.collapse(F.col("text"), 40).alias("clip"), text.label(F.concat(F.col("source"), F.lit(" (a)/b"))).alias("label"), text.short_hash(F.col("text")).alias("hash"),
+        "doc_id", text.collapse(F.col("text"), 300).alias("clip"), text.label(F.concat(F.col("source"), F.lit(" (a)/b"))).alias("label"), text.short_hash(F.col("text")).alias("hash"),
         text.fingerprint(F.col("source"), F.col("n_chars")).alias("fingerprint"), text.clock(F.col("n_chars") * 7).alias("clock"),
         text.name_part(name, 2).alias("layer"), text.name_part(name, -2).alias("proj"), text.code_head(F.col("text")).alias("head"),
     )
@@ -161,7 +161,7 @@ ORACLES = {
     "entry_point_names": r"WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'check(f' || doc_id || ')' WHEN 1 THEN 'assert lang_' || doc_id || '(1, 2) == 3' || chr(10) || 'assert candidate(2) == 4' ELSE coalesce(text, '') END AS calls FROM documents) SELECT doc_id, array_to_string(list_filter(list_distinct(list_concat(regexp_extract_all(calls, 'check\((\w+)\)', 1), regexp_extract_all(calls, 'assert (\w+)\(', 1))), lambda x: x <> 'candidate'), ',') AS names, CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id ELSE 'solve_it' END AS entry FROM t",
     "row_normalization": r"WITH t AS (SELECT doc_id, regexp_replace(coalesce(CASE WHEN doc_id % 5 <> 0 THEN ' ' || chr(10) || ' ' || text || chr(9) || ' ' END, ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g') AS text, regexp_replace(coalesce(CASE WHEN doc_id % 3 <> 0 THEN text END, ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g') AS code, regexp_replace(coalesce(lang, ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g') AS test_cases, concat_ws('.', lang, source) AS entry_point, regexp_replace(coalesce(' ' || source, ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g') AS difficulty FROM documents) SELECT doc_id, text, code, test_cases, CASE WHEN regexp_extract(entry_point, '(\w+)$', 1) = '' THEN entry_point ELSE regexp_extract(entry_point, '(\w+)$', 1) END AS entry_point, difficulty FROM t WHERE text <> ''",
     "shingle_ratio": "WITH r AS (SELECT doc_id, CASE WHEN length(text) < 48 THEN 1.0 ELSE len(list_distinct(list_transform(range(1, length(text) - 23), lambda i: substr(text, i, 24))))::DOUBLE / (length(text) - 24) END AS x FROM documents) SELECT doc_id, round(x, 6) AS ratio, x < 0.6::DOUBLE AS degenerate FROM r",
-    "text_forms": r"SELECT doc_id, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 40) AS clip, replace(source, ' ', '_') || '_a_b' AS label, substr(md5(text), 1, 8) AS hash, source || ':' || n_chars AS fingerprint, printf('%dh %02dm %02ds', n_chars * 7 // 3600, n_chars * 7 % 3600 // 60, n_chars * 7 % 60) AS clock, (doc_id % 28)::VARCHAR AS layer, lang AS proj, substr(array_to_string(string_split(text, chr(10))[1:2], ' '), 1, 160) AS head FROM documents",
+    "text_forms": r"SELECT doc_id, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 300) AS clip, replace(source, ' ', '_') || '_a_b' AS label, substr(md5(text), 1, 8) AS hash, source || ':' || n_chars AS fingerprint, printf('%dh %02dm %02ds', n_chars * 7 // 3600, n_chars * 7 % 3600 // 60, n_chars * 7 % 60) AS clock, (doc_id % 28)::VARCHAR AS layer, lang AS proj, substr(array_to_string(string_split(text, chr(10))[1:2], ' '), 1, 160) AS head FROM documents",
     "name_filter": "SELECT p_partkey, (p_partkey % 28)::INT AS layer, ['q_proj', 'k_proj', 'v_proj', 'o_proj', 'gate_proj', 'up_proj', 'down_proj', 'norm'][(p_partkey % 8) + 1] AS proj FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 8 <> 7",
     "json_lines": r"""SELECT event_id, (props->>'k')::BIGINT AS k, regexp_extract(props, '"k":\s*(\d+)', 1)::BIGINT AS by_pattern FROM events WHERE event_id % 9 <> 0""",
     "first_failures": "SELECT user_id, coalesce(arg_min(event_type, event_id) FILTER (event_type NOT IN ('click', 'view')), '?') AS category, coalesce(arg_min(props, event_id) FILTER (length(props) > 8), '') AS error FROM events GROUP BY user_id",
