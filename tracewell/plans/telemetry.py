@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
-from tracewell.operators import telemetry
+from tracewell.operators import telemetry, temporal
 from tracewell.plans.tables import samples, table
 
 
@@ -53,7 +53,44 @@ def chunk_eta(spark, d):
     return rows.select("chunk", "n", "passed", text.clock(F.col("n") * 13 + F.col("chunk")).alias("eta"), F.expr("passed * 100 div n").alias("percent"))
 
 
+def last_view(spark, d):
+    """Extra: each purchase with the last view of the same user before it."""
+    rows = _events(spark, d)
+    views = rows.where("event_type = 'view'").select("user_id", "ts", "event_id", F.col("event_id").alias("view"))
+    return temporal.as_of(rows.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), views, ["user_id"], "ts", "event_id", ["view"]).select("event_id", "last_view")
+
+
+def _micros(c):
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+def event_sessions(spark, d):
+    """Extra: sessions of users, parted by twelve hours without an event."""
+    rows = temporal.sessions(_events(spark, d), ["user_id"], "ts", "12 hours")
+    return rows.select("user_id", _micros("first").alias("first"), _micros("last").alias("last"), "n")
+
+
+def errors_in_sessions(spark, d):
+    """Extra: how many errors fall into each session, by a join of points with intervals."""
+    rows = _events(spark, d)
+    sessions = temporal.sessions(rows, ["user_id"], "ts", "12 hours").select("user_id", "first", "last")
+    errors = rows.where("event_type = 'error'").select("user_id", "ts")
+    found = temporal.in_intervals(errors, sessions, ["user_id"], _micros("ts"), _micros("first"), _micros("last") + 1, 6 * 3.6e9)
+    return found.groupBy("user_id", _micros("first").alias("first")).agg(F.count("*").alias("errors"))
+
+
+def status_cube(spark, d):
+    """Extra: orders by status and priority, by each, and in all."""
+    return temporal.levels(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], F.count("*").alias("n"), F.max("o_totalprice").alias("largest"))
+
+
+_SESSIONS_SQL = """g AS (SELECT user_id, ts, event_type, coalesce(ts - lag(ts) OVER w > INTERVAL 12 HOUR, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+k AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)"""
 ORACLES = {
+    "last_view": "SELECT p.event_id, max((v.ts, v.event_id))[2] AS last_view FROM events p LEFT JOIN events v ON v.user_id IS NOT DISTINCT FROM p.user_id AND v.event_type = 'view' AND (v.ts, v.event_id) <= (p.ts, p.event_id) WHERE p.event_type = 'purchase' GROUP BY 1",
+    "event_sessions": f"WITH {_SESSIONS_SQL} SELECT user_id, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, count(*) AS n FROM k GROUP BY user_id, k",
+    "errors_in_sessions": f"WITH {_SESSIONS_SQL} SELECT user_id, epoch_us(min(ts)) AS first, count(*) FILTER (event_type = 'error') AS errors FROM k WHERE user_id IS NOT NULL GROUP BY user_id, k HAVING count(*) FILTER (event_type = 'error') > 0",
+    "status_cube": "SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus, o_orderpriority)::BIGINT AS level, count(*) AS n, max(o_totalprice) AS largest FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "running_pass_rate": "WITH r AS (SELECT event_id, row_number() OVER w AS done, sum((event_type = 'click')::INT) OVER w AS ok FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) SELECT event_id, done, ok::BIGINT AS total_pass, round(ok / done, 6) AS pass_rate, round(done * 2.5::DOUBLE / done * (100 - done), 6) AS eta FROM r",
     "running_best": "WITH r AS (SELECT event_id, value, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events WHERE event_id % 3 = 0) SELECT event_id, value, least(coalesce(b, value), value) AS best, coalesce(value < b, true) AS improved FROM r",
     "status_snapshot": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_id, event_type, value FROM r WHERE k = 1",
