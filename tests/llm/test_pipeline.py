@@ -31,3 +31,20 @@ def test_stages_one_after_another(spark, sf_dir, tmp_path):
 
 def test_run_is_the_stages_in_turn(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_stages_on_odd_rows_and_an_empty_table(spark, sf_dir, tmp_path, documents, odd_rows):
+    """Nulls, empty and long texts, ties and repeated rows through the whole chain."""
+    docs, ids = documents(odd_rows, extra=False), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        ids[name] = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    assert len(ids["quality"]) == len(odd_rows)  # none is rejected
+    assert sorted(ids["line_dedup"], key=str) == sorted(ids["quality"], key=str)
+    assert sorted(ids["near_dedup"], key=str) == [1, 3, 4, 5, 6, 6, 7, None, None]
+    assert set(ids["mixing"]) <= set(ids["near_dedup"]) == {1, 3, 4, 5, 6, 7, None} and set(ids["packing"]) == set(ids["mixing"])
+    empty = documents(odd_rows, extra=False).where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf_dir)
+        assert empty.count() == 0
