@@ -165,9 +165,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW_VALUES else df
 
 
-def average_rank(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """1-based ranks, ties sharing their mean. A histogram of few values, each of which may stand in many rows, is broadcast."""
-    ranks = ordered_counts(rows, by, value).select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
+def average_rank(rows: DataFrame, by: list[str], value: str, name: str, counted: DataFrame | None = None) -> DataFrame:
+    """1-based ranks, ties sharing their mean; rows with a null value go. A histogram of few values, each of which may stand in many rows, is broadcast.
+
+    `counted` has the same rows with fewer columns, or before earlier joins, so that counting does not repeat those.
+    """
+    ranks = ordered_counts(rows if counted is None else counted, by, value).select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
     return rows.join(_small(ranks), [*by, value])
 
 

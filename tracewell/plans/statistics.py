@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import stats
+from tracewell.operators.ordering import materialized
 from tracewell.plans.tables import table
 
 #: As many resamples as the published figures rest on. Their draws are numpy's, which SQL cannot repeat: tests hold them against the exact distribution.
@@ -90,9 +91,10 @@ def correlation_suite(spark, d):
     rows = _measures(spark, d)
     ranked = rows
     for column in "qest":
-        ranked = stats.average_rank(ranked, ["l_returnflag"], column, f"r{column}")
+        ranked = stats.average_rank(ranked, ["l_returnflag"], column, f"r{column}", rows)
     c = lambda x, y, name: stats.correlation(F.col(x), F.col(y)).alias(name)
     found = ranked.groupBy("l_returnflag").agg(F.count("*").alias("n"), *[x for a, b in ("qe", "qs", "es", "et") for x in (c(a, b, f"pearson_{a}{b}"), c(f"r{a}", f"r{b}", f"spearman_{a}{b}"))])
+    found = materialized(found)  # a row for each flag, whose correlations are used many times
     rs = [n for n in found.columns if n[0] in "ps"]
     return found.select("l_returnflag", *[F.round(n, 6).alias(n) for n in rs], *[F.round(stats.correlation_p(F.col(n), F.col("n")), 7).alias(f"p_{n}") for n in rs])
 
