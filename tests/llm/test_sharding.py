@@ -15,8 +15,8 @@ def test_curve_visits_every_cell_by_single_steps(dims, bits):
     assert (np.abs(np.diff(cells[order], axis=0)).sum(axis=1) == 1).all()
 
 
-def held(rows, texts, shards):
-    """The law of equal bytes, slots without gaps, shards as runs of the curve."""
+def held(rows, texts, shards, together=False):
+    """The law of equal bytes, slots without gaps, shards as runs of the curve; with `together`, texts in one shard that take at most half of one."""
     sizes, slots, curves, counts = np.zeros(shards, int), {}, {}, 0
     for r in rows:
         text = (texts[r["doc_id"]] or "").encode() if r["doc_id"] in texts else None
@@ -31,21 +31,49 @@ def held(rows, texts, shards):
         assert sorted(s) == list(range(len(s)))
     runs = [(min(c), max(c)) for _, c in sorted(curves.items())]
     assert all(a[1] <= b[0] for a, b in zip(runs, runs[1:]))
+    largest = max((r["size"] for r in rows), default=0)
+    if together:
+        copies = {}
+        for r in rows:
+            copies.setdefault((r["size"], r["text_crc32"]), []).append(r["shard"])
+        whole = {k: c for k, c in copies.items() if k[0] * len(c) * 2 * shards <= sizes.sum()}
+        assert all(len(set(c)) == 1 for c in whole.values())
+        largest = max([largest, *(k[0] * len(c) for k, c in whole.items())])
     if rows:
-        assert np.abs(sizes - sizes.sum() / shards).max() <= max(r["size"] for r in rows)
+        assert np.abs(sizes - sizes.sum() / shards).max() <= largest
     return counts
 
 
 def test_whole_table(spark):
     sf_dir = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    assert held(op9_hilbert_sharding(spark, sf_dir).collect(), texts, 24) == len(texts)
+    assert held(op9_hilbert_sharding(spark, sf_dir).collect(), texts, 24, True) == len(texts)
+    assert held(shard(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect(), texts, 24) == len(texts)
 
 
 def test_odd_rows(spark, documents, odd_rows):
     rows = shard(documents(odd_rows), 4).collect()
     assert held([r for r in rows], {i: t for i, t, _ in odd_rows if i is not None}, 4) == len(odd_rows)
     assert shard(documents([])).count() == 0
+    rows = shard(documents(odd_rows), 4, together=True).collect()
+    assert held(rows, {i: t for i, t, _ in odd_rows if i is not None}, 4, True) == len(odd_rows)
+    assert shard(documents([]), together=True).count() == 0
+
+
+@pytest.mark.parametrize("partitions", ["1", "7", "40"])
+def test_copies_stay_together_over_many_partitions(spark, documents, partitions):
+    """Copies of every frequency, of all languages and sources, one text with a third of the rows."""
+    texts = [f"text {i % 400 if i % 3 else 'hot'} " * (5 if i % 3 else 1) for i in range(1800)] + ["often"] * 100 + [None, ""] * 20
+    docs = documents([]).sparkSession.createDataFrame([(i, t, f"l{i % 5}", f"s{i % 7}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = shard(docs, 6, together=True).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert held(rows, dict(enumerate(texts)), 6, True) == len(texts)
 
 
 def test_written_shards_hold_every_row(spark, documents, odd_rows, tmp_path):
