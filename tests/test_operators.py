@@ -262,6 +262,24 @@ def test_resamples_follow_the_exact_distribution(spark):
     assert [r["total"] for r in none] == [0] * 10
 
 
+@pytest.mark.parametrize("n, p", [(1, 0.3), (40, 0.02), (300, 0.5), (2_000, 0.999)])
+def test_binomial_quantiles_by_enumeration(n, p):
+    upto = np.cumsum([math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]) if n < 1000 else None
+    u = np.random.default_rng(n).random(500)
+    got = stats.binomial_quantiles(u, n, p)
+    if upto is not None:
+        assert (got == np.searchsorted(upto, u)).all()
+    assert (np.diff(stats.binomial_quantiles(np.sort(u), n, p)) >= 0).all() and got.mean() == pytest.approx(n * p, abs=5 * math.sqrt(n * p * (1 - p) / 500))
+    assert list(stats.binomial_quantiles(u[:2], n, 0.0)) == [0, 0] and list(stats.binomial_quantiles(u[:2], n, 1.0)) == [n, n]
+
+
+def test_resamples_of_many_pairs():
+    """A billion pairs: normal to the precision of 20,000 resamples, in the work of a few million terms."""
+    n, b, c = 10**9, 3 * 10**5, 4 * 10**5
+    sums = stats.resampled_sums(stats.uniforms(list(range(20_000)), 7), n, b, c)
+    assert sums.mean() == pytest.approx(c - b, abs=30) and sums.std() == pytest.approx(math.sqrt(b + c), rel=0.02)
+
+
 def test_clustered_resamples(spark):
     draw = np.random.default_rng(1)
     x = draw.normal(size=400)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -58,20 +59,47 @@ def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
 
 
-def bootstrap_sums(counts: DataFrame, iters: int, seed: int = SEED) -> DataFrame:
-    """(n, b, c), one row -> (i, total): sums of the differences in each of `iters` resamples of the n pairs.
+def uniforms(resamples: list[int], seed: int) -> np.ndarray:
+    """Two numbers in (0, 1) for each resample, from the md5 of `seed:resample:0` and `seed:resample:1`: every engine can repeat them."""
+    digits = [[hashlib.md5(f"{seed}:{i}:{j}".encode()).hexdigest()[:13] for j in (0, 1)] for i in resamples]
+    return np.array([[(int(d, 16) + 0.5) / 2.0**52 for d in row] for row in digits]).reshape(-1, 2)
+
+
+def binomial_quantiles(u: np.ndarray, n: int, p: float) -> np.ndarray:
+    """For each u the least k with P(X <= k) >= u, X the number of n trials that succeed with probability p.
+
+    Probabilities are taken relative to each other, by the ratios of neighbours, so that no n overflows or loses digits. Those farther
+    than 12 deviations and 40 trials from the mean are below what u can tell from 0 or 1; so the work is as the root of n.
+    """
+    if n == 0 or p <= 0 or p >= 1:
+        return np.full(len(u), n if p >= 1 else 0, dtype=np.int64)
+    reach = 12 * math.sqrt(n * p * (1 - p)) + 40
+    k = np.arange(max(0, int(n * p - reach)), min(n, int(n * p + reach)), dtype=np.float64)
+    logs = np.append(0.0, np.cumsum(np.log((n - k) / (k + 1)) + math.log(p / (1 - p))))
+    upto = np.cumsum(np.exp(logs - logs.max()))
+    return int(k[0]) + np.searchsorted(upto / upto[-1], u)
+
 
-    A difference is -1 (b of them), 1 (c) or 0, so the numbers of each kind in a resample of n are one
-    multinomial draw, whatever n is: no pair is drawn, and a resample costs the same for ten pairs as for ten billion.
+def resampled_sums(u: np.ndarray, n: int, b: int, c: int) -> np.ndarray:
+    """The sum of differences in one resample of n pairs for each row of u. b differences are -1, c are 1, the others 0.
+
+    How many of the drawn pairs differ is a binomial number, and how many of those are 1 another: no pair is drawn.
     """
+    differ = binomial_quantiles(u[:, 0], n, (b + c) / n if n else 0.0)
+    better = np.zeros(len(u), dtype=np.int64)
+    for d in np.unique(differ):
+        better[differ == d] = binomial_quantiles(u[differ == d, 1], int(d), c / (b + c) if b + c else 0.0)
+    return 2 * better - differ
+
+
+def bootstrap_sums(counts: DataFrame, iters: int, seed: int = SEED) -> DataFrame:
+    """(n, b, c), one row -> (i, total): sums of the differences in each of `iters` resamples of the n pairs."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            totals = []
-            for i, n, b, c in zip(df["i"], df["n"], df["b"], df["c"]):
-                worse, better, _ = np.random.default_rng([seed, i]).multinomial(n, [b / n, c / n, (n - b - c) / n]) if n else (0, 0, 0)
-                totals.append(int(better) - int(worse))
-            yield pd.DataFrame({"i": df["i"], "total": totals})
+            if len(df):
+                n, b, c = (int(df[name].iloc[0]) for name in ("n", "b", "c"))
+                yield pd.DataFrame({"i": df["i"], "total": resampled_sums(uniforms(list(df["i"]), seed), n, b, c)})
 
     spread = counts.sparkSession.range(iters).withColumnRenamed("id", "i")
     return spread.join(F.broadcast(counts.select("n", "b", "c"))).mapInPandas(draw, "i long, total long")  # counts is one row
@@ -111,20 +139,15 @@ def grouped_intervals(counts: DataFrame, by: list[str], iters: int, places: dict
     """(by..., n, b, c) -> with the values at 0-based places of each row's sorted resampled sums. A row's resamples are made, sorted and dropped where it is."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        u = uniforms(list(range(iters)), seed)
         for df in batches:
-            for name, at in places.items():
-                df[name] = [int(np.partition(_resampled(n, b, c, iters, seed), at)[at]) for n, b, c in zip(df["n"], df["b"], df["c"])]
-            yield df
+            ends = [np.partition(resampled_sums(u, int(n), int(b), int(c)), list(places.values())) for n, b, c in zip(df["n"], df["b"], df["c"])]
+            yield df.assign(**{name: [int(e[at]) for e in ends] for name, at in places.items()})
 
     kept = counts.select(*by)
     return kept.mapInPandas(draw, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"{name} long" for name in places]))
 
 
-def _resampled(n: int, b: int, c: int, iters: int, seed: int) -> np.ndarray:
-    drawn = np.random.default_rng([seed, n, b, c]).multinomial(n, [b / n, c / n, (n - b - c) / n] if n else [0, 0, 1], iters)
-    return drawn[:, 1] - drawn[:, 0]
-
-
 def interval_places(iters: int, confidence: float = 0.95) -> tuple[int, int]:
     """Places of the plain interval: int(alpha/2 N) and int((1 - alpha/2) N)."""
     a = (1 - confidence) / 2
