@@ -197,3 +197,12 @@ def clean_trace(tokens: Column, bridges: dict[str, tuple[Column, Column]]) -> Co
 
     found = bound(F.array_join(tokens, ""), lambda text: F.struct(text.alias("text"), find(FENCE_OPEN, text, F.lit(1)).alias("opens"), find(THINK_END, text, F.lit(1)).alias("thought")))
     return F.coalesce(bound(bound(bound(found, places), counted), cut), same)
+
+
+# Endings of the parameters that quantization adds to a layer.
+QUANT_SUFFIXES = ["weight_scale", "weight_zero_point", "weight_g_idx", "weight_shape", "weight_packed", "input_scale", "input_zero_point"]
+
+
+def ends_with_any(name: Column, suffixes: list[str]) -> Column:
+    """Whether the name has one of the endings; false for null."""
+    return F.coalesce(F.exists(F.array(*map(F.lit, suffixes)), lambda end: F.endswith(name, end)), F.lit(False))

@@ -41,6 +41,13 @@ def quantize(w: Column, bits: int, size: int = 0) -> Column:
     return F.coalesce(quantized(w, steps(w, bits, size), bits, size), w)
 
 
+def quantize_strictly(w: Column, bits: int, size: int = 0) -> Column:
+    """The same, but a size that does not divide an array is an error."""
+    if not size or bits >= 16:
+        return quantize(w, bits, size)
+    return F.when(F.size(w) % size == 0, quantize(w, bits, size)).when(w.isNotNull(), F.raise_error(F.concat(F.lit(f"groups of {size} do not divide a row of "), F.size(w).cast("string"))))
+
+
 def quantize_asymmetric(w: Column) -> Column:
     """8 bits per row from minimum and maximum: clamp(rint((w - min) / scale), 0, 255) scale + min."""
     low = F.array_min(w)

@@ -30,10 +30,19 @@ def vector_moments(spark, d):
 
 
 def quant_roundtrip(spark, d):
-    rows = _vec(spark, d).withColumn("s", vectors.steps(F.col("w"), 4, 16)).withColumn("q", vectors.quantized(F.col("w"), F.col("s"), 4, 16))
+    rows = _vec(spark, d).withColumn("q", vectors.quantize_strictly(F.col("w"), 4, 16))
     return rows.select("vec_id", F.posexplode("q").alias("i", "v")).select("vec_id", F.col("i").cast("int").alias("i"), r6(F.col("v"), "v"))
 
 
+def gathered_logits(spark, d):
+    """A student's logits at the places of its teacher's eight largest, the next row's vector standing for the teacher's."""
+    rows = _vec(spark, d).select("vec_id", "w")
+    order = F.array_sort(F.transform(F.col("w"), lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))
+    teacher = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.transform(F.slice(order, 1, 8), lambda x: x["i"]).alias("ids"))
+    found = rows.join(teacher, "vec_id").select("vec_id", F.posexplode(F.arrays_zip("ids", tokens.gather(F.col("w"), F.col("ids")).alias("z"))).alias("rank", "x"))
+    return found.select("vec_id", F.col("rank").cast("int").alias("rank"), F.col("x.ids").cast("int").alias("id"), F.col("x.z").alias("z"))
+
+
 def nmse_by_bits(spark, d):
     """Vectors x bit widths; the widths are a literal, so the product stays in one pass."""
     rows = _vec(spark, d).select("vec_id", F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), vectors.nmse(F.col("w"), vectors.quantize(F.col("w"), b, 32)).alias("nmse")) for b in (2, 3, 4, 6, 8)])).alias("x"))
@@ -204,6 +213,7 @@ _LADDER = " UNION ALL ".join(f"SELECT {b} AS bits, w, t, {_q('w', b, 16)} AS wq,
 _DQ, _D = _minus("tq", "wq"), _minus("t", "w")
 ORACLES = {
     "vector_moments": "WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT vec_id, avg(x) AS m, stddev_pop(x) AS s, max(abs(x)) AS a, kurtosis_pop(x) AS k FROM x GROUP BY vec_id) SELECT vec_id, round(any_value(s), 6) AS std, round(any_value(a), 6) AS max_abs, round(any_value(k), 6) AS excess_kurtosis, round(avg((abs(x - m) > 2 * s)::INT), 6) AS outlier_ratio FROM x JOIN m USING (vec_id) GROUP BY vec_id",
+    "gathered_logits": f"WITH {_W}, t AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY w[i] DESC, i) AS rank FROM e, range(1, 65) r(i)) SELECT s.vec_id, (rank - 1)::INT AS rank, (i - 1)::INT AS id, w[i] AS z FROM t JOIN e s ON s.vec_id = t.vec_id - 1 WHERE rank <= 8",
     "quant_roundtrip": f"WITH {_W}, q AS (SELECT vec_id, {_q('w', 4, 16)} AS q FROM e) SELECT vec_id, (generate_subscripts(q, 1) - 1)::INT AS i, round(unnest(q), 6) + 0.0 AS v FROM q",
     "nmse_by_bits": f"WITH {_W}, u AS (" + " UNION ALL ".join(f"SELECT {b} AS bits, w, {_q('w', b, 32)} AS q FROM e" for b in (2, 3, 4, 6, 8)) + f") SELECT bits, round(avg({_S(_minus('w', 'q'))} / {_S('w')}), 6) AS nmse, count(*) AS n FROM u GROUP BY bits",
     "survival_ladder": f"WITH {_P}, u AS ({_LADDER}), v AS (SELECT bits, w, wq, {_D} AS d, {_DQ} AS dq FROM u) SELECT bits, round(avg(sqrt({_S(_minus('dq', 'd'))}) / sqrt({_S('d')})), 6) AS noise_rel, round(avg(list_sum(list_transform(list_zip(d, dq), lambda z: z[1] * z[2])) / (sqrt({_S('d')}) * sqrt({_S('dq')}))), 6) AS kd_cos, round(avg(sqrt({_S('dq')}) / sqrt({_S('wq')})), 6) AS kd_rel_after, round(avg(sqrt({_S('d')}) / sqrt({_S('w')})), 6) AS kd_rel_before, round(avg(len(list_filter(list_zip(d, dq), lambda z: abs(z[2]) < 0.1::DOUBLE * abs(z[1])))::DOUBLE / 64), 6) AS frac_erased, round(avg(len(list_filter(list_zip(d, dq), lambda z: abs(z[2]) > 2 * abs(z[1])))::DOUBLE / 64), 6) AS frac_amplified FROM v GROUP BY bits",

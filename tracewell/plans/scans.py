@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators import curate, evaluate, stats
+from tracewell.operators import curate, evaluate, sketches, stats
 from tracewell.operators.ordering import materialized
 from tracewell.plans.tables import PROBLEMS_SQL, SAMPLES_SQL, problems, samples, table
 from tracewell.sources import file_ends, records, safetensors, scratch, sinks, stores
@@ -75,6 +75,36 @@ def eval_records(spark, d):
     return records.eval_records(spark, _files(rows, F.concat(F.lit("m"), "part", F.lit(".json")), body, "eval"))
 
 
+def settings_scan(spark, d):
+    """A settings file for each document, with values of every kind, comments and a value at the top level."""
+    body = F.concat(
+        F.lit("# made for "), "n", F.lit("\nname: run "), "n", F.lit("\n\ndata:\n  lang: '"), "lang", F.lit("'\n  max_samples: "), F.length("text").cast("string"), F.lit("   # characters\n  seed:\nteacher:\n  top_p: 0."), (F.col("doc_id") % 9 + 1).cast("string"),
+        F.lit("\n  chunked: "), F.when(F.col("doc_id") % 2 == 0, "true").otherwise("False"), F.lit("\n  path: cache/a#"), "n", F.lit("\n"),
+    )
+    return records.settings(spark, _files(_documents(spark, d), F.concat("n", F.lit(".yaml")), body, "settings"))
+
+
+def model_summaries(spark, d):
+    """A summary of each model (category) with totals by difficulty, written as JSON and read back."""
+    rows = samples(spark, d).join(problems(spark, d), "idx").groupBy("category", "difficulty").agg(F.count("*").alias("n"), F.count_if("solved").alias("solved"))
+    totals = rows.groupBy(F.col("category").alias("model")).agg(F.sum("n").alias("total"), F.sum("solved").alias("solved"), F.collect_list(F.struct("difficulty", "n", "solved")).alias("by_difficulty"))
+    path = scratch.folder(spark, "summaries")
+    sinks.summary(totals, path)
+    back = spark.read.schema("model string, total long, solved long, by_difficulty array<struct<difficulty: string, n: long, solved: long>>").json(path)
+    return back.select("model", "total", F.col("solved").alias("total_solved"), F.explode("by_difficulty").alias("x")).select("model", "total", "total_solved", "x.*")
+
+
+def stored_sketches(spark, d):
+    """Extra: sketches of each day and kind of event are stored, and merged to kinds; their counts and medians are within the stated errors of the exact ones."""
+    rows = table(spark, d, "events").select("event_type", "event_id", "value", F.to_date("ts").alias("day"))
+    path = scratch.folder(spark, "sketches")
+    sketches.sketched(rows, ["day", "event_type"], "event_id", "value").write.partitionBy("day").parquet(path)
+    found = sketches.estimates(sketches.merged(spark.read.parquet(path), ["event_type"]), ["event_type"], {"p50": 0.5}).withColumnRenamed("n", "n_merged")
+    exact = rows.join(found, "event_type").groupBy("event_type", "n_merged", "n_distinct", "p50").agg(F.count_distinct("event_id").alias("ids"), (F.count_if(F.col("value") < F.col("p50")) / F.count("value")).alias("below"), (F.count_if(F.col("value") <= F.col("p50")) / F.count("value")).alias("upto"))
+    near = F.abs(F.col("n_distinct") - F.col("ids")) <= 0.07 * F.col("ids")
+    return exact.select("event_type", F.col("n_merged").alias("n"), "ids", near.alias("count_near"), ((F.col("below") <= 0.55) & (F.col("upto") >= 0.45)).alias("median_near"))
+
+
 def plus_results(spark, d):
     """Whether the first sample of each task passed; every fifth task has none."""
     status = lambda c: F.struct(c.alias("plus_status"))
@@ -252,6 +282,12 @@ ORACLES = {
     "cache_probe": "SELECT doc_id AS idx, doc_id % 6 <> 0 AND doc_id % 7 > 0 AND (doc_id % 4 = 3 AND doc_id % 5 <> 0 OR doc_id % 3 = 2) AS valid FROM documents",
     "short_traces": f"SELECT idx, prompt, sample::INT AS sample, text || sample AS text FROM (SELECT doc_id AS idx, lang AS prompt, text, unnest(range(doc_id % 5)) AS sample FROM {_DOC})",
     "eval_records": "SELECT 'm' || doc_id // 100 AS record, doc_id AS idx, doc_id % 2 = 0 AS solved FROM documents",
+    "settings_scan": f"""SELECT doc_id::VARCHAR AS file, v.section, v.key, v.value, v.kind FROM (SELECT doc_id, unnest([
+{{'section': '', 'key': 'name', 'value': 'run ' || doc_id, 'kind': 'str'}}, {{'section': 'data', 'key': 'lang', 'value': lang, 'kind': 'str'}}, {{'section': 'data', 'key': 'max_samples', 'value': length(text)::VARCHAR, 'kind': 'int'}}, {{'section': 'data', 'key': 'seed', 'value': NULL, 'kind': 'null'}},
+{{'section': 'teacher', 'key': 'top_p', 'value': '0.' || (doc_id % 9 + 1), 'kind': 'float'}}, {{'section': 'teacher', 'key': 'chunked', 'value': (doc_id % 2 = 0)::VARCHAR, 'kind': 'bool'}}, {{'section': 'teacher', 'key': 'path', 'value': 'cache/a#' || doc_id, 'kind': 'str'}}]) AS v FROM {_DOC})""",
+    "model_summaries": f"""WITH {SAMPLES_SQL}, {PROBLEMS_SQL}, r AS (SELECT category AS model, difficulty, count(*) AS n, count(*) FILTER (solved) AS solved FROM samples JOIN problems USING (idx) GROUP BY 1, 2)
+SELECT model, (sum(n) OVER w)::BIGINT AS total, (sum(solved) OVER w)::BIGINT AS total_solved, difficulty, n, solved FROM r WINDOW w AS (PARTITION BY model)""",
+    "stored_sketches": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids, true AS count_near, true AS median_near FROM events WHERE event_type IS NOT NULL GROUP BY event_type",
     "plus_results": "SELECT 't/' || doc_id AS task, CASE WHEN doc_id % 5 = 0 THEN 'no samples' WHEN doc_id % 3 <> 0 THEN 'true' ELSE 'false' END AS solved FROM documents",
     "id_lists": "SELECT form, doc_id AS idx FROM documents, (VALUES ('list'), ('ids'), ('objects'), ('broken')) f(form)",
     "report_scrape": "SELECT doc_id AS idx, (doc_id % 6)::INT AS passed FROM documents",

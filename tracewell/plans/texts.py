@@ -99,6 +99,14 @@ def name_filter(spark, d):
     return rows.select("p_partkey", text.name_part(F.col("name"), 2).cast("int").alias("layer"), text.name_part(F.col("name"), -2).alias("proj")).orderBy("layer", "proj", "p_partkey")
 
 
+def quant_suffixes(spark, d):
+    """Parameters that quantization added, and those that stay, by layer."""
+    ends = ["weight", "bias", *text.QUANT_SUFFIXES]
+    name = F.concat(F.lit("model.layers."), (F.col("p_partkey") % 28).cast("string"), F.lit(".mlp."), F.element_at(F.array(*map(F.lit, ends)), (F.col("p_partkey") % 9 + 1).cast("int")), F.when(F.col("p_size") > 45, "s").otherwise(""))
+    rows = table(spark, d, "part").select(name.alias("name"), text.ends_with_any(name, text.QUANT_SUFFIXES).alias("added"))
+    return rows.groupBy(text.name_part(F.col("name"), 2).cast("int").alias("layer")).agg(F.count_if("added").alias("removed"), F.count_if(~F.col("added")).alias("kept"), F.max(F.when(~F.col("added"), F.col("name"))).alias("last_kept"))
+
+
 def json_lines(spark, d):
     """Parse event properties permissively: bad lines become null and are dropped; numbers also by pattern from the raw text."""
     raw = F.when(F.col("event_id") % 9 == 0, F.lit("{bad")).otherwise(F.col("props"))
@@ -163,6 +171,9 @@ ORACLES = {
     "shingle_ratio": "WITH r AS (SELECT doc_id, CASE WHEN length(text) < 48 THEN 1.0 ELSE len(list_distinct(list_transform(range(1, length(text) - 23), lambda i: substr(text, i, 24))))::DOUBLE / (length(text) - 24) END AS x FROM documents) SELECT doc_id, round(x, 6) AS ratio, x < 0.6::DOUBLE AS degenerate FROM r",
     "text_forms": r"SELECT doc_id, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 300) AS clip, replace(source, ' ', '_') || '_a_b' AS label, substr(md5(text), 1, 8) AS hash, source || ':' || n_chars AS fingerprint, printf('%dh %02dm %02ds', n_chars * 7 // 3600, n_chars * 7 % 3600 // 60, n_chars * 7 % 60) AS clock, (doc_id % 28)::VARCHAR AS layer, lang AS proj, substr(array_to_string(string_split(text, chr(10))[1:2], ' '), 1, 160) AS head FROM documents",
     "name_filter": "SELECT p_partkey, (p_partkey % 28)::INT AS layer, ['q_proj', 'k_proj', 'v_proj', 'o_proj', 'gate_proj', 'up_proj', 'down_proj', 'norm'][(p_partkey % 8) + 1] AS proj FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 8 <> 7",
+    "quant_suffixes": """WITH e AS (SELECT p_partkey % 28 AS layer, ['weight', 'bias', 'weight_scale', 'weight_zero_point', 'weight_g_idx', 'weight_shape', 'weight_packed', 'input_scale', 'input_zero_point'][p_partkey % 9 + 1] || CASE WHEN p_size > 45 THEN 's' ELSE '' END AS tail FROM part),
+a AS (SELECT layer, 'model.layers.' || layer || '.mlp.' || tail AS name, tail IN ('weight_scale', 'weight_zero_point', 'weight_g_idx', 'weight_shape', 'weight_packed', 'input_scale', 'input_zero_point') AS added FROM e)
+SELECT layer::INT AS layer, count(*) FILTER (added) AS removed, count(*) FILTER (NOT added) AS kept, max(name) FILTER (NOT added) AS last_kept FROM a GROUP BY layer""",
     "json_lines": r"""SELECT event_id, (props->>'k')::BIGINT AS k, regexp_extract(props, '"k":\s*(\d+)', 1)::BIGINT AS by_pattern FROM events WHERE event_id % 9 <> 0""",
     "first_failures": "SELECT user_id, coalesce(arg_min(event_type, event_id) FILTER (event_type NOT IN ('click', 'view')), '?') AS category, coalesce(arg_min(props, event_id) FILTER (length(props) > 8), '') AS error FROM events GROUP BY user_id",
     "missing_index_fill": "WITH w AS (SELECT o_orderkey AS idx, test FROM orders, range(1, 6) r(test)), g AS (SELECT l_orderkey AS idx, l_linenumber AS test, max(l_linestatus) AS s FROM lineitem GROUP BY 1, 2) SELECT idx, count(*) FILTER (s = 'O') AS passed, count(*) FILTER (s IS NULL) AS timeouts FROM w LEFT JOIN g USING (idx, test) GROUP BY idx",

@@ -69,6 +69,26 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode(found).alias("x")).select(one(F.col("x")).alias("idx")).where("idx is not null").distinct()
 
 
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, section, key, value, kind) of settings files: `key: value` lines, indented below a `section:` line or at the top level (section '').
+
+    Comments, blank lines and quotes around a value go. kind is null, bool, int, float or str, as YAML reads plain values; value is its text, null for null.
+    Sections in sections and lists are not read. A file is one row, so files are as small as settings are.
+    """
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("file"), F.split("value", r"\r?\n").alias("lines"))
+    head = r"^([^\s:]+):\s*(?:#.*)?$"
+    place = F.struct(F.lit("").alias("section"), F.array().cast("array<struct<section:string,line:string>>").alias("out"))
+    step = lambda s, line: F.when(F.rlike(line, F.lit(head)), F.struct(F.regexp_extract(line, head, 1).alias("section"), s["out"].alias("out"))).otherwise(
+        F.struct(s["section"].alias("section"), F.array_append(s["out"], F.struct(F.when(F.rlike(line, F.lit(r"^\s")), s["section"]).otherwise("").alias("section"), line.alias("line"))).alias("out"))
+    )
+    kept = F.filter("lines", lambda line: F.rlike(line, F.lit(r"^\s*[^\s#]")))
+    rows = rows.select("file", F.explode(F.aggregate(kept, place, step, lambda s: s["out"])).alias("x")).select("file", "x.section", F.regexp_extract("x.line", r"^\s*([^\s:]+):", 1).alias("key"), F.trim(F.regexp_extract("x.line", r"""^\s*[^\s:]+:\s*("[^"]*"|'[^']*'|.*?)(?:\s+#.*)?\s*$""", 1)).alias("raw"))
+    raw, quoted = F.col("raw"), F.col("raw").rlike(r"""^(".*"|'.*')$""")
+    kind = F.when(quoted, "str").when(raw.rlike("^(|~|null|Null|NULL)$"), "null").when(raw.rlike("^(true|True|TRUE|false|False|FALSE)$"), "bool").when(raw.rlike(r"^[-+]?[0-9]+$"), "int").when(raw.rlike(r"^[-+]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][-+][0-9]+)?$"), "float").otherwise("str")
+    value = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).when(kind == "bool", F.lower(raw)).when(kind != "null", raw)
+    return rows.where("key <> ''").select("file", "section", "key", value.alias("value"), kind.alias("kind"))
+
+
 def run_log(spark: SparkSession, path: str) -> DataFrame:
     """Events of JSONL logs of any generation; lines that do not parse go."""
     return spark.read.schema(schemas.RUN_EVENT + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).where("_corrupt is null and kind is not null").drop("_corrupt")
