@@ -109,5 +109,8 @@ def test_repeated_labelled_documents_are_one(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (3, 1)], "doc_id long, quality int")
     mine = quality.training_docs(docs, labels)
     ids = [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5]
-    assert len(mine) == len(ids) and max(len(n) for _, n, _ in mine) <= quality.SEGMENT * quality.SEGMENTS
+    whole = {1: 1, 2: 5000, 3: 1}  # lines: none of a sampled document is left out
+    assert len(mine) == len(ids) and sorted(len(n) for _, n, _ in mine) == sorted(whole[i] for i in ids)
     assert len(quality.training_docs(docs, labels, 1)) == 1
+    few = [len(n) for _, n, _ in quality.training_docs(docs, labels, lines=1)]
+    assert few == [1] and quality.training_docs(docs, labels, lines=0) == []

@@ -16,17 +16,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import released
+from tracewell.llm.common import released, settle
 
-#: Labelled documents that the fit uses at most, those of the smallest hashes.
-SAMPLE_DOCS = 6000
+#: Labelled documents that the fit uses at most, those of the smallest hashes, and the lines that they may have together: 264 bytes each on the driver.
+SAMPLE_DOCS, SAMPLE_LINES = 6000, 400_000
 #: Lines of a training sequence; longer documents give several.
 SEGMENT = 24
-#: Sequences of a long training document, evenly spaced: what it can take of the driver's memory.
-SEGMENTS = 10
 #: While all lines of a document have its label, states never change, and only EDGE_LIMIT keeps the edges finite.
 STEPS, RELABELED_STEPS, RATE, RIDGE, EDGE_LIMIT = 200, 60, 0.05, 1e-3, 1.5
 #: Marginal probability from which a line's state is believed against its document's label.
@@ -190,42 +188,38 @@ def quality_of(model: Model, features: np.ndarray, lengths: np.ndarray) -> float
     return float(marginals(model.nodes(features), model.edges) @ lengths / lengths.sum())
 
 
-def segments(features: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All lines of a document, or SEGMENTS evenly spaced runs of SEGMENT lines of a longer one."""
-    if len(lengths) <= SEGMENT * SEGMENTS:
-        return features, lengths
-    at = (np.linspace(0, len(lengths) - SEGMENT, SEGMENTS).astype(int)[:, None] + np.arange(SEGMENT)).ravel()
-    return features[at], lengths[at]
+def training_docs(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Labelled documents outside the held-out fifth, whole, as features of all their lines: at most `sample`, and in the order of their hashes as many as have `lines` lines together.
 
-
-def training_docs(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """At most `sample` labelled documents outside the held-out fifth, as features of at most SEGMENT * SEGMENTS lines.
-
-    A doc_id that repeats is one document, with the text of the smallest hash and the lower of its labels.
+    A document that is longer than that by itself is passed over. A doc_id that repeats is one document, with the text of the smallest hash and the lower of its labels.
     """
     mine = labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("quality").isin(0, 1))
     mine = mine.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = settle(rows)  # `sample` rows at most
+    sizes = rows.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n")).where(F.col("n") <= lines)
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(F.broadcast(sizes.withColumn("upto", upto).where(F.col("upto") <= lines).select("doc_id")), "doc_id")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            both = [segments(*line_features(t)) for t in df["text"]]
+            both = [line_features(t) for t in df["text"]]
             yield pd.DataFrame({"doc_id": df["doc_id"], "quality": df["quality"], "x": [f.astype("<f4").tobytes() for f, _ in both], "n": [n.astype("<f8").tobytes() for _, n in both]})
 
     # As bytes, because rows of numbers would take the driver ten times the memory.
-    rows = docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = rows.mapInPandas(featured, "doc_id long, quality int, x binary, n binary")
     found = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["quality"], bytes(r["n"]), bytes(r["x"])))
     return [(np.frombuffer(r["x"], "<f4").reshape(len(r["n"]) // 8, -1), np.frombuffer(r["n"], "<f8"), r["quality"]) for r in found]
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> DataFrame:
     """Quality of every row of `docs` (doc_id, text; others are ignored).
 
     Returns doc_id, held_out, score, predicted (1 if score >= 0.3), bad_lines. Null and empty texts
     are one empty line and get its score; a null doc_id is not held out; repeated rows score alike. Without
-    labels every document scores 0.5.
+    labels every document scores 0.5. `sample` and `lines` bound what the fit reads (training_docs).
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_docs(docs, labels, sample)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(training_docs(docs, labels, sample, lines)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -244,9 +238,9 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> D
     return rows.select("doc_id", held.alias("held_out"), "score", "predicted", "bad_lines")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> DataFrame:
     """The rows of docs, all columns, that classify() predicts to be good."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_docs(docs, labels, sample)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(training_docs(docs, labels, sample, lines)))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
