@@ -221,3 +221,28 @@ def test_counts_survive_a_stop_and_a_replay(spark, tmp_path):
     (src / "2.jsonl").write_text(event("New", 1, 1) + "\n")
     run()
     assert counts() == {"Easy": (11, 2), "Hard": (0, 5), "New": (1, 1)}
+
+
+def test_folders_of_many_files_are_listed_by_tasks(spark, tmp_path):
+    """The plan knows the folders alone, and a scan of many small files takes few tasks."""
+    for i in range(400):
+        (tmp_path / f"f/{i // 10}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"f/{i // 10}/{i}.json").write_text(json.dumps({"text": f"t{i}", "prompt": "p", "texts": ["x"], "test_passed": 1, "test_total": 1}))
+    folder = str(tmp_path / "f")
+    parts = file_ends._Reader({"path": folder, "folderpartitions": "7"}).partitions()
+    assert len(parts) == 7 and not any(p.files for p in parts) and sum(len(p.folders) for p in parts) == 40
+    scans = [records.traces(spark, folder), records.short_traces(spark, folder), records.tail_counts(spark, folder), records.settings(spark, folder)]
+    assert all(s.rdd.getNumPartitions() <= 40 for s in scans)
+    assert sorted(r["idx"] for r in scans[0].collect()) == list(range(400)) == sorted(r["idx"] for r in scans[1].collect()) == sorted(r["idx"] for r in scans[2].collect())
+    assert records.lookup(spark, folder, 123).first()["text"] == "t123" and records.lookup(spark, folder, 999).count() == 0
+
+
+def test_record_files_are_parsed_once_and_odd_ones_as_before(spark, tmp_path):
+    for name, body in {"1": b'\xef\xbb\xbf{"text": "bom"}', "2": b"", "3": b" \n", "4": b'{"text": "cut', "5": b"[]", "6": b'{\n"text": "a\xffb"\n}', "x7": b'{"text": "no number"}', "_8": b'{"text": "hidden"}'}.items():
+        (tmp_path / f"{name}.json").write_bytes(body)
+    rows = records.keyed_json(spark, str(tmp_path), "text string")
+    good = {r["idx"]: r["text"] for r in rows.where("_corrupt is null").collect()}
+    assert good[1] == "bom" and not {2, 3, 4, 6, 7, 8} & set(good)
+    assert {4, 6} <= {r["idx"] for r in rows.where("_corrupt is not null").collect()} and {2, 3, 7, 8}.isdisjoint(r["idx"] for r in rows.collect())
+    plan = records.traces(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1

@@ -36,7 +36,7 @@ def _traces(spark, d) -> str:
     }
     body = F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))
     body = F.when(F.col("doc_id") % 5 == 0, F.substring(body, F.lit(1), F.length(body) - 3)).otherwise(body)
-    return _files(_documents(spark, d), F.concat("n", F.lit(".json")), body, "traces")
+    return _files(_documents(spark, d), F.concat("part", F.lit("/"), "n", F.lit(".json")), body, "traces")
 
 
 def keyed_traces(spark, d):
@@ -65,7 +65,7 @@ def cache_probe(spark, d):
 def short_traces(spark, d):
     texts = F.transform(F.slice(F.array(*[F.lit(i) for i in range(4)]), F.lit(1), (F.col("doc_id") % 5).cast("int")), lambda i: F.concat(F.col("text"), i.cast("string")))
     body = F.to_json(F.struct(F.col("lang").alias("prompt"), F.lit(4).alias("attempts"), texts.alias("texts")))
-    return records.short_traces(spark, _files(_documents(spark, d), F.concat("n", F.lit(".json")), body, "short"))
+    return records.short_traces(spark, _files(_documents(spark, d), F.concat("part", F.lit("/"), "n", F.lit(".json")), body, "short"))
 
 
 def eval_records(spark, d):
@@ -81,7 +81,7 @@ def settings_scan(spark, d):
         F.lit("# made for "), "n", F.lit("\nname: run "), "n", F.lit("\n\ndata:\n  lang: '"), "lang", F.lit("'\n  max_samples: "), F.length("text").cast("string"), F.lit("   # characters\n  seed:\nteacher:\n  top_p: 0."), (F.col("doc_id") % 9 + 1).cast("string"),
         F.lit("\n  chunked: "), F.when(F.col("doc_id") % 2 == 0, "true").otherwise("False"), F.lit("\n  path: cache/a#"), "n", F.lit("\n"),
     )
-    return records.settings(spark, _files(_documents(spark, d), F.concat("n", F.lit(".yaml")), body, "settings"))
+    return records.settings(spark, _files(_documents(spark, d), F.concat("part", F.lit("/"), "n", F.lit(".yaml")), body, "settings"))
 
 
 def model_summaries(spark, d):

@@ -1,4 +1,4 @@
-"""Scans of record files. Paths go to Spark's readers only, so any file system that Spark knows will do."""
+"""Scans of record files. Small files come many to a partition from `file_ends`, which lists folders in the tasks; logs of lines come from Spark's readers."""
 
 from __future__ import annotations
 
@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from tracewell import schemas
 from tracewell.functions.text import clean_trace
 from tracewell.operators.evaluate import fully_passed
-from tracewell.sources.file_ends import file_ends
+from tracewell.sources.file_ends import file_ends, whole_files
 
-_STEM = r"([^/]+)\.[^./]+$"
+
+def _json(rows: DataFrame, schema: str, *keep: str) -> DataFrame:
+    """The fields of files (stem, value) that are one JSON document each, in UTF-8; empty files have none. Generated, so that filters on the fields do not parse again."""
+    text = F.when(F.is_valid_utf8("value"), F.ltrim(F.col("value"), F.lit("\ufeff"))).otherwise("no UTF-8")
+    parsed = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return rows.where(F.col("value").rlike(r"\S")).select(*keep, F.inline(F.array(parsed)))
 
 
 def keyed_json(spark: SparkSession, folder: str, schema: str, numeric: bool = True) -> DataFrame:
-    """One JSON document per file, keyed by the file's stem as idx; unreadable files have _corrupt."""
-    reader = spark.read.schema(schema + ", _corrupt string").option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+    """One JSON document per file, keyed by the file's stem as idx; unreadable files have _corrupt. Files may lie in folders of the folder."""
+    rows = whole_files(spark, folder, ".json" if numeric else "")
     if numeric:
-        reader = reader.option("pathGlobFilter", "[0-9]*.json")
-    return reader.json(folder).withColumn("idx", F.regexp_extract(F.col("_metadata.file_path"), _STEM, 1).try_cast("bigint"))
+        rows = rows.where(F.col("stem").rlike("^[0-9]"))
+    return _json(rows, schema + ", _corrupt string", "stem").withColumn("idx", F.col("stem").try_cast("bigint")).drop("stem")
 
 
 def cleaned(rows: DataFrame) -> DataFrame:
@@ -39,8 +44,9 @@ def traces(spark: SparkSession, folder: str, require_passing: bool = True) -> Da
 
 
 def lookup(spark: SparkSession, folder: str, idx: int) -> DataFrame:
-    """The cleaned trace of one key: no rows if there is none. Only the one file is listed and read."""
-    return cleaned(spark.read.schema(schemas.TRACE).option("multiLine", "true").option("pathGlobFilter", f"{int(idx)}.json").json(folder)).withColumn("idx", F.lit(idx).cast("bigint"))
+    """The cleaned trace of one key: no rows if there is none. Only the one file is opened."""
+    rows = whole_files(spark, folder, ".json").where(F.col("stem") == str(int(idx)))
+    return cleaned(_json(rows, schemas.TRACE)).withColumn("idx", F.lit(idx).cast("bigint"))
 
 
 def short_traces(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,19 +57,19 @@ def short_traces(spark: SparkSession, folder: str) -> DataFrame:
 
 def eval_records(spark: SparkSession, folder: str) -> DataFrame:
     """(record, idx, solved) of all compact evaluation records of a folder."""
-    rows = spark.read.schema(schemas.EVAL_RECORD).option("multiLine", "true").option("pathGlobFilter", "*.json").json(folder)
-    return rows.select(F.regexp_extract(F.col("_metadata.file_path"), _STEM, 1).alias("record"), F.explode("per_problem").alias("p")).select("record", "p.idx", "p.solved")
+    rows = _json(whole_files(spark, folder, ".json"), schemas.EVAL_RECORD, "stem")
+    return rows.select(F.col("stem").alias("record"), F.explode("per_problem").alias("p")).select("record", "p.idx", "p.solved")
 
 
 def plus_results(spark: SparkSession, path: str) -> DataFrame:
     """task -> whether its first sample passed."""
-    rows = spark.read.schema(schemas.PLUS_RESULTS).option("multiLine", "true").json(path)
+    rows = _json(whole_files(spark, path), schemas.PLUS_RESULTS)
     return rows.select(F.explode("eval").alias("task", "samples")).select("task", (F.try_element_at("samples", F.lit(1))["plus_status"] == "pass").alias("solved"))
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
     """Ids from a JSON file that is a list of numbers, a list of objects with idx or id, or an object with such a list under a known key."""
-    rows = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    rows = whole_files(spark, path).select(F.try_parse_json("value").alias("v"))
     found = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ("ids", "idx", "indices", "problems", "broken")], F.try_variant_get("v", "$", "array<variant>"))
     one = lambda x: F.coalesce(F.try_variant_get(x, "$.idx", "bigint"), F.try_variant_get(x, "$.id", "bigint"), F.try_variant_get(x, "$", "bigint"))
     return rows.select(F.explode(found).alias("x")).select(one(F.col("x")).alias("idx")).where("idx is not null").distinct()
@@ -75,7 +81,7 @@ def settings(spark: SparkSession, path: str) -> DataFrame:
     Comments, blank lines and quotes around a value go. kind is null, bool, int, float or str, as YAML reads plain values; value is its text, null for null.
     Sections in sections and lists are not read. A file is one row, so files are as small as settings are.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("file"), F.split("value", r"\r?\n").alias("lines"))
+    rows = whole_files(spark, path).select(F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("file"), F.split("value", r"\r?\n").alias("lines"))
     head = r"^([^\s:]+):\s*(?:#.*)?$"
     place = F.struct(F.lit("").alias("section"), F.array().cast("array<struct<section:string,line:string>>").alias("out"))
     step = lambda s, line: F.when(F.rlike(line, F.lit(head)), F.struct(F.regexp_extract(line, head, 1).alias("section"), s["out"].alias("out"))).otherwise(
@@ -136,7 +142,7 @@ def report_lines(spark: SparkSession, path: str) -> DataFrame:
     """Per-problem `n/5 samples passed` lines of a Markdown report."""
     found = F.regexp_extract_all("value", F.lit(r"(?i)problem\s+(\d+)[^\n]*?(\d+)/5 samples passed"), 1)
     counts = F.regexp_extract_all("value", F.lit(r"(?i)problem\s+(\d+)[^\n]*?(\d+)/5 samples passed"), 2)
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.arrays_zip(found.alias("idx"), counts.alias("n"))).alias("z"))
+    rows = whole_files(spark, path).select(F.explode(F.arrays_zip(found.alias("idx"), counts.alias("n"))).alias("z"))
     return rows.select(F.col("z.idx").cast("bigint").alias("idx"), F.col("z.n").cast("int").alias("passed"))
 
 

@@ -18,12 +18,23 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def listing(path: str, suffix: str = "") -> list[tuple[str, int]]:
-    """(path, bytes) of a file, or of all files below a folder whose names end so; hidden ones are left out."""
+def _files(found: list[fs.FileInfo], suffix: str) -> list[tuple[str, int]]:
+    return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name.endswith(suffix) and f.base_name[0] not in "._")
+
+
+def listing(path: str, suffix: str = "", system: fs.FileSystem | None = None) -> list[tuple[str, int]]:
+    """(path, bytes) of a file, or of all files below a folder whose names end so; hidden ones are left out. path is an address, or a path in system."""
+    system, inner = (system, path) if system else opened(path)
+    info = system.get_file_info(inner)
+    return _files([info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(inner, recursive=True)), suffix)
+
+
+def inside(path: str, suffix: str = "") -> tuple[list[tuple[str, int]], list[str]]:
+    """What stands in a folder itself: its files as in listing(), and the folders in it; of a file, the file."""
     system, inner = opened(path)
     info = system.get_file_info(inner)
-    found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(inner, recursive=True))
-    return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name.endswith(suffix) and f.base_name[0] not in "._")
+    found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(inner))
+    return _files(found, suffix), sorted(f.path for f in found if f.type == fs.FileType.Directory)
 
 
 def put_files(rows: DataFrame, folder: str) -> int:
