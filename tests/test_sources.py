@@ -246,3 +246,15 @@ def test_record_files_are_parsed_once_and_odd_ones_as_before(spark, tmp_path):
     assert {4, 6} <= {r["idx"] for r in rows.where("_corrupt is not null").collect()} and {2, 3, 7, 8}.isdisjoint(r["idx"] for r in rows.collect())
     plan = records.traces(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_sizes_come_from_listings_of_tasks(spark, tmp_path):
+    """Neither files nor their statuses come to the driver, which lists the folder itself."""
+    for i in range(60):
+        (tmp_path / f"{i}/deep").mkdir(parents=True)
+        (tmp_path / f"{i}/deep/a.bin").write_bytes(b"12345")
+        (tmp_path / f"{i}/_b.bin").write_bytes(b"1")
+    (tmp_path / "c.bin").write_bytes(b"123")
+    rows = records.folder_size(spark, str(tmp_path), [".bin"])
+    assert [tuple(r) for r in rows.collect()] == [(".bin", 303)]
+    assert "binaryFile" not in rows._jdf.queryExecution().executedPlan().toString()

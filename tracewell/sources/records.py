@@ -147,7 +147,6 @@ def report_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def folder_size(spark: SparkSession, folder: str, suffixes: list[str]) -> DataFrame:
-    """Bytes by suffix; contents are not read, only the listing."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    """Bytes by suffix; contents are not read, only listings, which tasks make of the folders in the folder."""
     suffix = F.regexp_extract("path", r"(\.[^./]+)$", 1)
-    return rows.where(suffix.isin(suffixes)).groupBy(suffix.alias("suffix")).agg(F.sum("length").alias("bytes"))
+    return file_ends(spark, folder, tail=0, suffix="").where(suffix.isin(suffixes)).groupBy(suffix.alias("suffix")).agg(F.sum("length").alias("bytes"))
