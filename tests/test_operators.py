@@ -365,3 +365,27 @@ def test_quantiles_of_many_distinct_values(spark):
     few = spark.createDataFrame([(1, 3.0), (1, 1.0), (1, None), (1, float("nan")), (2, 5.0), (2, 7.0), (2, 7.0), (3, None)], "g int, x double")
     assert {r["g"]: r["median"] for r in stats.medians(few, ["g"], "x").collect()} == {1: 2.0, 2: 7.0}
     assert stats.place_percentiles(few.where("false"), "x", {"a": 0.5}).first()["a"] is None
+
+
+def test_results_of_source_functions_go_to_arrow_by_pieces(spark):
+    """Few results are Python objects at a time, and nulls, empty batches and lists come through."""
+    import weakref
+
+    from tracewell.functions import source_code
+
+    class Text(str):
+        pass
+
+    alive, most = weakref.WeakSet(), []
+
+    def results():
+        for i in range(3000):
+            x = Text(i)
+            x.key = i
+            alive.add(x)
+            most.append(len(alive))
+            yield x
+
+    made = source_code._made(results(), "string")
+    assert made.to_pylist() == [str(i) for i in range(3000)] and max(most) <= 2 * source_code.PIECE + 2
+    assert source_code._made(iter([None, ["a"], []]), "array<string>").to_pylist() == [None, ["a"], []] and len(source_code._made(iter([]), "string")) == 0
