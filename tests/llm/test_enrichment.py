@@ -98,3 +98,13 @@ def test_empty_tables(spark):
 
 def test_small_table_against_sql(spark, sf_dir):
     assert_same(queries.op13_sale_enrichment(spark, sf_dir), ORACLES["op13_sale_enrichment"], sf_dir)
+
+
+def test_state_is_kept_in_files_and_forgotten(spark, tmp_path, monkeypatch):
+    """RocksDB leaves memory outside the heap for every store, of which there is one for each start and partition."""
+    monkeypatch.setattr(enrichment.scratch, "folder", lambda spark, name: str(tmp_path / name))
+    sales, changes = some(random.Random(3), 200, 5)
+    assert run(spark, sales, changes, 8) == brute(sales, changes, 8)
+    states = [[f.name for f in p.iterdir()] for p in (tmp_path / "enrichment/checkpoint/state/0").glob("[0-9]*")]
+    assert len(states) == 8 and all(f.strip(".").endswith((".delta", ".snapshot", ".crc")) or f.startswith("_") for names in states for f in names)
+    assert all(sum(f.endswith(".delta") for f in names) < 9 and any(f.endswith(".snapshot") for f in names) for names in states)

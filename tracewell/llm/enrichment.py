@@ -6,10 +6,13 @@ without a time or below H are released, others wait; then of each client's versi
 sale takes the last version, by (valid_at, change_id), that is not pruned and not after the sale. What still waits at the end is released then.
 
 The query is started anew for each batch on one checkpoint. Each table's rows carry the greatest event time so far, which is never late, as the column that
-Spark watches; of the two watermarks Spark takes the minimum, which is H in the next start. Event-time timers do the rest: one for
-each shard at the earliest time at which a sale of it is due or a version of it can be pruned. A batch without rows of a table has one row
+Spark watches; of the two watermarks Spark takes the minimum, which is H in the next start. Event-time timers (timeouts of group state) do the rest:
+one for each shard at the earliest time at which a sale of it is due or a version of it can be pruned. A batch without rows of a table has one row
 that carries the time alone.
 
+State is held by Spark's file-backed store, in the heap and only while its task runs. Every start opens a store for each partition, and Spark 4.1's RocksDB
+store, which `transformWithState` asks for, leaves about half a MB outside the heap for each store that it has closed.
+
 A shard is a group of clients, about `SHARD_ROWS` rows a batch, and there are as many as the tables' size asks for. Its state is two Arrow tables: versions,
 and waiting sales. A client of more than `SLICE_ROWS` rows is cut by event time into slices of about as many (whole hours), which are dealt
 to shards each for itself. A sale visits only the slice of its own time; what the client's other slices hold is told in one row for each slice and
@@ -32,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewell.llm.common import settle
 from tracewell.sources import scratch
@@ -90,64 +93,45 @@ def last_versions(sales: pd.DataFrame, versions: pd.DataFrame) -> np.ndarray:
     return np.where(sales["at"].to_numpy() == NONE, -1, out)
 
 
-class Enricher(StatefulProcessor):
-    """Of one shard: keeps versions and waiting sales, releases and prunes when a timer says so."""
+class Enricher:
+    """Of one shard: keeps versions and waiting sales, releases and prunes when rows come or the timer says so."""
 
     def __init__(self, batch: int, end: int):
         self.batch, self.end = batch, end
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("held", "blob binary")
-        self.waiting = handle.getValueState("waiting", "blob binary")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
-        change, late = new["kind"] == "change", new["late"].astype(bool)
-        yield self._out("late", new["id"][change & late])
-        versions, sales = self._state()
-        fresh = new[change & ~late & (new["client"] != NONE)][_VERSION].assign(kept=False)
-        if len(fresh):
-            versions = pd.concat([versions, fresh], ignore_index=True).sort_values(_VERSION, ignore_index=True, na_position="first")
-            yield from self._told(versions, self.batch, 1)
-        sales = pd.concat([sales, new[new["kind"] == "sale"][_SALE]], ignore_index=True)
-        now = (sales["at"] == NONE) | (sales["at"] < self._horizon(timerValues))
-        yield from self._released(sales[now], versions)
-        self._keep(versions, sales[~now])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        versions, sales = self._state()
-        horizon = self._horizon(timerValues)
-        due = sales["at"] < horizon
+    def step(self, key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, waiting = state.get if state.exists else (None, None)
+        versions, sales = _rows(held, [*_VERSION, "kept"]), _rows(waiting, _SALE)
+        now = state.getCurrentWatermarkMs()
+        horizon = now * 1000 - SHIFT if now > 0 else NONE
+        new = [r for r in rows if len(r)]
+        if new:
+            new = pd.concat(new, ignore_index=True)
+            change, late = new["kind"] == "change", new["late"].astype(bool)
+            yield self._out("late", new["id"][change & late])
+            fresh = new[change & ~late & (new["client"] != NONE)][_VERSION].assign(kept=False)
+            if len(fresh):
+                versions = pd.concat([versions, fresh], ignore_index=True).sort_values(_VERSION, ignore_index=True, na_position="first")
+                yield from self._told(versions, self.batch, 1)
+            sales = pd.concat([sales, new[new["kind"] == "sale"][_SALE]], ignore_index=True)
+        due = (sales["at"] == NONE) | (sales["at"] < horizon)
         yield from self._released(sales[due], versions)
-        if self.batch < self.end:
-            past = (versions["at"] <= horizon).to_numpy(bool)
+        past = (versions["at"] <= horizon).to_numpy(bool)
+        if self.batch < self.end and (past & ~versions["kept"].to_numpy(bool)).any():
             last = past.copy()
             last[past] = ~versions[past].duplicated(["client", "slice"], keep="last").to_numpy(bool)
             versions = versions.assign(kept=versions["kept"].to_numpy(bool) | last)[~past | last].reset_index(drop=True)
             yield from self._told(versions, self.batch + 1, 0)
-        self._keep(versions, sales[~due])
-
-    def close(self) -> None:
-        pass
-
-    def _horizon(self, timers) -> int:
-        now = timers.getCurrentWatermarkInMs()
-        return now * 1000 - SHIFT if now > 0 else NONE
-
-    def _state(self) -> tuple[pd.DataFrame, pd.DataFrame]:
-        blob = lambda state: state.get()[0] if state.exists() else None
-        return _rows(blob(self.held), [*_VERSION, "kept"]), _rows(blob(self.waiting), _SALE)
+        self._keep(state, versions, sales[~due])
 
-    def _keep(self, versions: pd.DataFrame, sales: pd.DataFrame) -> None:
-        """Store the state, and set the timer: a sale is due once H is after it, a version (unless it is what is left of earlier ones) once H has reached it."""
-        self.held.update((_blob(versions),))
-        self.waiting.update((_blob(sales.reset_index(drop=True)),))
+    def _keep(self, state: GroupState, versions: pd.DataFrame, sales: pd.DataFrame) -> None:
+        """Store the state, and set the timer, which goes off once H is after it: a sale is due once H is after it, a version (unless it is what is left of earlier ones) once H has reached it."""
+        state.update((_blob(versions), _blob(sales.reset_index(drop=True))))
         left = versions["at"][~versions["kept"].to_numpy(bool)]
-        due = [(int(sales["at"].min()) + SHIFT) // 1000 + 1] if len(sales) else []
-        due += [-(-(int(left.min()) + SHIFT) // 1000)] if len(left) else []
-        if due:
-            self.handle.registerTimer(min(due))
+        due = [(int(sales["at"].min()) + SHIFT) // 1000] if len(sales) else []
+        due += [-(-(int(left.min()) + SHIFT) // 1000) - 1] if len(left) else []
+        if due and self.batch < self.end:
+            state.setTimeoutTimestamp(min(due))
 
     def _out(self, rec: str, ids, op=None, batch: int | None = None, **ints) -> pd.DataFrame:
         n = len(ids)
@@ -291,9 +275,10 @@ def _stream(spark: SparkSession, folder: str, tops: dict[str, list[int | None]],
     """One start for each batch, and one that releases what waits: after the last batch the watermark is beyond all rows."""
     beyond = max((t[-1] for t in tops.values() if t[-1] is not None), default=0) + 2 * DELAY_HOURS * HOUR
     settings = {
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-        "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a store that stays open keeps files of fixed size, for every start
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a store that stays open keeps its rows in the heap, for every start
+        "spark.sql.streaming.stateStore.minDeltasForSnapshot": "2",  # a start reads so many batches' changes and a snapshot, not those of all batches
+        "spark.sql.streaming.minBatchesToRetain": "2",  # a start needs the batch before it alone
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # a batch of its own for a new watermark would release sales too early
         "spark.sql.streaming.multipleWatermarkPolicy": "min",
     }
@@ -309,7 +294,7 @@ def _stream(spark: SparkSession, folder: str, tops: dict[str, list[int | None]],
                 seen = F.timestamp_micros(F.lit(DELAY_HOURS * HOUR if mark is None else mark + SHIFT))
                 sides.append(rows.withColumns({"late": F.coalesce(late, F.lit(False)), "mark": seen}).withWatermark("mark", f"{DELAY_HOURS} hours"))
             rows = sides[0].unionByName(sides[1])
-            out = rows.groupBy("shard").transformWithStateInPandas(Enricher(batch, batches), OUT, "Append", "EventTime")
+            out = rows.groupBy("shard").applyInPandasWithState(Enricher(batch, batches).step, OUT, "held binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
             out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
