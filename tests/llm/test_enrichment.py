@@ -108,3 +108,27 @@ def test_state_is_kept_in_files_and_forgotten(spark, tmp_path, monkeypatch):
     states = [[f.name for f in p.iterdir()] for p in (tmp_path / "enrichment/checkpoint/state/0").glob("[0-9]*")]
     assert len(states) == 8 and all(f.strip(".").endswith((".delta", ".snapshot", ".crc")) or f.startswith("_") for names in states for f in names)
     assert all(sum(f.endswith(".delta") for f in names) < 9 and any(f.endswith(".snapshot") for f in names) for names in states)
+
+
+def test_a_start_opens_few_files_whatever_the_partitions(spark, tmp_path, monkeypatch):
+    """Each task wrote a file for every batch, and each state file had a second one with its checksum."""
+    monkeypatch.setattr(enrichment.scratch, "folder", lambda spark, name: str(tmp_path / name))
+    sales, changes = some(random.Random(4), 400, 9)
+    with enrichment._set(spark, {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        assert run(spark, sales, changes, 3) == brute(sales, changes, 3)
+    folders = [p for name in ("sales", "changes") for p in (tmp_path / f"enrichment/{name}-in").iterdir()]
+    assert len(folders) == 8 and all(1 <= len(list(p.rglob("*.parquet"))) <= 8 for p in folders)
+    states = list((tmp_path / "enrichment/checkpoint/state/0").glob("[0-9]*"))
+    assert len(states) == 24 and not any(f.name.endswith(".crc") and f.name[0] != "." for p in states for f in p.iterdir())
+
+
+def test_a_worker_collects_no_modules(spark):
+    """Workers collect their garbage after every task, most of it objects of modules, which took about 50 ms."""
+    step = enrichment.Enricher(0, 1).step
+
+    def frozen(batches, step=step):
+        import gc
+
+        yield from ((b.assign(id=int(gc.get_freeze_count() > 0)) for b in batches))
+
+    assert {r["id"] for r in spark.range(4).mapInPandas(frozen, "id long").collect()} == {1}

@@ -28,6 +28,7 @@ a millisecond. Empty tables give no rows.
 from __future__ import annotations
 
 import contextlib
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,8 @@ from tracewell.sources import scratch
 
 DELAY_HOURS = 24
 SHARD_ROWS, SLICE_ROWS = 8192, 4096
+#: Of a batch there are at least so many files, and one for so many shards.
+FILES, FILE_SHARDS = 8, 32
 HOUR = 3_600_000_000
 #: The watched times are moved by so many microseconds (100 years of 365.25 days), so that all since 1870 are positive and a watermark of 0 means none yet.
 #: pandas ends in 2262, so the latest times of both tables have to be before 2160.
@@ -99,6 +102,12 @@ class Enricher:
     def __init__(self, batch: int, end: int):
         self.batch, self.end = batch, end
 
+    def __setstate__(self, fields: dict) -> None:
+        """In a Python worker, which collects its garbage after every task, also after those without a shard: the modules' objects are left out."""
+        self.__dict__.update(fields)
+        if not gc.get_freeze_count():
+            gc.freeze()
+
     def step(self, key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, waiting = state.get if state.exists else (None, None)
         versions, sales = _rows(held, [*_VERSION, "kept"]), _rows(waiting, _SALE)
@@ -169,27 +178,30 @@ class Enricher:
 
 
 def _sliced(rows: DataFrame) -> DataFrame | None:
-    """(client, hour, slice) of clients with more than SLICE_ROWS rows, hours in order; None without such clients. rows: client, at."""
+    """(client, hour, slice) of clients with more than SLICE_ROWS rows, hours in order, to be broadcast if they are few; None without such clients. rows: client, at."""
     hours = rows.where("client is not null").groupBy("client", F.coalesce(F.floor(F.col("at") / HOUR), F.lit(NONE)).alias("hour")).agg(F.count("*").alias("n"))
-    large = hours.groupBy("client").agg(F.sum("n").alias("all")).where(F.col("all") > SLICE_ROWS)
-    before = F.sum("n").over(Window.partitionBy("client").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
-    found = settle(hours.join(large, "client").select("client", "hour", F.floor(F.coalesce(before, F.lit(0)) / SLICE_ROWS).cast("long").alias("slice")))
-    return None if found.isEmpty() else found
+    client = Window.partitionBy("client").orderBy("hour")
+    sums = {"all": F.sum("n").over(client.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "before": F.sum("n").over(client.rowsBetween(Window.unboundedPreceding, -1))}
+    found = hours.withColumns(sums).where(F.col("all") > SLICE_ROWS)
+    found = settle(found.select("client", "hour", F.floor(F.coalesce("before", F.lit(0)) / SLICE_ROWS).cast("long").alias("slice")))
+    n = found.count()
+    return (F.broadcast(found) if n <= 200_000 else found) if n else None  # of 24 bytes each
 
 
 def _feed(rows: DataFrame, slices: DataFrame | None, shards: int, batches: int, path: str) -> DataFrame:
-    """Write rows (kind, client, id, at, cents, op, batch) by batch, with a shard, and a row of no client for each batch."""
+    """Write rows (kind, client, id, at, cents, op, batch) by batch, with a shard, and a row of no client for each batch. Rows of a batch and some shards
+    meet in one file, else each task would write one for every batch, which each start has to list and open."""
     rows = rows.withColumn("hour", F.coalesce(F.floor(F.col("at") / HOUR), F.lit(NONE)))
     if slices is None:
         rows = rows.withColumn("slice", F.lit(NONE))
     else:
-        small = slices.count() <= 200_000  # of 24 bytes each
-        rows = rows.join(F.broadcast(slices) if small else slices, ["client", "hour"], "left")
+        rows = rows.join(slices, ["client", "hour"], "left")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("client", "slice"), F.lit(shards)).cast("int"))
     marks = rows.sparkSession.range(batches + 1).select(F.col("id").cast("int").alias("batch"), F.lit("mark").alias("kind"), F.lit(0).alias("shard"))
     columns = [c.split()[0] for c in FEED.split(", ")]
     fed = rows.select(*columns, "batch").unionByName(marks, allowMissingColumns=True)
-    fed.withColumns({c: F.coalesce(c, F.lit(NONE)) for c in ("client", "slice", "id", "at", "cents")}).write.partitionBy("batch").parquet(path)
+    fed = fed.withColumns({c: F.coalesce(c, F.lit(NONE)) for c in ("client", "slice", "id", "at", "cents")})
+    fed.repartition("batch", F.pmod("shard", F.lit(max(FILES, shards // FILE_SHARDS)))).write.partitionBy("batch").parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
@@ -277,7 +289,8 @@ def _stream(spark: SparkSession, folder: str, tops: dict[str, list[int | None]],
     settings = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
         "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a store that stays open keeps its rows in the heap, for every start
-        "spark.sql.streaming.stateStore.minDeltasForSnapshot": "2",  # a start reads so many batches' changes and a snapshot, not those of all batches
+        "spark.sql.streaming.stateStore.minDeltasForSnapshot": "4",  # a start reads so many batches' changes and a snapshot, not those of all batches
+        "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",  # a second file beside each, made by threads of its own for every store; nobody comes back to this checkpoint
         "spark.sql.streaming.minBatchesToRetain": "2",  # a start needs the batch before it alone
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # a batch of its own for a new watermark would release sales too early
         "spark.sql.streaming.multipleWatermarkPolicy": "min",
